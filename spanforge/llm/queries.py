@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.line_dedup import dedup_lines
+from spanforge.llm.simhash import fingerprint_hex, near_groups
 from spanforge.llm.url_filter import Rule, filter_urls
 
 URL_RULES = [Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "block"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block")]
@@ -22,7 +23,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op10_url_filter": op10_url_filter}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return groups.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
     "op2_line_dedup": """
