@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.llm.bpe import round_trip_digests
 from spanforge.llm.line_dedup import dedup_lines
 from spanforge.llm.simhash import fingerprint_hex, near_groups
 from spanforge.llm.url_filter import Rule, filter_urls
@@ -23,12 +24,20 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """vocabulary: path of a rank file; pattern: what splits text. The installed public ones unless given."""
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return round_trip_digests(docs, vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return groups.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
     "op2_line_dedup": """
