@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanforge.llm.bpe import round_trip_digests
 from spanforge.llm.line_dedup import dedup_lines
 from spanforge.llm.simhash import fingerprint_hex, near_groups
+from spanforge.llm.toxicity import ToxicityChain, chain_labels
 from spanforge.llm.url_filter import Rule, filter_urls
 
 URL_RULES = [Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "block"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block")]
@@ -32,12 +33,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, pat
     return round_trip_digests(docs, vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = chain_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return ToxicityChain().fit(docs, labels).transform(docs).drop("text")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return groups.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op5_toxicity": op5_toxicity, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
     "op2_line_dedup": """
