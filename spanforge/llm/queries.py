@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.bpe import round_trip_digests
 from spanforge.llm.line_dedup import dedup_lines
+from spanforge.llm.mixing import corpus_mix, mix_counts
 from spanforge.llm.simhash import fingerprint_hex, near_groups
 from spanforge.llm.toxicity import ToxicityChain, chain_labels
 from spanforge.llm.url_filter import Rule, filter_urls
@@ -39,12 +40,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ToxicityChain().fit(docs, labels).transform(docs).drop("text")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), corpus_mix())
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return groups.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op5_toxicity": op5_toxicity, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op5_toxicity": op5_toxicity, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
     "op2_line_dedup": """
@@ -58,6 +63,51 @@ WITH d AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE top <> doc_id) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE top IS NULL OR top = doc_id), '')) AS kept_sha256
 FROM k LEFT JOIN r USING (key) GROUP BY doc_id""",
+    "op7_mixing": r"""
+WITH num AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(try_cast(regexp_extract(source, '[0-9]+', 0) AS INT), -1) AS number,
+    trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM documents
+), d AS (
+  SELECT doc_id, CASE WHEN number = 0 THEN 'web' WHEN number BETWEEN 1 AND 9 THEN 'reference' WHEN number >= 10 THEN 'forum' ELSE 'other' END AS domain, lang, source,
+    CASE WHEN bare = '' THEN 0 ELSE len(regexp_split_to_array(bare, '[\x20\x09-\x0D]+')) END AS n_tokens FROM num
+), leaf AS (
+  SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens FROM d GROUP BY ALL
+), a0 AS (
+  SELECT least(sum(tokens), sum(tokens) * 2)::HUGEINT AS amount FROM leaf
+), n1 AS (
+  SELECT n.*, a.amount FROM (SELECT domain, sum(tokens)::HUGEINT * 2 AS cap, (CASE domain WHEN 'web' THEN 8 WHEN 'reference' THEN 6 WHEN 'forum' THEN 6 ELSE 1 END)::HUGEINT AS w FROM leaf GROUP BY domain) n JOIN a0 a ON true
+), f1 AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS filled,
+    (sum(w) OVER (ORDER BY cap::DOUBLE / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT AS opened FROM n1
+), a1 AS (
+  SELECT domain, (CASE WHEN is_full THEN cap ELSE ((amount - full_cap) * w) // nullif(open_w, 0) END)::HUGEINT AS amount FROM (
+    SELECT *, coalesce(sum(cap) FILTER (WHERE is_full) OVER (), 0)::HUGEINT AS full_cap, coalesce(sum(w) FILTER (WHERE NOT is_full) OVER (), 0)::HUGEINT AS open_w
+    FROM (SELECT *, cap * opened <= (amount - filled) * w AS is_full FROM f1))
+), n2 AS (
+  SELECT n.*, a.amount FROM (SELECT domain, lang, sum(tokens)::HUGEINT * 2 AS cap, (CASE lang WHEN 'en' THEN 60 WHEN 'de' THEN 15 WHEN 'fr' THEN 14 WHEN 'es' THEN 11 ELSE 1 END)::HUGEINT AS w FROM leaf GROUP BY domain, lang) n JOIN a1 a ON n.domain = a.domain
+), f2 AS (
+  SELECT *, coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY cap::DOUBLE / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS filled,
+    (sum(w) OVER (PARTITION BY domain ORDER BY cap::DOUBLE / w, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT AS opened FROM n2
+), a2 AS (
+  SELECT domain, lang, (CASE WHEN is_full THEN cap ELSE ((amount - full_cap) * w) // nullif(open_w, 0) END)::HUGEINT AS amount FROM (
+    SELECT *, coalesce(sum(cap) FILTER (WHERE is_full) OVER (PARTITION BY domain ), 0)::HUGEINT AS full_cap, coalesce(sum(w) FILTER (WHERE NOT is_full) OVER (PARTITION BY domain ), 0)::HUGEINT AS open_w
+    FROM (SELECT *, cap * opened <= (amount - filled) * w AS is_full FROM f2))
+), n3 AS (
+  SELECT n.*, a.amount FROM (SELECT domain, lang, source, sum(tokens)::HUGEINT * 2 AS cap, (1)::HUGEINT AS w FROM leaf GROUP BY domain, lang, source) n JOIN a2 a ON n.domain = a.domain AND n.lang = a.lang
+), f3 AS (
+  SELECT *, coalesce(sum(cap) OVER (PARTITION BY domain, lang ORDER BY cap::DOUBLE / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS filled,
+    (sum(w) OVER (PARTITION BY domain, lang ORDER BY cap::DOUBLE / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT AS opened FROM n3
+), a3 AS (
+  SELECT domain, lang, source, (CASE WHEN is_full THEN cap ELSE ((amount - full_cap) * w) // nullif(open_w, 0) END)::HUGEINT AS amount FROM (
+    SELECT *, coalesce(sum(cap) FILTER (WHERE is_full) OVER (PARTITION BY domain, lang ), 0)::HUGEINT AS full_cap, coalesce(sum(w) FILTER (WHERE NOT is_full) OVER (PARTITION BY domain, lang ), 0)::HUGEINT AS open_w
+    FROM (SELECT *, cap * opened <= (amount - filled) * w AS is_full FROM f3))
+), p AS (
+  SELECT d.*, CASE WHEN tokens = 0 THEN 0 ELSE amount // tokens END AS epochs, CASE WHEN tokens = 0 THEN -1 ELSE amount % tokens END AS rest
+  FROM d JOIN leaf USING (domain, lang, source) JOIN a3 USING (domain, lang, source)
+), c AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('7:' || epochs || ':' || coalesce(doc_id::VARCHAR, '')), doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM p
+)
+SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, (epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM c""",
     "op10_url_filter": """
 WITH u AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
