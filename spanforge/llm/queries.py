@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.bpe import round_trip_digests
+from spanforge.llm.common import fresh_path
 from spanforge.llm.line_dedup import dedup_lines
 from spanforge.llm.mixing import corpus_mix, mix_counts
 from spanforge.llm.simhash import fingerprint_hex, near_groups
 from spanforge.llm.toxicity import ToxicityChain, chain_labels
 from spanforge.llm.url_filter import Rule, filter_urls
+from spanforge.llm.warc import archive_round_trip
 
 URL_RULES = [Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "block"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block")]
 
@@ -34,6 +36,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, pat
     return round_trip_digests(docs, vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), fresh_path(spark, "warc"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = chain_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -49,7 +55,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op5_toxicity": op5_toxicity, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op4_warc": op4_warc, "op5_toxicity": op5_toxicity, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
     "op2_line_dedup": """
@@ -127,4 +133,17 @@ WITH u AS (
 SELECT page_id, host, path, rule,
   CASE WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
 FROM l""",
+    "op4_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, upper(sha1(coalesce(html, ''))) AS hex FROM pages
+), d AS (
+  SELECT page_id, strlen(body) AS payload_bytes, max(page_id) OVER (PARTITION BY body) AS first_id,
+    list_transform(range(0, 160, 5), lambda i: substr(list_aggregate(list_transform(string_split(hex, ''), lambda c:
+      ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789ABCDEF', c)]), 'string_agg', ''), i::INT + 1, 5)) AS fives
+  FROM p
+)
+SELECT page_id, payload_bytes, list_aggregate(list_transform(fives, lambda f: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * substr(f, 1, 1)::INT + 8 * substr(f, 2, 1)::INT + 4 * substr(f, 3, 1)::INT + 2 * substr(f, 4, 1)::INT + substr(f, 5, 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, nullif(first_id, page_id) AS refers_to, true AS intact
+FROM d""",
 }
