@@ -2,17 +2,82 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from spanforge.llm.common import written
 
+_WORD = re.compile(r"[^\W_]+")
+STEMS = (3, 4, 5)
+
+
+def words_and_stems(text: str | None) -> list[set[str]]:
+    """The distinct lower-cased words of letters and digits, and their first three to five characters: rude
+    stems take endings, so most of a rude word's forms are rare."""
+    words = set(_WORD.findall((text or "").lower()))
+    return [words, *({w[:n] + "*" for w in words if len(w) > n} for n in STEMS)]
+
+
+class Linear:
+    """L1-regularised logistic regression over the presence of features, and over a few dense columns."""
+
+    def __init__(self, penalty: float, iterations: int):
+        self.penalty, self.iterations, self.weights, self.bias = penalty, iterations, np.zeros(0), 0.0
+
+    def fit(self, rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np.ndarray, n_features: int) -> Linear:
+        """rows, columns: where the presence matrix holds 1; dense: further columns. Accelerated proximal
+        gradient steps over columns of unit variance."""
+        n, width = len(y), n_features + dense.shape[1]
+        if not n:
+            return self
+        share = np.bincount(columns, minlength=n_features)[:n_features] / n
+        sd = np.r_[np.sqrt(share * (1 - share)), dense.std(axis=0) if n else []]
+        scale = np.where(sd > 1e-9, 1 / np.maximum(sd, 1e-9), 0.0)
+        mean = np.r_[share, dense.mean(axis=0)] * scale
+
+        def times(w: np.ndarray) -> np.ndarray:
+            v = w * scale
+            return np.bincount(rows, v[columns], n) + dense @ v[n_features:] - w @ mean
+
+        def back(r: np.ndarray) -> np.ndarray:
+            return np.r_[np.bincount(columns, r[rows], n_features)[:n_features], dense.T @ r] * scale - mean * r.sum()
+
+        top = np.ones(width) / max(1.0, np.sqrt(width))
+        for _ in range(12):
+            top = back(times(top))
+            norm = np.linalg.norm(top)
+            if not norm:
+                break
+            top /= norm
+        step = 1 / (0.25 * max(norm, 1e-9) / n * 1.1 + 0.25)
+        base = np.clip(y.mean(), 0.5 / (n + 1), 1 - 0.5 / (n + 1))
+        w = ahead = np.zeros(width)
+        b = ahead_b = float(np.log(base / (1 - base)))
+        t = 1.0
+        for _ in range(self.iterations):
+            r = (1 / (1 + np.exp(-np.clip(times(ahead) + ahead_b, -40, 40))) - y) / n
+            new = ahead - step * back(r)
+            new = np.sign(new) * np.maximum(np.abs(new) - step * self.penalty, 0)
+            new_b = ahead_b - step * r.sum()
+            t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            ahead, ahead_b = new + (t - 1) / t_new * (new - w), new_b + (t - 1) / t_new * (new_b - b)
+            w, b, t = new, new_b, t_new
+        self.weights, self.bias = w * scale, float(b - w @ mean)
+        return self
+
+    def proba(self, rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, n: int) -> np.ndarray:
+        k = len(self.weights) - dense.shape[1]
+        score = self.bias + np.bincount(rows, self.weights[columns], n) + (dense @ self.weights[k:] if k >= 0 else 0)
+        return 1 / (1 + np.exp(-np.clip(score, -40, 40)))
+
 
 @dataclass
 class ToxicityChain:
@@ -22,77 +87,101 @@ class ToxicityChain:
     seen it, so that a later model learns how far the earlier ones are to be trusted on new rows.
 
     train_rows: the bound of the labelled rows that are used, those with the smallest hash of their id.
-    vocabulary, min_docs: at most so many words and stems, each found in so many of these rows at least; presence
-    counts, not frequency, so one word weighs alike in a short and a long text. penalty: of the absolute
-    weights, so that ordinary words get none at all. threshold: the probability that makes a category.
+    features, min_docs: for each category at most so many words and stems, each found in so many of these
+    rows at least, those whose shares differ most. Presence counts, not frequency, so a word weighs alike in a
+    short and a long text. penalty: of the absolute weights, so that ordinary words get none. threshold: the
+    probability beyond which a document is of a category.
     """
 
     categories: tuple[str, ...] = ("low_quality", "toxic")
-    train_rows: int = 20_000
-    folds: int = 3
-    vocabulary: int = 1 << 16
-    min_docs: int = 4
-    penalty: float = 1e-5
-    iterations: int = 50
+    train_rows: int = 16_000
+    folds: int = 4
+    features: int = 2048
+    min_docs: int = 3
+    penalty: float = 3e-4
+    iterations: int = 300
     threshold: float = 0.5
-    words: CountVectorizerModel | None = field(default=None, init=False)
-    models: list[LogisticRegressionModel] = field(default_factory=list, init=False)
-
-    def _model(self) -> LogisticRegression:
-        return LogisticRegression(featuresCol="_x", labelCol="_y", elasticNetParam=1.0, regParam=self.penalty, maxIter=self.iterations, standardization=False)
-
-    def _inputs(self, rows: DataFrame, n: int) -> DataFrame:
-        """``rows`` with ``_x``: the words and the first ``n`` probabilities."""
-        return VectorAssembler(inputCols=["_words", *[f"_p{i}" for i in range(n)]], outputCol="_x").transform(rows)
-
-    def _scored(self, model: LogisticRegressionModel, rows: DataFrame, n: int) -> DataFrame:
-        out = model.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_q").transform(self._inputs(rows, n))
-        return out.withColumn(f"_p{n}", vector_to_array("_q")[1]).drop("_x", "_q")
+    names: dict[str, int] = field(default_factory=dict, init=False)
+    models: list[Linear] = field(default_factory=list, init=False)
 
     def fit(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicityChain:
         """labels: the id and a 0/1 column for each category. Rows with a null id or label are left out; of rows
         that share an id the largest labels count. Without a labelled document every probability is 0."""
-        known = labels.dropna(subset=[id_col, *self.categories]).groupBy(F.col(id_col).cast("long").alias("_id")).agg(*[F.max(F.col(c).cast("double")).alias(f"_y{i}") for i, c in enumerate(self.categories)])
-        some = known.orderBy(F.xxhash64("_id"), "_id").limit(self.train_rows)
-        texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), words_of(F.col(f"`{text_col}`")).alias("_tokens"))
-        rows = texts.join(F.broadcast(some), "_id").withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(self.folds)))
-        rows = written(rows.coalesce(16), "labelled")
-        if rows.isEmpty():
+        ys = [f"y{i}" for i in range(len(self.categories))]
+        known = labels.dropna(subset=[id_col, *self.categories]).groupBy(F.col(id_col).cast("long").alias("id")).agg(*[F.max(F.col(c).cast("double")).alias(y) for c, y in zip(self.categories, ys, strict=True)])
+        some = known.orderBy(F.xxhash64("id"), "id").limit(self.train_rows)  # so the broadcast has a bound
+        texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+        rows = texts.join(F.broadcast(some), "id").withColumn("fold", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(self.folds)).cast("int"))
+        spec = ", ".join(f"{y} double" for y in ys) + ", fold int"
+        rows = written(rows.select("text", *ys, "fold").mapInArrow(_with_features, f"features array<string>, {spec}"), "labelled")
+        total = rows.agg(F.count("*"), *[F.sum(y) for y in ys]).first()
+        if not total[0]:
             return self
-        self.words = CountVectorizer(inputCol="_tokens", outputCol="_words", binary=True, vocabSize=self.vocabulary, minDF=min(self.min_docs, 1 + rows.count() // 100)).fit(rows)
-        rows = written(self.words.transform(rows).drop("_tokens"), "labelled")
-        for n in range(len(self.categories)):
-            rows = rows.withColumn("_y", F.col(f"_y{n}"))
-            self.models.append(self._model().fit(self._inputs(rows, n)))
-            if n + 1 < len(self.categories):
-                parts = [(rows.where(F.col("_fold") != f), rows.where(F.col("_fold") == f)) for f in range(self.folds)]
-                parts = [(rest if not rest.isEmpty() else own, own) for rest, own in parts]
-                rows = written(reduce(DataFrame.unionByName, [self._scored(self._model().fit(self._inputs(rest, n)), own, n) for rest, own in parts]), "labelled")
+        counts = rows.select(F.explode("features").alias("f"), *ys).groupBy("f").agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).where(F.col("n") >= self.min_docs)
+        counts = written(counts, "feature-counts")
+        for y, ones in zip(ys, total[1:], strict=True):
+            gap = F.abs(F.col(y) - F.col("n") * (ones / total[0])) / F.sqrt(F.col("n"))
+            for f in counts.orderBy(gap.desc(), "f").limit(self.features).select("f").collect():
+                self.names.setdefault(f[0], len(self.names))
+        names = self.names
+        found = rows.mapInArrow(lambda it: _numbered(it, names), f"ids array<int>, {spec}").toArrow()
+        order = np.lexsort([found.column("fold").to_numpy(), *(found.column(y).to_numpy() for y in ys), np.array([len(x) for x in found.column("ids")])])
+        found = found.take(pa.array(order))  # the same sums whatever the partitions' order
+        self._fit([np.asarray(x.as_py(), "i8") for x in found.column("ids")], [found.column(y).to_numpy() for y in ys], found.column("fold").to_numpy())
         return self
 
+    def _fit(self, ids: list[np.ndarray], ys: list[np.ndarray], fold: np.ndarray) -> None:
+        n, dense = len(ids), np.zeros((len(ids), 0))
+        row, column = np.repeat(np.arange(n), [len(x) for x in ids]), np.concatenate([*ids, np.zeros(0, "i8")])
+        fresh = lambda: Linear(self.penalty, self.iterations)
+        for k, y in enumerate(ys):
+            self.models.append(fresh().fit(row, column, dense, y, len(self.names)))
+            if k + 1 == len(ys):
+                break
+            ahead = np.zeros(n)
+            for f in range(self.folds):
+                rest = fold != f if (fold != f).any() else fold == f
+                at = np.cumsum(rest) - 1
+                use = rest[row]
+                model = fresh().fit(at[row[use]], column[use], dense[rest], y[rest], len(self.names))
+                own = fold == f
+                ahead[own] = model.proba(row, column, dense, n)[own]
+            dense = np.c_[dense, ahead]
+
     def transform(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """``docs`` with ``p_<category>`` doubles and ``is_<category>`` booleans; equal names of ``docs`` are replaced.
         A null or empty text has no words and gets the models' base rates."""
         new = [f"p_{c}" for c in self.categories] + [f"is_{c}" for c in self.categories]
         kept = [c for c in docs.columns if c not in new]
-        rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], words_of(F.col(f"`{text_col}`")).alias("_tokens"))
-        if self.words is None:
-            ps = [F.lit(0.0)] * len(self.categories)
-        else:
-            rows = self.words.transform(rows).drop("_tokens")
-            for n, model in enumerate(self.models):
-                rows = self._scored(model, rows, n)
-            ps = [F.col(f"_p{n}") for n in range(len(self.categories))]
-        flags = [p > self.threshold for p in ps]
-        return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *[x.alias(name) for x, name in zip(ps + flags, new, strict=True)])
-
-
-def words_of(text: Column) -> Column:
-    """The distinct lower-cased words of letters and digits, and their first three to five characters: stems
-    take endings, so most of a rude word's forms are rare."""
-    words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"))
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in (3, 4, 5)]
-    return F.array_distinct(F.concat(words, *stems))
+        used = {f: i for f, i in self.names.items() if any(m.weights[i] for m in self.models)}
+        models, keys = self.models, [{f for f in used if not f.endswith("*")}, *({f for f in used if len(f) == n + 1 and f.endswith("*")} for n in STEMS)]
+
+        @F.pandas_udf(ArrayType(DoubleType()))
+        def chain(texts: pd.Series) -> pd.Series:
+            found = [[used[f] for own, key in zip(words_and_stems(t), keys, strict=True) for f in own & key] for t in texts]
+            row, column = np.repeat(np.arange(len(found)), [len(x) for x in found]), np.array([i for x in found for i in x], "i8")
+            dense = np.zeros((len(found), 0))
+            for m in models:
+                dense = np.c_[dense, m.proba(row, column, dense, len(found))]
+            return pd.Series(list(dense))
+
+        rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(f"`{text_col}`").cast("string").alias("text"))
+        rows = rows.withColumn("p", chain("text") if models else F.array(*[F.lit(0.0)] * len(self.categories)))
+        ps = [F.get("p", F.lit(i)) for i in range(len(self.categories))]
+        out = ps + [p > self.threshold for p in ps]
+        return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *[x.alias(name) for x, name in zip(out, new, strict=True)])
+
+
+def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        features = pa.array([[f for own in words_and_stems(t.as_py()) for f in own] for t in batch.column(0)], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([features, *batch.columns[1:]], ["features", *batch.schema.names[1:]])
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], names: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = pa.array([sorted(names[f] for f in x.as_py() if f in names) for x in batch.column(0)], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([ids, *batch.columns[1:]], ["ids", *batch.schema.names[1:]])
 
 
 def chain_labels(labels: DataFrame) -> DataFrame:
