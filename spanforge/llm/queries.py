@@ -12,6 +12,7 @@ from spanforge.llm.mixing import corpus_mix, mix_counts
 from spanforge.llm.simhash import fingerprint_hex, near_groups
 from spanforge.llm.toxicity import ToxicityChain, chain_labels
 from spanforge.llm.url_filter import Rule, filter_urls
+from spanforge.llm.vectors import top_k
 from spanforge.llm.warc import archive_round_trip
 
 URL_RULES = [Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "block"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block")]
@@ -23,6 +24,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES, F.coalesce(F.col("url").contains("utm_source="), F.lit(False)))
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -55,9 +60,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op4_warc": op4_warc, "op5_toxicity": op5_toxicity, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_top_k": op1_top_k, "op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op4_warc": op4_warc, "op5_toxicity": op5_toxicity, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
+    "op1_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "op2_line_dedup": """
 WITH d AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
