@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanforge.llm.bpe import round_trip_digests
 from spanforge.llm.common import fresh_path
 from spanforge.llm.embedding_dedup import near_vectors
+from spanforge.llm.hmm import score_documents
 from spanforge.llm.line_dedup import dedup_lines
 from spanforge.llm.mixing import corpus_mix, mix_counts
 from spanforge.llm.simhash import fingerprint_hex, near_groups
@@ -60,12 +61,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), corpus_mix())
 
 
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return groups.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_top_k": op1_top_k, "op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op4_warc": op4_warc, "op5_toxicity": op5_toxicity, "op6_embedding_dedup": op6_embedding_dedup, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_top_k": op1_top_k, "op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op4_warc": op4_warc, "op5_toxicity": op5_toxicity, "op6_embedding_dedup": op6_embedding_dedup, "op7_mixing": op7_mixing, "op8_hmm": op8_hmm, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
 
 ORACLES = {
     "op1_top_k": """
