@@ -224,7 +224,8 @@ def read_chunks(archives: DataFrame, chunk_bytes: int = 1 << 20, with_data: bool
     """
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
     schema = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in CHUNKS.split(", "))])
-    spread = archives.select("archive").repartition("archive")
+    # by number: sizes of names say nothing about sizes of archives, so nothing may be coalesced by them
+    spread = archives.select("archive").repartition(max(1, archives.count()))
     return spread.mapInArrow(lambda it: _read(it, chunk_bytes, with_data, schema), CHUNKS)
 
 
