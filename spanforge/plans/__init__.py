@@ -1,0 +1 @@
+"""Query plans over the driver's tables."""
