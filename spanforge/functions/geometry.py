@@ -11,9 +11,9 @@ def box(prefix: str = "") -> dict[str, Column]:
 
 
 def overlap(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
-    """Shared length over the shorter side; 0 where a side has no length."""
+    """Shared length over the shorter side; 0 where a side has no length or is null."""
     shorter = F.least(hi1 - lo1, hi2 - lo2)
-    return F.when(shorter > 0, F.greatest(F.lit(0.0), F.least(hi1, hi2) - F.greatest(lo1, lo2)) / shorter).otherwise(0.0)
+    return F.when((shorter > 0) & (hi1 - lo1 + hi2 - lo2).isNotNull(), F.greatest(F.lit(0.0), F.least(hi1, hi2) - F.greatest(lo1, lo2)) / shorter).otherwise(0.0)
 
 
 def vertical_overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:

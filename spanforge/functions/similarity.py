@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,7 +23,7 @@ def lcs_length(a: Column, b: Column) -> Column:
 def ratio_micro(a: Column, b: Column) -> Column:
     """200 * LCS / (length + length) in millionths of 100, as a long; two empty strings are equal."""
     total = F.length(a) + F.length(b)
-    return F.when(total == 0, 100_000_000).otherwise(F.floor((F.lit(200_000_000) * lcs_length(a, b)) / total)).cast("long")
+    return F.when(total == 0, 100_000_000).otherwise(F.floor((F.lit(200_000_000).cast("long") * lcs_length(a, b)) / total)).cast("long")
 
 
 def sorted_tokens(c: Column) -> Column:
@@ -48,19 +47,19 @@ def best_window(needle: str, text: str) -> tuple[float, int, int]:
     n, m = len(needle), len(text)
     if not n or not m:
         return (100.0 if n == m else 0.0), 0, 0
-    best = (-1.0, 0, 0)
-    rows = np.frombuffer(needle.encode("utf-32-le"), "<u4")
-    chars = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    # bit-parallel LCS: a bit of ``row`` turns to 0 with each character of the needle that the window matches
+    best, full = (-1.0, 0, 0), (1 << n) - 1
+    places: dict[str, int] = {}
+    for i, ch in enumerate(needle):
+        places[ch] = places.get(ch, 0) | 1 << i
     for start in range(m):
-        row = np.zeros(n + 1, "i4")
-        for length, ch in enumerate(chars[start : start + n], start=1):
-            hit = row[:-1] + (rows == ch)
-            row = np.maximum.accumulate(np.r_[0, np.maximum(row[1:], hit)])
-            score = 200.0 * row[-1] / (n + length)
+        row = full
+        for length, ch in enumerate(text[start : start + n], start=1):
+            hit = row & places.get(ch, 0)
+            row = (row + hit | row - hit) & full
+            score = 200.0 * (n - row.bit_count()) / (n + length)
             if score > best[0] or score == best[0] and start == best[1]:
                 best = (score, start, start + length)
-        if m - start <= best[0] * n / (200.0 - best[0] + 1e-9):
-            break  # shorter windows can't be better
     return best
 
 

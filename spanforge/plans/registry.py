@@ -18,7 +18,7 @@ SELECT k, concat('Orbit ', translate(cast(k AS string), '0123456789', 'abcdefghi
   CASE WHEN k % 5 = 0 THEN concat('a8cdO', lpad(cast(k AS string), 6, '0')) WHEN k % 5 = 1 THEN concat('ABCD0', cast(k AS string)) ELSE concat('ABCD0', lpad(cast(k AS string), 6, '0')) END AS ifsc,
   CASE k % 3 WHEN 0 THEN concat('+91 ', mobile) WHEN 1 THEN concat('91', mobile) ELSE mobile END AS phone,
   CASE k % 4 WHEN 0 THEN concat('User', cast(k AS string), '@gmail.com') WHEN 1 THEN concat('info@shop', cast(k % 50 AS string), '.example.com') WHEN 2 THEN 'no-address' ELSE '' END AS email,
-  CASE WHEN k % 11 = 0 THEN '  ' ELSE concat('UDYAM-WB-', lpad(cast(k % 100 AS string), 2, '0'), '-', lpad(cast(CASE WHEN k % 13 = 0 THEN k - 1 ELSE k END AS string), 7, '0')) END AS udyam,
+  CASE WHEN k % 11 = 0 THEN '  ' ELSE concat('UDYAM-WB-07-', lpad(cast(CASE WHEN k % 13 = 0 THEN k - 1 ELSE k END AS string), 7, '0')) END AS udyam,
   cast(100000 + (k * 7919) % 900000 AS string) AS pin, c_nationkey, c_acctbal, c_mktsegment
 FROM (
   SELECT c_custkey AS k, c_nationkey, c_acctbal, c_mktsegment, translate(lpad(cast(c_custkey AS string), 5, '0'), '0123456789', 'ABCDEFGHJK') AS letters,
