@@ -214,6 +214,7 @@ def deglue(c: Column, known: Sequence[str] = (), tiers: Sequence[Tier] = TIERS)
 def segment_lines(rows: DataFrame, address: str, key: str = "k", cap: int = 4, known: Sequence[str] = ()) -> DataFrame:
     """(key, lines, n_groups, confidence, city, state, pin): an address resolved, its rest split into lines."""
     found = resolve_address(rows.withColumn("_a", deglue(F.col(address), known)), "_a")
-    frags = found.select(key, F.posexplode("rest").alias("i", "text"))
+    # the outer form: for the other one the optimizer would push a filter on ``rest``, in full, below each step
+    frags = found.select(key, F.posexplode_outer("rest").alias("i", "text")).where("text is not null")
     lines = pack_lines(tail_split(gap_groups(classify_fragments(frags), key), key), key, cap=cap)
     return lines.join(found.select(key, "city", "state", "pin"), key)
