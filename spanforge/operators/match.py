@@ -126,3 +126,61 @@ def classify(documents: DataFrame, keywords: Sequence[tuple[str, str, str]], min
     scores = [F.struct(sum((F.when((text if where == "content" else name).contains(word.lower()), 20 if where == "content" else 10).otherwise(0) for q, where, word in keywords if q == p), F.lit(0)).alias("score"), F.lit(-i).alias("seq"), F.lit(p).alias("profile")) for i, p in enumerate(order)]
     best = F.array_max(F.array(*scores))
     return documents.select(key, best.alias("b")).select(key, F.when(F.col("b.score") >= min_score, F.col("b.profile")).otherwise("other").alias("doc_type"), F.coalesce("b.score", F.lit(0)).alias("score"))
+
+
+def strip_own_labels(text: Column, labels: Sequence[str], threshold: float = 90.0, passes: int = 2) -> Column:
+    """``text`` without a caption of its own field at its start, twice at most: alignment needs a sequential search, so
+    this goes through the Arrow function, caption by caption."""
+    out = F.trim(text)
+    for _ in range(passes):
+        hits = [F.struct(sim.partial_alignment(F.lit(x.lower()), F.lower(out)).alias("a")) for x in labels]
+        best = F.array_max(F.array(*[F.when((h["a"]["score"] >= threshold) & (h["a"]["dest_start"] <= 2), h["a"]["dest_end"]) for h in hits]))
+        rest = tx.strip_value_prefix(F.substring(out, F.coalesce(best, F.lit(0)) + 1, F.length(out)))
+        out = F.when(best.isNotNull() & (rest != ""), rest).otherwise(out)
+    return out
+
+
+def join_wrapped(page: list[tuple], start: int, captions: set[int]) -> str:
+    """The value that begins at span ``start``: what follows on its row within 1.2 heights, then rows below within 1.6
+    heights whose left edge is within two, up to a caption. page: (ord, text, x1, y1, x2, y2)."""
+    by = {s[0]: s for s in page}
+    first = by[start]
+    u = max(first[5] - first[3], 1.0)
+
+    def row(s: tuple) -> list[tuple]:
+        out, right = [s], s[4]
+        for t in sorted((t for t in page if t[0] != s[0] and t[2] >= s[4] - 0.3 * u), key=lambda t: t[2]):
+            if min(s[5], t[5]) - max(s[3], t[3]) >= 0.5 * min(s[5] - s[3], t[5] - t[3]) and t[2] - right <= 1.2 * u and t[0] not in captions:
+                out.append(t)
+                right = t[4]
+        return out
+
+    text, used, last = " ".join(t[1] for t in row(first)), {t[0] for t in row(first)}, first
+    while True:
+        below = [t for t in page if t[0] not in used and t[0] not in captions and 0 <= t[3] - last[5] + 0.3 * u <= 1.9 * u and abs(t[2] - first[2]) <= 2 * u]
+        if not below:
+            return text
+        last = min(below, key=lambda t: (t[3], t[2]))
+        more = row(last)
+        used |= {t[0] for t in more}
+        separator = ", " if text.count(",") >= 2 and text.rstrip()[-1:] not in ",;:-" else " "
+        text += separator + " ".join(t[1] for t in more)
+
+
+def wrapped_values(spans: DataFrame, starts: DataFrame, on: list[str]) -> DataFrame:
+    """(*on, ord, value): spans (*on, ord, text, x1, y1, x2, y2, caption boolean), starts (*on, ord). A page at a time, whose
+    spans are few; pages are spread by the grouping."""
+    import pandas as pd
+
+    marked = spans.join(starts.select(*on, "ord").distinct().withColumn("start", F.lit(True)), [*on, "ord"], "left")
+    kinds = dict(spans.dtypes)
+    spec = ", ".join(f"`{c}` {kinds[c]}" for c in on) + f", ord {kinds['ord']}, value string"
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        page = list(pdf[["ord", "text", "x1", "y1", "x2", "y2"]].itertuples(index=False, name=None))
+        captions = set(pdf.loc[pdf["caption"].fillna(False).astype(bool), "ord"])
+        begin = pdf.loc[pdf["start"].fillna(False).astype(bool), "ord"].tolist()
+        keys = [pdf[c].iloc[0] for c in on]
+        return pd.DataFrame([(*keys, s, join_wrapped(page, s, captions)) for s in begin], columns=[*on, "ord", "value"])
+
+    return marked.groupBy(*on).applyInPandas(one, spec)

@@ -107,3 +107,42 @@ def fill_missing(results: DataFrame, derived: dict[str, Column], defaults: dict[
     names = list(dict.fromkeys([*derived, *defaults]))
     out = out.withColumn("filled_by", F.array_compact(F.array(*notes)))
     return out.drop(*names).withColumnsRenamed({f"_{n}": n for n in names})
+
+
+def drop_junk(candidates: DataFrame, junk: Column) -> DataFrame:
+    """Without junk values, unless a field has nothing else."""
+    w = Window.partitionBy(*FIELD)
+    rows = candidates.withColumn("_junk", F.coalesce(junk, F.lit(False))).withColumn("_every", F.bool_and("_junk").over(w))
+    return rows.where("NOT _junk OR _every").drop("_junk", "_every")
+
+
+def caption_leak(value: Column, labels: Sequence[str], class_words: Sequence[str], lead_words: Sequence[str]) -> Column:
+    """A caption taken for a value: ends in "if any"; is a class word; begins with a lead word and has eight words at most;
+    or is within 88 of a dictionary caption of eight letters and more."""
+    low = F.lower(F.trim(value))
+    words = F.split(low, r"\s+")
+    near = [sim.ratio_micro(low, F.lit(x.lower())) >= 88_000_000 for x in labels if len(x) >= 8]
+    out = low.rlike(r"\bif any\)?$") | low.isin(*class_words) | (F.element_at(words, 1).isin(*lead_words) & (F.size(words) <= 8))
+    for n in near:
+        out = out | n
+    return F.coalesce(out, F.lit(False))
+
+
+def best_text(value: Column, alternatives: Column, leak) -> tuple[Column, Column]:
+    """(the first of value and alternatives that is no leak, whether it's an alternative). leak: column -> boolean column."""
+    every = F.filter(F.concat(F.array(value), alternatives), lambda v: v.isNotNull() & (F.trim(v) != ""))
+    good = F.get(F.filter(every, lambda v: ~leak(v)), F.lit(0))
+    return F.coalesce(good, F.lit("")), good.isNotNull() & ~good.eqNullSafe(value)
+
+
+def backfill_location(wide: DataFrame, resolved: DataFrame, key: str = "set_id") -> DataFrame:
+    """City, state and PIN from the combined address where they are blank; ``backfilled`` names them.
+
+    resolved: (key, city, state, pin).
+    """
+    r = resolved.select(key, *[F.col(c).alias(f"_{c}") for c in ("city", "state", "pin")])
+    rows = wide.join(r, key, "left")
+    blank = {c: F.coalesce(F.trim(c), F.lit("")) == "" for c in ("city", "state", "pin")}
+    can = {c: b & (F.coalesce(F.col(f"_{c}"), F.lit("")) != "") for c, b in blank.items()}
+    rows = rows.withColumn("backfilled", F.array_compact(F.array(*[F.when(t, F.lit(c)) for c, t in can.items()])))
+    return rows.withColumns({c: F.when(t, F.col(f"_{c}")).otherwise(F.col(c)) for c, t in can.items()}).drop("_city", "_state", "_pin")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from spanforge.functions import text as tx
 from spanforge.operators import address as ad
 from spanforge.operators import evaluate as ev
+from spanforge.operators import match as ma
 from spanforge.operators import ml
 from spanforge.operators import records as rc
+from spanforge.operators import resolve as rs
 from spanforge.plans.registry import query, view
 
 C = F.col
@@ -280,3 +282,42 @@ def cut_point_training(spark: SparkSession, sf: str) -> DataFrame:
 def forest_split_predict(spark: SparkSession, sf: str) -> DataFrame:
     t = ml.cut_table(_tagged(spark, sf))
     return ml.predict(ml.train(t), t)
+
+
+@query("caption_leak", """SELECT k, CASE WHEN k % 4 = 0 THEN 'Trade Name, if any' WHEN k % 4 = 1 THEN 'Micro' WHEN k % 4 = 2 THEN 'Name of the firm' ELSE name END AS value, k % 4 <> 3 AS leak FROM v_ids""")
+def caption_leak(spark: SparkSession, sf: str) -> DataFrame:
+    v = view(spark, sf, "SELECT k, CASE WHEN k % 4 = 0 THEN 'Trade Name, if any' WHEN k % 4 = 1 THEN 'Micro' WHEN k % 4 = 2 THEN 'Name of the firm' ELSE name END AS value FROM v_ids")
+    return v.withColumn("leak", rs.caption_leak(C("value"), ["Legal Name of Business"], ["micro", "small", "medium"], ["name"]))
+
+
+@query("best_text_value", "SELECT k, name AS best, k % 2 = 0 AS from_alternative FROM v_ids")
+def best_text_value(spark: SparkSession, sf: str) -> DataFrame:
+    v = view(spark, sf, "SELECT k, CASE WHEN k % 2 = 0 THEN 'Micro' ELSE name END AS value, array('small', name) AS alternatives FROM v_ids")
+    best, other = rs.best_text(C("value"), C("alternatives"), lambda c: F.lower(c).isin("micro", "small"))
+    return v.select("k", best.alias("best"), other.alias("from_alternative"))
+
+
+@query("junk_filter", "SELECT set_id, field, seq FROM (SELECT *, value IN ('val1', 'val2') AS junk, bool_and(value IN ('val1', 'val2')) OVER (PARTITION BY set_id, field) AS every FROM v_candidates) WHERE NOT junk OR every")
+def junk_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return rs.drop_junk(view(spark, sf, "v_candidates"), C("value").isin("val1", "val2")).select("set_id", "field", "seq")
+
+
+@query("combined_address_backfill", f"""WITH {_RESOLVED} SELECT k AS set_id, CASE WHEN k % 2 = 0 THEN 'Typed' ELSE city END AS city, state, pin,
+  list_filter([CASE WHEN k % 2 = 1 AND city <> '' THEN 'city' END, CASE WHEN state <> '' THEN 'state' END, CASE WHEN pin <> '' THEN 'pin' END], lambda x: x IS NOT NULL) AS backfilled FROM r""")
+def combined_address_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    a = view(spark, sf, "SELECT k AS set_id, address FROM v_addresses")
+    wide = view(spark, sf, "SELECT k AS set_id, CASE WHEN k % 2 = 0 THEN 'Typed' ELSE '' END AS city, '' AS state, '' AS pin FROM v_addresses")
+    return rs.backfill_location(wide, ad.resolve_address(a, "address"))
+
+
+@query("wrapped_value_join")
+def wrapped_value_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The first line of each page, with the lines that go on below it."""
+    s = view(spark, sf, "SELECT *, ord % 5 = 4 AS caption FROM v_spans")
+    return ma.wrapped_values(s, s.where("ord % 47 = 0"), ["doc_id", "page"])
+
+
+@query("own_label_strip", "SELECT set_id, doc, seq, value AS bare FROM v_form_spans WHERE field IN ('pan', 'gst_number')")
+def own_label_strip(spark: SparkSession, sf: str) -> DataFrame:
+    s = view(spark, sf, "SELECT set_id, doc, seq, concat(label, ': ', value) AS text FROM v_form_spans WHERE field IN ('pan', 'gst_number')")
+    return s.select("set_id", "doc", "seq", ma.strip_own_labels(C("text"), ["Permanent Account Number", "GSTIN"]).alias("bare"))
