@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,10 +16,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts beyond this many characters are split by an iterator, a bounded number of pieces at a time.
-LONG_TEXT, PIECES_AT_ONCE = 1 << 20, 1 << 16
-#: Pieces whose tokens a worker remembers, and the longest piece it remembers.
-CACHE_PIECES, CACHE_PIECE_CHARS = 800_000, 64
+#: Texts beyond this many characters are split by an iterator, a bounded number of pieces at a time; texts of so many together share their look-ups.
+LONG_TEXT, PIECES_AT_ONCE, BLOCK_CHARS = 1 << 20, 1 << 16, 1 << 20
+#: Pieces a worker remembers in each of two generations, pairs of tokens, and the longest piece it remembers.
+CACHE_PIECES, CACHE_PAIRS, CACHE_PIECE_CHARS = 150_000, 500_000, 64
+#: Instead of a prefix's last token: the empty prefix has none, the prefix can't be encoded.
+START, NONE = -1, -2
 
 
 class Vocabulary:
@@ -31,7 +34,8 @@ class Vocabulary:
             self.tokens[rank] = token
         self.longest = max(map(len, ranks), default=1)
         self._whole: dict[int, bool] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._after: list[dict[int, bool]] = [{} for _ in self.tokens]
+        self._n_pairs = 0
         self._edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
 
     @classmethod
@@ -78,28 +82,32 @@ class Vocabulary:
         return parts[0], parts[1]
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether the two whole tokens' bytes, taken together, encode to just these two.
+        """Whether the two whole tokens' bytes, taken together, encode to just these two; with ``START`` on the
+        left, whether the right one is whole; never with ``NONE``.
 
         They don't if some merge across their border comes before both of its parts are taken up within their
         own token; at equal ranks the one further left is first.
         """
-        found = self._pairs.get((left, right))
+        found = self._after[right].get(left)
         if found is None:
-            if len(self._pairs) > 2_000_000:
-                self._pairs.clear()
-            rank, none = self.ranks.get, len(self.tokens)
-            found = True
-            for b, b_taken in self._edge(right, False):
-                for a, a_taken in self._edge(left, True):
-                    across = rank(a + b, none)
-                    if across < a_taken and across <= b_taken and across < none:
-                        found = False
-                        break
-                if not found:
-                    break
-            self._pairs[left, right] = found
+            found = left != NONE and self.is_whole(right) and (left == START or not self._crossed(left, right))
+            if self._n_pairs >= CACHE_PAIRS:
+                for known in self._after:
+                    known.clear()
+                self._n_pairs = 0
+            self._n_pairs += 1
+            self._after[right][left] = found
         return found
 
+    def _crossed(self, left: int, right: int) -> bool:
+        rank, none = self.ranks.get, len(self.tokens)
+        for b, b_taken in self._edge(right, False):
+            for a, a_taken in self._edge(left, True):
+                across = rank(a + b, none)
+                if across < a_taken and across <= b_taken and across < none:
+                    return True
+        return False
+
 
 class Prefixes:
     """The last token of each prefix of a piece.
@@ -109,21 +117,23 @@ class Prefixes:
     """
 
     def __init__(self, vocabulary: Vocabulary, piece: bytes = b""):
-        self.vocabulary, self.piece, self.last = vocabulary, b"", [-1]
+        self.vocabulary, self.piece, self.last = vocabulary, b"", [START]
         self.append(piece)
 
     def append(self, more: bytes) -> None:
         v, start = self.vocabulary, len(self.piece)
         self.piece += more
-        piece, last, rank, fits, longest = self.piece, self.last, v.ranks.get, v.fits, v.longest
+        piece, last, rank, after, longest = self.piece, self.last, v.ranks.get, v._after, v.longest
         for end in range(start + 1, len(piece) + 1):
-            for begin in range(max(0, end - longest), end):
+            for begin in range(end - longest if end > longest else 0, end):
                 token = rank(piece[begin:end])
-                if token is not None and (not begin or last[begin] >= 0 and fits(last[begin], token)) and v.is_whole(token):
-                    last.append(token)
-                    break
+                if token is not None:
+                    fits = after[token].get(last[begin])
+                    if fits or fits is None and v.fits(last[begin], token):
+                        last.append(token)
+                        break
             else:
-                last.append(-1)  # a byte that the vocabulary lacks
+                last.append(NONE)  # a byte that the vocabulary lacks
 
     def truncate(self, size: int) -> None:
         self.piece, self.last = self.piece[:size], self.last[: size + 1]
@@ -138,35 +148,74 @@ class Prefixes:
         return out[::-1]
 
 
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Tokenizer:
     """Encodes text piece by piece, a piece being a match of ``pattern``; no special tokens."""
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary, self.pattern = Vocabulary.read(path), regex.compile(pattern)
         self._cache: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> list[int]:
         raw = piece.encode()
         whole = self.vocabulary.ranks.get(raw)
         return [whole] if whole is not None else Prefixes(self.vocabulary, raw).tokens()
 
-    def _packed(self, piece: str) -> bytes:
-        ids = np.array(self.piece(piece), "<u4").tobytes()
-        if len(piece) <= CACHE_PIECE_CHARS:
-            if len(self._cache) >= CACHE_PIECES:
-                self._cache.clear()
-            self._cache[piece] = ids
-        return ids
+    def _packed(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of each piece. Unknown short ones are taken in byte order, so that each starts from the prefix
+        that it shares with the one before."""
+        out, unknown = {}, []
+        for p in pieces:
+            ids = self._cache.get(p)
+            if ids is None and (ids := self._older.get(p)) is not None:
+                self._remember(p, ids)
+            if ids is None:
+                unknown.append((p.encode(), p))
+            else:
+                out[p] = ids
+        unknown.sort()
+        shared, rank = Prefixes(self.vocabulary), self.vocabulary.ranks.get
+        for raw, p in unknown:
+            whole = rank(raw)
+            if whole is not None:
+                ids = [whole]
+            elif len(p) > CACHE_PIECE_CHARS:
+                ids = Prefixes(self.vocabulary, raw).tokens()
+            else:
+                same = min(len(raw), len(shared.piece))
+                while raw[:same] != shared.piece[:same]:
+                    same -= 1
+                shared.truncate(same)
+                shared.append(raw[same:])
+                ids = shared.tokens()
+            out[p] = _pack(ids)
+            if len(p) <= CACHE_PIECE_CHARS:
+                self._remember(p, out[p])
+        return out
+
+    def _remember(self, piece: str, ids: bytes) -> None:
+        if len(self._cache) >= CACHE_PIECES:  # what is still in use moves on from the older generation
+            self._older, self._cache = self._cache, {}
+        self._cache[piece] = ids
 
     def encode_chunks(self, text: str) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit integers, some pieces at a time."""
-        get, packed = self._cache.get, self._packed
         if len(text) <= LONG_TEXT:
-            yield b"".join([get(p) or packed(p) for p in self.pattern.findall(text)])
+            yield self.encode_many([text])[0]
             return
         pieces = (m.group() for m in self.pattern.finditer(text))
         while some := list(islice(pieces, PIECES_AT_ONCE)):
-            yield b"".join([get(p) or packed(p) for p in some])
+            yield b"".join(map(self._packed(set(some)).__getitem__, some))
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """As ``encode_chunks``, for texts whose pieces are held at once."""
+        split = [self.pattern.findall(t) for t in texts]
+        ids = self._packed(set().union(*split)).__getitem__
+        return [b"".join(map(ids, pieces)) for pieces in split]
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(self.encode_chunks(text)), "<u4")
@@ -223,21 +272,34 @@ class EncodedText:
         return [t for ids in self.ids for t in ids]
 
 
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Neighbouring texts of up to ``BLOCK_CHARS`` characters together, with the first one's place; a longer text is by itself."""
+    at, some, chars = 0, [], 0
+    for i, x in enumerate(texts):
+        text = x.as_py() or ""
+        if some and chars + len(text) > BLOCK_CHARS:
+            yield at, some
+            at, some, chars = i, [], 0
+        some.append(text)
+        chars += len(text)
+    if some:
+        yield at, some
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     t = tokenizer(path, pattern)
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
-            ids = [b"".join(t.encode_chunks(x.as_py() or "")) for x in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        for at, texts in _blocks(batch.column(1)):
+            ids = t.encode_many(texts) if len(texts) > 1 else [b"".join(t.encode_chunks(texts[0]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the token ids of each row's whole text, as little-endian unsigned 32-bit integers.
 
     A null text is empty and has no ids. Repeated rows, null ids and extra columns are fine; an empty table
-    gives no rows. The vocabulary is read once by each worker; a worker remembers at most ``CACHE_PIECES``
-    pieces.
+    gives no rows. The vocabulary is read once by each worker; a worker remembers at most twice
+    ``CACHE_PIECES`` pieces.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _encoded(it, path, pattern), "doc_id long, ids binary")
