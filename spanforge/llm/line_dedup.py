@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType, StringType, StructType
 
 from spanforge.llm.common import SPACE, ascii_lower, written
 
@@ -97,14 +97,11 @@ def stream_repeats(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator
         yield _summary(h, top, n)
 
 
-@F.pandas_udf(BinaryType())
-def _bitmap(n_lines: pd.Series, dropped: pd.Series) -> pd.Series:
-    def pack(n: int, gone: np.ndarray) -> bytes:
-        keep = np.ones(n, bool)
-        keep[np.asarray(gone, "i8")] = False
-        return zlib.compress(np.packbits(keep).tobytes(), 1)
-
-    return pd.Series([None if gone is None else pack(n, gone) for n, gone in zip(n_lines, dropped, strict=True)], dtype=object)
+def keep_bitmap(n: int, gone: np.ndarray) -> bytes:
+    """Compressed bits of ``n`` lines, 0 at the places ``gone``."""
+    keep = np.ones(n, bool)
+    keep[np.asarray(gone, "i8")] = False
+    return zlib.compress(np.packbits(keep).tobytes(), 1)
 
 
 def kept_text(text: str, bitmap: bytes) -> str:
@@ -114,9 +111,12 @@ def kept_text(text: str, bitmap: bytes) -> str:
     return "\n".join(x for x, k in zip(lines, keep, strict=True) if k)
 
 
-@F.pandas_udf(StringType())
-def _kept(text: pd.Series, bitmap: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None else kept_text(t, b) for t, b in zip(text, bitmap, strict=True)], dtype=object)
+@F.pandas_udf(StructType().add("keep", BinaryType()).add("part", StringType()))
+def _kept(text: pd.Series, n_lines: pd.Series, gone: pd.Series) -> pd.DataFrame:
+    """One function for both, as each one in a plan holds a worker process of its own."""
+    keep = [None if g is None else keep_bitmap(n, g) for n, g in zip(n_lines, gone, strict=True)]
+    part = [None if b is None else kept_text(t, b) for t, b in zip(text, keep, strict=True)]
+    return pd.DataFrame({"keep": pd.Series(keep, dtype=object), "part": pd.Series(part, dtype=object)})
 
 
 def _doc_key(id_col: str) -> Column:
@@ -158,7 +158,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], _doc_key(id_col).alias("doc"), F.xxhash64(text).alias("th"), text.alias("whole"), F.size(lines_of(F.col(f"`{text_col}`"))).cast("long").alias("lines"))
     rows = rows.join(gone, ["doc", "th"], "left")
-    rows = rows.withColumn("keep", _bitmap("lines", "gone"))
-    rows = rows.withColumn("part", _kept(F.when(F.col("keep").isNotNull(), F.col("whole")), F.col("keep")))
-    new = F.when(F.col("keep").isNull(), F.col("whole")).otherwise(F.col("part"))
-    return rows.select(*[new.alias(c) if c == text_col else F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("lines").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), "keep")
+    rows = rows.withColumn("kept", _kept(F.when(F.col("gone").isNotNull(), F.col("whole")), "lines", "gone"))
+    new = F.when(F.col("kept.keep").isNull(), F.col("whole")).otherwise(F.col("kept.part"))
+    return rows.select(*[new.alias(c) if c == text_col else F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("lines").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.col("kept.keep").alias("keep"))
