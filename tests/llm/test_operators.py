@@ -150,6 +150,20 @@ def test_line_stream_over_any_cut():
         assert drops == want
 
 
+def test_bpe_remembers_little(monkeypatch):
+    """Small memories, cleared and rotated over and over, change no token."""
+    tiktoken = pytest.importorskip("tiktoken")
+    t = bpe.Tokenizer(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 7)
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 11)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=t.vocabulary.ranks, special_tokens={})
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abenß漢9") for _ in range(rng.randrange(90))) for _ in range(30)) for _ in range(40)]
+    for some in (texts[:1], texts[1:30], texts[30:] + texts[:5] + [""]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in t.encode_many(some)] == [enc.encode_ordinary(x) for x in some]
+    assert len(t._cache) <= 7 and len(t._older) <= 7
+
+
 def test_bpe(spark):
     tiktoken = pytest.importorskip("tiktoken")
     path = P.path("byte_bpe_multi_50k.tiktoken")
