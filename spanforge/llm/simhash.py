@@ -1,4 +1,4 @@
-"""SimHash near-dedup: fingerprints over word shingles, linked by multi-index hashing."""
+"""Near-dedup: SimHash fingerprints linked by multi-index hashing; in the pipeline, shingle sets by their similarity."""
 
 from __future__ import annotations
 
@@ -153,102 +153,183 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Segments of a 64-bit word of a wide fingerprint: (lowest bit, number of bits).
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Texts are near copies where their shingle sets have four fifths in common: Jaccard |a & b| / |a | b| >= 4 / 5.
+PARTS, WHOLE = 4, 5
+#: One document in so many is looked at for common shingles; at most so many of these are held, if seen this often.
+SAMPLED, COMMON, SEEN = 32, 1 << 16, 3
 
 
-def _wide(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t.as_py() for t in batch.column(1)]
-        words = [np.array([fingerprint(t, shingle, seed) for t in texts], "u8").view("i8") for seed in (42, 43)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, words)], ["id", "f0", "f1"])
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct XXH64 of the shingles, sorted, as signed longs; words are those of ``fingerprint``."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, "i8")
+    joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
+    n = max(1, len(words) - shingle + 1)
+    first, last = np.r_[0, ends[:-1] + 1][:n].tolist(), ends[-n:].tolist()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b]) for a, b in zip(first, last, strict=True)), "u8", n).view("i8"))
 
 
-def _wide_stars(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """As ``_local_stars``, for rows (id, f0, f1) as unsigned longs."""
-    left, out = rows[np.argsort(rows[:, 0].view("i8"), kind="stable")], []
-    while len(left) > 1:
-        group, front, left = [left[:1]], left[:1], left[1:]
-        while len(front) and len(left):
-            reached = np.zeros(len(left), bool)
-            for x in front:
-                reached |= np.bitwise_count(left[:, 1:] ^ x[1:]).sum(axis=1) <= most
-            front, left = left[reached], left[~reached]
-            group.append(front)
-        ids = np.concatenate(group)[:, 0].view("i8")
-        if len(ids) > 1:
-            out.append(np.stack([ids, np.full(len(ids), ids.min())]))
+def _prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """So many shingles, in one order for all documents, that two sets with Jaccard >= 4/5 share one of them.
+
+    Such sets share at least ceil(4/5 n) of their n shingles, so the n - ceil(4/5 n) + 1 first of each can't be
+    disjoint, whatever the order. It has the rare ones first: common shingles (sorted, with ranks) come last.
+    """
+    if len(common):
+        at = np.searchsorted(common, own).clip(max=len(common) - 1)
+        own = own[np.argsort(np.where(common[at] == own, rank[at], -1), kind="stable")]
+    return own[: len(own) - -(-PARTS * len(own) // WHOLE) + 1] if len(own) else own
+
+
+def _long_lists(lists: list[np.ndarray]) -> pa.Array:
+    ends = np.r_[0, np.cumsum([len(x) for x in lists])].astype("i4")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "i8"), *lists])))
+
+
+def _shingled(batches: Iterator[pa.RecordBatch], shingle: int, common: np.ndarray | None, rank: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> (id, digest of the set, its size, list): the prefixes, or whole sets where ``common`` is None.
+    A batch goes out in pieces of bounded size."""
+    names = ["id", "digest", "size", "list"]
+
+    def out(held: list[tuple]) -> pa.RecordBatch:
+        ids, digests, sizes, lists = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _long_lists(lists)], names)
+
+    for batch in batches:
+        held, n = [], 0
+        for i, text in zip(batch.column(0), batch.column(1), strict=True):
+            own = shingle_set(text.as_py(), shingle)
+            found = own if common is None else _prefix(own, common, rank)
+            held.append((i.as_py(), xxhash.xxh3_128_digest(own.tobytes()), len(own), found))
+            if (n := n + len(found)) > 1 << 20:
+                yield out(held)
+                held, n = [], 0
+        if held:
+            yield out(held)
+
+
+def _alike(n_a: int, n_b: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether Jaccard is 4/5 or more, in whole numbers."""
+    return (PARTS + WHOLE) * both >= PARTS * (n_a + n_b)
+
+
+def _set_stars(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_local_stars``, for documents with their shingle sets."""
+    out = []
+    while len(ids) > 1:
+        sizes = np.array([len(s) for s in sets], "i8")
+        flat, starts = np.concatenate(sets), np.r_[0, np.cumsum(sizes)[:-1]]
+        left, front, group = np.ones(len(ids), bool), [0], [0]
+        left[0] = False
+        while front and left.any():
+            own = sets[front.pop()]
+            at = np.searchsorted(own, flat).clip(max=len(own) - 1)
+            reached = np.flatnonzero(left & _alike(len(own), sizes, np.add.reduceat((own[at] == flat).astype("i8"), starts)))
+            left[reached] = False
+            front += reached.tolist()
+            group += reached.tolist()
+        found = np.unique(ids[group])
+        out.append(np.stack([found, np.full(len(found), found.min())]))
+        rest = np.flatnonzero(left)
+        ids, sets = ids[rest], [sets[i] for i in rest]
     return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, "i8"), np.zeros(0, "i8"))
 
 
-def _wide_cells(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, a, b, id, f0, f1) sorted by cell -> stars; a cell is at most two blocks."""
+def _set_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, a, b, id, list) sorted by cell -> stars; a cell is at most two blocks."""
 
-    def stars(parts: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = _wide_stars(np.unique(np.concatenate(parts), axis=0), most)
+    def stars(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        a, b = _set_stars(np.array([i for i, _ in held], "i8"), [s for _, s in held])
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     key, held = None, []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        cell = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
-        rows = np.stack([batch.column(i).to_numpy().view("u8") for i in range(3, 6)], 1)
-        cuts = np.r_[0, np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1, len(cell)]
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if (now := tuple(cell[s])) != key:
-                if sum(map(len, held)) > 1:
+        cells = zip(*[batch.column(i).to_pylist() for i in range(4)], batch.column(4), strict=True)
+        for *cell, i, own in cells:
+            if cell != key:
+                if len(held) > 1:
                     yield stars(held)
-                key, held = now, []
-            held.append(rows[s:e])
-    if sum(map(len, held)) > 1:
+                key, held = cell, []
+            held.append((i, own.values.to_numpy()))
+    if len(held) > 1:
         yield stars(held)
 
 
-def similar_links(fps: DataFrame, max_distance: int = 21, busy: int = 64, block: int = 4096) -> DataFrame:
-    """``fps(id, f0, f1)``, distinct -> ``(a, b)``: links between 128-bit fingerprints that differ in few bits.
-
-    Each of six segments of 21 or 22 bits is looked up with its one-bit neighbours, and the whole distance is
-    checked in the join. A pair that differs in d of 128 bits is found in a segment with the probability that
-    at most one of the differing bits falls into it: nearly surely for d below 12, 0.98 at 10 % of the bits
-    (Jaccard 0.9), 0.89 at 12.5 % (0.85), 0.7 at 15 % (0.8). Segments that more than ``busy`` fingerprints share
-    are dealt into pairs of blocks and give stars instead of pairs; none is left out.
+def _common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of a sample's documents that repeat most, sorted, and their ranks. They only order the
+    lookup: with any others the links are the same, at another cost."""
+    none = np.zeros(0, "i8")
+    few = rows.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
+    sets = few.mapInArrow(lambda it: _shingled(it, shingle, None, None), "id long, digest binary, size long, list array<long>")
+    seen = sets.select(F.explode("list").alias("h")).groupBy("h").count().where(F.col("count") >= SEEN)
+    top = seen.orderBy(F.col("count").desc(), "h").limit(COMMON).collect()
+    if not top:
+        return none, none
+    h, rank = np.array([r.h for r in top], "i8"), np.arange(len(top))[::-1]
+    order = np.argsort(h)
+    return h[order], rank[order]
+
+
+def similar_links(rows: DataFrame, first: DataFrame, shingle: int = 5, busy: int = 64, block: int = 1024) -> DataFrame:
+    """``rows(id, text)`` and ``first(id, digest, size, list)``, its distinct sets with prefixes -> ``(a, b)``.
+
+    The links connect just what all pairs with Jaccard >= 4/5 would: two such sets share a shingle of their
+    prefixes (see ``_prefix``), so a join on those finds every pair. Of what they share, all that comes no later
+    than the end of both prefixes is in both, so a pair is passed over only if what the prefixes share and the
+    rest of a set can't be enough; all others are verified by the whole sets.
+
+    Shingles in the prefixes of more than ``busy`` sets would give pairs as the square of their number: there
+    all are compared with one of them first, and only where this doesn't connect them all they are dealt
+    into pairs of blocks that give stars. None is left out.
     """
-    def segment(n: int) -> tuple[Column, int]:
-        low, width = SEGMENTS[n % 3]
-        return F.shiftrightunsigned(F.col(f"f{n // 3}"), low).bitwiseAND(F.lit((1 << width) - 1)), width
-
-    named = lambda n, value: value + F.lit(n << 32)
-    segments = [segment(n) for n in range(6)]
-    own = fps.select("id", "f0", "f1", F.explode(F.array(*[named(n, v) for n, (v, _) in enumerate(segments)])).alias("key"))
-    balls = F.array(*[F.struct(named(n, v).alias("exact"), _ball(v, width, n << 32).alias("keys")) for n, (v, width) in enumerate(segments)])
-    ball = fps.select("id", "f0", "f1", F.explode(balls).alias("x")).select("id", "f0", "f1", "x.exact", F.explode("x.keys").alias("key"))
-    hot = written(own.groupBy("key").count().where(F.col("count") > busy).select("key"), "busy-segments")
-    to = own.join(hot, "key", "left_anti").select(F.col("key").alias("to_key"), F.col("id").alias("to"), F.col("f0").alias("g0"), F.col("f1").alias("g1"))
-    distance = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1")))
-    near = (F.col("key") == F.col("to_key")) & (distance <= max_distance) & ((F.col("key") != F.col("exact")) | (F.col("id") < F.col("to")))
-    pairs = ball.join(to, near).select(F.col("id").alias("a"), F.col("to").alias("b"))
+    keys = first.select("id", "size", F.explode("list").alias("key"))
+    counts = written(keys.groupBy("key").count().where("count > 1"), "shared-shingles")
+    keys = written(keys.join(counts, "key"), "prefixes")
+    quiet, hot = keys.where(F.col("count") <= busy), keys.where(F.col("count") > busy)
+    in_hot = hot.groupBy("id").agg(F.count("*").alias("hot"))
+    a, b = (quiet.select("key", *[F.col(c).alias(f"{c}_{n}") for c in ("id", "size")]) for n in "ab")
+    sized = (F.col("size_a") * WHOLE >= F.col("size_b") * PARTS) & (F.col("size_b") * WHOLE >= F.col("size_a") * PARTS)
+    shared = a.join(b, "key").where((F.col("id_a") < F.col("id_b")) & sized).groupBy("id_a", "id_b", "size_a", "size_b").agg(F.count("*").alias("n"))
+    for n in "ab":
+        shared = shared.join(in_hot.select(F.col("id").alias(f"id_{n}"), F.col("hot").alias(f"hot_{n}")), f"id_{n}", "left")
+    more = F.least(*[F.coalesce(F.col(f"hot_{n}"), F.lit(0)) for n in "ab"]) + F.ceil(F.greatest("size_a", "size_b") * PARTS / WHOLE) - 1
+    pairs = shared.where((F.col("n") + more) * (PARTS + WHOLE) >= (F.col("size_a") + F.col("size_b")) * PARTS).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    leaders = hot.groupBy("key").agg(F.min("id").alias("a"))
+    pairs = written(pairs.unionByName(hot.join(leaders, "key").where("id <> a").select("a", F.col("id").alias("b"))).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = rows.join(wanted, "id", "left_semi").mapInArrow(lambda it: _shingled(it, shingle, None, None), "id long, digest binary, size long, list array<long>")
+    sets = written(sets.join(first.select("id", "digest"), ["id", "digest"], "left_semi").select("id", "list"), "sets")
+    side = lambda n: sets.select(F.col("id").alias(n), F.col("list").alias(f"of_{n}"))
+    both, total = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
+    links = written(pairs.join(side("a"), "a").join(side("b"), "b").where(both * (PARTS + WHOLE) >= total * PARTS).select("a", "b").distinct(), "links")
     if hot.isEmpty():
-        return pairs
-    rows = written(ball.join(hot, "key", "left_semi").drop("exact"), "busy-rows")
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-    cells = rows.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "id", "f0", "f1")
+        return links
+    known = connected_components(links).select(F.col("node").alias("id"), "component")
+    rooted = hot.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = rooted.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    dealt = hot.select("key", "id").distinct().join(split.where("low <> high").select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "id").join(sets.where(F.size("list") > 0), "id").select("key", "a", "b", "id", "list")
     cells = cells.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return pairs.unionByName(cells.mapInArrow(lambda it: _wide_cells(it, max_distance), "a long, b long"))
+    return links.unionByName(cells.mapInArrow(_set_cells, "a long, b long"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_distance: int = 21, busy: int = 64) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, busy: int = 64) -> DataFrame:
     """``docs`` with one document of each group of near copies: that with the smallest id.
 
-    Texts count as near copies where their 128-bit SimHashes of five-word shingles differ in at most
-    ``max_distance`` bits, which estimates a Jaccard similarity of about 0.8; equal fingerprints always do.
-    Rows with a null id all stay, as do rows that share the smallest id of a group. Extra columns are kept.
+    Texts count as near copies where the sets of their five-word shingles have a Jaccard similarity of 0.8 or
+    more; every such pair is found and each is verified, and a group is what they connect. Equal sets always
+    do, empty ones too. Rows with a null id all stay, as do rows that share the smallest id of a group. Extra
+    columns are kept.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null")
-    fps = written(rows.mapInArrow(lambda it: _wide(it, shingle), "id long, f0 long, f1 long"), "fingerprints")
-    first = written(fps.groupBy("f0", "f1").agg(F.min("id").alias("id")), "fingerprints")
-    root = connected_components(similar_links(first, max_distance, busy)).where("node <> component").select(F.col("node").alias("id"))
-    kept = first.join(root, "id", "left_anti").select(F.col("id").alias("_kept_id")).distinct()
+    common, rank = _common_shingles(rows, shingle)
+    sets = written(rows.mapInArrow(lambda it: _shingled(it, shingle, common, rank), "id long, digest binary, size long, list array<long>"), "prefix-sets")
+    least = sets.groupBy("digest").agg(F.min("id").alias("least"))
+    copies = written(sets.select("id", "digest").join(least, "digest").where("id <> least").select("id", "digest").distinct(), "copies")
+    first = sets.join(copies, ["id", "digest"], "left_anti")
+    root = connected_components(similar_links(rows, first, shingle, busy)).where("node <> component").select(F.col("node").alias("id"))
+    kept = first.select("id").distinct().join(root, "id", "left_anti").select(F.col("id").alias("_kept_id"))
     ident = F.col(f"`{id_col}`").cast("long")
     return docs.where(ident.isNull()).unionByName(docs.join(kept, ident == F.col("_kept_id"), "left_semi"))

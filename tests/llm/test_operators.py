@@ -363,6 +363,38 @@ def test_near_copies_of_the_pipeline(spark, busy):
     assert set(per) == set(range(30)) and sum(per.values()) <= 33
 
 
+@pytest.mark.parametrize("busy", [1, 64])
+def test_near_copies_are_all_pairs_of_jaccard_four_fifths(spark, busy):
+    rng = random.Random(10)
+    rows, n = [], 200
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    for f in range(150):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        own = list(base)
+        for at in rng.sample(range(0, n, 5), rng.randrange(1, 8)):
+            own[at] = f"x{rng.randrange(10**6)}"
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(own))]
+    rows += [(len(rows) + i, " ".join(["same"] * 4 + [f"tail{i // 2}"])) for i in range(6)]
+    sets = [shingles(t) for _, t in rows]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    near = [jaccard(sets[i], sets[i + 1]) for i in range(0, 300, 2)]
+    assert sum(0.8 <= j < 0.9 for j in near) > 30 and sum(0.7 <= j < 0.8 for j in near) > 20
+    root = groups(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8])
+    got = sorted(r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, DOC), busy=busy).collect())
+    assert got == [i for i in range(len(rows)) if root[i] == i]
+
+
+def test_near_copies_of_a_busy_shingle(spark):
+    rng = random.Random(11)
+    shared = [f"s{i}" for i in range(40)]
+    rows = [(i, " ".join(shared + [f"g{i % 9}-{k}" for k in range(30)] + [f"o{rng.randrange(10**6)}" for _ in range(4)])) for i in range(120)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    root = groups(120, [(a, b) for a in range(120) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8])
+    assert len(set(root)) == 9
+    for busy in (4, 64):
+        assert sorted(r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, DOC), busy=busy).collect()) == sorted(set(root))
+
+
 def test_urls(spark):
     rules = [Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow")]
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/71?x", "x://example.com/en/6#a://b", "x://notexample.com/en/7", "x://com/en/", "x://q.org/list", "x://q.org/list?t=1", "x://q.org/free"]
