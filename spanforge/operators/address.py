@@ -68,12 +68,24 @@ def match_state(segs: Column, states: dict[str, str]) -> tuple[Column, Column]:
     return F.filter(segs, lambda s, i: at.isNull() | (i != at)), state
 
 
-def pick_city(segs: Column, cities: Sequence[str]) -> tuple[Column, Column]:
-    """(segments, city): the last known city, else the last of three or more segments; it goes with what follows."""
+def _of_property(text: Column, tiers: Sequence[Tier] = TIERS) -> Column:
+    """Whether a segment is premises, a building or a road, which is no place's name."""
+    words = F.split(F.lower(F.trim(text)), r"[\s.]+")
+    hit = lambda t: reduce(Column.__or__, [F.lower(text).contains(p) for p in t.phrases], _in(F.element_at(words, 1), t.head) | _in(F.element_at(words, -1), t.tail))
+    first = F.coalesce(*[F.when(hit(t), F.lit(t.name)) for t in tiers], F.when(text.rlike(r"^#?[0-9]+[A-Za-z]?(/[0-9]+)?$"), F.lit("premises")), F.lit("locality"))
+    return first != "locality"
+
+
+def pick_city(segs: Column, cities: Sequence[str], anchor: Column | None = None) -> tuple[Column, Column]:
+    """(segments, city): the last known city, else, where a state or PIN was found (``anchor``), the last of three or more
+    segments if it's no premises, building or road. The city's segment and repeats of it at the end go, others stay."""
     known = F.array_max(F.transform(segs, lambda s, i: F.when(_in(tx.squash_key(s), cities), i)))
-    at = F.coalesce(known, F.when(F.size(segs) >= 3, F.size(segs) - 1))
-    city = F.coalesce(tx.titlecase_city(F.get(segs, at)), F.lit(""))
-    return F.when(at.isNull(), segs).otherwise(F.slice(segs, F.lit(1), at)), city
+    guess = F.when((F.lit(True) if anchor is None else anchor) & (F.size(segs) >= 3) & ~_of_property(F.get(segs, F.size(segs) - 1)), F.size(segs) - 1)
+    at = F.coalesce(known, F.when(F.size(segs) > 0, guess))
+    token = F.get(segs, at)
+    rest = F.filter(segs, lambda s, i: i != at)
+    last = F.coalesce(F.array_max(F.transform(rest, lambda s, i: F.when(tx.squash_key(s) != tx.squash_key(token), i + 1))), F.lit(0))
+    return F.when(at.isNull(), segs).otherwise(F.slice(rest, F.lit(1), last)), F.coalesce(tx.titlecase_city(token), F.lit(""))
 
 
 def resolve_address(rows: DataFrame, address: str, states: dict[str, str] = STATES, cities: Sequence[str] = CITIES, prefix_state: dict[str, str] | None = None) -> DataFrame:
@@ -83,7 +95,7 @@ def resolve_address(rows: DataFrame, address: str, states: dict[str, str] = STAT
     step = step.withColumns({"pin": pin, "_s": drop_country(segs)})
     segs, state = match_state(F.col("_s"), states)
     step = step.withColumns({"state": state, "_s": segs})
-    segs, city = pick_city(F.col("_s"), cities)
+    segs, city = pick_city(F.col("_s"), cities, (F.col("state") != "") | (F.col("pin") != ""))
     step = step.withColumns({"city": city, "rest": segs})
     conflict = F.lit(False)
     for prefix, owner in (prefix_state or {}).items():
@@ -217,4 +229,6 @@ def segment_lines(rows: DataFrame, address: str, key: str = "k", cap: int = 4, k
     # the outer form: for the other one the optimizer would push a filter on ``rest``, in full, below each step
     frags = found.select(key, F.posexplode_outer("rest").alias("i", "text")).where("text is not null")
     lines = pack_lines(tail_split(gap_groups(classify_fragments(frags), key), key), key, cap=cap)
-    return lines.join(found.select(key, "city", "state", "pin"), key)
+    out = found.select(key, "city", "state", "pin").join(lines, key, "left")
+    none = F.array().cast("array<string>")
+    return out.select(key, F.coalesce("lines", none).alias("lines"), F.coalesce("n_groups", F.lit(0)).alias("n_groups"), F.coalesce("confidence", F.lit("low")).alias("confidence"), "city", "state", "pin")

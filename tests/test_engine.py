@@ -87,6 +87,18 @@ def test_address(spark):
     assert ", ".join(lines[1]) == "Flat 2, Lake Tower, Canal Road, Rajpur" and len(lines[1]) == 2
 
 
+def test_address_loses_nothing(spark):
+    rows = spark.createDataFrame([(1, "Shop 3, Pune, Station Road, Maharashtra"), (2, "Flat 1, Ring Road, Rajpur, West Bengal"), (3, "Pune, Maharashtra 411001"), (4, ""), (5, None), (6, "Flat 1, Lake Tower, Ring Road, Gujarat"), (7, "Flat 1, Surat, Surat, Gujarat"), (8, "Flat 1, Lake Tower, Rajpur")], "k int, address string")
+    got = {r.k: r for r in ad.resolve_address(rows, "address").collect()}
+    assert (got[1].rest, got[1].city, got[1].state) == (["Shop 3", "Station Road"], "Pune", "Maharashtra")
+    assert (got[2].rest, got[2].city, got[2].state) == (["Flat 1", "Ring Road"], "Rajpur", "West Bengal")
+    assert (got[6].rest, got[6].city) == (["Flat 1", "Lake Tower", "Ring Road"], "")
+    assert (got[7].rest, got[7].city) == (["Flat 1"], "Surat") and got[8].city == "" and len(got[8].rest) == 3
+    lines = {r.k: r for r in ad.segment_lines(rows, "address").collect()}
+    assert sorted(lines) == list(range(1, 9)) and lines[3].lines == lines[4].lines == lines[5].lines == []
+    assert (lines[3].city, lines[3].pin) == ("Pune", "411001")
+
+
 def test_word_break():
     strong, weak = frozenset({"road", "tower"}), frozenset({"canal"})
     assert ad.word_break("canalroad", strong, weak) == "canal road"
