@@ -8,8 +8,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, row by row of the table; for captions and names."""
+#: Characters of the shorter text that the bit-parallel form takes; the sum of two numbers of so many bits is a long.
+BITS = 62
+
+
+def _lcs_by_bits(short: Column, other: Column) -> Column:
+    """A long holds a bit for each character of ``short``; a bit turns to 0 with each character that ``other`` matches."""
+    backwards = F.reverse(F.split(short, r"(?s)(?<=.)(?=.)"))
+    at = lambda x: F.aggregate(backwards, F.lit(0).cast("long"), lambda bits, y: bits * 2 + F.when(y == x, 1).otherwise(0))
+    full = F.lit((1 << BITS) - 1)
+    row = F.aggregate(F.transform(F.split(other, r"(?s)(?<=.)(?=.)"), at), full, lambda s, hit: (s + s.bitwiseAND(hit)).bitwiseAND(full).bitwiseOR(s - s.bitwiseAND(hit)))
+    return F.lit(BITS) - F.bit_count(row)
+
+
+def _lcs_by_rows(a: Column, b: Column) -> Column:
     zeros = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
     chars_a, chars_b = F.split(a, "(?!^)"), F.split(b, "(?!^)")
 
@@ -17,7 +29,14 @@ def lcs_length(a: Column, b: Column) -> Column:
         step = lambda cur, j: F.concat(cur, F.array(F.when(F.get(chars_b, j) == x, F.get(prev, j) + 1).otherwise(F.greatest(F.get(prev, j + 1), F.element_at(cur, -1)))))
         return F.aggregate(F.sequence(F.lit(0), F.length(b) - 1), F.array(F.lit(0)), step)
 
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(F.aggregate(chars_a, zeros, row, lambda r: F.element_at(r, -1)))
+    return F.aggregate(chars_a, zeros, row, lambda r: F.element_at(r, -1))
+
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence. Bit-parallel where the shorter text has up to ``BITS`` characters, as
+    captions and names do; row by row of the table beyond."""
+    short, other = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).when(F.length(short) <= BITS, _lcs_by_bits(short, other)).otherwise(_lcs_by_rows(a, b))
 
 
 def ratio_micro(a: Column, b: Column) -> Column:

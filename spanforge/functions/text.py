@@ -17,7 +17,10 @@ LEGAL_FORMS = (
     "cooperative society", "trust", "society", "government", "limited",
 )
 DIGITS_AS_LETTERS = ("015826", "OISBZG")
-FREE_MAIL = ("gmail.com", "yahoo.com", "outlook.com", "hotmail.com", "rediffmail.com", "live.com", "icloud.com", "protonmail.com")
+FREE_MAIL = (
+    "gmail.com", "googlemail.com", "yahoo.com", "yahoo.co.in", "yahoo.in", "hotmail.com", "outlook.com", "live.com", "msn.com", "rediffmail.com", "rediff.com", "sify.com",
+    "vsnl.net", "vsnl.com", "bsnl.in", "airtelmail.in", "icloud.com", "me.com", "aol.com", "protonmail.com", "proton.me", "zoho.com", "yandex.com", "mail.com",
+)
 MIN_STEM = 4
 
 
@@ -104,8 +107,8 @@ def canonicalize(c: Column, aliases: Sequence[tuple[str, str]]) -> Column:
 
 
 def email_domain(c: Column, free: Sequence[str] = FREE_MAIL) -> Column:
-    """``www.`` and the host of an address; null for free mail hosts and hosts without a dot."""
-    host = F.lower(F.btrim(F.when(c.contains("@"), F.substring_index(c, "@", -1)), F.lit(".")))
+    """``www.`` and what follows an address's first @; null for free mail hosts and hosts without a dot."""
+    host = F.lower(F.btrim(strip(F.regexp_extract(c, r"(?s)@(.*)\z", 1)), F.lit(".")))
     return F.when(host.contains(".") & ~host.isin(*free), F.concat(F.lit("www."), host))
 
 
@@ -149,9 +152,10 @@ def bounded_matches(c: Column, pattern: str) -> Column:
 
 
 def bounded_or_glued_matches(c: Column, pattern: str, least: int = 5) -> Column:
-    """As ``bounded_matches``; if there are none, matches anywhere that are all letters and ``least`` long."""
+    """As ``bounded_matches``; if there are none, matches anywhere that, spaces aside, are all letters and ``least`` long."""
     found = bounded_matches(c, pattern)
-    glued = F.filter(F.regexp_extract_all(remove_spaces(c), F.lit(f"(?:{pattern})"), F.lit(0)), lambda m: m.rlike("^[A-Za-z]+$") & (F.length(m) >= least))
+    bare = lambda m: F.replace(m, F.lit(" "), F.lit(""))
+    glued = F.filter(F.regexp_extract_all(c, F.lit(f"(?:{pattern})"), F.lit(0)), lambda m: bare(m).rlike(r"\A\p{L}+\z") & (F.length(bare(m)) >= least))
     return F.when(F.size(found) > 0, found).otherwise(glued)
 
 

@@ -13,15 +13,21 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from spanforge.functions import text as tx
+from spanforge.functions.places import CITIES, STATES, canonical_state, is_in, known_city
 
 # Names of the country, gap strengths in hundredths.
 COUNTRY = ("india", "bharat", "in", "ind")
 STEP, LONG_STEP, BACK_NEAR, BACK, TIER_CHANGE, INJECTED, CUT = 50, 60, 20, 40, 20, 15, 50
 PREMISES_BAND, UNKNOWN_LEVEL, TAIL_RUN = 2, 4, 4
 
-#: Canonical states and spellings of them, by their squashed key; a site's own table replaces it.
-STATES = {"westbengal": "West Bengal", "maharashtra": "Maharashtra", "maharastra": "Maharashtra", "rajasthan": "Rajasthan", "gujarat": "Gujarat", "karnataka": "Karnataka"}
-CITIES = ("kolkata", "pune", "jaipur", "surat", "mysuru", "nagpur")
+# Words that are no city; costs of splitting glued words (a strong word, a weak one, a sliver, a cut, the least
+# gain), and the lengths of runs and pieces.
+NO_CITY = (
+    "india", "bharat", "in", "ind", "near", "opp", "opposite", "behind", "beside", "above", "below", "road", "street", "lane", "marg", "nagar", "colony", "sector", "block",
+    "floor", "plot", "no", "gala", "unit", "phase", "part",
+)
+STRONG, WEAK, SLIVER, PER_CUT, MARGIN = 2.0, 0.8, -3.0, 0.5, 0.75
+SHORTEST_RUN, LONGEST_RUN, LONGEST_PIECE, WHOLE_PIECE = 6, 40, 18, 4
 
 
 @dataclass(frozen=True)
@@ -41,13 +47,9 @@ TIERS = (
 )
 
 
-def _in(c: Column, values: Sequence[str]) -> Column:
-    return F.coalesce(c.isin(*values), F.lit(False))
-
-
 def drop_country(segs: Column) -> Column:
     """Without the country's names at the end, however often."""
-    last = F.array_max(F.transform(segs, lambda s, i: F.when(~_in(F.lower(s), COUNTRY), i + 1).otherwise(0)))
+    last = F.array_max(F.transform(segs, lambda s, i: F.when(~is_in(F.lower(s), COUNTRY), i + 1).otherwise(0)))
     return F.slice(segs, F.lit(1), F.coalesce(last, F.lit(0)))
 
 
@@ -60,60 +62,111 @@ def strip_pin(segs: Column) -> tuple[Column, Column]:
     return F.filter(F.transform(segs, lambda s, i: F.when(i == at, rest(s)).otherwise(s)), lambda s: s != ""), pin
 
 
-def match_state(segs: Column, states: dict[str, str]) -> tuple[Column, Column]:
-    """(segments, state): from the end, the first segment that names a state goes."""
-    table = F.create_map(*[F.lit(x) for kv in states.items() for x in kv])
-    at = F.array_max(F.transform(segs, lambda s, i: F.when(F.element_at(table, tx.squash_key(s)).isNotNull(), i)))
-    state = F.coalesce(F.element_at(table, tx.squash_key(F.get(segs, at))), F.lit(""))
-    return F.filter(segs, lambda s, i: at.isNull() | (i != at)), state
+def match_state(segs: Column, states: dict[str, str] = STATES) -> tuple[Column, Column]:
+    """(segments, state): from the end, the first segment that names a state goes, else the first two neighbours that do
+    together."""
+    one = F.transform(segs, lambda s: canonical_state(s, states))
+    two = F.transform(segs, lambda s, i: canonical_state(F.concat(s, F.lit(" "), F.get(segs, i + 1)), states))
+    last = lambda c: F.array_max(F.transform(c, lambda s, i: F.when(s.isNotNull(), i)))
+    at, pair = last(one), last(two)
+    rest = F.filter(segs, lambda s, i: F.when(at.isNotNull(), i != at).when(pair.isNotNull(), (i != pair) & (i != pair + 1)).otherwise(True))
+    return rest, F.coalesce(F.get(one, at), F.get(two, pair), F.lit(""))
+
+
+def _tier_conf(text: Column, tiers: Sequence[Tier]) -> tuple[dict[str, Column], Column]:
+    """Each tier's confidence in the text, null where it doesn't fit; and whether it has a premises' shape."""
+    low = F.lower(F.trim(text))
+    words = F.split(low, r"[\s.]+")
+    first, last = F.element_at(words, 1), F.element_at(words, -1)
+    phrase = lambda t: reduce(Column.__or__, [low.contains(p) for p in t.phrases], F.lit(False))
+    conf = {t.name: F.when(is_in(first, t.head), 90).when(is_in(last, t.tail), 85).when(phrase(t), 80) for t in tiers}
+    return conf, text.rlike(r"^#?[0-9]+[A-Za-z]?(/[0-9]+)?$")
+
+
+def place_like(text: Column, tiers: Sequence[Tier] = TIERS) -> Column:
+    """Whether a text can be a place: a locality by its words, or of no known kind; no premises, building or road."""
+    conf, shape = _tier_conf(text, tiers)
+    tier = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in conf.items()], F.when(shape, F.lit("premises")), F.lit("locality"))
+    return tier == "locality"
 
 
-def _of_property(text: Column, tiers: Sequence[Tier] = TIERS) -> Column:
-    """Whether a segment is premises, a building or a road, which is no place's name."""
-    words = F.split(F.lower(F.trim(text)), r"[\s.]+")
-    hit = lambda t: reduce(Column.__or__, [F.lower(text).contains(p) for p in t.phrases], _in(F.element_at(words, 1), t.head) | _in(F.element_at(words, -1), t.tail))
-    first = F.coalesce(*[F.when(hit(t), F.lit(t.name)) for t in tiers], F.when(text.rlike(r"^#?[0-9]+[A-Za-z]?(/[0-9]+)?$"), F.lit("premises")), F.lit("locality"))
-    return first != "locality"
+def city_prefix(segment: Column, cities: Sequence[str] = CITIES, tiers: Sequence[Tier] = TIERS) -> Column:
+    """struct(city, rest) of a segment of a known city's name, of three words at most, and a place's; else null."""
+    words = F.split(F.trim(segment), r"\s+")
+    cuts = []
+    for n in (3, 2, 1):  # the longest first
+        head, rest = F.array_join(F.slice(words, 1, n), " "), F.array_join(F.slice(words, F.lit(n + 1), F.greatest(F.size(words) - n, F.lit(0))), " ")
+        cuts.append(F.when((F.size(words) > n) & known_city(head, cities) & place_like(rest, tiers), F.struct(head.alias("city"), rest.alias("rest"))))
+    return F.coalesce(*cuts)
 
 
-def pick_city(segs: Column, cities: Sequence[str], anchor: Column | None = None) -> tuple[Column, Column]:
-    """(segments, city): the last known city, else, where a state or PIN was found (``anchor``), the last of three or more
-    segments if it's no premises, building or road. The city's segment and repeats of it at the end go, others stay."""
-    known = F.array_max(F.transform(segs, lambda s, i: F.when(_in(tx.squash_key(s), cities), i)))
-    guess = F.when((F.lit(True) if anchor is None else anchor) & (F.size(segs) >= 3) & ~_of_property(F.get(segs, F.size(segs) - 1)), F.size(segs) - 1)
-    at = F.coalesce(known, F.when(F.size(segs) > 0, guess))
+def pick_city(segs: Column, cities: Sequence[str] = CITIES, anchor: Column | None = None, district: Column | None = None, state: Column | None = None) -> tuple[Column, Column, Column]:
+    """(segments, city, whether it was inferred), by the first of these that applies, segments from the end:
+
+    a known city other than the PIN's district; a known city; a segment that is the district; the district itself
+    (inferred); a known city's name before a place's in one segment; a state that is a city (inferred); with a
+    state or PIN (``anchor``), the last segment, unless a word of it rules that out or it is premises, a building
+    or a road. The city's segment goes, and repeats of it or of the district at the end; others stay.
+    """
+    district, state = (F.lit("") if c is None else F.coalesce(c, F.lit("")) for c in (district, state))
+    bare = lambda c: F.regexp_replace(F.lower(c), "[ .]", "")
+    own = bare(district)
+    last = lambda test: F.array_max(F.transform(segs, lambda s, i: F.when(test(s), i)))
+    of_district = lambda s: (own != "") & (bare(s) == own)
+    end = F.get(segs, F.size(segs) - 1)
+    words = F.split(F.lower(end), r"\s+")
+    fits = ~F.arrays_overlap(words, F.array(*[F.lit(w) for w in NO_CITY])) & ~end.rlike(r"\A[0-9]+\z") & place_like(end)
+    guess = F.when((F.lit(False) if anchor is None else anchor) & (F.size(segs) > 0) & F.coalesce(fits, F.lit(False)), F.size(segs) - 1)
+    prefixes = F.transform(segs, lambda s: city_prefix(s, cities))
+    split = F.array_max(F.transform(prefixes, lambda p, i: F.when(p.isNotNull(), i)))
+    named = F.coalesce(last(lambda s: known_city(s, cities) & ~of_district(s)), last(lambda s: known_city(s, cities)), last(of_district))
+    from_district = named.isNull() & (own != "")
+    from_prefix = named.isNull() & ~from_district & split.isNotNull()
+    from_state = named.isNull() & ~from_district & ~from_prefix & (state != "") & known_city(state, cities)
+    at = F.coalesce(named, F.when(~from_district & ~from_prefix & ~from_state, guess))
     token = F.get(segs, at)
     rest = F.filter(segs, lambda s, i: i != at)
-    last = F.coalesce(F.array_max(F.transform(rest, lambda s, i: F.when(tx.squash_key(s) != tx.squash_key(token), i + 1))), F.lit(0))
-    return F.when(at.isNull(), segs).otherwise(F.slice(rest, F.lit(1), last)), F.coalesce(tx.titlecase_city(token), F.lit(""))
+    repeat = lambda s: (bare(s) == bare(token)) | of_district(s)
+    stays = F.coalesce(F.array_max(F.transform(rest, lambda s, i: F.when(~repeat(s), i + 1))), F.lit(0))
+    left = F.when(at.isNotNull(), F.slice(rest, F.lit(1), stays)).when(from_prefix, F.transform(segs, lambda s, i: F.when(i == split, F.get(prefixes, i)["rest"]).otherwise(s))).otherwise(segs)
+    city = F.when(from_district, district).when(from_prefix, F.get(prefixes, split)["city"]).when(from_state, state).otherwise(token)
+    return left, F.coalesce(tx.titlecase_city(city), F.lit("")), from_district | from_state
 
 
-def resolve_address(rows: DataFrame, address: str, states: dict[str, str] = STATES, cities: Sequence[str] = CITIES, prefix_state: dict[str, str] | None = None) -> DataFrame:
-    """``rows`` with rest (segments), city, state, pin and confidence. prefix_state: a PIN's first digits -> its state."""
-    step = rows.withColumn("_s", drop_country(tx.segments(F.col(address))))
+def resolve_address(rows: DataFrame, address: str, states: dict[str, str] = STATES, cities: Sequence[str] = CITIES, pins: DataFrame | None = None) -> DataFrame:
+    """``rows`` with rest (segments), city, state, pin and confidence.
+
+    pins: (pin, state, district), the PIN directory: it gives a missing state, and the city where the text has none.
+    Low where the text's state isn't the PIN's, or little is found; high with a PIN, a state and a city that the
+    text names; medium with two of the three.
+    """
+    # each step is a generator's output: projections alone would be merged, and every step's expression repeated in the next
+    step = lambda df, *new: df.withColumn("_x", F.explode(F.array(F.struct(*new)))).select(*[c for c in df.columns if c not in ("_s",)], "_x.*")
+    out = rows.withColumn("_s", drop_country(tx.segments(F.col(address))))
     segs, pin = strip_pin(F.col("_s"))
-    step = step.withColumns({"pin": pin, "_s": drop_country(segs)})
+    out = step(out, pin.alias("pin"), drop_country(segs).alias("_s"))
+    if pins is None:
+        out = out.withColumns({"_pin_state": F.lit(""), "_district": F.lit("")})
+    else:
+        known = pins.select(F.col("pin").alias("_pin"), F.coalesce("state", F.lit("")).alias("_pin_state"), F.coalesce("district", F.lit("")).alias("_district"))
+        out = out.join(known, F.col("pin") == F.col("_pin"), "left").drop("_pin").fillna("", ["_pin_state", "_district"])
     segs, state = match_state(F.col("_s"), states)
-    step = step.withColumns({"state": state, "_s": segs})
-    segs, city = pick_city(F.col("_s"), cities, (F.col("state") != "") | (F.col("pin") != ""))
-    step = step.withColumns({"city": city, "rest": segs})
-    conflict = F.lit(False)
-    for prefix, owner in (prefix_state or {}).items():
-        conflict = conflict | (F.col("pin").startswith(prefix) & (F.col("state") != "") & (F.col("state") != owner))
-    known = _in(tx.squash_key(F.col("city")), cities)
-    found = (F.col("pin") != "").cast("int") + (F.col("state") != "").cast("int") + known.cast("int")
-    level = F.when(conflict, "low").when(found == 3, "high").when(found == 2, "medium").otherwise("low")
-    return step.withColumn("confidence", level).drop("_s")
+    out = step(out, state.alias("_named"), segs.alias("_s"))
+    of_pin = F.coalesce(canonical_state(F.col("_pin_state"), states), F.col("_pin_state"))
+    out = out.withColumn("state", F.when(F.col("_named") != "", F.col("_named")).otherwise(of_pin))
+    segs, city, inferred = pick_city(F.col("_s"), cities, (F.col("state") != "") | (F.col("pin") != ""), F.col("_district"), F.col("state"))
+    out = step(out, city.alias("city"), inferred.alias("_inferred"), segs.alias("rest"))
+    conflict = (F.col("_named") != "") & (of_pin != "") & (F.col("_named") != of_pin)
+    found = (F.col("pin") != "").cast("int") + (F.col("state") != "").cast("int") + (F.col("city") != "").cast("int")
+    level = F.when(conflict, "low").when((found == 3) & ~F.col("_inferred"), "high").when(found >= 2, "medium").otherwise("low")
+    return out.withColumn("confidence", level).drop("_pin_state", "_district", "_named", "_inferred")
 
 
 def classify_fragments(frags: DataFrame, tiers: Sequence[Tier] = TIERS) -> DataFrame:
     """Fragments (.., text) with tier, level and conf in hundredths: head word 90, tail word 85, phrase 80; two tiers that
     both fit 50, the first in order wins; a leading number is premises at 60; else unknown, the locality's level, 55."""
-    words = F.split(F.lower(F.trim("text")), r"[\s.]+")
-    first, last = F.element_at(words, 1), F.element_at(words, -1)
-    conf = {t.name: F.when(_in(first, t.head), 90).when(_in(last, t.tail), 85).when(reduce(Column.__or__, [F.lower("text").contains(p) for p in t.phrases], F.lit(False)), 80) for t in tiers}
+    conf, shape = _tier_conf(F.col("text"), tiers)
     hits = sum((c.isNotNull().cast("int") for c in conf.values()), F.lit(0))
-    shape = F.col("text").rlike(r"^#?[0-9]+[A-Za-z]?(/[0-9]+)?$")
     tier = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in conf.items()], F.when(shape, F.lit("premises")), F.lit("unknown"))
     level = F.coalesce(*[F.when(conf[t.name].isNotNull(), F.lit(t.level)) for t in tiers], F.when(shape, F.lit(1)), F.lit(UNKNOWN_LEVEL))
     sure = F.when(hits > 1, 50).when(hits == 1, F.coalesce(*conf.values())).when(shape, 60).otherwise(55)
@@ -145,12 +198,14 @@ def tail_split(groups: DataFrame, key: str = "k", order: str = "i") -> DataFrame
     return run.withColumns({"peeled": peeled, "grp": F.when(peeled, F.col("grp") + 1).otherwise(F.col("grp"))}).drop("_last", "_n", "_in", "_run")
 
 
-def pack_lines(groups: DataFrame, key: str = "k", order: str = "i", cap: int = 4) -> DataFrame:
+def pack_lines(groups: DataFrame, key: str = "k", order: str = "i", cap: int = 4, more: str | None = None) -> DataFrame:
     """(key, lines, n_groups, confidence): at most ``cap`` lines; the weakest boundary (the first of equals) gives way
     first, a peeled last fragment's only at the end. A fold over an address's few groups."""
-    lines = groups.groupBy(key, "grp").agg(F.array_join(F.sort_array(F.collect_list(F.struct(order, "text")))["text"], ", ").alias("text"), F.min_by("gap", order).alias("gap"), F.max("peeled").alias("peeled"), F.sum("conf").alias("conf"), F.count("*").alias("n"))
+    none = F.lit(None).alias("_more") if more is None else F.first(more).alias("_more")
+    lines = groups.groupBy(key, "grp").agg(none, F.array_join(F.sort_array(F.collect_list(F.struct(order, "text")))["text"], ", ").alias("text"), F.min_by("gap", order).alias("gap"), F.max("peeled").alias("peeled"), F.sum(F.when(F.col("text").isNotNull(), F.col("conf"))).alias("conf"), F.count("text").alias("n"))
     cost = F.when(F.col("grp") == 0, 10_000).when(F.col("peeled"), 5_000).otherwise(F.coalesce("gap", F.lit(0)))
-    packed = lines.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("grp", cost.alias("cost"), "text"))).alias("g"), F.sum("conf").alias("conf"), F.sum("n").alias("n"), F.count("*").alias("n_groups"))
+    has = F.col("n") > 0
+    packed = lines.groupBy(key).agg(F.first("_more").alias("_more"), F.sort_array(F.collect_list(F.when(has, F.struct("grp", cost.alias("cost"), "text")))).alias("g"), F.sum("conf").alias("conf"), F.sum("n").alias("n"), F.count_if(has).alias("n_groups"))
 
     def merge(s: Column, _: Column) -> Column:
         costs = F.transform(s, lambda x: x["cost"])
@@ -161,8 +216,8 @@ def pack_lines(groups: DataFrame, key: str = "k", order: str = "i", cap: int = 4
 
     steps = F.sequence(F.lit(0), F.greatest(F.size("g") - cap, F.lit(0)))
     folded = F.aggregate(steps, F.col("g"), merge)
-    mean = F.col("conf") / F.col("n")
-    return packed.select(key, F.transform(folded, lambda x: x["text"]).alias("lines"), "n_groups", F.when(mean >= 70, "high").when(mean >= 45, "medium").otherwise("low").alias("confidence"))
+    mean = F.coalesce(F.try_divide("conf", "n"), F.lit(0.0))
+    return packed.select(key, *([] if more is None else [F.col("_more").alias(more)]), F.transform(folded, lambda x: x["text"]).alias("lines"), "n_groups", F.when(mean >= 70, "high").when(mean >= 45, "medium").otherwise("low").alias("confidence"))
 
 
 @lru_cache(maxsize=8)
@@ -171,24 +226,24 @@ def _roles(tiers: tuple[Tier, ...]) -> tuple[frozenset[str], frozenset[str]]:
 
 
 def word_break(run: str, strong: frozenset[str], weak: frozenset[str]) -> str:
-    """Splits a glued run of 6 to 40 letters into known words if that beats leaving it by 0.75 with a strong word in it.
+    """Splits a glued run of letters into known words if that beats leaving it by ``MARGIN``, with a strong word in it.
 
-    A strong word is worth 2.0, a weak one 0.8, other pieces of four letters and more nothing; a cut costs 0.5.
+    Known words have a worth, other pieces of ``WHOLE_PIECE`` letters and more none; a cut costs ``PER_CUT``.
     """
     low, n = run.lower(), len(run)
-    if not 6 <= n <= 40 or low in strong or low in weak:
+    if not SHORTEST_RUN <= n <= LONGEST_RUN or low in strong or low in weak:
         return run
     best: list[tuple[float, bool, int]] = [(0.0, False, 0)] + [(-1e9, False, 0)] * n
     for end in range(1, n + 1):
-        for start in range(max(0, end - 18), end):
+        for start in range(max(0, end - LONGEST_PIECE), end):
             piece = low[start:end]
-            worth = 2.0 if piece in strong else 0.8 if piece in weak else 0.0 if end - start >= 4 else -3.0
+            worth = STRONG if piece in strong else WEAK if piece in weak else 0.0 if end - start >= WHOLE_PIECE else SLIVER
             if worth < 0:
                 continue
-            score = best[start][0] + worth - (0.5 if start else 0.0)
-            if (score, best[start][1] or worth == 2.0) > best[end][:2]:
-                best[end] = (score, best[start][1] or worth == 2.0, start)
-    if not best[n][1] or best[n][0] < 0.75:
+            score = best[start][0] + worth - (PER_CUT if start else 0.0)
+            if (score, best[start][1] or worth == STRONG) > best[end][:2]:
+                best[end] = (score, best[start][1] or worth == STRONG, start)
+    if not best[n][1] or best[n][0] < MARGIN:
         return run
     cuts, at = [], n
     while at:
@@ -223,12 +278,13 @@ def deglue(c: Column, known: Sequence[str] = (), tiers: Sequence[Tier] = TIERS)
     return run(c)
 
 
-def segment_lines(rows: DataFrame, address: str, key: str = "k", cap: int = 4, known: Sequence[str] = ()) -> DataFrame:
-    """(key, lines, n_groups, confidence, city, state, pin): an address resolved, its rest split into lines."""
-    found = resolve_address(rows.withColumn("_a", deglue(F.col(address), known)), "_a")
-    # the outer form: for the other one the optimizer would push a filter on ``rest``, in full, below each step
-    frags = found.select(key, F.posexplode_outer("rest").alias("i", "text")).where("text is not null")
-    lines = pack_lines(tail_split(gap_groups(classify_fragments(frags), key), key), key, cap=cap)
-    out = found.select(key, "city", "state", "pin").join(lines, key, "left")
-    none = F.array().cast("array<string>")
-    return out.select(key, F.coalesce("lines", none).alias("lines"), F.coalesce("n_groups", F.lit(0)).alias("n_groups"), F.coalesce("confidence", F.lit("low")).alias("confidence"), "city", "state", "pin")
+def segment_lines(rows: DataFrame, address: str, key: str = "k", cap: int = 4, known: Sequence[str] = (), pins: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, lines, n_groups, confidence, city, state, pin, *keep): an address resolved, its rest split into lines.
+
+    One pass: what was resolved travels with the fragments, which are grouped by the key once.
+    """
+    found = resolve_address(rows.withColumn("_a", deglue(F.col(address), known)), "_a", pins=pins)
+    more = ["city", "state", "pin", *keep]
+    # an address of which nothing is left keeps one fragment without a text
+    frags = found.select(key, F.struct(*more).alias("_more"), F.posexplode_outer("rest").alias("i", "text"))
+    return pack_lines(tail_split(gap_groups(classify_fragments(frags), key), key), key, cap=cap, more="_more").select(key, "lines", "n_groups", "confidence", *[F.col(f"_more.{c}").alias(c) for c in more])

@@ -29,11 +29,11 @@ def page_lines(spans: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) ->
 
     A fold within each page, whose spans are few; pages are spread by the grouping.
     """
-    spot = F.struct("y1", "x1", "ord", ((F.col("y1") + F.col("y2")) / 2).alias("cy"), F.lit(0).alias("line"))
+    spot = F.struct("y1", "x1", "ord", ((F.col("y1") + F.col("y2")) / 2).alias("cy"), F.struct(*[F.col(f"`{c}`") for c in spans.columns if c not in keys]).alias("span"))
     pages = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(spot)).alias("s"), F.greatest(0.6 * F.median(F.when(F.col("y2") > F.col("y1"), F.col("y2") - F.col("y1"))), F.lit(1.0)).alias("tol"))
     tol = F.coalesce("tol", F.lit(1.0))
     line_type = "array<struct<total:double,n:int,top:double>>"
-    start = F.struct(F.array().cast(line_type).alias("lines"), F.array().cast("array<struct<ord:int,line:int>>").alias("of"))
+    start = F.struct(F.array().cast(line_type).alias("lines"), F.array().cast("array<int>").alias("of"))
 
     def put(state: Column, s: Column) -> Column:
         fits = F.transform(state["lines"], lambda ln, i: F.when(F.abs(s["cy"] - ln["total"] / ln["n"]) <= tol, i))
@@ -41,13 +41,13 @@ def page_lines(spans: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) ->
         grown = F.transform(state["lines"], lambda ln, i: F.when(i == at, F.struct((ln["total"] + s["cy"]).alias("total"), (ln["n"] + 1).alias("n"), F.least(ln["top"], s["y1"]).alias("top"))).otherwise(ln))
         new = F.array(F.struct(s["cy"].alias("total"), F.lit(1).alias("n"), s["y1"].alias("top")))
         lines = F.when(at < F.size(state["lines"]), grown).otherwise(F.concat(state["lines"], new))
-        return F.struct(lines.alias("lines"), F.concat(state["of"], F.array(F.struct(s["ord"].cast("int").alias("ord"), at.cast("int").alias("line")))).alias("of"))
+        return F.struct(lines.alias("lines"), F.concat(state["of"], F.array(at.cast("int"))).alias("of"))
 
-    folded = pages.select(*keys, F.aggregate("s", start, put).alias("f"))
-    placed = folded.select(*keys, "f.lines", F.explode("f.of").alias("o")).select(*keys, "o.ord", F.col("o.line").alias("raw"), F.get("lines", F.col("o.line"))["top"].alias("top"))
-    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("top", "raw")) - 1
-    placed = placed.select(*keys, F.col("ord").alias("_ord"), rank.alias("line"))
-    return spans.withColumnRenamed("ord", "_ord").join(placed, [*keys, "_ord"]).withColumnRenamed("_ord", "ord")
+    folded = pages.select(*keys, "s", F.aggregate("s", start, put).alias("f"))
+    tops = F.array_sort(F.transform("f.lines", lambda ln, i: F.struct(ln["top"].alias("top"), i.alias("raw"))))
+    rank = lambda raw: F.array_position(F.transform("tops", lambda t: t["raw"]), raw).cast("int") - 1
+    placed = folded.withColumn("tops", tops).select(*keys, F.explode(F.zip_with("s", "f.of", lambda s, raw: F.struct(s["span"].alias("span"), rank(raw).alias("line")))).alias("o"))
+    return placed.select(*[c if c in keys else F.col(f"o.span.`{c}`").alias(c) for c in spans.columns], "o.line")
 
 
 def reading_order(spans: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
@@ -65,23 +65,35 @@ def page_text(spans: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> D
     return spans.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(F.struct("ord", "text")))["text"], "\n").alias("text"))
 
 
+def first_pages_text(spans: DataFrame, keys: tuple[str, ...] = ("set_id", "doc"), pages: int = 3) -> DataFrame:
+    """(*keys, text): the text of each document's first pages, which tell its kind."""
+    near = spans.withColumn("_page", F.dense_rank().over(Window.partitionBy(*keys).orderBy("page"))).where(F.col("_page") <= pages)
+    return near.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(F.struct("page", "ord", "text")))["text"], "\n").alias("text"))
+
+
 def neighbours(refs: DataFrame, others: DataFrame, on: list[str], max_distance: float, directions: tuple[str, ...] = ("right", "below", "left", "above"), band: float | None = None) -> DataFrame:
     """(*on, ref, other, direction, distance_ratio, same_line, proximity) for spans near a reference span of their page.
 
     refs, others: (*on, ord, x1, y1, x2, y2); refs also ``median_height``. The first direction that fits wins, in
     the order right, below, left, above; distances count in the reference's heights (else the page's median, else 1).
-    The join is on the page and on bands of the vertical axis, so a page of n spans doesn't meet itself whole:
-    ``band`` (default: the page's own) is the bands' height; a reference looks up the bands within reach.
+    The join is on the page and on horizontal bands, ``band`` high (the reach of a line of the page's median height unless
+    given), so a page of n spans doesn't meet itself whole: both sides are in every band that they touch, a reference
+    with its reach, and a pair counts in the first band that they share.
     """
-    a = refs.select(*on, F.col("ord").alias("ref"), *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")], F.coalesce(F.when(F.col("y2") > F.col("y1"), F.col("y2") - F.col("y1")), F.col("median_height"), F.lit(1.0)).alias("u"))
-    b = others.select(*on, F.col("ord").alias("other"), *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
-    keys = list(on)
-    if band:
-        reach = F.col("u") * (max_distance + 1)
-        a = a.withColumn("band", F.explode(F.sequence(F.floor((F.col("a_y1") - reach) / band), F.floor((F.col("a_y2") + reach) / band))))
-        b = b.withColumn("band", F.floor(F.col("b_y1") / band))
-        keys.append("band")
-    rows = a.join(b, keys).where("ref <> other")
+    columns = ["x1", "y1", "x2", "y2"]
+    height = F.coalesce(F.when(F.col("y2") > F.col("y1"), F.col("y2") - F.col("y1")), F.col("median_height"), F.lit(1.0))
+    tall = F.lit(float(band)) if band else F.greatest(F.coalesce("median_height", F.lit(1.0)), F.lit(1.0)) * (max_distance + 1)
+    a = refs.select(*on, F.col("ord").alias("ref"), *[F.col(c).alias(f"a_{c}") for c in columns], height.alias("u"), tall.alias("tall"))
+    b = others.select(*on, F.col("ord").alias("other"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    tall = F.lit(float(band)) if band else F.col("tall")
+    if not band:
+        b = b.join(a.groupBy(*on).agg(F.min("tall").alias("tall")), on)
+        a = a.drop("tall").join(a.groupBy(*on).agg(F.min("tall").alias("tall")), on)
+    touched = lambda low, high: F.sequence(F.floor(low / tall), F.floor(F.greatest(low, high) / tall))
+    reach = F.col("u") * (max_distance + 1)
+    a = a.withColumn("_low", F.floor((F.col("a_y1") - reach) / tall)).withColumn("band", F.explode(touched(F.col("a_y1") - reach, F.col("a_y2") + reach)))
+    b = b.withColumn("_top", F.floor(F.col("b_y1") / tall)).withColumn("band", F.explode(touched(F.col("b_y1"), F.col("b_y2"))))
+    rows = a.drop("tall").join(b.drop("tall"), [*on, "band"]).where((F.col("ref") != F.col("other")) & (F.col("band") == F.greatest("_low", "_top")))
     ba, bb, u = geo.box("a_"), geo.box("b_"), F.col("u")
     v, h = geo.vertical_overlap(ba, bb), geo.horizontal_overlap(ba, bb)
     column = (h >= 0.15) | (F.abs(bb["x1"] - ba["x1"]) <= u * 2.0)

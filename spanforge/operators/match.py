@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,16 @@ class FieldSpec:
     exclude: Sequence[str] = ()
     aliases: Sequence[tuple[str, str]] = field(default_factory=tuple)
     value_type: str = "text"
+    directions: Sequence[str] = ("right", "below")
+    max_distance: float = 4.0
+    min_accept: float = 0.6
+    validators: Sequence[str] = ()
+    default: str | None = None
+    derive_from: str | None = None  # the field whose e-mail address gives this one
+    priority: int = 50
+    required: bool = False
+    consistent: bool = False
+    junk: Sequence[str] = ()
 
 
 def min_similarity(label: Column, base: float | Column) -> Column:
@@ -65,10 +77,33 @@ def is_inline_split(tail: Column, remainder: Column, patterns: Sequence[str]) ->
     return ~tail.rlike(r"\A\.\s*[0-9]") & (tail.rlike(r"\A\s*[:\-–—=|>]") | F.ltrim(tail).startswith(".") | shape)
 
 
-def wrap_separator(prev: Column) -> Column:
-    """Between wrapped rows: a comma if the row before has two and ends without a separator."""
+def by_priority(specs: Sequence[FieldSpec]) -> list[FieldSpec]:
+    """The largest priority first; equal ones as given."""
+    return sorted(specs, key=lambda s: -s.priority)
+
+
+def wrap_separator(prev: Column, row: Column) -> Column:
+    """Between wrapped rows: a comma if the row before has two of its own, doesn't end in a separator, and the next one
+    doesn't begin with one."""
     commas = F.length(prev) - F.length(F.replace(prev, F.lit(","), F.lit("")))
-    return F.when((commas >= 2) & ~prev.rlike(r"[,;:\-]\s*\z"), ", ").otherwise(" ")
+    return F.when((commas >= 2) & ~prev.rlike(r"[,;–—]\s*\z") & ~row.rlike(r"\A\s*([,;]|\z)"), ", ").otherwise(" ")
+
+
+def label_like(texts: DataFrame, specs: Sequence[FieldSpec], at_least: int = 88) -> DataFrame:
+    """(key): those of ``texts(key)``, cleaned, that are within ``at_least`` of any field's caption. Distinct texts
+    meet the dictionary, which is configuration; lengths rule most pairs out."""
+    known = sorted({x.lower().strip() for s in specs for x in s.labels} - {""})
+    labels = texts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in known]).cast("array<string>")).alias("label"))
+    a, b = F.length("key"), F.length("label")
+    possible = 200 * F.least(a, b) >= at_least * (a + b)
+    pairs = texts.where("key <> ''").select("key").distinct().join(F.broadcast(labels), possible)
+    return pairs.where(sim.ratio_micro(F.col("key"), F.col("label")) >= at_least * 1_000_000).select("key").distinct()
+
+
+def without_excluded(rows: DataFrame, specs: Sequence[FieldSpec], value: str = "value") -> DataFrame:
+    """Without values in which one of their field's exclusion patterns is found."""
+    tests = [(F.col("field") == s.key) & F.col(value).rlike(p) for s in specs for p in s.exclude]
+    return rows.where(~F.coalesce(reduce(Column.__or__, tests, F.lit(False)), F.lit(False)))
 
 
 def derive_value(raw: Column, spec: FieldSpec) -> tuple[Column, Column]:
@@ -77,7 +112,8 @@ def derive_value(raw: Column, spec: FieldSpec) -> tuple[Column, Column]:
     if not spec.patterns:
         return tx.canonicalize(clean, spec.aliases) if spec.aliases else clean, F.lit(False)
     alternatives = "|".join(spec.patterns)
-    found = F.coalesce(F.get(tx.bounded_matches(raw, alternatives), 0), F.get(tx.bounded_matches(clean, alternatives), 0), F.when(tx.full_match(clean, *spec.patterns), clean))
+    first = lambda c: F.get(tx.bounded_or_glued_matches(c, alternatives), 0)
+    found = F.coalesce(first(raw), first(clean), F.when(tx.full_match(clean, *spec.patterns), clean))
     value = F.when(found.isNotNull(), tx.normalize(found, spec.normalization)).otherwise(clean)
     return (tx.canonicalize(value, spec.aliases) if spec.aliases else value), found.isNotNull()
 
@@ -90,13 +126,11 @@ def foreign_field(value: Column, field_name: Column, specs: Sequence[FieldSpec])
 
 
 def pattern_hits(spans: DataFrame, specs: Sequence[FieldSpec], on: list[str]) -> DataFrame:
-    """(*on, field, value): bounded matches of every field's patterns; excluded values are left out."""
-    each = [F.struct(F.lit(s.key).alias("field"), F.array_distinct(F.flatten(F.array(*[tx.bounded_matches(F.col("text"), p) for p in s.patterns]))).alias("values")) for s in specs if s.patterns]
+    """(*on, field, value): bounded matches of every field's patterns, glued ones where there are none; excluded values
+    are left out."""
+    each = [F.struct(F.lit(s.key).alias("field"), F.array_distinct(tx.bounded_or_glued_matches(F.col("text"), "|".join(s.patterns))).alias("values")) for s in specs if s.patterns]
     found = spans.select(*on, F.explode(F.array(*each)).alias("f")).select(*on, "f.field", F.explode("f.values").alias("value"))
-    for s in specs:
-        for p in s.exclude:
-            found = found.where(~((F.col("field") == s.key) & F.col("value").rlike(p)))
-    return found
+    return without_excluded(found, specs)
 
 
 def score(label: Column, proximity: Column, pattern_matched: Column, has_patterns: Column, confidence: Column, kind: Column, same_line: Column, expected: Column, label_like: Column, foreign: Column, short: Column) -> Column:
@@ -116,8 +150,9 @@ def score(label: Column, proximity: Column, pattern_matched: Column, has_pattern
     return F.greatest(F.lit(0), F.least(F.lit(1_000_000), total)).cast("long")
 
 
-def classify(documents: DataFrame, keywords: Sequence[tuple[str, str, str]], min_score: int = 10, key: str = "doc_id") -> DataFrame:
+def classify(documents: DataFrame, keywords: Sequence[tuple[str, str, str]], min_score: int = 10, key: str | Sequence[str] = "doc_id") -> DataFrame:
     """(key, doc_type, score): keywords are (profile, 'content' or 'filename', word); a hit counts 20 or 10 tenths.
+    ``layout.first_pages_text`` gives the texts that tell.
 
     The best profile, the first in order at a tie, or ``other`` below ``min_score``. documents: (key, name, text).
     """
@@ -125,62 +160,118 @@ def classify(documents: DataFrame, keywords: Sequence[tuple[str, str, str]], min
     text, name = F.lower("text"), F.lower("name")
     scores = [F.struct(sum((F.when((text if where == "content" else name).contains(word.lower()), 20 if where == "content" else 10).otherwise(0) for q, where, word in keywords if q == p), F.lit(0)).alias("score"), F.lit(-i).alias("seq"), F.lit(p).alias("profile")) for i, p in enumerate(order)]
     best = F.array_max(F.array(*scores))
-    return documents.select(key, best.alias("b")).select(key, F.when(F.col("b.score") >= min_score, F.col("b.profile")).otherwise("other").alias("doc_type"), F.coalesce("b.score", F.lit(0)).alias("score"))
+    keys = [key] if isinstance(key, str) else list(key)
+    return documents.select(*keys, best.alias("b")).select(*keys, F.when(F.col("b.score") >= min_score, F.col("b.profile")).otherwise("other").alias("doc_type"), F.coalesce("b.score", F.lit(0)).alias("score"))
 
 
-def strip_own_labels(text: Column, labels: Sequence[str], threshold: float = 90.0, passes: int = 2) -> Column:
-    """``text`` without a caption of its own field at its start, twice at most: alignment needs a sequential search, so
-    this goes through the Arrow function, caption by caption."""
-    out = F.trim(text)
+def prefixed(texts: DataFrame, specs: Sequence[FieldSpec], max_chars: bool = True) -> DataFrame:
+    """Texts ``t`` that begin with a caption and go on with a value: (*texts, field, label_ord, label, similarity, raw).
+
+    If ``texts`` has a ``field``, only that field's captions count. A caption that aligns at the start lies within
+    the text's first characters, so a pair goes to the alignment, which needs a sequential search in an Arrow
+    function, only if enough of those are letters of the caption.
+    """
+    labels = label_table(texts.sparkSession, specs)
+    head = F.lower(F.expr("substring(t, 1, length(label) + 2)"))
+    shared = F.length(head) - F.length(F.call_function("translate", head, F.col("label"), F.lit("")))
+    possible = (F.length("t") > F.length("label")) & (2_000_000 * shared >= F.col("threshold") * (F.length("label") + shared))
+    if max_chars:
+        possible = possible & (F.length("t") <= 3 * F.col("max_chars"))
+    if "field" in texts.columns:
+        labels = labels.withColumnRenamed("field", "_field")
+        possible = possible & (F.col("field") == F.col("_field"))
+    pairs = texts.join(F.broadcast(labels), possible).drop("_field").withColumn("a", sim.partial_alignment("label", F.lower("t")))
+    hits = pairs.withColumn("similarity", F.floor(F.col("a.score") * 10_000 + 0.001).cast("long")).where("similarity >= threshold and a.dest_start <= 2")
+    hits = hits.withColumn("tail", F.expr("substring(t, a.dest_end + 1)")).withColumn("raw", tx.strip_value_prefix(F.col("tail"))).where("raw <> ''")
+    split = F.coalesce(*[F.when(F.col("field") == s.key, is_inline_split(F.col("tail"), F.col("raw"), s.patterns)) for s in specs])
+    return hits.where(split).select(*texts.columns, *[c for c in ("field",) if c not in texts.columns], "label_ord", "label", "similarity", "raw")
+
+
+def label_hits(spans: DataFrame, specs: Sequence[FieldSpec], on: list[str]) -> DataFrame:
+    """(*on, field, label, similarity, raw): spans that are a field's caption (raw is empty) or begin with one.
+
+    Distinct texts meet the dictionary. Of a field's captions, in their order, a later one replaces the best so
+    far if it fits better; one with a value behind it also if it is longer and fits within two points.
+    """
+    texts = spans.select(tx.strip(F.col("text")).alias("t")).where("t <> ''").distinct()
+    whole = texts.withColumn("key", tx.clean_label(F.col("t")))
+    labels = label_table(spans.sparkSession, specs)
+    a, b = F.length("key"), F.length("label")
+    possible = (F.length("t") <= 3 * F.col("max_chars")) & (F.lit(2_000_000).cast("long") * F.least(a, b) >= F.col("threshold") * (a + b))
+    whole = whole.join(F.broadcast(labels), possible).withColumn("similarity", F.floor(sim.ratio_micro(F.col("key"), F.col("label")) / 100).cast("long")).where("similarity >= threshold")
+    every = whole.select("t", "field", "label_ord", F.lit("").alias("raw"), "label", "similarity").unionByName(prefixed(texts, specs))
+    each = every.groupBy("t", "field").agg(F.sort_array(F.collect_list(F.struct("label_ord", "raw", "label", "similarity"))).alias("all"))
+    longer = lambda b, x: (x["raw"] != "") & (x["similarity"] >= b["similarity"] - 20_000) & (F.length(x["label"]) > F.length(b["label"]))
+    best = F.aggregate(F.col("all"), F.get("all", F.lit(0)), lambda b, x: F.when((x["similarity"] > b["similarity"]) | longer(b, x), x).otherwise(b))
+    each = each.select("t", "field", best.alias("b")).select("t", "field", "b.label", "b.similarity", "b.raw")
+    return spans.withColumn("t", tx.strip(F.col("text"))).join(each, "t").select(*on, "field", "label", "similarity", "raw")
+
+
+def strip_own_labels(values: DataFrame, specs: Sequence[FieldSpec], passes: int = 2) -> DataFrame:
+    """``values(field, text)``, distinct -> (field, text, bare): without a caption of its own field at the start, twice at
+    most; of several that fit, the one goes that leaves least."""
+    rows = values.select("field", "text", tx.strip(F.col("text")).alias("bare"))
     for _ in range(passes):
-        hits = [F.struct(sim.partial_alignment(F.lit(x.lower()), F.lower(out)).alias("a")) for x in labels]
-        best = F.array_max(F.array(*[F.when((h["a"]["score"] >= threshold) & (h["a"]["dest_start"] <= 2), h["a"]["dest_end"]) for h in hits]))
-        rest = tx.strip_value_prefix(F.substring(out, F.coalesce(best, F.lit(0)) + 1, F.length(out)))
-        out = F.when(best.isNotNull() & (rest != ""), rest).otherwise(out)
-    return out
-
-
-def join_wrapped(page: list[tuple], start: int, captions: set[int]) -> str:
-    """The value that begins at span ``start``: what follows on its row within 1.2 heights, then rows below within 1.6
-    heights whose left edge is within two, up to a caption. page: (ord, text, x1, y1, x2, y2)."""
-    by = {s[0]: s for s in page}
-    first = by[start]
-    u = max(first[5] - first[3], 1.0)
-
-    def row(s: tuple) -> list[tuple]:
-        out, right = [s], s[4]
-        for t in sorted((t for t in page if t[0] != s[0] and t[2] >= s[4] - 0.3 * u), key=lambda t: t[2]):
-            if min(s[5], t[5]) - max(s[3], t[3]) >= 0.5 * min(s[5] - s[3], t[5] - t[3]) and t[2] - right <= 1.2 * u and t[0] not in captions:
-                out.append(t)
-                right = t[4]
-        return out
-
-    text, used, last = " ".join(t[1] for t in row(first)), {t[0] for t in row(first)}, first
-    while True:
-        below = [t for t in page if t[0] not in used and t[0] not in captions and 0 <= t[3] - last[5] + 0.3 * u <= 1.9 * u and abs(t[2] - first[2]) <= 2 * u]
-        if not below:
-            return text
-        last = min(below, key=lambda t: (t[3], t[2]))
-        more = row(last)
-        used |= {t[0] for t in more}
-        separator = ", " if text.count(",") >= 2 and text.rstrip()[-1:] not in ",;:-" else " "
-        text += separator + " ".join(t[1] for t in more)
+        found = prefixed(rows.select("field", F.col("bare").alias("t")).distinct(), specs, max_chars=False)
+        least = found.groupBy("field", "t").agg(F.min_by("raw", F.struct(F.length("raw"), "label_ord")).alias("raw")).where(F.length("raw") < F.length("t"))
+        rows = rows.join(least.withColumnRenamed("t", "bare"), ["field", "bare"], "left").select("field", "text", F.coalesce("raw", "bare").alias("bare"))
+    return rows
+
+
+def _onward(row: list[tuple], first: tuple, unit: float) -> str:
+    """``first`` and what follows on its row, up to the first gap beyond 1.2 units or the first caption."""
+    parts, right = [first[1]], first[4]
+    for t in row:
+        if t[2] <= first[2] or t[0] == first[0]:
+            continue
+        if (t[2] - right) / unit > 1.2 or t[7]:
+            break
+        parts.append(t[1])
+        right = t[4]
+    return " ".join(parts)
+
+
+def join_wrapped(page: list[tuple], start: int) -> str:
+    """The value that begins at span ``start``: its row onward, then rows below.
+
+    page: (ord, text, x1, y1, x2, y2, line, caption). A row goes on with the value while it lies within 1.6 heights
+    of the row before, begins within two heights of the value's left edge, and doesn't begin with a caption.
+    """
+    first = next(t for t in page if t[0] == start)
+    unit = first[5] - first[3] if first[5] > first[3] else 1.0
+    rows: dict[int, list[tuple]] = {}
+    for t in sorted(page, key=lambda t: (t[2], t[0])):
+        rows.setdefault(t[6], []).append(t)
+    value = before = _onward(rows[first[6]], first, unit)
+    bottom, centre = first[5], (first[3] + first[5]) / 2
+    for line in sorted(rows):
+        row = rows[line]
+        top, end = min(t[3] for t in row), max(t[5] for t in row)
+        if (top + end) / 2 <= centre:
+            continue
+        begin = [t for t in row if t[2] <= first[2] + 2 * unit]
+        if (top - bottom) / unit > 1.6 or not begin or abs(begin[0][2] - first[2]) > 2 * unit or begin[0][7]:
+            break
+        more = _onward(row, begin[0], unit)
+        listed = before.count(",") >= 2 and before.rstrip()[-1:] not in (",", ";", "–", "—") and more.lstrip()[:1] not in ("", ",", ";")
+        value, before = value + (", " if listed else " ") + more, more
+        bottom, centre = end, (top + end) / 2
+    return value
 
 
 def wrapped_values(spans: DataFrame, starts: DataFrame, on: list[str]) -> DataFrame:
-    """(*on, ord, value): spans (*on, ord, text, x1, y1, x2, y2, caption boolean), starts (*on, ord). A page at a time, whose
-    spans are few; pages are spread by the grouping."""
-    import pandas as pd
-
-    marked = spans.join(starts.select(*on, "ord").distinct().withColumn("start", F.lit(True)), [*on, "ord"], "left")
+    """(*on, ord, value): spans (*on, ord, text, x1, y1, x2, y2, line, caption boolean), starts (*on, ord). A page at a time,
+    whose spans are few; pages are spread by the grouping, and those without a start stay where they are."""
+    begun = starts.select(*on, "ord").distinct()
+    marked = spans.select(*on, "ord", "text", "x1", "y1", "x2", "y2", "line", "caption").join(begun.withColumn("start", F.lit(True)), [*on, "ord"], "left")
     kinds = dict(spans.dtypes)
     spec = ", ".join(f"`{c}` {kinds[c]}" for c in on) + f", ord {kinds['ord']}, value string"
+    names = ["ord", "text", "x1", "y1", "x2", "y2", "line", "caption"]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        page = list(pdf[["ord", "text", "x1", "y1", "x2", "y2"]].itertuples(index=False, name=None))
-        captions = set(pdf.loc[pdf["caption"].fillna(False).astype(bool), "ord"])
-        begin = pdf.loc[pdf["start"].fillna(False).astype(bool), "ord"].tolist()
-        keys = [pdf[c].iloc[0] for c in on]
-        return pd.DataFrame([(*keys, s, join_wrapped(page, s, captions)) for s in begin], columns=[*on, "ord", "value"])
+    def one(table: pa.Table) -> pa.Table:
+        page = list(zip(*[table.column(c).to_pylist() for c in names], strict=True))
+        begin = [o for o, s in zip(table.column("ord").to_pylist(), table.column("start").to_pylist(), strict=True) if s]
+        out = {c: [table.column(c)[0].as_py()] * len(begin) for c in on} | {"ord": begin, "value": [join_wrapped(page, o) for o in begin]}
+        return pa.table(out, schema=pa.schema([*(table.schema.field(c) for c in [*on, "ord"]), ("value", pa.string())]))
 
-    return marked.groupBy(*on).applyInPandas(one, spec)
+    return marked.join(begun.select(*on).distinct(), on, "left_semi").groupBy(*on).applyInArrow(one, spec)

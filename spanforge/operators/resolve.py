@@ -65,7 +65,7 @@ def consistency(candidates: DataFrame, threshold: int = 85, score: str = "score"
     return rows.select(*FIELD, "docs", verdict.alias("consistency"), "disagreements")
 
 
-def review(results: DataFrame, required: Sequence[str], low: int = 500_000) -> DataFrame:
+def review(results: DataFrame, required: Sequence[str], low: int | Column = 500_000) -> DataFrame:
     """(set_id, field, reason, severity): one branch for each reason, appended, never deduplicated.
 
     results: (set_id, field, value, score, status, consistency); status and consistency may be null.

@@ -2,99 +2,200 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.functions import similarity as sim
 from spanforge.functions import text as tx
+from spanforge.operators import address as ad
 from spanforge.operators import layout as lo
 from spanforge.operators import match as ma
 from spanforge.operators import resolve as rs
 from spanforge.operators import validate as va
+from spanforge.session import settled
 
-SPAN = ["set_id", "doc", "page", "ord"]
+PAGE = ["set_id", "doc", "page"]
+SPAN = [*PAGE, "ord"]
+BOX = ["x1", "y1", "x2", "y2"]
+# Fixed values, in millionths: scores of what is derived, resolved from an address, or configured; what a trusted PIN has.
+DERIVED, RESOLVED, DEFAULT, SOLID = 400_000, 550_000, 1_000_000, 500_000
+ADDRESS = ("address_1", "address_2", "address_3", "address_4", "city", "state", "pin_code")
 
 
-def inline_hits(spans: DataFrame, specs: Sequence[ma.FieldSpec]) -> DataFrame:
-    """(*SPAN, field, label, similarity, raw): captions that begin a span and are followed by their value.
+def _by_field(specs: Sequence[ma.FieldSpec], value: Callable[[ma.FieldSpec], Column | None], otherwise: Column) -> Column:
+    """``value`` of the row's field."""
+    cases = [(s, value(s)) for s in specs]
+    return F.coalesce(*[F.when(F.col("field") == s.key, v) for s, v in cases if v is not None], otherwise)
 
-    Distinct texts meet the dictionary, which is configuration; of a field's captions, in their order, a later
-    one replaces the best so far if it fits better, or within two points and is longer.
+
+def _no(c: Column | None = None) -> Column:
+    return F.lit(False) if c is None else F.coalesce(c, F.lit(False))
+
+
+def typed_spans(spans: DataFrame, profiles: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """``spans`` with each document's ``doc_type``, told by its first pages and, if there is a ``name``, by that."""
+    texts = lo.first_pages_text(spans)
+    names = spans.groupBy("set_id", "doc").agg(F.max("name" if "name" in spans.columns else F.lit("")).alias("name"))
+    kinds = ma.classify(texts.join(names, ["set_id", "doc"]), profiles, key=["set_id", "doc"])
+    return spans.join(kinds.select("set_id", "doc", "doc_type"), ["set_id", "doc"])
+
+
+def adjacent(base: DataFrame, hits: DataFrame, specs: Sequence[ma.FieldSpec]) -> DataFrame:
+    """(*SPAN, field, raw, similarity, proximity, direction, same_line): what lies beside a caption.
+
+    Spans that look like captions are no values. A value of a text field goes on over its row and wrapped rows;
+    a repeated caption at its start goes.
     """
-    labels = ma.label_table(spans.sparkSession, specs)
-    texts = spans.select(F.trim("text").alias("t")).where("t <> ''").distinct()
-    pairs = texts.join(F.broadcast(labels), (F.length("t") > F.length("label")) & (F.length("t") <= 3 * F.col("max_chars")))
-    hits = pairs.withColumn("a", sim.partial_alignment("label", F.lower("t")))
-    hits = hits.withColumn("sim", F.floor(F.col("a.score") * 10_000).cast("long")).where("sim >= threshold and a.dest_start <= 2")
-    hits = hits.withColumn("tail", F.expr("substring(t, a.dest_end + 1)")).withColumn("raw", tx.strip_value_prefix(F.col("tail"))).where("raw <> ''")
-    ok = F.coalesce(*[F.when(F.col("field") == s.key, ma.is_inline_split(F.col("tail"), F.col("raw"), s.patterns)) for s in specs])
-    each = hits.where(ok).groupBy("t", "field").agg(F.sort_array(F.collect_list(F.struct("label_ord", "label", "sim", "raw"))).alias("all"))
-    better = lambda b, x: (x["sim"] > b["sim"]) | ((x["sim"] >= b["sim"] - 20_000) & (F.length(x["label"]) > F.length(b["label"])))
-    best = F.aggregate(F.col("all"), F.get("all", F.lit(0)), lambda b, x: F.when(better(b, x), x).otherwise(b))
-    each = each.select("t", "field", best.alias("b")).select("t", "field", "b.label", F.col("b.sim").alias("similarity"), "b.raw")
-    return spans.withColumn("t", F.trim("text")).join(each, "t").select(*SPAN, "field", "label", "similarity", "raw")
-
-
-def candidates(spans: DataFrame, specs: Sequence[ma.FieldSpec], max_distance: float = 4.0) -> DataFrame:
+    height = base.groupBy(*PAGE).agg(F.median(F.when(F.col("y2") > F.col("y1"), F.col("y2") - F.col("y1"))).alias("median_height"))
+    refs = hits.select(*SPAN).distinct().join(base.select(*SPAN, *BOX), SPAN).join(height, PAGE)
+    far = max((s.max_distance for s in specs), default=0.0)
+    sides = tuple(dict.fromkeys(d for s in specs for d in s.directions))
+    near = lo.neighbours(refs, base.where("not caption"), PAGE, far, sides)
+    rows = hits.withColumnRenamed("ord", "ref").join(near, [*PAGE, "ref"]).withColumnRenamed("other", "ord")
+    within = _by_field(specs, lambda s: F.col("direction").isin(*s.directions) & (F.col("distance_ratio") * far <= s.max_distance), F.lit(False))
+    closeness = _by_field(specs, lambda s: F.greatest(F.lit(0.0), 1 - F.col("distance_ratio") * far / s.max_distance), F.lit(0.0))
+    rows = rows.where(within).withColumn("proximity", F.floor(closeness * 1_000_000 + 0.0001).cast("long"))
+    free = [s.key for s in specs if not s.patterns and s.value_type == "text"]
+    joined = ma.wrapped_values(base, rows.where(F.col("field").isin(*free)), PAGE)
+    rows = rows.join(base.select(*SPAN, F.col("text").alias("own")), SPAN).join(joined, SPAN, "left")
+    rows = settled(rows.withColumn("text", F.when(F.col("field").isin(*free), F.coalesce("value", "own")).otherwise(F.col("own"))))
+    bare = ma.strip_own_labels(rows.select("field", "text").distinct(), specs)
+    return rows.join(bare, ["field", "text"]).select(*SPAN, "field", F.col("bare").alias("raw"), "similarity", "proximity", "direction", "same_line")
+
+
+def candidates(spans: DataFrame, specs: Sequence[ma.FieldSpec]) -> DataFrame:
     """(set_id, field, doc, doc_type, seq, value, score, kind, direction, page): inline, adjacent and pattern-only.
 
     spans: (*SPAN, doc_type, text, x1, y1, x2, y2, confidence).
     """
-    base = spans.select(*SPAN, "doc_type", "text", "x1", "y1", "x2", "y2", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
-    height = base.groupBy("set_id", "doc", "page").agg(F.median(F.when(F.col("y2") > F.col("y1"), F.col("y2") - F.col("y1"))).alias("median_height"))
-    captions = ma.caption_hits(base, ma.label_table(base.sparkSession, specs), SPAN)
-    inline = inline_hits(base, specs)
-    meta = base.select(*SPAN, "doc_type", F.floor(F.col("confidence") * 1_000_000).cast("long").alias("conf"), F.col("text").alias("span_text"))
-    one, none = F.lit(1_000_000).cast("long"), F.lit(0).cast("long")
-    parts = [inline.join(meta, SPAN).select(*SPAN, "field", "raw", "doc_type", "conf", "similarity", one.alias("proximity"), F.lit("inline").alias("kind"), F.lit("inline").alias("direction"), F.lit(True).alias("same_line"))]
-    boxes = ["x1", "y1", "x2", "y2"]
-    refs = captions.join(base.select(*SPAN, *boxes), SPAN).join(height, ["set_id", "doc", "page"])
-    near = lo.neighbours(refs.select(*SPAN, *boxes, "median_height").distinct(), base, ["set_id", "doc", "page"], max_distance, ("right", "below"))
-    as_caption = captions.select(*SPAN).distinct().withColumnRenamed("ord", "other")
-    values = near.join(as_caption, ["set_id", "doc", "page", "other"], "left_anti")
-    adjacent = captions.withColumnRenamed("ord", "ref").join(values, ["set_id", "doc", "page", "ref"]).withColumnRenamed("other", "ord").join(meta, SPAN)
-    parts.append(adjacent.select(*SPAN, "field", F.col("span_text").alias("raw"), "doc_type", "conf", "similarity", F.floor(F.col("proximity") * 1_000_000).cast("long").alias("proximity"), F.lit("adjacent").alias("kind"), "direction", "same_line"))
-    hit = captions.select(*SPAN, "field").unionByName(inline.select(*SPAN, "field")).distinct()
-    bare = ma.pattern_hits(base, specs, SPAN).withColumnRenamed("value", "raw").join(hit, [*SPAN, "field"], "left_anti").join(meta, SPAN)
-    parts.append(bare.select(*SPAN, "field", "raw", "doc_type", "conf", none.alias("similarity"), none.alias("proximity"), F.lit("pattern_only").alias("kind"), F.lit("").alias("direction"), F.lit(False).alias("same_line")))
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = spans.select(*SPAN, "doc_type", "text", *BOX, F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+    rows = lo.page_lines(rows, tuple(PAGE)).withColumn("key", tx.clean_label(F.col("text")))
+    base = settled(rows.join(ma.label_like(rows, specs).withColumn("_like", F.lit(True)), "key", "left").withColumn("caption", _no(F.col("_like"))).drop("_like", "key"))
+    hits = settled(ma.label_hits(base, specs, SPAN))
+    meta = base.select(*SPAN, "doc_type", F.floor(F.col("confidence") * 1_000_000 + 0.0001).cast("long").alias("conf"))
+    none = F.lit(0).cast("long")
+    inline = hits.where("raw <> ''").select(*SPAN, "field", "raw", "similarity", F.lit(1_000_000).cast("long").alias("proximity"), F.lit("inline").alias("kind"), F.lit("inline").alias("direction"), F.lit(True).alias("same_line"))
+    beside = adjacent(base, hits, specs).withColumn("kind", F.lit("adjacent"))
+    bare = ma.pattern_hits(base, specs, SPAN).withColumnRenamed("value", "raw").join(hits.select(*SPAN, "field").distinct(), [*SPAN, "field"], "left_anti")
+    bare = bare.select(*SPAN, "field", "raw", none.alias("similarity"), none.alias("proximity"), F.lit("pattern_only").alias("kind"), F.lit("").alias("direction"), F.lit(False).alias("same_line"))
+    rows = inline.unionByName(beside).unionByName(bare).join(meta, SPAN)
 
     derived = {s.key: ma.derive_value(F.col("raw"), s) for s in specs}
-    pick = lambda i: F.coalesce(*[F.when(F.col("field") == k, v[i]) for k, v in derived.items()])
-    rows = rows.withColumns({"value": pick(0), "matched": pick(1)}).where("value <> ''")
+    rows = rows.withColumns({"value": _by_field(specs, lambda s: derived[s.key][0], F.lit("")), "matched": _by_field(specs, lambda s: derived[s.key][1], F.lit(False))})
     patterned = F.col("field").isin(*[s.key for s in specs if s.patterns])
-    rows = rows.where(F.col("matched") | ~patterned)
-    for s in specs:
-        for p in s.exclude:
-            rows = rows.where(~((F.col("field") == s.key) & F.col("value").rlike(p)))
-    expected = F.coalesce(*[F.when(F.col("field") == s.key, F.col("doc_type").isin(*s.expected_documents)) for s in specs if s.expected_documents], F.lit(None).cast("boolean"))
-    known = [tx.clean_label(F.lit(x)) for s in specs for x in s.labels]
-    label_like = (F.col("kind") != "inline") & ~F.col("matched") & tx.clean_label(F.col("raw")).isin(*known)
+    rows = settled(ma.without_excluded(rows.where((F.col("value") != "") & (F.col("matched") | ~patterned)), specs))
+    doubtful = F.when((F.col("kind") != "inline") & ~F.col("matched"), tx.clean_label(F.col("raw")))
+    like = ma.label_like(rows.select(doubtful.alias("key")), specs).withColumn("_like", F.lit(True))
+    rows = rows.withColumn("key", doubtful).join(like, "key", "left")
+    expected = _by_field(specs, lambda s: F.col("doc_type").isin(*s.expected_documents) if s.expected_documents else None, F.lit(None).cast("boolean"))
     foreign = ma.foreign_field(F.col("value"), F.col("field"), specs).isNotNull()
-    total = ma.score(F.col("similarity"), F.col("proximity"), F.col("matched"), patterned, F.col("conf"), F.col("kind"), F.col("same_line"), expected, label_like, foreign, ~patterned & (F.length("value") < 3))
+    short = ~patterned & F.col("field").isin(*[s.key for s in specs if s.value_type == "text"]) & (F.length("value") < 3)
+    total = ma.score(F.col("similarity"), F.col("proximity"), F.col("matched"), patterned, F.col("conf"), F.col("kind"), F.col("same_line"), expected, _no(F.col("_like")), foreign, short)
     kind = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(rs.KINDS)])
     # the order of arrival: document, page, span, kind
-    seq = F.struct("doc", "page", "ord", kind.alias("k"), "value")
+    seq = F.struct("doc", "page", "ord", kind.alias("k"), "value", "direction")
     return rows.select("set_id", "field", "doc", "doc_type", seq.alias("seq"), "value", total.alias("score"), "kind", "direction", "page")
 
 
-def extract(spans: DataFrame, specs: Sequence[ma.FieldSpec], rules: Sequence[va.Rule], precedence: Sequence[str] = (), required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(results, review, summary). results: (set_id, field, value, score, doc, kind, status, consistency, alternatives)."""
-    found = candidates(spans, specs)
-    own = {s.key: [r for r in rules if r.field == s.key and not r.on_blank] for s in specs}
-    judge = lambda severity: F.coalesce(*[F.when(F.col("field") == k, reduce(lambda a, r: a | ~F.coalesce(r.check(F.col("value")), F.lit(True)), [r for r in rs_ if r.severity == severity], F.lit(False))) for k, rs_ in own.items()], F.lit(False))
+def _findings(results: DataFrame, specs: Sequence[ma.FieldSpec], rules: Sequence[va.Rule], pins: DataFrame | None) -> DataFrame:
+    """(set_id, field, status) over the sets' wide records, so that rules see the other fields."""
+    wide = rs.canonical(results, [s.key for s in specs])
+    wide = va.with_pin_state(wide, pins) if pins is not None and "pin_code" in wide.columns else wide.withColumn("pin_state", F.lit(None).cast("string"))
+    return va.status_by(va.findings(wide, ["set_id"], rules), ["set_id", "field"])
+
+
+def combined_address(results: DataFrame, pins: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results, flags): an address printed on one line gives city, state and PIN where they are blank, and its lines.
+
+    It counts as combined while one of the three is missing and it has a comma or a digit; a PIN found by its
+    shape alone, or below half the score, is not trusted: it is replaced, or cleared if the address has none.
+    """
+    names = [F.col("field") == n for n in ADDRESS]
+    pick = lambda c: [F.max(F.when(t, F.col(c))).alias(f"{n}.{c}".replace(".", "_")) for n, t in zip(ADDRESS, names, strict=True)]
+    wide = results.where(F.col("field").isin(*ADDRESS)).groupBy("set_id").agg(*pick("value"), *pick("score"), *pick("kind"))
+    has = lambda n: F.coalesce(F.trim(f"{n}_value"), F.lit("")) != ""
+    solid = has("pin_code") & (F.coalesce("pin_code_kind", F.lit("")) != "pattern_only") & (F.col("pin_code_score") >= SOLID)
+    blob = has("address_1") & ~(has("city") & has("state") & solid) & F.col("address_1_value").rlike("[,0-9]")
+    wide = wide.withColumns({"has_pin": has("pin_code"), "solid": _no(solid), "has_city": has("city"), "has_state": has("state")}).where(blob)
+    found = ad.segment_lines(wide.select("set_id", F.col("address_1_value").alias("a"), "has_pin", "solid", "has_city", "has_state"), "a", "set_id", pins=pins, keep=("a", "has_pin", "solid", "has_city", "has_state"))
+    found = found.where((F.col("city") != "") | (F.col("state") != "") | (F.col("pin") != "") | (F.size("lines") > 1))
+    line = lambda i: F.coalesce(F.get("lines", F.lit(i)), F.lit(""))
+    new = {f"address_{i + 1}": F.when(line(i) != "", line(i)) for i in range(1, 4)}
+    new |= {n: F.when(~F.col(f"has_{n}") & (F.col(n) != ""), F.col(n)) for n in ("city", "state")}
+    new["pin_code"] = F.when(~F.col("has_pin") & (F.col("pin") != ""), F.col("pin"))
+    trimmed = F.when((line(0) != "") & (line(0) != F.col("a")), line(0))
+    cleared = F.when((F.col("pin") == "") & F.col("has_pin") & ~F.col("solid"), F.lit(""))
+    entry = lambda n, v, how: F.when(v.isNotNull(), F.struct(F.lit(n).alias("field"), v.alias("new"), F.lit(how).alias("how")))
+    every = [*[entry(n, v, "resolved") for n, v in new.items()], entry("address_1", trimmed, "trimmed"), entry("pin_code", cleared, "cleared")]
+    changes = settled(found.select("set_id", F.explode(F.array_compact(F.array(*every))).alias("c")).select("set_id", "c.*"))
+    rows = results.join(changes, ["set_id", "field"], "left")
+    filled = F.col("how").eqNullSafe("resolved")
+    rows = rows.withColumns({
+        "value": F.coalesce("new", "value"), "score": F.when(filled, F.greatest(F.coalesce("score", F.lit(0)), F.lit(RESOLVED))).otherwise(F.col("score")).cast("long"),
+        "source": F.when(filled, "address_resolver").otherwise(F.col("source")),
+    })
+    flags = changes.where("how = 'resolved'").select("set_id", "field", F.lit("value_resolved_from_combined_address").alias("reason"), F.lit("warning").alias("severity"))
+    return rows.drop("new", "how"), flags
+
+
+def derived_values(results: DataFrame, specs: Sequence[ma.FieldSpec]) -> tuple[DataFrame, DataFrame]:
+    """(results, flags): blank fields that are configured to follow from another field's e-mail address."""
+    wanted = [(s.key, s.derive_from) for s in specs if s.derive_from]
+    none = results.select("set_id", "field", F.lit("").alias("reason"), F.lit("").alias("severity")).where("false")
+    if not wanted:
+        return results, none
+    made = reduce(DataFrame.unionByName, [results.where(F.col("field") == source).select("set_id", F.lit(key).alias("field"), tx.email_domain(F.col("value")).alias("new"), F.lit(f"derived_from_{source}").alias("from")) for key, source in wanted]).where("new is not null")
+    blank = F.coalesce(F.trim("value"), F.lit("")) == ""
+    rows = results.join(made, ["set_id", "field"], "left").withColumn("_use", blank & F.col("new").isNotNull())
+    flags = rows.where("_use").select("set_id", "field", F.lit("value_derived_not_printed").alias("reason"), F.lit("warning").alias("severity"))
+    rows = rows.withColumns({"value": F.when(F.col("_use"), F.col("new")).otherwise(F.col("value")), "score": F.when(F.col("_use"), DERIVED).otherwise(F.col("score")).cast("long"), "source": F.when(F.col("_use"), F.col("from")).otherwise(F.col("source"))})
+    return rows.drop("new", "from", "_use"), flags
+
+
+def extract(
+    spans: DataFrame, specs: Sequence[ma.FieldSpec], rules: Sequence[va.Rule], precedence: Sequence[str] = (),
+    profiles: Sequence[tuple[str, str, str]] = (), pins: DataFrame | None = None, required: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, review, summary). results: (set_id, field, value, score, doc, page, kind, source, status, consistency, alternatives),
+    a row for each set and field.
+
+    spans: (set_id, doc, page, ord, text, x1, y1, x2, y2, confidence), with ``doc_type``, or without it to be
+    classified by ``profiles``. Candidates of all documents of a set are pooled; junk goes unless a field has
+    nothing else; a field's own rules bias the scores; one candidate wins; then come defaults, a combined
+    address, derived values, validation, review and agreement across documents.
+    """
+    typed = spans if "doc_type" in spans.columns else typed_spans(spans, profiles)
+    found = rs.drop_junk(candidates(typed, specs), _by_field(specs, lambda s: F.lower(F.trim("value")).isin(*s.junk) if s.junk else None, F.lit(False)))
+    own = {s.key: [r for r in rules if r.field == s.key and not r.derived] for s in specs}
+    failed = lambda severity: _by_field(specs, lambda s: reduce(Column.__or__, [~_no(r.check(F.col("value"))) for r in own[s.key] if r.severity == severity], F.lit(False)), F.lit(False))
     judged = F.col("field").isin(*[k for k, r in own.items() if r])
-    found = found.withColumn("raw_score", F.col("score")).withColumn("score", va.bias(F.col("score"), judge("error"), judge("warning"), judged))
-    expected = F.coalesce(*[F.when(F.col("field") == s.key, F.col("doc_type").isin(*s.expected_documents)) for s in specs if s.expected_documents], F.lit(False))
-    rank = F.coalesce(*[F.when((F.col("field") == s.key) & (F.col("doc_type") == d), F.lit(i)) for s in specs for i, d in enumerate(s.expected_documents)], F.lit(99))
-    won = rs.choose(found, expected, rank, precedence)
-    status = F.when(judge("error"), "invalid").when(judge("warning"), "warning").when(judged, "valid").otherwise("not_validated")
-    agreed = rs.consistency(found).select("set_id", "field", "consistency")
-    results = won.select("set_id", "field", "value", "score", "doc", "kind", status.alias("status"), "seq").join(agreed, ["set_id", "field"], "left").join(rs.alternatives(found, won), ["set_id", "field"], "left").drop("seq")
+    found = settled(found.withColumn("score", va.bias(F.col("score"), failed("error"), failed("warning"), judged)))
+    expected = _by_field(specs, lambda s: F.col("doc_type").isin(*s.expected_documents) if s.expected_documents else None, F.lit(False))
+    won = rs.choose(found, expected, F.lit(0), precedence)
+    least = _by_field(specs, lambda s: F.lit(int(s.min_accept * 1_000_000)), F.lit(0))
+    junk = _by_field(specs, lambda s: F.lower(F.trim("value")).isin(*s.junk) if s.junk else None, F.lit(False))
+    trusted = found.where(F.col("field").isin(*[s.key for s in specs if s.consistent]) & (F.col("score") >= least) & ~junk)
+    agreed = rs.consistency(trusted).select("set_id", "field", "consistency")
+    results = won.select("set_id", "field", "value", "score", "doc", "page", "kind", "seq").join(rs.alternatives(found, won), ["set_id", "field"], "left").drop("seq")
     every = spans.select("set_id").distinct().withColumn("field", F.explode(F.array(*[F.lit(s.key) for s in specs])))
-    results = every.join(results, ["set_id", "field"], "left").withColumn("status", F.coalesce("status", F.lit("missing")))
-    flagged = rs.review(results, required)
+    results = every.join(results, ["set_id", "field"], "left")
+    default = _by_field(specs, lambda s: F.lit(s.default) if s.default else None, F.lit(None).cast("string"))
+    empty = F.col("value").isNull() & default.isNotNull()
+    results = results.withColumns({"source": F.when(empty, "config_default").when(F.col("value").isNotNull(), F.col("doc").cast("string")), "score": F.when(empty, DEFAULT).otherwise(F.col("score")).cast("long"), "value": F.when(empty, default).otherwise(F.col("value"))})
+    flags = []
+    if any(s.key == "address_1" for s in specs):
+        results, more = combined_address(settled(results), pins)
+        flags.append(more)
+    results, more = derived_values(results, specs)
+    results = settled(results)
+    results = results.join(_findings(results, specs, rules, pins), ["set_id", "field"], "left")
+    swap = (F.col("status") == "invalid") & default.isNotNull()
+    present = F.coalesce(F.trim("value"), F.lit("")) != ""
+    results = results.withColumns({"value": F.when(swap, default).otherwise(F.col("value")), "source": F.when(swap, "config_default").otherwise(F.col("source")), "status": F.when(~present, "missing").when(swap, "valid").otherwise(F.coalesce("status", F.lit("not_validated")))})
+    results = settled(results.join(agreed, ["set_id", "field"], "left").withColumn("consistency", F.coalesce("consistency", F.lit("not_checked"))))
+    flagged = rs.review(results, [*required, *[s.key for s in specs if s.required]], least)
+    for more in (*flags, more):
+        flagged = flagged.unionByName(more)
     return results, flagged, rs.summary(results, flagged)

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from spanforge.functions import text as tx
 from spanforge.operators import address as ad
 from spanforge.operators import evaluate as ev
+from spanforge.operators import layout as lo
 from spanforge.operators import match as ma
 from spanforge.operators import ml
 from spanforge.operators import records as rc
 from spanforge.operators import resolve as rs
+from spanforge.plans.layout_queries import SPECS
 from spanforge.plans.registry import query, view
 
 C = F.col
@@ -310,14 +312,53 @@ def combined_address_backfill(spark: SparkSession, sf: str) -> DataFrame:
     return rs.backfill_location(wide, ad.resolve_address(a, "address"))
 
 
-@query("wrapped_value_join")
+@query("wrapped_value_join", r"""
+WITH t AS (SELECT *, CASE WHEN length(lag(text) OVER w) - length(replace(lag(text) OVER w, ',', '')) >= 2 AND NOT regexp_matches(lag(text) OVER w, '[,;–—]\s*$') AND NOT regexp_matches(text, '^\s*[,;]') THEN ', ' ELSE ' ' END AS sep FROM v_spans WINDOW w AS (PARTITION BY doc_id, page ORDER BY ord))
+SELECT s.doc_id, s.page, s.ord, string_agg(CASE WHEN t.ord = s.ord THEN t.text ELSE concat(t.sep, t.text) END, '' ORDER BY t.ord) AS value
+FROM v_spans s JOIN t ON t.doc_id = s.doc_id AND t.page = s.page AND t.ord BETWEEN s.ord AND s.ord - s.ord % 5 + 3 WHERE s.ord % 5 <> 4 GROUP BY s.doc_id, s.page, s.ord""")
 def wrapped_value_join(spark: SparkSession, sf: str) -> DataFrame:
-    """The first line of each page, with the lines that go on below it."""
-    s = view(spark, sf, "SELECT *, ord % 5 = 4 AS caption FROM v_spans")
-    return ma.wrapped_values(s, s.where("ord % 47 = 0"), ["doc_id", "page"])
+    """From each line that is no caption, the lines that go on below it; every fifth one is a caption."""
+    s = lo.page_lines(view(spark, sf, "SELECT *, ord % 5 = 4 AS caption FROM v_spans"))
+    return ma.wrapped_values(s, s.where("not caption"), ["doc_id", "page"])
 
 
-@query("own_label_strip", "SELECT set_id, doc, seq, value AS bare FROM v_form_spans WHERE field IN ('pan', 'gst_number')")
+@query("own_label_strip", "SELECT set_id, doc, seq, trim(value) AS bare FROM v_form_spans")
 def own_label_strip(spark: SparkSession, sf: str) -> DataFrame:
-    s = view(spark, sf, "SELECT set_id, doc, seq, concat(label, ': ', value) AS text FROM v_form_spans WHERE field IN ('pan', 'gst_number')")
-    return s.select("set_id", "doc", "seq", ma.strip_own_labels(C("text"), ["Permanent Account Number", "GSTIN"]).alias("bare"))
+    """Values behind their caption once, twice, misread, or not at all."""
+    s = view(spark, sf, """SELECT set_id, doc, seq, field, CASE (set_id + doc) % 4 WHEN 0 THEN concat(label, ': ', value) WHEN 1 THEN concat(label, ' - ', label, ' : ', value)
+      WHEN 2 THEN concat(CASE WHEN length(label) > 12 THEN replace(label, 'u', 'v') ELSE label END, ' | ', value) ELSE value END AS text FROM v_form_spans""")
+    bare = ma.strip_own_labels(s.select("field", "text").distinct(), SPECS)
+    return s.join(bare, ["field", "text"]).select("set_id", "doc", "seq", "bare")
+
+
+# One address for each rule of the city, with what it resolves to: rest, city, state, PIN, confidence.
+_CITY_CASES = [
+    ("Shop {k}, Pune, Station Road, Maharashtra 411001", ["Shop {k}", "Station Road"], "Pune", "Maharashtra", "411001", "high"),
+    ("Shop {k}, RAMPURA, WEST, BENGAL", ["Shop {k}"], "Rampura", "West Bengal", "", "medium"),
+    ("Shop {k}, Natibpur, 711302", ["Shop {k}", "Natibpur"], "Howrah", "West Bengal", "711302", "medium"),
+    ("Shop {k}, NOIDA SECTOR 62, Uttar Pradesh", ["Shop {k}", "SECTOR 62"], "Noida", "Uttar Pradesh", "", "medium"),
+    ("Shop {k}, Kondli, DELHI", ["Shop {k}", "Kondli"], "Delhi", "Delhi", "", "medium"),
+    ("Shop {k}, B, GHAZIPUR ROAD, Gujarat", ["Shop {k}", "B", "GHAZIPUR ROAD"], "", "Gujarat", "", "low"),
+    ("Shop {k}, Kolkata, Howrah 711302, India", ["Shop {k}"], "Kolkata", "West Bengal", "711302", "high"),
+    ("Shop {k}, HOWRAH, 711302, Gujarat", ["Shop {k}"], "Howrah", "Gujarat", "711302", "low"),
+    ("Shop {k}\nUdyog Road", ["Shop {k}", "Udyog Road"], "", "", "", "low"),
+    (" , India", [], "", "", "", "low"),
+]
+
+
+def _case(i: int, fill) -> str:
+    return "CASE c_custkey % 10 " + " ".join(f"WHEN {n} THEN {fill(c[i])}" for n, c in enumerate(_CITY_CASES)) + " END"
+
+
+def _filled(text: str) -> str:
+    return "replace('" + text.replace("\n", "' || chr(10) || '") + "', '{k}', cast(c_custkey AS varchar(20)))"
+
+
+_quoted = "'{}'".format
+
+
+@query("city_rules", f"SELECT c_custkey AS k, {_case(1, lambda r: '[' + ', '.join(map(_filled, r)) + ']')} AS rest, {_case(2, _quoted)} AS city, {_case(3, _quoted)} AS state, {_case(4, _quoted)} AS pin, {_case(5, _quoted)} AS confidence FROM customer")
+def city_rules(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, f"SELECT c_custkey AS k, {_case(0, _filled)} AS address FROM customer")
+    pins = spark.sql("SELECT * FROM VALUES ('711302', 'WEST BENGAL', 'Howrah') AS t(pin, state, district)")
+    return ad.resolve_address(rows, "address", pins=pins).select("k", "rest", "city", "state", "pin", "confidence")

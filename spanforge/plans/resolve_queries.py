@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from spanforge.functions import text as tx
 from spanforge.operators import resolve as re_
 from spanforge.operators import validate as va
-from spanforge.plans.layout_queries import _CAND, candidates
 from spanforge.plans.registry import query, view
 
 C = F.col
@@ -91,12 +90,3 @@ def canonical_pivot(spark: SparkSession, sf: str) -> DataFrame:
 def derive_and_default(spark: SparkSession, sf: str) -> DataFrame:
     wide = view(spark, sf, "SELECT k, email, '' AS website, CASE WHEN k % 4 = 3 THEN '' ELSE 'India' END AS country, CASE WHEN k % 4 = 3 THEN '' ELSE 'India' END AS printed FROM v_ids")
     return re_.fill_missing(wide, {"website": tx.email_domain(C("email"))}, {"country": "India"})
-
-
-@query("resolve_fields", "WITH " + _CAND + """, b AS (SELECT *, max(expected) OVER (PARTITION BY set_id, field) AS any_expected FROM (SELECT s.*, (field IN ('pan', 'gst_number')) = (doc = 0) AS expected FROM s)),
-m AS (SELECT *, max(score) OVER (PARTITION BY set_id, field) AS best FROM b WHERE expected = any_expected)
-SELECT set_id, field, value, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY set_id, field ORDER BY CASE doc WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, score DESC, seq) AS n FROM m WHERE best - score <= 50000) WHERE n = 1""")
-def resolve_fields(spark: SparkSession, sf: str) -> DataFrame:
-    """Every set's fields: captions, values beside them, scores, and the winner across the set's documents."""
-    c = candidates(spark, sf).withColumns({"doc_type": F.when(C("doc") == 0, "card").when(C("doc") == 1, "form").otherwise("other"), "kind": F.lit("adjacent"), "expected": C("field").isin("pan", "gst_number") == (C("doc") == 0)})
-    return re_.choose(c, C("expected"), F.lit(0), ["card", "form"]).select("set_id", "field", "value", "doc", "score")

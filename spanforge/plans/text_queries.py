@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import similarity as sim
 from spanforge.functions import text as tx
+from spanforge.operators import match as ma
 from spanforge.operators import validate as va
 from spanforge.plans.registry import query, view
 
@@ -65,29 +66,51 @@ def alias_canonicalize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("email_domain_derive", """
-SELECT k, CASE WHEN email LIKE '%@%' AND split_part(lower(email), '@', 2) <> 'gmail.com' THEN concat('www.', split_part(lower(email), '@', 2)) END AS website FROM v_ids""")
+SELECT k, CASE k % 4 WHEN 0 THEN CASE k % 3 WHEN 0 THEN 'www.b.example.org' WHEN 1 THEN NULL ELSE CASE WHEN k % 5 = 0 THEN 'www.works.example.com' END END WHEN 1 THEN concat('www.shop', k % 50, '.example.com') END AS website FROM v_ids""")
 def email_domain_derive(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "v_ids").select("k", tx.email_domain(C("email")).alias("website"))
-
-
-@query("identifier_rules", """
-WITH n AS (SELECT *, concat(substr(upper(ifsc), 1, 4), substr(upper(ifsc), 5)) AS i, trim(udyam) AS u FROM v_ids), f AS (
-  SELECT k, 'pan' AS field, 'pan_format' AS rule, CASE WHEN pan <> '' THEN regexp_full_match(pan, '[A-Z]{5}[0-9]{4}[A-Z]') END AS ok, 'error' AS severity FROM n
-  UNION ALL SELECT k, 'gst_number', 'gstin_format', regexp_full_match(gstin, '[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]'), 'error' FROM n
-  UNION ALL SELECT k, 'gst_number', 'gstin_contains_pan', substr(gstin, 3, 10) = pan, 'error' FROM n
-  UNION ALL SELECT k, 'gst_number', 'gstin_state_code', CAST(substr(gstin, 1, 2) AS INT) BETWEEN 1 AND 38, 'warning' FROM n
-  UNION ALL SELECT k, 'ifsc', 'ifsc_format', regexp_full_match(ifsc, '[A-Z]{4}0[A-Z0-9]{6}'), 'error' FROM n
-  UNION ALL SELECT k, 'udyam_number', 'udyam_format', CASE WHEN u <> '' THEN regexp_full_match(udyam, 'UDYAM-[A-Z]{2}-[0-9]{2}-[0-9]{7}') END, 'error' FROM n
-  UNION ALL SELECT k, 'email', 'email_format', CASE WHEN email <> '' THEN regexp_full_match(email, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') END, 'error' FROM n
-  UNION ALL SELECT k, 'telephone', 'indian_phone', length(regexp_replace(phone, '[^0-9]', '', 'g')) BETWEEN 10 AND 12, 'error' FROM n
-  UNION ALL SELECT k, 'vendor_name', 'non_empty', trim(name) <> '', 'error' FROM n
-  UNION ALL SELECT k, 'company_type', 'segment_known', lower(trim(c_mktsegment)) IN ('building', 'machinery'), 'warning' FROM n)
-SELECT k, field, rule, ok, severity FROM f WHERE ok IS NOT NULL""")
+    """Free hosts of several countries, dots and spaces at the end, more than one @."""
+    free = "CASE k % 5 WHEN 0 THEN 'me@WORKS.example.com. ' WHEN 1 THEN 'me@yahoo.co.in' WHEN 2 THEN 'me@vsnl.net' WHEN 3 THEN 'me@host' ELSE 'me@Proton.me' END"
+    mails = f"CASE WHEN k % 4 <> 0 THEN email WHEN k % 3 = 0 THEN 'a@b.example.org' WHEN k % 3 = 1 THEN 'x@googlemail.com' ELSE {free} END"
+    return view(spark, sf, f"SELECT k, {mails} AS email FROM v_ids").select("k", tx.email_domain(C("email")).alias("website"))
+
+
+_WIDE = """SELECT k, name AS vendor_name, pan, gstin AS gst_number, ifsc, udyam AS udyam_number, email, phone AS telephone, CASE WHEN k % 10 = 0 THEN concat('0', pin) ELSE pin END AS pin_code,
+  CASE k % 4 WHEN 0 THEN 'west bengal' WHEN 1 THEN 'Maharastra' WHEN 2 THEN 'Atlantis' ELSE ' ' END AS state, CASE WHEN k % 6 = 0 THEN 'Indya' ELSE 'india' END AS country,
+  CASE WHEN k % 5 = 0 THEN concat('12 34', pin) WHEN k % 5 = 1 THEN '123' ELSE concat('1234', pin) END AS account_number, CASE WHEN k % 2 = 0 THEN 'ABCD12345K' ELSE concat('ABCD', cast(k AS string), 'K') END AS tan,
+  CASE WHEN k % 3 = 0 THEN '12345678901234567' WHEN k % 3 = 1 THEN '1234567890123456x' ELSE '' END AS esic_number FROM v_ids"""
+#: A PIN directory that knows two thirds of the PINs.
+_PINS = "SELECT pin, CASE WHEN k % 8 = 0 THEN 'West Bengal' ELSE 'Maharashtra' END AS state, 'Somewhere' AS district FROM v_ids WHERE k % 3 <> 0"
+_RULES = f"""n AS ({_WIDE}), p AS ({_PINS}), f AS (
+  SELECT k, 'vendor_name' AS field, 'non_empty' AS rule, trim(vendor_name) <> '' AS ok, 'error' AS severity FROM n
+  UNION ALL SELECT k, 'pan', 'pan_format', CASE WHEN pan <> '' THEN regexp_full_match(pan, '[A-Z]{{5}}[0-9]{{4}}[A-Z]') END, 'error' FROM n
+  UNION ALL SELECT k, 'gst_number', 'gstin_format', regexp_full_match(gst_number, '[0-9]{{2}}[A-Z]{{5}}[0-9]{{4}}[A-Z][1-9A-Z]Z[0-9A-Z]'), 'error' FROM n
+  UNION ALL SELECT k, 'gst_number', 'gstin_contains_pan', substr(gst_number, 3, 10) = pan, 'error' FROM n
+  UNION ALL SELECT k, 'gst_number', 'gstin_state_code', CAST(substr(gst_number, 1, 2) AS INT) BETWEEN 1 AND 38, 'warning' FROM n
+  UNION ALL SELECT k, 'tan', 'tan_format', regexp_full_match(tan, '[A-Z]{{4}}[0-9]{{5}}[A-Z]'), 'error' FROM n
+  UNION ALL SELECT k, 'esic_number', 'esic_format', CASE WHEN esic_number <> '' THEN regexp_full_match(esic_number, '[0-9]{{17}}') END, 'warning' FROM n
+  UNION ALL SELECT k, 'ifsc', 'ifsc_format', regexp_full_match(ifsc, '[A-Z]{{4}}0[A-Z0-9]{{6}}'), 'error' FROM n
+  UNION ALL SELECT k, 'udyam_number', 'udyam_format', CASE WHEN trim(udyam_number) <> '' THEN regexp_full_match(udyam_number, 'UDYAM-[A-Z]{{2}}-[0-9]{{2}}-[0-9]{{7}}') END, 'error' FROM n
+  UNION ALL SELECT k, 'email', 'email_format', CASE WHEN email <> '' THEN regexp_full_match(email, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}') END, 'error' FROM n
+  UNION ALL SELECT k, 'telephone', 'indian_phone', regexp_full_match(telephone, '[6-9][0-9]{{9}}'), 'error' FROM n
+  UNION ALL SELECT k, 'pin_code', 'pin_format', regexp_full_match(pin_code, '[1-9][0-9]{{5}}'), 'error' FROM n
+  UNION ALL SELECT k, 'state', 'indian_state', CASE WHEN trim(state) <> '' THEN state = 'west bengal' END, 'warning' FROM n
+  UNION ALL SELECT k, 'state', 'pin_matches_state', CASE WHEN trim(n.state) <> '' AND p.state IS NOT NULL THEN CASE n.state WHEN 'west bengal' THEN 'West Bengal' WHEN 'Maharastra' THEN 'Maharashtra' ELSE n.state END = p.state END, 'warning' FROM n LEFT JOIN p ON p.pin = n.pin_code
+  UNION ALL SELECT k, 'country', 'country_name', country = 'india', 'error' FROM n
+  UNION ALL SELECT k, 'account_number', 'account_number_format', regexp_full_match(account_number, '[0-9]{{9,18}}'), 'error' FROM n)"""
+
+
+@query("identifier_rules", f"WITH {_RULES} SELECT k, field, rule, ok, severity FROM f WHERE ok IS NOT NULL")
 def identifier_rules(spark: SparkSession, sf: str) -> DataFrame:
-    wide = view(spark, sf, "SELECT k, name AS vendor_name, pan, gstin AS gst_number, ifsc, udyam AS udyam_number, email, phone AS telephone, c_mktsegment AS company_type FROM v_ids")
+    wide = va.with_pin_state(view(spark, sf, _WIDE), view(spark, sf, _PINS))
     return va.findings(wide, ["k"], va.ID_RULES).select("k", "field", "rule", "ok", "severity")
 
 
+@query("pin_matches_state", f"WITH {_RULES} SELECT k, ok FROM f WHERE rule = 'pin_matches_state' AND ok IS NOT NULL")
+def pin_matches_state(spark: SparkSession, sf: str) -> DataFrame:
+    wide = va.with_pin_state(view(spark, sf, _WIDE), view(spark, sf, _PINS))
+    return wide.select("k", va.pin_state(C("state")).alias("ok")).where("ok is not null")
+
+
 @query("validation_status", """
 WITH n AS (SELECT k, regexp_full_match(gstin, '[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]') AND substr(gstin, 3, 10) = pan AS e, CAST(substr(gstin, 1, 2) AS INT) BETWEEN 1 AND 38 AS w FROM v_ids)
 SELECT k, CASE WHEN NOT e THEN 'invalid' WHEN NOT w THEN 'warning' ELSE 'valid' END AS status FROM n""")
@@ -111,9 +134,11 @@ def glued_scan(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "v_names").select("k", "i", F.get(tx.bounded_or_glued_matches(C("name"), "GOODS|GOODX"), 0).alias("found"))
 
 
-@query("exclude_patterns", "SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '(?i)example\\.net|/es/')")
+@query("exclude_patterns", "SELECT page_id, url AS value FROM pages WHERE NOT coalesce(regexp_matches(url, '(?i)example\\.net|/es/'), false)")
 def exclude_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "pages").where(~C("url").rlike(r"(?i)example\.net|/es/")).select("page_id", "url")
+    rows = view(spark, sf, "pages").select("page_id", F.lit("website").alias("field"), C("url").alias("value"))
+    spec = ma.FieldSpec("website", exclude=[r"(?i)example\.net", "/es/"])
+    return ma.without_excluded(rows, [spec]).drop("field")
 
 
 @query("comparison_keys", """
@@ -143,5 +168,6 @@ def token_ratios(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("partial_alignment")
 def partial_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    s = view(spark, sf, "SELECT set_id, doc, seq, lower(label) AS label, lower(concat(caption, ' ', value)) AS text FROM v_form_spans WHERE doc = 0")
+    """Captions within spans that hold a caption, sometimes misread or behind other letters, and its value."""
+    s = view(spark, sf, "SELECT set_id, doc, seq, lower(label) AS label, lower(concat(CASE WHEN (set_id + seq) % 3 = 0 THEN 'x. ' ELSE '' END, CASE WHEN set_id % 4 = 0 THEN replace(caption, 'N', 'M') ELSE caption END, ' ', value)) AS text FROM v_form_spans")
     return s.select("set_id", "doc", "seq", sim.partial_alignment("label", "text").alias("a")).select("set_id", "doc", "seq", F.bround("a.score", 4).alias("score"), "a.dest_start", "a.dest_end")

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "spanforge", **conf: str) -> SparkSession:
     """UTC, adaptive execution with skew-join handling, Arrow transfer; ``conf`` wins."""
     base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.ui.enabled": "false"}
     return SparkSession.builder.appName(name).config(map=base | conf).getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` worked out once, in files that survive lost executors. They go to ``spark.checkpoint.dir``; where that is
+    unset, as in tests, to a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()

@@ -125,10 +125,10 @@ def test_duplicates_and_updates(spark):
 def test_extract(spark):
     rows = [
         (7, 0, 1, 0, "card", "PAN", 100.0, 100.0, 140.0, 130.0, 1.0), (7, 0, 1, 1, "card", "ABCDE1234F", 160.0, 100.0, 300.0, 130.0, 0.9),
-        (7, 0, 1, 2, "card", "Mobile No: 9876543210", 100.0, 200.0, 400.0, 230.0, 1.0), (7, 1, 1, 0, "other", "see FGHIJ5678K there", 100.0, 100.0, 400.0, 130.0, 1.0),
+        (7, 0, 1, 2, "card", "Mobile No: 9876543210", 100.0, 200.0, 400.0, 230.0, 1.0), (7, 1, 1, 0, "other", "PAN: FGHIJ5678K", 100.0, 100.0, 400.0, 130.0, 1.0),
     ]
     spans = spark.createDataFrame(rows, "set_id int, doc int, page int, ord int, doc_type string, text string, x1 double, y1 double, x2 double, y2 double, confidence double")
-    specs = [ma.FieldSpec("pan", ["PAN"], ["[A-Z]{5}[0-9]{4}[A-Z]"], ["strip", "uppercase"], ["card"]), ma.FieldSpec("telephone", ["Mobile No"], ["[6-9][0-9]{9}"], ["digits_only"]), ma.FieldSpec("email", ["Email"])]
+    specs = [ma.FieldSpec("pan", ["PAN"], ["[A-Z]{5}[0-9]{4}[A-Z]"], ["strip", "uppercase"], ["card"], consistent=True), ma.FieldSpec("telephone", ["Mobile No"], ["[6-9][0-9]{9}"], ["digits_only"]), ma.FieldSpec("email", ["Email"])]
     results, review, summary = extract(spans, specs, va.ID_RULES, required=["email"])
     got = {r.field: r for r in results.collect()}
     assert (got["pan"].value, got["pan"].kind, got["pan"].status, got["pan"].consistency) == ("ABCDE1234F", "adjacent", "valid", "inconsistent")
