@@ -288,3 +288,19 @@ def segment_lines(rows: DataFrame, address: str, key: str = "k", cap: int = 4, k
     # an address of which nothing is left keeps one fragment without a text
     frags = found.select(key, F.struct(*more).alias("_more"), F.posexplode_outer("rest").alias("i", "text"))
     return pack_lines(tail_split(gap_groups(classify_fragments(frags), key), key), key, cap=cap, more="_more").select(key, "lines", "n_groups", "confidence", *[F.col(f"_more.{c}").alias(c) for c in more])
+
+
+def trailing_location(rows: DataFrame, address: str, key: str = "k", pins: DataFrame | None = None) -> DataFrame:
+    """(key, rest, city, state, pin): a combined address in one line."""
+    return resolve_address(rows, address, pins=pins).select(key, F.array_join("rest", ", ").alias("rest"), "city", "state", "pin")
+
+
+def locality_level(tiers: Sequence[Tier] = TIERS) -> int:
+    return next((t.level for t in tiers if t.name == "locality"), UNKNOWN_LEVEL)
+
+
+def weaker(*levels: Column) -> Column:
+    """The weakest of confidences; null ones don't count."""
+    order = ("low", "medium", "high")
+    rank = F.least(*[F.coalesce(*[F.when(c == name, F.lit(i)) for i, name in enumerate(order)], F.lit(None).cast("int")) for c in levels])
+    return F.get(F.array(*[F.lit(x) for x in order]), rank)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import similarity as sim
 from spanforge.functions import text as tx
+from spanforge.operators import address as ad
 
 VERDICTS = ("wrong", "hallucinated", "missed", "correct", "correctly_absent")
 
@@ -57,3 +58,44 @@ def partition_scores(truth: DataFrame, predicted: DataFrame, key: str = "address
 
 def binary_scores(rows: DataFrame, truth: Column, said: Column) -> DataFrame:
     return rows.agg(F.count_if(truth & said).alias("tp"), F.count_if(~truth & said).alias("fp"), F.count_if(truth & ~said).alias("fn"), F.count_if(~truth & ~said).alias("tn"))
+
+
+def partition_means(scores: DataFrame) -> DataFrame:
+    """(addresses, split_match, fuzzy, jaccard, same): means over all addresses, and how many parts are equal."""
+    return scores.agg(F.count("*").alias("addresses"), F.avg(F.col("split_match").cast("double")).alias("split_match"), F.avg("fuzzy").alias("fuzzy"), F.avg("jaccard").alias("jaccard"), F.count_if(F.col("jaccard") == 1.0).alias("same"))
+
+
+def outcome_tally(verdicts: DataFrame) -> DataFrame:
+    """(field, verdict, n)."""
+    return verdicts.groupBy("field", "verdict").agg(F.count("*").alias("n"))
+
+
+def confidence_tally(verdicts: DataFrame, confidence: DataFrame) -> DataFrame:
+    """(confidence, addresses, exact, miscalibrated): confidence (set_id, confidence). High confidence in an address with a
+    fault is miscalibrated, and low confidence in one without."""
+    exact = verdicts.groupBy("set_id").agg(F.bool_and(F.col("verdict").isin("correct", "correctly_absent")).alias("exact"))
+    rows = exact.join(confidence, "set_id")
+    off = (~F.col("exact") & (F.col("confidence") == "high")) | (F.col("exact") & (F.col("confidence") == "low"))
+    return rows.groupBy("confidence").agg(F.count("*").alias("addresses"), F.count_if("exact").alias("exact"), F.count_if(off).alias("miscalibrated"))
+
+
+def baseline_split(rows: DataFrame, address: str, key: str = "address_id") -> DataFrame:
+    """(key, address_1, address_2, split_index): the resolver as a predictor, which keeps an address's rest in one part."""
+    found = ad.resolve_address(rows, address)
+    return found.select(key, F.array_join("rest", ", ").alias("address_1"), F.lit("").alias("address_2"), F.size("rest").alias("split_index"))
+
+
+def usable_truth(truth: DataFrame, allow_unverified: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(truth that counts, rows refused with the reason): truth (set_id, field, value, absent, verified). A row has a value
+    or is marked absent, not both and not neither."""
+    has = F.coalesce(F.trim("value"), F.lit("")) != ""
+    reason = F.when(~F.coalesce("verified", F.lit(False)) & F.lit(not allow_unverified), "unverified").when(has == F.coalesce("absent", F.lit(False)), "value_xor_absent")
+    rows = truth.withColumn("reason", reason)
+    return rows.where("reason is null").select("set_id", "field", F.when(has, F.col("value")).otherwise("").alias("expected")), rows.where("reason is not null")
+
+
+def with_address_id(rows: DataFrame, required: Sequence[str], key: str = "address_id") -> DataFrame:
+    """``rows`` with the key: their own, else a number in their order; a missing required column raises ValueError."""
+    if missing := [c for c in required if c not in rows.columns]:
+        raise ValueError(f"missing columns {missing}")
+    return rows if key in rows.columns else rows.withColumn(key, F.monotonically_increasing_id())

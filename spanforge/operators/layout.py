@@ -109,6 +109,12 @@ def neighbours(refs: DataFrame, others: DataFrame, on: list[str], max_distance:
     return out.where(F.col("direction").isin(*directions)).withColumn("proximity", F.greatest(F.lit(0.0), 1 - F.col("distance_ratio")))
 
 
+def nearest_first(near: DataFrame, on: list[str]) -> DataFrame:
+    """``neighbours`` with ``place``: of each reference the nearest first, at a tie those of its line, then by order."""
+    w = Window.partitionBy(*on, "ref").orderBy("distance_ratio", F.col("same_line").desc(), "other")
+    return near.withColumn("place", F.row_number().over(w) - 1)
+
+
 def glyph_islands(glyphs: DataFrame, on: list[str], order: str = "ord") -> DataFrame:
     """Glyphs (*on, ord, ch, x1, y1, x2, y2) -> spans: a line break, a vertical overlap below 0.5 or a gap beyond 2.5
     median glyph widths starts a new one. White space breaks nothing and is trimmed."""

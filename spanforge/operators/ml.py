@@ -37,15 +37,44 @@ def type_probabilities(vocab: DataFrame) -> DataFrame:
     return known.select("word", "tag", "p").unionByName(prior)
 
 
+def _by_word(probabilities: DataFrame) -> DataFrame:
+    """(word, tags): a row for each known word."""
+    return probabilities.where("word is not null").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("tag", "p"))).alias("tags"))
+
+
+def _prior(probabilities: DataFrame) -> Column:
+    """The tags' shares for words never seen: a constant, so that such words meet no hot key of a join."""
+    return probabilities.where("word is null").agg(F.sort_array(F.collect_list(F.struct("tag", "p")))).scalar()
+
+
+def vocabulary_features(segments: DataFrame, probabilities: DataFrame, tags: Sequence[str]) -> DataFrame:
+    """(segment, p_<tag>.., known): for distinct segments the mean of their words' shares for each tag, in millionths, the
+    prior's for words never seen, and whether any word is known; zeros for an empty segment."""
+    words = segments.select("segment").distinct().select("segment", F.explode(F.split(F.lower(F.trim("segment")), r"\s+")).alias("word"))
+    words = words.join(_by_word(probabilities), "word", "left").withColumns({"held": F.col("tags").isNotNull(), "tags": F.coalesce("tags", _prior(probabilities))})
+    share = lambda t: F.coalesce(F.get(F.filter("tags", lambda x: x["tag"] == t), F.lit(0))["p"], F.lit(0))
+    empty = F.col("word") == ""
+    return words.groupBy("segment").agg(*[F.avg(F.when(empty, 0).otherwise(share(t))).alias(f"p_{t}") for t in tags], F.max(F.when(~empty & F.col("held"), 1.0).otherwise(0.0)).alias("known"))
+
+
+def with_vocabulary(table: DataFrame, addresses: DataFrame, probabilities: DataFrame, tags: Sequence[str]) -> DataFrame:
+    """The cut table with both sides' vocabulary features."""
+    sides = addresses.select("k", F.posexplode("segments").alias("_i", "segment"))
+    features = vocabulary_features(sides, probabilities, tags)
+    sides = sides.join(features, "segment").drop("segment")
+    out = table
+    for side, shift in (("left", 1), ("right", 0)):
+        own = sides.select(F.col("k").alias("_k"), F.col("_i").alias("_at"), *[F.col(c).alias(f"{side}_{c}") for c in features.columns if c != "segment"])
+        out = out.join(own, (F.col("k") == F.col("_k")) & (F.col("cut") - shift == F.col("_at"))).drop("_k", "_at")
+    return out
+
+
 def likely_tags(addresses: DataFrame, probabilities: DataFrame) -> DataFrame:
     """(k, i, segment, tag): for each segment the tag of the largest sum over its words, the first in order at a tie.
     Words never seen count by the prior."""
     seg = addresses.select("k", F.posexplode("segments").alias("i", "segment"))
     words = seg.select("k", "i", F.explode(F.split(F.lower("segment"), r"\s+")).alias("word"))
-    seen = probabilities.where("word is not null").select("word").distinct().withColumn("_known", F.lit(True))
-    words = words.join(seen, "word", "left").withColumn("_w", F.when(F.col("_known"), F.col("word")))
-    p = probabilities.withColumnsRenamed({"word": "_p"})
-    scored = words.join(p, F.col("_w").eqNullSafe(F.col("_p"))).groupBy("k", "i", "tag").agg(F.sum("p").alias("s"))
+    scored = words.join(_by_word(probabilities), "word", "left").withColumn("t", F.explode(F.coalesce("tags", _prior(probabilities)))).groupBy("k", "i", "t.tag").agg(F.sum("t.p").alias("s"))
     best = scored.groupBy("k", "i").agg(F.min_by("tag", F.struct(-F.col("s"), F.col("tag"))).alias("tag"))
     return seg.join(best, ["k", "i"])
 
@@ -72,17 +101,20 @@ def cut_table(addresses: DataFrame) -> DataFrame:
     return rows.select("k", "cut", n.alias("total"), (F.col("cut") / n).alias("ratio"), (n - F.col("cut")).alias("remaining"), *[v.cast("double").alias(k) for k, v in features.items()], (F.col("cut") == F.col("split_index")).cast("int").alias("label"))
 
 
-SURFACE = ("length", "words", "digit_share", "alpha_share", "starts_digit", "has_digit", "is_upper")
-FEATURES = ["cut", "total", "ratio", "remaining", *[f"{side}_{k}" for side in ("left", "right") for k in SURFACE]]
+def held_out(table: DataFrame, seed: int = 42) -> DataFrame:
+    """The tenth of the addresses that ``train`` leaves out."""
+    return table.where(F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(10)) == 0)
 
 
-def train(table: DataFrame, trees: int = 20, depth: int = 8, seed: int = 42) -> PipelineModel:
-    """A forest with balanced classes, on nine tenths of the addresses."""
+def train(table: DataFrame, trees: int = 200, depth: int = 30, seed: int = 42) -> PipelineModel:
+    """A forest with balanced classes, on nine tenths of the addresses; all numeric columns but key and label are features.
+    ``model.write().save`` keeps it, ``PipelineModel.load`` brings it back."""
     part = table.where(F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(10)) != 0)
+    inputs = [c for c, kind in table.dtypes if c not in ("k", "label") and kind in ("int", "bigint", "double")]
     n, ones = part.agg(F.count("*"), F.sum("label")).first()
     weight = F.when(F.col("label") == 1, n / (2 * max(1, ones or 0))).otherwise(n / (2 * max(1, n - (ones or 0))))
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="w", numTrees=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(part.withColumn("w", weight))
+    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), forest]).fit(part.withColumn("w", weight))
 
 
 def predict(model: PipelineModel, table: DataFrame) -> DataFrame:
@@ -91,3 +123,9 @@ def predict(model: PipelineModel, table: DataFrame) -> DataFrame:
     w = Window.partitionBy("k")
     share = F.when(F.sum("p").over(w) > 0, F.col("p") / F.sum("p").over(w)).otherwise(1 / F.count("*").over(w))
     return p.withColumns({"confidence": share, "_n": F.row_number().over(w.orderBy(F.col("p").desc(), "cut"))}).where("_n = 1").select("k", "cut", "confidence")
+
+
+def cut_accuracy(predicted: DataFrame, table: DataFrame) -> DataFrame:
+    """(addresses, right): how many predicted cuts are the labelled ones."""
+    truth = table.where("label = 1").select("k", F.col("cut").alias("_cut"))
+    return predicted.join(truth, "k").agg(F.count("*").alias("addresses"), F.count_if(F.col("cut") == F.col("_cut")).alias("right"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanforge.functions import text as tx
+from spanforge.operators.onboarding import gst_pan
 
 
 def null_if_blank(c: Column) -> Column:
@@ -26,14 +27,14 @@ def nulls_to_blank(rows: DataFrame) -> DataFrame:
 
 def onboarding(wide: DataFrame, bank: Sequence[str] = ("bank_name", "ifsc", "account_type", "account_number")) -> DataFrame:
     """The record a registration form takes: renamed fields, a nested bank part, constants; the PAN from the GSTIN where it
-    is blank, noted in ``derived``; the billing address joined from its lines."""
+    is blank, noted in ``derived``; the billing address joined from its lines. ``onboarding.valid_results`` blanks
+    invalid identifiers before."""
     value = lambda n: F.coalesce(F.col(n), F.lit("")) if n in wide.columns else F.lit("")
-    from_gst = F.substring(value("gst_number"), 3, 10)
-    can = (F.trim(value("pan")) == "") & tx.full_match(from_gst, "[A-Z]{5}[0-9]{4}[A-Z]")
+    pan, can = gst_pan(value("gst_number"), value("pan"))
     lines = [null_if_blank(value(f"address_{i}")) for i in range(1, 5)]
     return wide.select(
         "set_id", value("vendor_name").alias("company_name"), F.concat_ws(", ", *lines).alias("billing_address"), value("city").alias("city"), value("state").alias("state"), value("pin_code").alias("zip_code"),
-        value("gst_number").alias("gst_registration_number"), F.when(can, from_gst).otherwise(value("pan")).alias("pan_number"), F.struct(*[value(b).alias(b) for b in bank]).alias("bank"),
+        value("gst_number").alias("gst_registration_number"), pan.alias("pan_number"), F.struct(*[value(b).alias(b) for b in bank]).alias("bank"),
         F.lit("").alias("contact_name"), F.lit("Services").alias("type"), F.when(can, F.array(F.lit("pan_number"))).otherwise(F.array().cast("array<string>")).alias("derived"),
     )
 
@@ -56,11 +57,13 @@ def find_duplicates(rows: DataFrame, stored: DataFrame, key: str, unique: Sequen
     out = rows.select(key, *unique)
     for i, c in enumerate(unique):
         held = stored.where(F.trim(c) != "").select(F.col(c).alias(f"_u{i}"), F.col(key).alias(f"_o{i}"))
-        # the two smallest ids: the second one where the smallest is the row itself
-        held = held.withColumn("_n", F.row_number().over(Window.partitionBy(f"_u{i}").orderBy(f"_o{i}"))).where("_n <= 2")
-        held = held.groupBy(f"_u{i}").agg(F.min(f"_o{i}").alias(f"_m{i}"), F.max(f"_o{i}").alias(f"_x{i}"))
-        out = out.join(held, null_if_blank(F.col(c)) == F.col(f"_u{i}"), "left")
-        other = F.when(F.col(f"_m{i}") != F.col(key), F.col(f"_m{i}")).when(F.col(f"_x{i}") != F.col(key), F.col(f"_x{i}"))
+        least = held.groupBy(f"_u{i}").agg(F.min(f"_o{i}").alias(f"_m{i}"), F.max(f"_o{i}").alias(f"_x{i}"))
+        out = out.join(least, null_if_blank(F.col(c)) == F.col(f"_u{i}"), "left")
+        # a row that has the smallest id itself takes the next one, if there is one
+        own = out.where((F.col(f"_m{i}") == F.col(key)) & (F.col(f"_x{i}") != F.col(key))).select(F.col(f"_u{i}").alias("_u"), F.col(key).alias("_k")).distinct()
+        after = held.join(own, F.col(f"_u{i}") == F.col("_u")).where(F.col(f"_o{i}") != F.col("_k")).groupBy("_u").agg(F.min(f"_o{i}").alias(f"_s{i}"))
+        out = out.join(after, F.col(f"_u{i}") == F.col("_u"), "left").drop("_u")
+        other = F.when(F.col(f"_m{i}") != F.col(key), F.col(f"_m{i}")).otherwise(F.col(f"_s{i}"))
         out = out.withColumn(f"_d{i}", other)
     ids = [F.col(f"_d{i}") for i in range(len(unique))]
     by = F.coalesce(*[F.when(d.isNotNull(), F.lit(c)) for d, c in zip(ids, unique, strict=True)])
@@ -128,11 +131,12 @@ def mark_pushed(rows: DataFrame, pushed: DataFrame, key: str, enabled: bool = Tr
     return out.withColumn("status", F.when(F.col("outcome") == "pushed", "pushed").otherwise(F.col("status"))).drop("_asked")
 
 
-def fill_cells(record: DataFrame, cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
-    """record: (set_id, field, value) -> (set_id, sheet, cell, field, value, written); unmapped fields go, blanks stay empty."""
+def fill_cells(record: DataFrame, cells: DataFrame, sheets: Sequence[str] = ()) -> DataFrame:
+    """record: (set_id, field, value) -> (set_id, sheet, cell, field, value, written); unmapped fields go, blanks stay empty.
+    sheets: fill each of these in place of the map's own."""
     rows = record.join(F.broadcast(cells), "field")  # the cell map is configuration
-    if sheets is not None:
-        rows = rows.drop("sheet").join(F.broadcast(sheets), how="cross")
+    if sheets:
+        rows = rows.withColumn("sheet", F.explode(F.array(*[F.lit(x) for x in sheets])))
     value = F.coalesce(F.trim("value"), F.lit(""))
     return rows.select("set_id", "sheet", "cell", "field", value.alias("value"), (value != "").alias("written"))
 

@@ -65,6 +65,16 @@ def with_pin_state(wide: DataFrame, directory: DataFrame, pin: str = "pin_code")
     return wide.join(known, F.trim(F.col(pin)) == F.col("_pin"), "left").drop("_pin")
 
 
+def derived(body: dict, at: str) -> Callable[[Column], Column]:
+    """The check of a configured rule that looks at other fields; an unknown one raises KeyError."""
+    kinds: dict[str, Callable[[], Callable[[Column], Column]]] = {
+        "substring_equals": lambda: substring_equals(body["source"], body.get("start") or 0, body.get("end") or 1 << 20, body["target"]),
+        "state_code_valid": lambda: lambda _: F.when(F.trim(F.col(body["source"])) != "", state_code(F.col(body["source"]))),
+        "pin_matches_state": lambda: pin_state,
+    }
+    return kinds[body["rule"]]()
+
+
 # The identifiers' formats, the states, the countries, and the rules with their severities.
 STATES = (
     "Andhra Pradesh", "Arunachal Pradesh", "Assam", "Bihar", "Chhattisgarh", "Goa", "Gujarat", "Haryana", "Himachal Pradesh", "Jharkhand", "Karnataka", "Kerala", "Madhya Pradesh",

