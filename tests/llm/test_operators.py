@@ -56,22 +56,40 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def brute_top(rows, is_query, k=5):
+    ok = [(i, np.floor(256 * np.array(v, "f4").astype("f8")).astype("i8")) for i, v, _ in rows if i is not None and v is not None and None not in v and not any(math.isnan(x) for x in v)]
+    want = []
+    for a, (q, x) in enumerate(ok):
+        if is_query(q):
+            best = sorted((-int(x @ y), i) for b, (i, y) in enumerate(ok) if a != b and len(x) == len(y))[:k]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    return sorted(want)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=12)], 0) for i in range(300)]
-    rows += [(300, None, 0), (301, [float("nan")] * 12, 0), (302, [None] + [1.0] * 11, 0), (None, [1.0] * 12, 0), (303, rows[5][1], 0), (304, [1.0, 2.0], 0), (350, [], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, d int")
+    rows += [(300, None, 0), (301, [float("nan")] * 12, 0), (302, [None] + [1.0] * 11, 0), (None, [1.0] * 12, 0), (303, rows[5][1], 0), (304, [1.0, 2.0], 0), (350, [], 0), (400, [3.0, 1.0], 0), (401, [-3.0, 1.0], 0)]
+    rows += [(100, rows[7][1], 0), (100, rows[8][1], 0), (100, rows[100][1], 0)]  # a query's id again, one of them the same row
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, d int").withColumn("row", F.lit(1)).withColumn("least", F.lit(2))
     got = sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 50 == 0, data_block=64, query_block=4).collect())
-    ok = [(i, np.floor(256 * np.array(v, "f4").astype("f8")).astype("i8")) for i, v, _ in rows if i is not None and v is not None and None not in v and not any(math.isnan(x) for x in v)]
-    want = []
-    for q, x in ok:
-        if q % 50 == 0:
-            best = sorted((-int(x @ y), i) for i, y in ok if i != q and len(x) == len(y))[:5]
-            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
-    assert got == sorted(want)
+    assert got == brute_top(rows, lambda i: i % 50 == 0)
     assert top_k(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_top_k_of_clusters(spark):
+    """Rows far from a block of queries aren't sent to it, and none is missing; huge components, long vectors."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(8, 40)) * 4
+    rows = [(i, [float(x) for x in centres[i % 8] + rng.normal(size=40)], 0) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, d int")
+    assert sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 20 == 0, data_block=50, query_block=8).collect()) == brute_top(rows, lambda i: i % 20 == 0)
+    big = [(i, [float(x) for x in rng.integers(-1e5, 1e5, 300)], 0) for i in range(40)]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<float>, d int")
+    got = top_k(df, F.col("vec_id") % 5 == 0, data_block=16, query_block=4)
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(big, lambda i: i % 5 == 0)
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(6, 32))
@@ -263,7 +281,7 @@ def test_hmm(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["the cat", "Der Hund", "sat", "rare%d" % rng.randrange(400)]) for _ in range(rng.randrange(30)))) for i in range(300)]
     rows += [(700, None), (701, ""), (702, "\u00a0nbsp is no space"), (5, rows[5][1]), (None, "the cat")]
-    s = hmm.HmmSettings(states=3, own_words=3, known_words=40, endings=8, shards=2, segment=16)
+    s = hmm.HmmSettings(states=3, own_words=3, known_words=40, endings=8, shards=2, batch_tokens=16)
     got = hmm.score_documents(wide(spark, rows), s).collect()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
     c = Counter()
