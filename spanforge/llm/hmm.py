@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import fresh_path, written
 
 END = b""
-_FLUSH = 500_000
+#: Distinct words that a worker counts before it passes them on, and texts whose tokens it holds at once.
+_FLUSH, _SLICE = 150_000, 512
 
 
 @dataclass(frozen=True)
@@ -26,7 +27,8 @@ class HmmSettings:
     holds; the counts of others come by a join. So what a worker holds is bounded, and nothing depends on the
     vocabulary's size. shards: parts of the training documents for the first, incremental pass, which updates
     the model after each; a pass over all of them follows. smoothing: tokens of the overall distribution added
-    to each state's counts. segment: sequences are cut at so many tokens for training (never for scoring)."""
+    to each state's counts. batch_tokens: tokens that a worker trains on or scores side by side; a longer text is
+    taken as a whole too, but by itself, and in blocks of so many tokens between which the states carry over."""
 
     states: int = 8
     own_words: int = 8191
@@ -34,7 +36,6 @@ class HmmSettings:
     endings: int = 512
     shards: int = 8
     smoothing: float = 50.0
-    segment: int = 1024
     batch_tokens: int = 1 << 19
     seed: int = 5
 
@@ -57,11 +58,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
     for batch in batches:
         for t in batch.column(0):
-            counts.update(words(t.as_py()))
+            own = words(t.as_py())
+            for at in range(0, len(own), _FLUSH):
+                counts.update(own[at : at + _FLUSH])
+                if len(counts) > _FLUSH:
+                    yield pack()
+                    counts.clear()
             counts[END] += 1
-            if len(counts) > _FLUSH:
-                yield pack()
-                counts.clear()
     yield pack()
 
 
@@ -135,7 +138,11 @@ class Hmm:
         k = len(self.start)
         start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros(self.emit.shape)
         a, b = self.move.astype("f4"), self.emit.astype("f4")
-        for _, steps, active in _side_by_side(sequences, batch_tokens):
+        for x in sequences:
+            if len(x) > batch_tokens:
+                for total, new in zip((start, move, emit), self._long_counts(x, batch_tokens), strict=True):
+                    total += new
+        for _, steps, active in _side_by_side([x for x in sequences if len(x) <= batch_tokens], batch_tokens):
             alphas, seen, scales = [], [], []
             for t, n in enumerate(active):
                 e = b[steps[t, :n]]
@@ -161,6 +168,35 @@ class Hmm:
         return start, move, emit
 
 
+    def _long_counts(self, x: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``expected_counts`` for one long sequence: forward states are kept where blocks begin, and those of
+        a block are worked out again when the backward pass comes to it."""
+
+        def forward(alpha: np.ndarray | None, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            alphas, scales = np.zeros((len(part), len(self.start))), np.zeros(len(part))
+            for t, symbol in enumerate(part):
+                alpha = (self.start if alpha is None else alpha @ self.move) * self.emit[symbol]
+                scales[t] = max(alpha.sum(), 1e-300)
+                alpha = alphas[t] = alpha / scales[t]
+            return alphas, scales
+
+        heads: list[np.ndarray | None] = [None]
+        for at in range(0, len(x) - block, block):
+            heads.append(forward(heads[-1], x[at : at + block])[0][-1])
+        moved, emit, ahead = np.zeros(self.move.shape), np.zeros(self.emit.shape), None
+        for n in range(len(heads) - 1, -1, -1):
+            part = x[n * block : (n + 1) * block]
+            alphas, scales = forward(heads[n], part)
+            for t in range(len(part) - 1, -1, -1):
+                beta = np.ones(len(self.start)) if ahead is None else self.move @ ahead
+                if ahead is not None:
+                    moved += np.outer(alphas[t], ahead)
+                ahead = self.emit[part[t]] * beta / scales[t]
+                alphas[t] *= beta
+            np.add.at(emit, part, alphas)
+        return alphas[0].copy(), moved * self.move, emit
+
+
 def _side_by_side(sequences: list[np.ndarray], batch_tokens: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
     """Batches of sequences, the longest first: their places, their symbols by step, and how many still run at each step."""
     sizes = np.array([len(x) for x in sequences])
@@ -190,8 +226,8 @@ def _encode(batches: Iterator[pa.RecordBatch], lex: Lexicon, s: HmmSettings) ->
     get, end_count = lex.known.get, lex.counts_end
     names = ["doc_id", "held_out", "shard", "rid", "n_tokens", "known", "base", "within", "symbols", "rest", "times"]
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for at in range(0, batch.num_rows, _SLICE // 2):
+            part = batch.slice(at, _SLICE // 2)
             rows: list[tuple] = []
             for t in part.column("text"):
                 own = words(t.as_py())
@@ -213,7 +249,7 @@ def _expect(batches: Iterator[pa.RecordBatch], model: Hmm, s: HmmSettings) -> It
     k = s.states
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape)
     for batch in batches:
-        sequences = [x[i : i + s.segment] for x in (np.frombuffer(b.as_py(), "<u2") for b in batch.column(0)) for i in range(0, len(x), s.segment)]
+        sequences = [np.frombuffer(b.as_py(), "<u2") for b in batch.column(0)]
         for total, new in zip((start, move, emit), model.expected_counts(sequences, s.batch_tokens), strict=True):
             total += new
     rows = np.flatnonzero(emit.any(axis=1))
