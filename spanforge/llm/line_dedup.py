@@ -6,13 +6,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType, StructType
+from pyspark.sql.types import BinaryType, StringType
 
-from spanforge.llm.common import SPACE, ascii_lower, written
+from spanforge.llm.common import SPACE, ascii_lower, scratch, written
 
 #: kinds of rows that a sorted partition streams out
 DROP, PENDING, SUMMARY = 0, 1, 2
@@ -97,26 +96,28 @@ def stream_repeats(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator
         yield _summary(h, top, n)
 
 
-def keep_bitmap(n: int, gone: np.ndarray) -> bytes:
-    """Compressed bits of ``n`` lines, 0 at the places ``gone``."""
-    keep = np.ones(n, bool)
-    keep[np.asarray(gone, "i8")] = False
+def keep_bitmap(gone: np.ndarray) -> bytes:
+    """Compressed bits of lines, 0 at the places ``gone``; it ends with the last one's byte, what comes later stays."""
+    keep = np.ones((int(gone.max()) // 8 + 1) * 8, bool)
+    keep[gone] = False
     return zlib.compress(np.packbits(keep).tobytes(), 1)
 
 
 def kept_text(text: str, bitmap: bytes) -> str:
     """The lines of ``text`` that its keep bitmap keeps, joined."""
     lines = text.split("\n")
-    keep = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), "u1"), count=len(lines))
-    return "\n".join(x for x, k in zip(lines, keep, strict=True) if k)
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), "u1"))[: len(lines)]
+    return "\n".join([x for x, k in zip(lines, bits.tolist(), strict=False) if k] + lines[len(bits) :])
 
 
-@F.pandas_udf(StructType().add("keep", BinaryType()).add("part", StringType()))
-def _kept(text: pd.Series, n_lines: pd.Series, gone: pd.Series) -> pd.DataFrame:
-    """One function for both, as each one in a plan holds a worker process of its own."""
-    keep = [None if g is None else keep_bitmap(n, g) for n, g in zip(n_lines, gone, strict=True)]
-    part = [None if b is None else kept_text(t, b) for t, b in zip(text, keep, strict=True)]
-    return pd.DataFrame({"keep": pd.Series(keep, dtype=object), "part": pd.Series(part, dtype=object)})
+@F.arrow_udf(BinaryType())
+def _bitmaps(gone: pa.Array) -> pa.Array:
+    return pa.array([keep_bitmap(x.values.to_numpy()) for x in gone], pa.binary())
+
+
+@F.arrow_udf(StringType())
+def _kept(text: pa.Array, keep: pa.Array) -> pa.Array:
+    return pa.array([None if not b.is_valid else kept_text(t.as_py(), b.as_py()) for t, b in zip(text, keep, strict=True)], pa.string())
 
 
 def _doc_key(id_col: str) -> Column:
@@ -126,22 +127,24 @@ def _doc_key(id_col: str) -> Column:
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, th, n_dropped, keep): a compressed keep bitmap for each document that loses lines; all others keep theirs.
 
-    ``doc`` is the id (null: the smallest long), ``th`` the XXH64 of the text, so rows that share an id but
+    A written table. ``keep`` is made by ``keep_bitmap`` and read by ``kept_text``. ``doc`` is the id (null: the smallest long), ``th`` the XXH64 of the text, so rows that share an id but
     not a text have bitmaps of their own. A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z
     lower-cased, told apart by two 64-bit hashes; keys shorter than ``min_chars`` code points never count.
     """
-    text = F.col(f"`{text_col}`")
-    doc = docs.select(_doc_key(id_col).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), lines_of(text).alias("lines"))
-    lines = doc.select("doc", "th", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line")).withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
-    key = ascii_lower(F.col("key"))
-    hashed = written(lines.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(min_docs), key).alias("h2"), "doc", "th", "pos"), "line-hashes")
-    ordered = hashed.repartitionByRange(F.col("h1"), F.col("h2"), F.col("doc").desc()).sortWithinPartitions("h1", "h2", F.col("doc").desc(), "pos")
-    out = written(ordered.mapInArrow(lambda it: stream_repeats(it, min_docs), "kind byte, h1 long, h2 long, doc long, th long, pos int, n long"), "line-repeats")
-    # at most two summaries a partition
-    summary = out.where(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.max("doc").alias("top"))
-    late = out.where(F.col("kind") == PENDING).select("h1", "h2", "doc", "th", "pos").join(F.broadcast(summary), ["h1", "h2"]).where((F.col("docs") >= min_docs) & (F.col("doc") != F.col("top")))
-    gone = out.where(F.col("kind") == DROP).select("doc", "th", "pos").unionByName(late.select("doc", "th", "pos"))
-    return gone.groupBy("doc", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    with scratch(docs.sparkSession):
+        text = F.col(f"`{text_col}`")
+        doc = docs.select(_doc_key(id_col).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), lines_of(text).alias("lines"))
+        lines = doc.select("doc", "th", F.posexplode("lines").alias("pos", "line")).withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
+        key = ascii_lower(F.col("key"))
+        hashed = written(lines.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(min_docs), key).alias("h2"), "doc", "th", "pos"), "line-hashes")
+        ordered = hashed.repartitionByRange(F.col("h1"), F.col("h2"), F.col("doc").desc()).sortWithinPartitions("h1", "h2", F.col("doc").desc(), "pos")
+        out = written(ordered.mapInArrow(lambda it: stream_repeats(it, min_docs), "kind byte, h1 long, h2 long, doc long, th long, pos int, n long"), "line-repeats")
+        # at most two summaries a partition
+        summary = out.where(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.max("doc").alias("top"))
+        late = out.where(F.col("kind") == PENDING).select("h1", "h2", "doc", "th", "pos").join(F.broadcast(summary), ["h1", "h2"]).where((F.col("docs") >= min_docs) & (F.col("doc") != F.col("top")))
+        gone = out.where(F.col("kind") == DROP).select("doc", "th", "pos").unionByName(late.select("doc", "th", "pos"))
+        gone = gone.groupBy("doc", "th").agg(F.collect_set("pos").alias("gone"))
+        return written(gone.select("doc", "th", F.size("gone").cast("long").alias("n_dropped"), _bitmaps("gone").alias("keep")), "keep-bitmaps", keep=True)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,10 +157,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     every line stays), under these names even if ``docs`` has such columns (the older ones are replaced).
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "keep")]
-    gone = keep_bitmaps(docs, min_chars, min_docs, id_col, text_col)
+    bitmaps = keep_bitmaps(docs, min_chars, min_docs, id_col, text_col).select("doc", "th", F.col("n_dropped").alias("gone"), "keep")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], _doc_key(id_col).alias("doc"), F.xxhash64(text).alias("th"), text.alias("whole"), F.size(lines_of(F.col(f"`{text_col}`"))).cast("long").alias("lines"))
-    rows = rows.join(gone, ["doc", "th"], "left")
-    rows = rows.withColumn("kept", _kept(F.when(F.col("gone").isNotNull(), F.col("whole")), "lines", "gone"))
-    new = F.when(F.col("kept.keep").isNull(), F.col("whole")).otherwise(F.col("kept.part"))
-    return rows.select(*[new.alias(c) if c == text_col else F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("lines").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.col("kept.keep").alias("keep"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], _doc_key(id_col).alias("doc"), F.xxhash64(text).alias("th"), text.alias("whole"))
+    rows = rows.join(bitmaps, ["doc", "th"], "left").withColumn("part", _kept(F.when(F.col("keep").isNotNull(), F.col("whole")), "keep"))
+    new = F.when(F.col("keep").isNull(), F.col("whole")).otherwise(F.col("part"))
+    n_lines = F.size(lines_of(F.col("whole"))).cast("long")
+    return rows.select(*[new.alias(c) if c == text_col else F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], n_lines.alias("n_lines"), F.coalesce("gone", F.lit(0)).cast("long").alias("n_dropped"), "keep")
