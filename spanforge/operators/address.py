@@ -62,15 +62,30 @@ def strip_pin(segs: Column) -> tuple[Column, Column]:
     return F.filter(F.transform(segs, lambda s, i: F.when(i == at, rest(s)).otherwise(s)), lambda s: s != ""), pin
 
 
-def match_state(segs: Column, states: dict[str, str] = STATES) -> tuple[Column, Column]:
-    """(segments, state): from the end, the first segment that names a state goes, else the first two neighbours that do
-    together."""
+def _step(df: DataFrame, **new: Column) -> DataFrame:
+    """``df`` with new columns, each worked out once: they come out of a generator, as the optimizer would merge plain
+    projections and repeat a step's expressions wherever a later one uses them."""
+    out = df.withColumn("_x", F.explode(F.array(F.struct(*[c.alias(n) for n, c in new.items()]))))
+    return out.select(*[c for c in df.columns if c not in new], "_x.*")
+
+
+def _last(c: Column, test) -> Column:
+    """The place of the last element that passes."""
+    return F.array_max(F.transform(c, lambda x, i: F.when(test(x), i)))
+
+
+def match_state(rows: DataFrame, segs: str, state: str, states: dict[str, str] = STATES) -> DataFrame:
+    """``rows`` whose ``segs`` lose the last segment that names a state, else the last two neighbours that do together; the
+    canonical name is in ``state``."""
     one = F.transform(segs, lambda s: canonical_state(s, states))
-    two = F.transform(segs, lambda s, i: canonical_state(F.concat(s, F.lit(" "), F.get(segs, i + 1)), states))
-    last = lambda c: F.array_max(F.transform(c, lambda s, i: F.when(s.isNotNull(), i)))
-    at, pair = last(one), last(two)
+    out = _step(rows, _one=one)
+    two = F.transform(segs, lambda s, i: canonical_state(F.concat(s, F.lit(" "), F.get(F.col(segs), i + 1)), states))
+    out = _step(out, _at=_last(F.col("_one"), lambda s: s.isNotNull()), _two=F.when(~F.exists("_one", lambda s: s.isNotNull()), two))
+    pair = _last(F.col("_two"), lambda s: s.isNotNull())
+    out = _step(out, _pair=pair)
+    at, pair = F.col("_at"), F.col("_pair")
     rest = F.filter(segs, lambda s, i: F.when(at.isNotNull(), i != at).when(pair.isNotNull(), (i != pair) & (i != pair + 1)).otherwise(True))
-    return rest, F.coalesce(F.get(one, at), F.get(two, pair), F.lit(""))
+    return _step(out, **{state: F.coalesce(F.get("_one", at), F.get("_two", pair), F.lit("")), segs: rest}).drop("_one", "_two", "_at", "_pair")
 
 
 def _tier_conf(text: Column, tiers: Sequence[Tier]) -> tuple[dict[str, Column], Column]:
@@ -100,37 +115,41 @@ def city_prefix(segment: Column, cities: Sequence[str] = CITIES, tiers: Sequence
     return F.coalesce(*cuts)
 
 
-def pick_city(segs: Column, cities: Sequence[str] = CITIES, anchor: Column | None = None, district: Column | None = None, state: Column | None = None) -> tuple[Column, Column, Column]:
-    """(segments, city, whether it was inferred), by the first of these that applies, segments from the end:
+def pick_city(rows: DataFrame, segs: str, cities: Sequence[str] = CITIES) -> DataFrame:
+    """``rows`` (segs, pin, state, _district) with ``city`` and ``_inferred``; by the first of these that applies, segments
+    from the end:
 
     a known city other than the PIN's district; a known city; a segment that is the district; the district itself
     (inferred); a known city's name before a place's in one segment; a state that is a city (inferred); with a
-    state or PIN (``anchor``), the last segment, unless a word of it rules that out or it is premises, a building
-    or a road. The city's segment goes, and repeats of it or of the district at the end; others stay.
+    state or PIN, the last segment, unless a word of it rules that out or it is premises, a building or a road. The
+    city's segment goes, and repeats of it or of the district at the end; others stay.
     """
-    district, state = (F.lit("") if c is None else F.coalesce(c, F.lit("")) for c in (district, state))
     bare = lambda c: F.regexp_replace(F.lower(c), "[ .]", "")
-    own = bare(district)
-    last = lambda test: F.array_max(F.transform(segs, lambda s, i: F.when(test(s), i)))
-    of_district = lambda s: (own != "") & (bare(s) == own)
-    end = F.get(segs, F.size(segs) - 1)
-    words = F.split(F.lower(end), r"\s+")
-    fits = ~F.arrays_overlap(words, F.array(*[F.lit(w) for w in NO_CITY])) & ~end.rlike(r"\A[0-9]+\z") & place_like(end)
-    guess = F.when((F.lit(False) if anchor is None else anchor) & (F.size(segs) > 0) & F.coalesce(fits, F.lit(False)), F.size(segs) - 1)
-    prefixes = F.transform(segs, lambda s: city_prefix(s, cities))
-    split = F.array_max(F.transform(prefixes, lambda p, i: F.when(p.isNotNull(), i)))
-    named = F.coalesce(last(lambda s: known_city(s, cities) & ~of_district(s)), last(lambda s: known_city(s, cities)), last(of_district))
-    from_district = named.isNull() & (own != "")
-    from_prefix = named.isNull() & ~from_district & split.isNotNull()
-    from_state = named.isNull() & ~from_district & ~from_prefix & (state != "") & known_city(state, cities)
-    at = F.coalesce(named, F.when(~from_district & ~from_prefix & ~from_state, guess))
-    token = F.get(segs, at)
-    rest = F.filter(segs, lambda s, i: i != at)
-    repeat = lambda s: (bare(s) == bare(token)) | of_district(s)
-    stays = F.coalesce(F.array_max(F.transform(rest, lambda s, i: F.when(~repeat(s), i + 1))), F.lit(0))
-    left = F.when(at.isNotNull(), F.slice(rest, F.lit(1), stays)).when(from_prefix, F.transform(segs, lambda s, i: F.when(i == split, F.get(prefixes, i)["rest"]).otherwise(s))).otherwise(segs)
-    city = F.when(from_district, district).when(from_prefix, F.get(prefixes, split)["city"]).when(from_state, state).otherwise(token)
-    return left, F.coalesce(tx.titlecase_city(city), F.lit("")), from_district | from_state
+    all_ = F.col(segs)
+    looked = F.transform(all_, lambda s: F.struct(known_city(s, cities).alias("city"), bare(s).alias("bare")))
+    out = _step(rows, _look=looked, _own=bare(F.col("_district")))
+    own, look = F.col("_own"), F.col("_look")
+    of_district = lambda x: (own != "") & (x["bare"] == own)
+    out = _step(out, _at=F.coalesce(_last(look, lambda x: x["city"] & ~of_district(x)), _last(look, lambda x: x["city"]), _last(look, of_district)))
+    named, district = F.col("_at").isNotNull(), F.col("_own") != ""
+    prefixes = F.filter(F.transform(all_, lambda s, i: F.struct(i.alias("i"), city_prefix(s, cities).alias("p"))), lambda x: x["p"].isNotNull())
+    out = _step(out, _split=F.when(~named & ~district, F.element_at(F.when(F.size(prefixes) > 0, prefixes), -1)))
+    of_state = ~named & ~district & F.col("_split").isNull() & (F.col("state") != "") & known_city(F.col("state"), cities)
+    out = _step(out, _of_state=of_state)
+    end = F.get(all_, F.size(all_) - 1)
+    fits = ~F.arrays_overlap(F.split(F.lower(end), r"\s+"), F.array(*[F.lit(w) for w in NO_CITY])) & ~end.rlike(r"\A[0-9]+\z") & place_like(end)
+    open_ = ~named & ~district & F.col("_split").isNull() & ~F.col("_of_state") & ((F.col("state") != "") | (F.col("pin") != "")) & (F.size(all_) > 0)
+    out = _step(out, _at=F.when(open_ & F.coalesce(fits, F.lit(False)), F.size(all_) - 1).otherwise(F.col("_at")))
+    at = F.col("_at")
+    token = F.get(look, at)["bare"]
+    others = F.filter(look, lambda x, i: i != at)
+    stays = F.coalesce(F.array_max(F.transform(others, lambda x, i: F.when((x["bare"] != token) & ~of_district(x), i + 1))), F.lit(0))
+    rest = F.slice(F.filter(all_, lambda s, i: i != at), F.lit(1), stays)
+    split = F.col("_split")
+    left = F.when(at.isNotNull(), rest).when(split.isNotNull(), F.transform(all_, lambda s, i: F.when(i == split["i"], split["p"]["rest"]).otherwise(s))).otherwise(all_)
+    city = F.when(at.isNotNull(), F.get(all_, at)).when(F.col("_own") != "", F.col("_district")).when(split.isNotNull(), split["p"]["city"]).when(F.col("_of_state"), F.col("state"))
+    inferred = at.isNull() & ((F.col("_own") != "") | F.col("_of_state"))
+    return _step(out, **{"city": F.coalesce(tx.titlecase_city(city), F.lit("")), "_inferred": inferred, segs: left}).drop("_look", "_own", "_at", "_split", "_of_state")
 
 
 def resolve_address(rows: DataFrame, address: str, states: dict[str, str] = STATES, cities: Sequence[str] = CITIES, pins: DataFrame | None = None) -> DataFrame:
@@ -140,22 +159,21 @@ def resolve_address(rows: DataFrame, address: str, states: dict[str, str] = STAT
     Low where the text's state isn't the PIN's, or little is found; high with a PIN, a state and a city that the
     text names; medium with two of the three.
     """
-    # each step is a generator's output: projections alone would be merged, and every step's expression repeated in the next
-    step = lambda df, *new: df.withColumn("_x", F.explode(F.array(F.struct(*new)))).select(*[c for c in df.columns if c not in ("_s",)], "_x.*")
-    out = rows.withColumn("_s", drop_country(tx.segments(F.col(address))))
+    out = _step(rows, _s=drop_country(tx.segments(F.col(address))))
     segs, pin = strip_pin(F.col("_s"))
-    out = step(out, pin.alias("pin"), drop_country(segs).alias("_s"))
+    out = _step(out, pin=pin, _s=segs)
+    out = _step(out, _s=drop_country(F.col("_s")))
     if pins is None:
         out = out.withColumns({"_pin_state": F.lit(""), "_district": F.lit("")})
     else:
         known = pins.select(F.col("pin").alias("_pin"), F.coalesce("state", F.lit("")).alias("_pin_state"), F.coalesce("district", F.lit("")).alias("_district"))
         out = out.join(known, F.col("pin") == F.col("_pin"), "left").drop("_pin").fillna("", ["_pin_state", "_district"])
-    segs, state = match_state(F.col("_s"), states)
-    out = step(out, state.alias("_named"), segs.alias("_s"))
-    of_pin = F.coalesce(canonical_state(F.col("_pin_state"), states), F.col("_pin_state"))
+    out = match_state(out, "_s", "_named", states)
+    of_pin = F.coalesce(canonical_state(F.col("_pin_state"), states), F.col("_pin_state")) if pins is not None else F.lit("")
+    out = _step(out, _pin_state=of_pin)
+    of_pin = F.col("_pin_state")
     out = out.withColumn("state", F.when(F.col("_named") != "", F.col("_named")).otherwise(of_pin))
-    segs, city, inferred = pick_city(F.col("_s"), cities, (F.col("state") != "") | (F.col("pin") != ""), F.col("_district"), F.col("state"))
-    out = step(out, city.alias("city"), inferred.alias("_inferred"), segs.alias("rest"))
+    out = pick_city(out, "_s", cities).withColumnRenamed("_s", "rest")
     conflict = (F.col("_named") != "") & (of_pin != "") & (F.col("_named") != of_pin)
     found = (F.col("pin") != "").cast("int") + (F.col("state") != "").cast("int") + (F.col("city") != "").cast("int")
     level = F.when(conflict, "low").when((found == 3) & ~F.col("_inferred"), "high").when(found >= 2, "medium").otherwise("low")
