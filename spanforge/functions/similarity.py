@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
@@ -45,6 +45,12 @@ def ratio_micro(a: Column, b: Column) -> Column:
     return F.when(total == 0, 100_000_000).otherwise(F.floor((F.lit(200_000_000).cast("long") * lcs_length(a, b)) / total)).cast("long")
 
 
+def shared_letters(a: Column, b: Column) -> Column:
+    """At least the length of the longest common subsequence: how many characters of either occur in the other."""
+    within = lambda x, y: F.length(x) - F.length(F.call_function("translate", x, y, F.lit("")))
+    return F.least(within(a, b), within(b, a))
+
+
 def sorted_tokens(c: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(c, r"\s+"), lambda w: w != "")), " ")
 
@@ -85,7 +91,9 @@ def best_window(needle: str, text: str) -> tuple[float, int, int]:
 ALIGNMENT = StructType([StructField("score", DoubleType()), StructField("dest_start", IntegerType()), StructField("dest_end", IntegerType())])
 
 
-@F.pandas_udf(ALIGNMENT)
-def partial_alignment(needle: pd.Series, text: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(ALIGNMENT)
+def partial_alignment(needle: pa.Array, text: pa.Array) -> pa.Array:
     """Alignment of the shorter caption within the text; null strings align as empty ones."""
-    return pd.DataFrame([best_window(a or "", b or "") for a, b in zip(needle, text, strict=True)], columns=["score", "dest_start", "dest_end"])
+    found = [best_window(a or "", b or "") for a, b in zip(needle.to_pylist(), text.to_pylist(), strict=True)]
+    kinds = (pa.float64(), pa.int32(), pa.int32())
+    return pa.StructArray.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names=ALIGNMENT.names)

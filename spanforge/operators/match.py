@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -64,7 +64,8 @@ def caption_hits(spans: DataFrame, labels: DataFrame, on: list[str]) -> DataFram
     """
     texts = spans.select(tx.clean_label(F.col("text")).alias("key"), F.length(F.trim("text")).alias("n")).where("key <> ''").distinct()
     a, b = F.length("key"), F.length("label")
-    possible = (F.col("n") <= 3 * F.col("max_chars")) & (F.lit(2_000_000).cast("long") * F.least(a, b) >= F.col("threshold") * (a + b))
+    enough = lambda n: F.lit(2_000_000).cast("long") * n >= F.col("threshold") * (a + b)
+    possible = (F.col("n") <= 3 * F.col("max_chars")) & enough(F.least(a, b)) & enough(sim.shared_letters(F.col("key"), F.col("label")))
     scored = texts.join(F.broadcast(labels), possible).withColumn("similarity", sim.ratio_micro(F.col("key"), F.col("label")).cast("long") / 100)
     scored = scored.withColumn("similarity", F.floor("similarity").cast("long")).where("similarity >= threshold")
     best = scored.groupBy("key", "field").agg(F.min_by(F.struct("label", "similarity"), F.struct(-F.col("similarity"), F.col("label_ord"))).alias("b")).select("key", "field", "b.*").distinct()
@@ -95,7 +96,8 @@ def label_like(texts: DataFrame, specs: Sequence[FieldSpec], at_least: int = 88)
     known = sorted({x.lower().strip() for s in specs for x in s.labels} - {""})
     labels = texts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in known]).cast("array<string>")).alias("label"))
     a, b = F.length("key"), F.length("label")
-    possible = 200 * F.least(a, b) >= at_least * (a + b)
+    enough = lambda n: 200 * n >= at_least * (a + b)
+    possible = enough(F.least(a, b)) & enough(sim.shared_letters(F.col("key"), F.col("label")))
     pairs = texts.where("key <> ''").select("key").distinct().join(F.broadcast(labels), possible)
     return pairs.where(sim.ratio_micro(F.col("key"), F.col("label")) >= at_least * 1_000_000).select("key").distinct()
 
@@ -173,7 +175,7 @@ def prefixed(texts: DataFrame, specs: Sequence[FieldSpec], max_chars: bool = Tru
     """
     labels = label_table(texts.sparkSession, specs)
     head = F.lower(F.expr("substring(t, 1, length(label) + 2)"))
-    shared = F.length(head) - F.length(F.call_function("translate", head, F.col("label"), F.lit("")))
+    shared = sim.shared_letters(head, F.col("label"))
     possible = (F.length("t") > F.length("label")) & (2_000_000 * shared >= F.col("threshold") * (F.length("label") + shared))
     if max_chars:
         possible = possible & (F.length("t") <= 3 * F.col("max_chars"))
@@ -197,7 +199,8 @@ def label_hits(spans: DataFrame, specs: Sequence[FieldSpec], on: list[str]) -> D
     whole = texts.withColumn("key", tx.clean_label(F.col("t")))
     labels = label_table(spans.sparkSession, specs)
     a, b = F.length("key"), F.length("label")
-    possible = (F.length("t") <= 3 * F.col("max_chars")) & (F.lit(2_000_000).cast("long") * F.least(a, b) >= F.col("threshold") * (a + b))
+    enough = lambda n: F.lit(2_000_000).cast("long") * n >= F.col("threshold") * (a + b)
+    possible = (F.length("t") <= 3 * F.col("max_chars")) & enough(F.least(a, b)) & enough(sim.shared_letters(F.col("key"), F.col("label")))
     whole = whole.join(F.broadcast(labels), possible).withColumn("similarity", F.floor(sim.ratio_micro(F.col("key"), F.col("label")) / 100).cast("long")).where("similarity >= threshold")
     every = whole.select("t", "field", "label_ord", F.lit("").alias("raw"), "label", "similarity").unionByName(prefixed(texts, specs))
     each = every.groupBy("t", "field").agg(F.sort_array(F.collect_list(F.struct("label_ord", "raw", "label", "similarity"))).alias("all"))
@@ -231,22 +234,26 @@ def _onward(row: list[tuple], first: tuple, unit: float) -> str:
     return " ".join(parts)
 
 
-def join_wrapped(page: list[tuple], start: int) -> str:
-    """The value that begins at span ``start``: its row onward, then rows below.
+def join_wrapped(page: list[tuple], *starts: int) -> str | list[str]:
+    """The values that begin at the spans ``starts``: each its row onward, then rows below.
 
     page: (ord, text, x1, y1, x2, y2, line, caption). A row goes on with the value while it lies within 1.6 heights
     of the row before, begins within two heights of the value's left edge, and doesn't begin with a caption.
     """
-    first = next(t for t in page if t[0] == start)
-    unit = first[5] - first[3] if first[5] > first[3] else 1.0
     rows: dict[int, list[tuple]] = {}
     for t in sorted(page, key=lambda t: (t[2], t[0])):
         rows.setdefault(t[6], []).append(t)
+    lines = [(min(t[3] for t in r), max(t[5] for t in r), r) for _, r in sorted(rows.items())]
+    by = {t[0]: t for t in page}
+    out = [_wrapped_value(lines, rows, by[s]) for s in starts]
+    return out[0] if len(starts) == 1 else out
+
+
+def _wrapped_value(lines: list[tuple], rows: dict[int, list[tuple]], first: tuple) -> str:
+    unit = first[5] - first[3] if first[5] > first[3] else 1.0
     value = before = _onward(rows[first[6]], first, unit)
     bottom, centre = first[5], (first[3] + first[5]) / 2
-    for line in sorted(rows):
-        row = rows[line]
-        top, end = min(t[3] for t in row), max(t[5] for t in row)
+    for top, end, row in lines:
         if (top + end) / 2 <= centre:
             continue
         begin = [t for t in row if t[2] <= first[2] + 2 * unit]
@@ -259,19 +266,40 @@ def join_wrapped(page: list[tuple], start: int) -> str:
     return value
 
 
+def _wrapped(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Rows (*on, ord, text, x1, y1, x2, y2, line, caption, start) come page by page; ``n`` columns name the page."""
+
+    def values(pages: list[list[tuple]], schema: pa.Schema) -> pa.RecordBatch:
+        out = []
+        for page in pages:
+            starts = [t[n] for t in page if t[-1]]
+            if starts:
+                found = join_wrapped([t[n:-1] for t in page], *starts)
+                out += [(*page[0][:n], s, v) for s, v in zip(starts, [found] if len(starts) == 1 else found, strict=True)]
+        fields = pa.schema([*(schema.field(i) for i in range(n + 1)), ("value", pa.string())])
+        columns = zip(*out, strict=True) if out else [[] for _ in fields]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    page: list[tuple] = []
+    for batch in batches:
+        pages = []
+        for t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if page and page[0][:n] != t[:n]:
+                pages.append(page)
+                page = []
+            page.append(t)
+        yield values(pages, batch.schema)
+        schema = batch.schema
+    if page:
+        yield values([page], schema)
+
+
 def wrapped_values(spans: DataFrame, starts: DataFrame, on: list[str]) -> DataFrame:
-    """(*on, ord, value): spans (*on, ord, text, x1, y1, x2, y2, line, caption boolean), starts (*on, ord). A page at a time,
-    whose spans are few; pages are spread by the grouping, and those without a start stay where they are."""
+    """(*on, ord, value): spans (*on, ord, text, x1, y1, x2, y2, line, caption boolean), starts (*on, ord). Pages are spread by
+    their keys and pass by one at a time; those without a start stay where they are."""
     begun = starts.select(*on, "ord").distinct()
-    marked = spans.select(*on, "ord", "text", "x1", "y1", "x2", "y2", "line", "caption").join(begun.withColumn("start", F.lit(True)), [*on, "ord"], "left")
+    marked = spans.select(*on, "ord", "text", "x1", "y1", "x2", "y2", "line", "caption").join(begun.select(*on).distinct(), on, "left_semi")
+    marked = marked.join(begun.withColumn("start", F.lit(True)), [*on, "ord"], "left").select(*on, "ord", "text", "x1", "y1", "x2", "y2", "line", "caption", "start")
     kinds = dict(spans.dtypes)
     spec = ", ".join(f"`{c}` {kinds[c]}" for c in on) + f", ord {kinds['ord']}, value string"
-    names = ["ord", "text", "x1", "y1", "x2", "y2", "line", "caption"]
-
-    def one(table: pa.Table) -> pa.Table:
-        page = list(zip(*[table.column(c).to_pylist() for c in names], strict=True))
-        begin = [o for o, s in zip(table.column("ord").to_pylist(), table.column("start").to_pylist(), strict=True) if s]
-        out = {c: [table.column(c)[0].as_py()] * len(begin) for c in on} | {"ord": begin, "value": [join_wrapped(page, o) for o in begin]}
-        return pa.table(out, schema=pa.schema([*(table.schema.field(c) for c in [*on, "ord"]), ("value", pa.string())]))
-
-    return marked.join(begun.select(*on).distinct(), on, "left_semi").groupBy(*on).applyInArrow(one, spec)
+    return marked.repartition(*on).sortWithinPartitions(*on, "ord").mapInArrow(lambda it: _wrapped(it, len(on)), spec)
