@@ -72,7 +72,8 @@ def candidates(spans: DataFrame, specs: Sequence[ma.FieldSpec]) -> DataFrame:
     """
     rows = spans.select(*SPAN, "doc_type", "text", *BOX, F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
     rows = lo.page_lines(rows, tuple(PAGE)).withColumn("key", tx.clean_label(F.col("text")))
-    base = settled(rows.join(ma.label_like(rows, specs).withColumn("_like", F.lit(True)), "key", "left").withColumn("caption", _no(F.col("_like"))).drop("_like", "key"))
+    like = ma.label_like(spans.select(tx.clean_label(F.col("text")).alias("key")), specs)
+    base = settled(rows.join(like.withColumn("_like", F.lit(True)), "key", "left").withColumn("caption", _no(F.col("_like"))).drop("_like", "key"))
     hits = settled(ma.label_hits(base, specs, SPAN))
     meta = base.select(*SPAN, "doc_type", F.floor(F.col("confidence") * 1_000_000 + 0.0001).cast("long").alias("conf"))
     none = F.lit(0).cast("long")
@@ -166,7 +167,7 @@ def extract(
     nothing else; a field's own rules bias the scores; one candidate wins; then come defaults, a combined
     address, derived values, validation, review and agreement across documents.
     """
-    typed = spans if "doc_type" in spans.columns else typed_spans(spans, profiles)
+    typed = spans if "doc_type" in spans.columns else settled(typed_spans(spans, profiles))
     found = rs.drop_junk(candidates(typed, specs), _by_field(specs, lambda s: F.lower(F.trim("value")).isin(*s.junk) if s.junk else None, F.lit(False)))
     own = {s.key: [r for r in rules if r.field == s.key and not r.derived] for s in specs}
     failed = lambda severity: _by_field(specs, lambda s: reduce(Column.__or__, [~_no(r.check(F.col("value"))) for r in own[s.key] if r.severity == severity], F.lit(False)), F.lit(False))
