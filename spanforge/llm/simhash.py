@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import connected_components, written
+from spanforge.llm.common import connected_components, scratch, written
 
 BITS, HALF = 64, 32
 MAX_DISTANCE = 3
@@ -156,7 +156,9 @@ def fingerprint_hex(fp: Column) -> Column:
 #: Texts are near copies where their shingle sets have four fifths in common: Jaccard |a & b| / |a | b| >= 4 / 5.
 PARTS, WHOLE = 4, 5
 #: One document in so many is looked at for common shingles; at most so many of these are held, if seen this often.
-SAMPLED, COMMON, SEEN = 32, 1 << 16, 3
+SAMPLED, COMMON, SEEN = 16, 1 << 17, 2
+#: Bytes of keys that a join may send to every task.
+SMALL = 8 << 20
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -182,27 +184,46 @@ def _prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray
     return own[: len(own) - -(-PARTS * len(own) // WHOLE) + 1] if len(own) else own
 
 
+def parity_bits(own: np.ndarray) -> np.ndarray:
+    """As many bits as shingles, or more, a power of two: a bit tells whether an odd number of them falls on it. The bits
+    in which two sets differ are at most as many as the shingles that one of them lacks."""
+    n = max(64, 1 << max(0, len(own) - 1).bit_length())
+    odd = np.bincount(own & (n - 1), minlength=n) & 1
+    return np.packbits(odd.astype("u1"), bitorder="little").view("<i8")
+
+
+def parity_distance(a: Column, b: Column) -> Column:
+    """The differing bits of two arrays of ``parity_bits``; the longer one is folded to the other's length."""
+    xor = lambda x, y: F.zip_with(x, y, lambda u, v: u.bitwiseXOR(v))
+    half = lambda x: F.floor(F.size(x) / 2).cast("int")
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), xor(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)))).otherwise(x)
+    return F.aggregate(xor(fold(a, b), fold(b, a)), F.lit(0), lambda n, x: n + F.bit_count(x))
+
+
 def _long_lists(lists: list[np.ndarray]) -> pa.Array:
     ends = np.r_[0, np.cumsum([len(x) for x in lists])].astype("i4")
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "i8"), *lists])))
 
 
+_SETS = "id long, digest binary, size long, list array<long>, bits array<long>"
+
+
 def _shingled(batches: Iterator[pa.RecordBatch], shingle: int, common: np.ndarray | None, rank: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, digest of the set, its size, list): the prefixes, or whole sets where ``common`` is None.
-    A batch goes out in pieces of bounded size."""
-    names = ["id", "digest", "size", "list"]
+    """(id, text) -> (id, digest of the set, its size, list, parity bits): the prefixes, or whole sets where ``common`` is
+    None. A batch goes out in pieces of bounded size."""
+    names = ["id", "digest", "size", "list", "bits"]
 
     def out(held: list[tuple]) -> pa.RecordBatch:
-        ids, digests, sizes, lists = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _long_lists(lists)], names)
+        ids, digests, sizes, lists, bits = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _long_lists(lists), _long_lists(bits)], names)
 
     for batch in batches:
         held, n = [], 0
         for i, text in zip(batch.column(0), batch.column(1), strict=True):
             own = shingle_set(text.as_py(), shingle)
             found = own if common is None else _prefix(own, common, rank)
-            held.append((i.as_py(), xxhash.xxh3_128_digest(own.tobytes()), len(own), found))
-            if (n := n + len(found)) > 1 << 20:
+            held.append((i.as_py(), xxhash.xxh3_128_digest(own.tobytes()), len(own), found, parity_bits(own)))
+            if (n := n + len(found)) > 1 << 18:
                 yield out(held)
                 held, n = [], 0
         if held:
@@ -256,28 +277,34 @@ def _set_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(held)
 
 
+def _small(keys: DataFrame, row_bytes: int = 8) -> DataFrame:
+    """``keys``, sent to every task if they take ``SMALL`` bytes at most; other joins with them shuffle."""
+    return F.broadcast(keys) if keys.count() * row_bytes <= SMALL else keys
+
+
 def _common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of a sample's documents that repeat most, sorted, and their ranks. They only order the
     lookup: with any others the links are the same, at another cost."""
-    none = np.zeros(0, "i8")
     few = rows.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
-    sets = few.mapInArrow(lambda it: _shingled(it, shingle, None, None), "id long, digest binary, size long, list array<long>")
+    sets = few.mapInArrow(lambda it: _shingled(it, shingle, None, None), _SETS)
     seen = sets.select(F.explode("list").alias("h")).groupBy("h").count().where(F.col("count") >= SEEN)
-    top = seen.orderBy(F.col("count").desc(), "h").limit(COMMON).collect()
-    if not top:
-        return none, none
-    h, rank = np.array([r.h for r in top], "i8"), np.arange(len(top))[::-1]
+    top = seen.orderBy(F.col("count").desc(), "h").limit(COMMON).toArrow()
+    h, n = top.column("h").to_numpy(), top.column("count").to_numpy()
+    rank = np.zeros(len(h), "i8")
+    rank[np.lexsort((h, -n))] = np.arange(len(h))[::-1]  # the most frequent one comes last of all
     order = np.argsort(h)
     return h[order], rank[order]
 
 
 def similar_links(rows: DataFrame, first: DataFrame, shingle: int = 5, busy: int = 64, block: int = 1024) -> DataFrame:
-    """``rows(id, text)`` and ``first(id, digest, size, list)``, its distinct sets with prefixes -> ``(a, b)``.
+    """``rows(id, text)`` and ``first(id, digest, size, list, bits)``, its distinct sets with prefixes -> ``(a, b)``.
 
     The links connect just what all pairs with Jaccard >= 4/5 would: two such sets share a shingle of their
     prefixes (see ``_prefix``), so a join on those finds every pair. Of what they share, all that comes no later
     than the end of both prefixes is in both, so a pair is passed over only if what the prefixes share and the
-    rest of a set can't be enough; all others are verified by the whole sets.
+    rest of a set can't be enough, or if their parity bits differ in more places than they may have shingles apart.
+    Others are verified by the whole sets, but for pairs that verified ones connect already: first each set's
+    likeliest pair, then what still leads from one component to another.
 
     Shingles in the prefixes of more than ``busy`` sets would give pairs as the square of their number: there
     all are compared with one of them first, and only where this doesn't connect them all they are dealt
@@ -296,13 +323,27 @@ def similar_links(rows: DataFrame, first: DataFrame, shingle: int = 5, busy: int
     more = F.least(*[F.coalesce(F.col(f"hot_{n}"), F.lit(0)) for n in "ab"]) + F.ceil(F.greatest("size_a", "size_b") * PARTS / WHOLE) - 1
     pairs = shared.where((F.col("n") + more) * (PARTS + WHOLE) >= (F.col("size_a") + F.col("size_b")) * PARTS).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     leaders = hot.groupBy("key").agg(F.min("id").alias("a"))
-    pairs = written(pairs.unionByName(hot.join(leaders, "key").where("id <> a").select("a", F.col("id").alias("b"))).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = rows.join(wanted, "id", "left_semi").mapInArrow(lambda it: _shingled(it, shingle, None, None), "id long, digest binary, size long, list array<long>")
-    sets = written(sets.join(first.select("id", "digest"), ["id", "digest"], "left_semi").select("id", "list"), "sets")
-    side = lambda n: sets.select(F.col("id").alias(n), F.col("list").alias(f"of_{n}"))
-    both, total = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    links = written(pairs.join(side("a"), "a").join(side("b"), "b").where(both * (PARTS + WHOLE) >= total * PARTS).select("a", "b").distinct(), "links")
+    pairs = pairs.unionByName(hot.join(leaders, "key").where("id <> a").select("a", F.col("id").alias("b"))).distinct()
+    side = lambda n: first.select(F.col("id").alias(n), F.col("size").alias(f"size_{n}"), F.col("bits").alias(f"bits_{n}"))
+    apart, total = parity_distance(F.col("bits_a"), F.col("bits_b")), F.col("size_a") + F.col("size_b")
+    # |a & b| >= 4/9 (|a| + |b|), so at most a ninth of both sizes' sum is in one of the two only
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(sized).withColumn("apart", apart).where(F.col("apart") * (PARTS + WHOLE) <= total * (WHOLE - PARTS))
+    likely = written(likely.select("a", "b", (F.col("apart") / F.greatest(total, F.lit(1))).alias("apart")), "pairs")
+    wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
+    sets = rows.join(_small(wanted), "id", "left_semi").mapInArrow(lambda it: _shingled(it, shingle, None, None), _SETS)
+    sets = written(sets.join(_small(first.select("id", "digest").join(wanted, "id", "left_semi"), 128), ["id", "digest"], "left_semi").select("id", "list"), "sets")
+
+    def verified(some: DataFrame) -> DataFrame:
+        of = lambda n: sets.select(F.col("id").alias(n), F.col("list").alias(f"of_{n}"))
+        both, each = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
+        return written(some.select("a", "b").join(of("a"), "a").join(of("b"), "b").where(both * (PARTS + WHOLE) >= each * PARTS).select("a", "b").distinct(), "links")
+
+    likeliest = likely.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
+    links = verified(likeliest)
+    joined = connected_components(links)
+    for n in "ab":
+        likely = likely.join(joined.select(F.col("node").alias(n), F.col("component").alias(f"of_{n}")), n, "left").withColumn(f"of_{n}", F.coalesce(f"of_{n}", n))
+    links = links.unionByName(verified(likely.where("of_a <> of_b").join(likeliest, ["a", "b"], "left_anti")))
     if hot.isEmpty():
         return links
     known = connected_components(links).select(F.col("node").alias("id"), "component")
@@ -310,7 +351,9 @@ def similar_links(rows: DataFrame, first: DataFrame, shingle: int = 5, busy: int
     split = rooted.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / block).cast("long").alias("blocks"))
     dealt = hot.select("key", "id").distinct().join(split.where("low <> high").select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "id").join(sets.where(F.size("list") > 0), "id").select("key", "a", "b", "id", "list")
+    whole = rows.join(_small(dealt.select("id").distinct()), "id", "left_semi").mapInArrow(lambda it: _shingled(it, shingle, None, None), _SETS)
+    whole = whole.join(first.select("id", "digest"), ["id", "digest"], "left_semi").where("size > 0").select("id", "list")
+    cells = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "id").join(whole, "id").select("key", "a", "b", "id", "list")
     cells = cells.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
     return links.unionByName(cells.mapInArrow(_set_cells, "a long, b long"))
 
@@ -324,12 +367,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     columns are kept.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null")
-    common, rank = _common_shingles(rows, shingle)
-    sets = written(rows.mapInArrow(lambda it: _shingled(it, shingle, common, rank), "id long, digest binary, size long, list array<long>"), "prefix-sets")
-    least = sets.groupBy("digest").agg(F.min("id").alias("least"))
-    copies = written(sets.select("id", "digest").join(least, "digest").where("id <> least").select("id", "digest").distinct(), "copies")
-    first = sets.join(copies, ["id", "digest"], "left_anti")
-    root = connected_components(similar_links(rows, first, shingle, busy)).where("node <> component").select(F.col("node").alias("id"))
-    kept = first.select("id").distinct().join(root, "id", "left_anti").select(F.col("id").alias("_kept_id"))
+    with scratch(docs.sparkSession):
+        common, rank = _common_shingles(rows, shingle)
+        sets = written(rows.mapInArrow(lambda it: _shingled(it, shingle, common, rank), _SETS), "prefix-sets")
+        least = sets.groupBy("digest").agg(F.min("id").alias("least"))
+        copies = written(sets.select("id", "digest").join(least, "digest").where("id <> least").select("id", "digest").distinct(), "copies")
+        first = sets.join(_small(copies, 128), ["id", "digest"], "left_anti")
+        root = connected_components(similar_links(rows, first, shingle, busy)).where("node <> component").select(F.col("node").alias("id"))
+        gone = written(copies.select("id").distinct().join(first.select("id"), "id", "left_anti").unionByName(root).distinct(), "near-copies", keep=True)
     ident = F.col(f"`{id_col}`").cast("long")
-    return docs.where(ident.isNull()).unionByName(docs.join(kept, ident == F.col("_kept_id"), "left_semi"))
+    return docs.join(_small(gone.withColumnRenamed("id", "_gone_id")), ident == F.col("_gone_id"), "left_anti")
