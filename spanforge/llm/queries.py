@@ -11,11 +11,14 @@ from spanforge.llm.embedding_dedup import near_vectors
 from spanforge.llm.hmm import score_documents
 from spanforge.llm.line_dedup import dedup_lines
 from spanforge.llm.mixing import corpus_mix, mix_counts
+from spanforge.llm.secrets import secret_digests
 from spanforge.llm.simhash import fingerprint_hex, near_groups
+from spanforge.llm.spelling import group_spellings
 from spanforge.llm.toxicity import ToxicityChain, chain_labels
 from spanforge.llm.url_filter import Rule, filter_urls
 from spanforge.llm.vectors import top_k
 from spanforge.llm.warc import archive_round_trip
+from spanforge.llm.whitening import whitened_rows
 
 URL_RULES = [Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "block"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block")]
 
@@ -70,7 +73,19 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_top_k": op1_top_k, "op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op4_warc": op4_warc, "op5_toxicity": op5_toxicity, "op6_embedding_dedup": op6_embedding_dedup, "op7_mixing": op7_mixing, "op8_hmm": op8_hmm, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter}
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {"op1_top_k": op1_top_k, "op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op4_warc": op4_warc, "op5_toxicity": op5_toxicity, "op6_embedding_dedup": op6_embedding_dedup, "op7_mixing": op7_mixing, "op8_hmm": op8_hmm, "op9_simhash": op9_simhash, "op10_url_filter": op10_url_filter, "op11_secrets": op11_secrets, "op12_whitening": op12_whitening, "op13_spelling": op13_spelling}
 
 ORACLES = {
     "op1_top_k": """
