@@ -3,48 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
-from functools import lru_cache, reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-from pyspark.sql.window import Window
 
 from spanforge.functions import text as tx
 from spanforge.functions.places import CITIES, STATES, canonical_state, is_in, known_city
+from spanforge.operators import segment as sg
 
-# Names of the country, gap strengths in hundredths.
+# Names of the country, and words that are no city.
 COUNTRY = ("india", "bharat", "in", "ind")
-STEP, LONG_STEP, BACK_NEAR, BACK, TIER_CHANGE, INJECTED, CUT = 50, 60, 20, 40, 20, 15, 50
-PREMISES_BAND, UNKNOWN_LEVEL, TAIL_RUN = 2, 4, 4
-
-# Words that are no city; costs of splitting glued words (a strong word, a weak one, a sliver, a cut, the least
-# gain), and the lengths of runs and pieces.
 NO_CITY = (
     "india", "bharat", "in", "ind", "near", "opp", "opposite", "behind", "beside", "above", "below", "road", "street", "lane", "marg", "nagar", "colony", "sector", "block",
     "floor", "plot", "no", "gala", "unit", "phase", "part",
 )
-STRONG, WEAK, SLIVER, PER_CUT, MARGIN = 2.0, 0.8, -3.0, 0.5, 0.75
-SHORTEST_RUN, LONGEST_RUN, LONGEST_PIECE, WHOLE_PIECE = 6, 40, 18, 4
-
-
-@dataclass(frozen=True)
-class Tier:
-    name: str
-    level: int
-    head: Sequence[str] = ()
-    tail: Sequence[str] = ()
-    phrases: Sequence[str] = ()
-
-
-TIERS = (
-    Tier("premises", 1, head=("flat", "plot", "shop", "unit", "door"), tail=("floor",)),
-    Tier("building", 2, tail=("tower", "heights", "complex", "building", "house")),
-    Tier("road", 3, tail=("road", "street", "lane", "marg")),
-    Tier("locality", 4, tail=("colony", "sector", "nagar", "layout"), phrases=("industrial area",)),
-)
 
 
 def drop_country(segs: Column) -> Column:
@@ -54,11 +26,11 @@ def drop_country(segs: Column) -> Column:
 
 
 def strip_pin(segs: Column) -> tuple[Column, Column]:
-    """(segments, PIN): the first bounded six digits go from their segment, whose rest stays."""
-    bounded = r"(?<![A-Za-z0-9])([1-9][0-9]{5})(?![A-Za-z0-9])"
+    """(segments, PIN): the first six digits that no other digit is next to leave a space in their segment, whose rest stays."""
+    bounded = r"(?<![0-9])([1-9][0-9]{5})(?![0-9])"
     at = F.array_min(F.transform(segs, lambda s, i: F.when(s.rlike(bounded), i)))
     pin = F.coalesce(F.regexp_extract(F.get(segs, at), bounded, 1), F.lit(""))
-    rest = lambda s: F.regexp_replace(F.regexp_replace(s, bounded, ""), r"^[\s\-–:.]+|[\s\-–:.]+$", "")
+    rest = lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(s, bounded, " "), r"\s+", " "), r"^[\s\-–:.]+|[\s\-–:.]+$", "")
     return F.filter(F.transform(segs, lambda s, i: F.when(i == at, rest(s)).otherwise(s)), lambda s: s != ""), pin
 
 
@@ -88,30 +60,18 @@ def match_state(rows: DataFrame, segs: str, state: str, states: dict[str, str] =
     return _step(out, **{state: F.coalesce(F.get("_one", at), F.get("_two", pair), F.lit("")), segs: rest}).drop("_one", "_two", "_at", "_pair")
 
 
-def _tier_conf(text: Column, tiers: Sequence[Tier]) -> tuple[dict[str, Column], Column]:
-    """Each tier's confidence in the text, null where it doesn't fit; and whether it has a premises' shape."""
-    low = F.lower(F.trim(text))
-    words = F.split(low, r"[\s.]+")
-    first, last = F.element_at(words, 1), F.element_at(words, -1)
-    phrase = lambda t: reduce(Column.__or__, [low.contains(p) for p in t.phrases], F.lit(False))
-    conf = {t.name: F.when(is_in(first, t.head), 90).when(is_in(last, t.tail), 85).when(phrase(t), 80) for t in tiers}
-    return conf, text.rlike(r"^#?[0-9]+[A-Za-z]?(/[0-9]+)?$")
+def place_like(text: Column, taxonomy: sg.Taxonomy = sg.BUILT_IN) -> Column:
+    """Whether a text can be a place: a locality or village by its words, or of no known kind; no premises, building or road."""
+    return sg.classify(text, taxonomy)["tier"].isin("locality", "village", "unknown")
 
 
-def place_like(text: Column, tiers: Sequence[Tier] = TIERS) -> Column:
-    """Whether a text can be a place: a locality by its words, or of no known kind; no premises, building or road."""
-    conf, shape = _tier_conf(text, tiers)
-    tier = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in conf.items()], F.when(shape, F.lit("premises")), F.lit("locality"))
-    return tier == "locality"
-
-
-def city_prefix(segment: Column, cities: Sequence[str] = CITIES, tiers: Sequence[Tier] = TIERS) -> Column:
+def city_prefix(segment: Column, cities: Sequence[str] = CITIES, taxonomy: sg.Taxonomy = sg.BUILT_IN) -> Column:
     """struct(city, rest) of a segment of a known city's name, of three words at most, and a place's; else null."""
     words = F.split(F.trim(segment), r"\s+")
     cuts = []
     for n in (3, 2, 1):  # the longest first
         head, rest = F.array_join(F.slice(words, 1, n), " "), F.array_join(F.slice(words, F.lit(n + 1), F.greatest(F.size(words) - n, F.lit(0))), " ")
-        cuts.append(F.when((F.size(words) > n) & known_city(head, cities) & place_like(rest, tiers), F.struct(head.alias("city"), rest.alias("rest"))))
+        cuts.append(F.when((F.size(words) > n) & known_city(head, cities) & place_like(rest, taxonomy), F.struct(head.alias("city"), rest.alias("rest"))))
     return F.coalesce(*cuts)
 
 
@@ -180,145 +140,21 @@ def resolve_address(rows: DataFrame, address: str, states: dict[str, str] = STAT
     return out.withColumn("confidence", level).drop("_pin_state", "_district", "_named", "_inferred")
 
 
-def classify_fragments(frags: DataFrame, tiers: Sequence[Tier] = TIERS) -> DataFrame:
-    """Fragments (.., text) with tier, level and conf in hundredths: head word 90, tail word 85, phrase 80; two tiers that
-    both fit 50, the first in order wins; a leading number is premises at 60; else unknown, the locality's level, 55."""
-    conf, shape = _tier_conf(F.col("text"), tiers)
-    hits = sum((c.isNotNull().cast("int") for c in conf.values()), F.lit(0))
-    tier = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in conf.items()], F.when(shape, F.lit("premises")), F.lit("unknown"))
-    level = F.coalesce(*[F.when(conf[t.name].isNotNull(), F.lit(t.level)) for t in tiers], F.when(shape, F.lit(1)), F.lit(UNKNOWN_LEVEL))
-    sure = F.when(hits > 1, 50).when(hits == 1, F.coalesce(*conf.values())).when(shape, 60).otherwise(55)
-    return frags.withColumns({"tier": tier, "level": level.cast("int"), "conf": sure.cast("int")})
-
-
-def gap_groups(frags: DataFrame, key: str = "k", order: str = "i") -> DataFrame:
-    """Classified fragments with ``gap`` (hundredths, null for the first) and ``grp``: gaps of 50 and more cut."""
-    w = Window.partitionBy(key).orderBy(order)
-    up = F.col("level") - F.lag("level").over(w)
-    injected = F.coalesce(F.col("injected") | F.lag("injected").over(w), F.lit(False)) if "injected" in frags.columns else F.lit(False)
-    near = (F.col("level") <= PREMISES_BAND) & (F.lag("level").over(w) <= PREMISES_BAND)
-    gap = F.when(up == 1, STEP).when(up > 1, LONG_STEP).when((up < 0) & near, BACK_NEAR).when(up < 0, BACK).otherwise(0)
-    gap = gap + F.when(F.col("tier") != F.lag("tier").over(w), TIER_CHANGE).otherwise(0) - F.when(injected, INJECTED).otherwise(0)
-    rows = frags.withColumn("gap", F.when(up.isNotNull(), F.greatest(gap, F.lit(0))))
-    return rows.withColumn("grp", F.sum(F.when(F.col("gap") >= CUT, 1).otherwise(0)).over(w).cast("int"))
-
-
-def tail_split(groups: DataFrame, key: str = "k", order: str = "i") -> DataFrame:
-    """The last fragment leaves the last group if that ends in four locality-level ones or more and isn't the only group."""
-    back = Window.partitionBy(key).orderBy(F.col(order).desc())
-    whole = Window.partitionBy(key)
-    rows = groups.withColumns({"_last": F.max("grp").over(whole), "_n": F.row_number().over(back)})
-    rows = rows.withColumn("_in", (F.col("grp") == F.col("_last")) & (F.col("level") >= UNKNOWN_LEVEL))
-    run = rows.withColumn("_run", F.min(F.col("_in").cast("int")).over(back))
-    length = F.sum("_run").over(whole)
-    size = F.sum(F.when(F.col("grp") == F.col("_last"), 1)).over(whole)
-    peeled = (F.col("_n") == 1) & (F.col("_last") > 0) & (length >= TAIL_RUN) & (size > 1)
-    return run.withColumns({"peeled": peeled, "grp": F.when(peeled, F.col("grp") + 1).otherwise(F.col("grp"))}).drop("_last", "_n", "_in", "_run")
-
-
-def pack_lines(groups: DataFrame, key: str = "k", order: str = "i", cap: int = 4, more: str | None = None) -> DataFrame:
-    """(key, lines, n_groups, confidence): at most ``cap`` lines; the weakest boundary (the first of equals) gives way
-    first, a peeled last fragment's only at the end. A fold over an address's few groups."""
-    none = F.lit(None).alias("_more") if more is None else F.first(more).alias("_more")
-    lines = groups.groupBy(key, "grp").agg(none, F.array_join(F.sort_array(F.collect_list(F.struct(order, "text")))["text"], ", ").alias("text"), F.min_by("gap", order).alias("gap"), F.max("peeled").alias("peeled"), F.sum(F.when(F.col("text").isNotNull(), F.col("conf"))).alias("conf"), F.count("text").alias("n"))
-    cost = F.when(F.col("grp") == 0, 10_000).when(F.col("peeled"), 5_000).otherwise(F.coalesce("gap", F.lit(0)))
-    has = F.col("n") > 0
-    packed = lines.groupBy(key).agg(F.first("_more").alias("_more"), F.sort_array(F.collect_list(F.when(has, F.struct("grp", cost.alias("cost"), "text")))).alias("g"), F.sum("conf").alias("conf"), F.sum("n").alias("n"), F.count_if(has).alias("n_groups"))
-
-    def merge(s: Column, _: Column) -> Column:
-        costs = F.transform(s, lambda x: x["cost"])
-        at = F.array_position(costs, F.array_min(costs)).cast("int")
-        a, b = F.element_at(s, at - 1), F.element_at(s, at)
-        one = F.struct(a["grp"].alias("grp"), a["cost"].alias("cost"), F.concat(a["text"], F.lit(", "), b["text"]).alias("text"))
-        return F.when(F.size(s) > cap, F.concat(F.slice(s, F.lit(1), F.greatest(at - 2, F.lit(0))), F.array(one), F.slice(s, at + 1, F.size(s)))).otherwise(s)
-
-    steps = F.sequence(F.lit(0), F.greatest(F.size("g") - cap, F.lit(0)))
-    folded = F.aggregate(steps, F.col("g"), merge)
-    mean = F.coalesce(F.try_divide("conf", "n"), F.lit(0.0))
-    return packed.select(key, *([] if more is None else [F.col("_more").alias(more)]), F.transform(folded, lambda x: x["text"]).alias("lines"), "n_groups", F.when(mean >= 70, "high").when(mean >= 45, "medium").otherwise("low").alias("confidence"))
-
-
-@lru_cache(maxsize=8)
-def _roles(tiers: tuple[Tier, ...]) -> tuple[frozenset[str], frozenset[str]]:
-    return frozenset(w for t in tiers for w in t.head), frozenset(w for t in tiers for w in t.tail)
-
-
-def word_break(run: str, strong: frozenset[str], weak: frozenset[str]) -> str:
-    """Splits a glued run of letters into known words if that beats leaving it by ``MARGIN``, with a strong word in it.
-
-    Known words have a worth, other pieces of ``WHOLE_PIECE`` letters and more none; a cut costs ``PER_CUT``.
-    """
-    low, n = run.lower(), len(run)
-    if not SHORTEST_RUN <= n <= LONGEST_RUN or low in strong or low in weak:
-        return run
-    best: list[tuple[float, bool, int]] = [(0.0, False, 0)] + [(-1e9, False, 0)] * n
-    for end in range(1, n + 1):
-        for start in range(max(0, end - LONGEST_PIECE), end):
-            piece = low[start:end]
-            worth = STRONG if piece in strong else WEAK if piece in weak else 0.0 if end - start >= WHOLE_PIECE else SLIVER
-            if worth < 0:
-                continue
-            score = best[start][0] + worth - (PER_CUT if start else 0.0)
-            if (score, best[start][1] or worth == STRONG) > best[end][:2]:
-                best[end] = (score, best[start][1] or worth == STRONG, start)
-    if not best[n][1] or best[n][0] < MARGIN:
-        return run
-    cuts, at = [], n
-    while at:
-        cuts.append(run[best[at][2] : at])
-        at = best[at][2]
-    return " ".join(cuts[::-1])
-
-
-def inject_boundaries(segment: str, heads: frozenset[str], tails: frozenset[str]) -> str:
-    """Commas in a single segment of four words and more: before a head word, after a tail word."""
-    words = segment.split()
-    if "," in segment or len(words) < 4:
-        return segment
-    out = [words[0]]
-    for prev, w in zip(words, words[1:], strict=False):
-        cut = w.lower() in heads and prev.lower() not in heads or prev.lower() in tails
-        out.append((", " if cut else " ") + w)
-    return "".join(out)
-
-
-def deglue(c: Column, known: Sequence[str] = (), tiers: Sequence[Tier] = TIERS) -> Column:
-    """Glued words split, then boundaries in comma-less text; row-wise dynamic programming, so an Arrow UDF."""
-    tiers = tuple(tiers)
-
-    @F.pandas_udf(StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        heads, tails = _roles(tiers)
-        strong, weak = heads | tails, frozenset(known)
-        split = lambda t: " ".join(word_break(w, strong, weak) if w.isalpha() else w for w in t.split(" "))
-        return pd.Series([None if t is None else inject_boundaries(split(t), heads, tails) for t in texts], dtype=object)
-
-    return run(c)
-
-
-def segment_lines(rows: DataFrame, address: str, key: str = "k", cap: int = 4, known: Sequence[str] = (), pins: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def segment_lines(rows: DataFrame, address: str, key: str = "k", cap: int = 4, taxonomy: sg.Taxonomy = sg.BUILT_IN, pins: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(key, lines, n_groups, confidence, city, state, pin, *keep): an address resolved, its rest split into lines.
 
-    One pass: what was resolved travels with the fragments, which are grouped by the key once.
+    One pass: what was resolved travels with the fragments, which are grouped by the key once. Only addresses that
+    may hold glued words pass through Python.
     """
-    found = resolve_address(rows.withColumn("_a", deglue(F.col(address), known)), "_a", pins=pins)
     more = ["city", "state", "pin", *keep]
-    # an address of which nothing is left keeps one fragment without a text
-    frags = found.select(key, F.struct(*more).alias("_more"), F.posexplode_outer("rest").alias("i", "text"))
-    return pack_lines(tail_split(gap_groups(classify_fragments(frags), key), key), key, cap=cap, more="_more").select(key, "lines", "n_groups", "confidence", *[F.col(f"_more.{c}").alias(c) for c in more])
+    glued = sg.can_be_glued(F.col(address), taxonomy)
+    plain, other = (resolve_address(rows.where(test), address, pins=pins).select(key, "rest", F.struct(*more).alias("_more")) for test in (~glued, glued))
+    found = plain.unionByName(other.withColumn("rest", sg.deglued(F.col("rest"), taxonomy)))
+    frags = sg.classify_fragments(sg.fragments(found, "rest", [key, "_more"], taxonomy), taxonomy)
+    grouped = sg.tail_split(sg.gap_groups(sg.trusted(frags, key), key), key, locality_level=taxonomy.locality_level)
+    return sg.pack_lines(grouped, key, cap=cap, more="_more").select(key, "lines", "n_groups", "confidence", *[F.col(f"_more.{c}").alias(c) for c in more])
 
 
 def trailing_location(rows: DataFrame, address: str, key: str = "k", pins: DataFrame | None = None) -> DataFrame:
     """(key, rest, city, state, pin): a combined address in one line."""
     return resolve_address(rows, address, pins=pins).select(key, F.array_join("rest", ", ").alias("rest"), "city", "state", "pin")
-
-
-def locality_level(tiers: Sequence[Tier] = TIERS) -> int:
-    return next((t.level for t in tiers if t.name == "locality"), UNKNOWN_LEVEL)
-
-
-def weaker(*levels: Column) -> Column:
-    """The weakest of confidences; null ones don't count."""
-    order = ("low", "medium", "high")
-    rank = F.least(*[F.coalesce(*[F.when(c == name, F.lit(i)) for i, name in enumerate(order)], F.lit(None).cast("int")) for c in levels])
-    return F.get(F.array(*[F.lit(x) for x in order]), rank)

@@ -14,6 +14,7 @@ from spanforge.operators import ml
 from spanforge.operators import onboarding as ob
 from spanforge.operators import records as rc
 from spanforge.operators import resolve as rs
+from spanforge.operators import segment as sg
 from spanforge.plans.layout_queries import SPECS
 from spanforge.plans.registry import query, view
 
@@ -28,13 +29,18 @@ def address_resolve(spark: SparkSession, sf: str) -> DataFrame:
     return ad.resolve_address(view(spark, sf, "SELECT k, address FROM v_addresses"), "address").select("k", "rest", "city", "state", "pin", "confidence")
 
 
-_FRAG = """WITH f AS (SELECT k, unnest([0, 1, 2, 3]) AS i, unnest([premises, building, road, locality]) AS text FROM v_addresses WHERE k % 9 <> 0),
-t AS (SELECT *, CASE WHEN regexp_matches(lower(text), '^(flat|plot|shop)') OR regexp_matches(lower(text), 'floor$') THEN 'premises' WHEN regexp_matches(lower(text), '(tower|heights|complex)$') THEN 'building' WHEN regexp_matches(lower(text), '(road|street|lane)$') THEN 'road' WHEN regexp_matches(lower(text), '(colony|sector)$') THEN 'locality' ELSE 'unknown' END AS tier FROM f),
-c AS (SELECT *, CASE tier WHEN 'premises' THEN 1 WHEN 'building' THEN 2 WHEN 'road' THEN 3 ELSE 4 END AS level, CASE WHEN tier = 'unknown' THEN 55 WHEN regexp_matches(lower(text), '^(flat|plot|shop)') THEN 90 ELSE 85 END AS conf FROM t)"""
+#: Every address's parts, one of them glued, and a fragment that only its shape or a conflict tells.
+_SHAPES = "CASE k % 7 WHEN 0 THEN '12/3' WHEN 1 THEN 'No 7' WHEN 2 THEN 'Tower B' WHEN 3 THEN '2nd' WHEN 4 THEN 'Near Park' WHEN 5 THEN '#4' ELSE 'B-12' END"
+_FRAG = f"""WITH f AS (SELECT k, unnest([0, 1, 2, 3, 4, 5]) AS i, unnest([premises, building, road, locality, replace(building, ' ', ''), {_SHAPES}]) AS text FROM v_addresses),
+t AS (SELECT *, CASE WHEN text = 'Near Park' THEN 'estate' WHEN text = 'Tower B' THEN 'structure' WHEN regexp_matches(text, '^(Flat|Plot|Shop|No|#)|^(B-)?[0-9]') THEN 'premises' WHEN regexp_matches(text, '(Tower|Heights|Complex)$') THEN 'building'
+  WHEN regexp_matches(text, '(Road|Street|Lane)$') THEN 'road' WHEN regexp_matches(text, 'Colony$') THEN 'locality' WHEN text = 'Nandigram' THEN 'village' ELSE 'unknown' END AS tier FROM f),
+c AS (SELECT *, CASE tier WHEN 'premises' THEN 1 WHEN 'structure' THEN 1 WHEN 'building' THEN 2 WHEN 'estate' THEN 2 WHEN 'road' THEN 3 WHEN 'village' THEN 5 ELSE 4 END AS level,
+  CASE WHEN tier = 'unknown' THEN 55 WHEN i = 4 OR tier = 'village' THEN 75 WHEN i < 4 THEN 100 ELSE [70, 80, 80, 85, 50, 80, 70][k % 7 + 1] END AS conf FROM t)"""
 
 
 def _frags(spark: SparkSession, sf: str) -> DataFrame:
-    return ad.classify_fragments(view(spark, sf, "SELECT k, premises, building, road, locality FROM v_addresses WHERE k % 9 <> 0").select("k", F.posexplode(F.array("premises", "building", "road", "locality")).alias("i", "text")))
+    parts = F.array("premises", "building", "road", "locality", F.replace("building", F.lit(" "), F.lit("")), F.expr(_SHAPES))
+    return sg.classify_fragments(view(spark, sf, "v_addresses").select("k", F.posexplode(parts).alias("i", "text")))
 
 
 @query("classify_fragments", _FRAG + " SELECT * FROM c")
@@ -48,7 +54,7 @@ g AS (SELECT *, CASE WHEN up IS NOT NULL THEN CASE WHEN up = 1 THEN 50 WHEN up >
 
 @query("gap_groups", _GAPS + " SELECT k, i, tier, gap, CAST(sum(CASE WHEN gap >= 50 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) AS INT) AS grp FROM g")
 def gap_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return ad.gap_groups(_frags(spark, sf)).select("k", "i", "tier", "gap", "grp")
+    return sg.gap_groups(_frags(spark, sf)).select("k", "i", "tier", "gap", "grp")
 
 
 @query("tail_split", """WITH l AS (SELECT doc_id AS k, line_no AS i, CASE WHEN length(text) > 60 THEN 4 ELSE 1 END AS level FROM v_lines),
@@ -58,18 +64,24 @@ s AS (SELECT *, count(*) FILTER (WHERE grp = last) OVER (PARTITION BY k) AS size
 SELECT k, i, CAST(grp + CASE WHEN n = 1 AND last > 0 AND size > 1 AND sum(run) OVER (PARTITION BY k) >= 4 THEN 1 ELSE 0 END AS INT) AS grp FROM s""")
 def tail_split(spark: SparkSession, sf: str) -> DataFrame:
     f = view(spark, sf, "SELECT doc_id AS k, line_no AS i, text, CASE WHEN length(text) > 60 THEN 4 ELSE 1 END AS level, CASE WHEN length(text) > 60 THEN 'locality' ELSE 'premises' END AS tier, 50 AS conf FROM v_lines")
-    return ad.tail_split(ad.gap_groups(f)).select("k", "i", "grp")
+    return sg.tail_split(sg.gap_groups(f)).select("k", "i", "grp")
 
 
-@query("segment_lines")
+@query("segment_lines", """WITH p AS (SELECT *, road = 'Park Street' AS named, CASE locality WHEN 'East Sector' THEN concat('East, Sector ', city) WHEN 'Haripur Colony' THEN concat(locality, ', ', city) ELSE concat(locality, ' ', city) END AS area FROM v_addresses)
+SELECT k, CASE WHEN k % 9 <> 0 THEN [premises, building, road, locality] WHEN named THEN [premises, concat(building, ' ', road), area] ELSE [concat(premises, ', ', building), road, area] END AS lines,
+  CASE WHEN k % 9 = 0 AND named THEN 3 ELSE 4 END AS n_groups, CASE WHEN k % 9 = 0 THEN 'medium' ELSE 'high' END AS confidence, CASE WHEN k % 9 = 0 THEN '' ELSE city END AS city,
+  CASE WHEN k % 9 = 0 THEN '' WHEN state = 'KARNATAKA' THEN 'Karnataka' WHEN state = 'Maharastra' THEN 'Maharashtra' ELSE state END AS state, CASE WHEN k % 9 <> 0 AND k % 3 <> 0 THEN pin ELSE '' END AS pin FROM p""")
 def segment_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return ad.segment_lines(view(spark, sf, "SELECT k, address FROM v_addresses"), "address", known=("sunrise", "lake", "green", "canal", "station", "park", "ring", "temple"))
+    return ad.segment_lines(view(spark, sf, "SELECT k, address FROM v_addresses"), "address")
 
 
-@query("deglue_runs")
+@query("deglue_runs", """SELECT k, [CASE WHEN premises = 'Shop 3' THEN 'Shop3' ELSE premises END, building, CASE WHEN road = 'Park Street' THEN 'ParkStreet' ELSE road END, replace(locality, ' ', ''), city] AS split,
+  list_concat(CASE WHEN road = 'Park Street' THEN [premises, concat(building, ' ', road)] ELSE [premises, building, road] END, CASE WHEN locality = 'East Sector' THEN ['East', 'Sector'] ELSE [locality] END) AS bounded FROM v_addresses""")
 def deglue_runs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "SELECT k, replace(building, ' ', '') AS glued, concat(premises, ' ', building, ' ', road, ' ', locality) AS bare FROM v_addresses")
-    return rows.select("k", ad.deglue(C("glued"), ("sunrise", "lake", "green")).alias("split"), ad.deglue(C("bare")).alias("bounded"))
+    """Each part without its blanks; those of one role side by side, place names and short runs stay glued. The whole without commas."""
+    rows = view(spark, sf, "v_addresses")
+    parts = F.array(*[F.replace(c, F.lit(" "), F.lit("")) for c in ("premises", "building", "road", "locality", "city")])
+    return rows.select("k", sg.deglued(parts).alias("split"), sg.bounded(F.concat_ws(" ", "premises", "building", "road", "locality")).alias("bounded"))
 
 
 @query("onboarding_record", r"""SELECT k AS set_id, name AS company_name, concat_ws(', ', 'Flat 1', CASE WHEN k % 2 = 0 THEN 'Canal Road' END) AS billing_address, '' AS city, '' AS state, pin AS zip_code, gstin AS gst_registration_number,

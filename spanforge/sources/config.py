@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from spanforge.functions import text as tx
 from spanforge.operators import validate as va
-from spanforge.operators.address import Tier
+from spanforge.operators.segment import Taxonomy, Tier
 from spanforge.operators.match import FieldSpec
 from spanforge.operators.validate import Rule
 
@@ -120,13 +120,15 @@ def profiles(path: str) -> list[tuple[str, str, str]]:
     return [(name, where, str(w)) for name, p in found.items() for where in ("filename", "content") for w in (p or {}).get(f"{where}_keywords") or ()]
 
 
-def tiers(path: str) -> tuple[Tier, ...]:
-    """Address tiers; nothing if the file is missing or malformed, so that addresses stay whole."""
+def taxonomy(path: str) -> Taxonomy:
+    """Address tiers, their priority and connectors; no tiers if the file is missing or malformed, so that addresses stay whole."""
+    words = lambda x: tuple(str(w).lower() for w in x or ())
     try:
-        body = read_yaml(path).get("tiers") or {}
-        return tuple(Tier(name, int(t["level"]), *(tuple(str(w).lower() for w in t.get(k) or ()) for k in ("head", "tail", "any"))) for name, t in body.items())
+        body = read_yaml(path)
+        tiers = tuple(Tier(n, int(t["level"]), words(t.get("head")), words(t.get("tail")), words(t.get("any")), n == "structural") for n, t in (body.get("tiers") or {}).items())
+        return Taxonomy(tiers, words(body.get("conflict_priority")), words(body.get("connectors")))
     except (ConfigError, KeyError, TypeError, ValueError, AttributeError):
-        return ()
+        return Taxonomy(())
 
 
 def mappings(folder: str) -> list[str]:

@@ -99,14 +99,6 @@ def test_address_loses_nothing(spark):
     assert (lines[3].city, lines[3].pin) == ("Pune", "411001")
 
 
-def test_word_break():
-    strong, weak = frozenset({"road", "tower"}), frozenset({"canal"})
-    assert ad.word_break("canalroad", strong, weak) == "canal road"
-    assert ad.word_break("tower", strong, weak) == "tower"
-    assert ad.word_break("nothing", strong, weak) == "nothing"
-    assert ad.inject_boundaries("Flat 2 Lake Tower Canal Road", frozenset({"flat"}), strong) == "Flat 2 Lake Tower, Canal Road"
-
-
 def test_choose_prefers_expected_then_near_ties(spark):
     rows = [(1, "f", 0, "a", 1, "x", 900_000, "inline"), (1, "f", 1, "b", 2, "y", 700_000, "adjacent"), (1, "f", 2, "b", 3, "z", 660_000, "inline")]
     c = spark.createDataFrame(rows, "set_id int, field string, doc int, doc_type string, seq int, value string, score long, kind string")
@@ -198,9 +190,9 @@ def test_rules_and_cross_check(spark, tmp_path):
         r.write_text(f"validators:\n  v: {bad}\n")
         with pytest.raises(config.ConfigError, match="v"):
             config.rules(str(r))
-    assert config.tiers(str(tmp_path / "none.yaml")) == () and config.profiles(str(tmp_path / "none.yaml")) == [] and config.mappings(str(tmp_path / "none")) == []
+    assert config.taxonomy(str(tmp_path / "none.yaml")).tiers == () and config.profiles(str(tmp_path / "none.yaml")) == [] and config.mappings(str(tmp_path / "none")) == []
     (tmp_path / "t.yaml").write_text("tiers:\n  road: {level: 3, tail: [Road]}\n")
-    assert config.tiers(str(tmp_path / "t.yaml"))[0].tail == ("road",) and config.mappings(str(tmp_path)) == ["fields", "rules", "t"]
+    assert config.taxonomy(str(tmp_path / "t.yaml")).tiers[0].tail == ("road",) and config.mappings(str(tmp_path)) == ["fields", "rules", "t"]
     assert config.all_present(str(f)) and not config.all_present(str(f), str(tmp_path / "no")) and len(config.new_run_id()) == 10
     wrong = config.failed_examples(spark, [ma.FieldSpec("pan", patterns=["[A-Z]{3}"])], [("pan", "ABC", True), ("pan", "abc", True), ("pan", "XYZ", False)])
     assert {r.text for r in wrong.collect()} == {"abc", "XYZ"}
