@@ -72,47 +72,69 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return leaves.join(above.withColumnRenamed("amount", "budget"), names, "left").withColumn("budget", F.coalesce("budget", F.lit(0)))
 
 
-def mix_counts(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, *names, n_tokens, copies): how often each row of ``docs`` is in the mix.
+#: Rows of one place in the order that are summed up together.
+_BUCKET = 1 << 16
 
-    A leaf with budget b and t tokens gives b div t whole epochs, and of the next epoch the documents before
-    the first that would exceed the rest; an epoch's order is that of md5(seed:epoch:id). The order falls into 4,096 ranges by
-    its first three digits; token sums by range find the one where the budget ends, and only that range's
-    rows are sorted, so a hot leaf is never gathered.
 
-    A row without words costs nothing and comes with its place in the order; a leaf without any words gives
-    none. Rows that share an id (or a null id, taken as empty) stand next to each other in the order and each
-    count; extra columns play no part; an empty table gives no rows.
-    """
+def _mix_columns(mix: Mix, id_col: str, text_col: str) -> list[Column]:
+    """row, doc_id, the levels and n_tokens."""
+    levels = [F.coalesce(c.cast("string"), F.lit("")) for c in mix.levels]
+    return [F.monotonically_increasing_id(), F.col(f"`{id_col}`").cast("long"), *levels, token_count(F.col(f"`{text_col}`"))]
+
+
+def _row_counts(rows: DataFrame, mix: Mix) -> DataFrame:
+    """(row, doc_id, *names, n_tokens, copies) of a table of (row, doc_id, *names, n_tokens)."""
     names = list(mix.names)
-    levels = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip(mix.levels, names, strict=True)]
-    rows = written(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *levels, token_count(F.col(f"`{text_col}`")).alias("n_tokens")), "mix-rows")
     leaves = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
     plan = leaf_budgets(leaves, mix).select(*names, F.expr("if(tokens = 0, 0, budget div tokens)").alias("epochs"), F.expr("if(tokens = 0, -1, budget % tokens)").alias("rest"))
     plan = written(plan.coalesce(1), "mix-plan")
     digest = F.md5(F.concat_ws(":", F.lit(mix.seed), "epochs", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     dealt = rows.join(plan, names).withColumn("place", digest).withColumn("range", F.substring("place", 1, 3))
-    ranges = dealt.groupBy(*names, "range").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
-    up = Window.partitionBy(*names).orderBy("range")
-    ranges = ranges.withColumn("upto", F.sum("n").over(up)).where("upto > rest")
-    # the first range that exceeds the rest: one row a leaf
-    ends = ranges.groupBy(*names).agg(F.min_by(F.struct("range", (F.col("upto") - F.col("n")).alias("base")), "range").alias("e"))
-    ends = written(ends.select(*names, F.col("e.range").alias("end"), F.col("e.base").alias("base")).coalesce(1), "mix-ends")
-    placed = dealt.join(ends, names, "left").withColumn("end", F.coalesce("end", F.lit("~")))
-    within = Window.partitionBy(*names).orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = dealt.withColumn("at", F.struct("place", F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.expr(f"row div {_BUCKET}").alias("b")))
+
+    def ends(rows: DataFrame, key: str, base: Column, name: str) -> DataFrame:
+        """(*names, end, base): the first ``key`` of each leaf whose sum exceeds the rest, and the tokens before it."""
+        parts = rows.groupBy(*names, key).agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"), F.first(base).alias("from"))
+        upto = parts.withColumn("upto", F.col("from") + F.sum("n").over(Window.partitionBy(*names).orderBy(key))).where("upto > rest")
+        first = upto.groupBy(*names).agg(F.min_by(F.struct(key, (F.col("upto") - F.col("n")).alias("base")), key).alias("e"))
+        return written(first.select(*names, F.col(f"e.{key}").alias("end"), F.col("e.base").alias("base")).coalesce(1), name)
+
+    placed = dealt.join(ends(dealt, "range", F.lit(0).cast("long"), "mix-ends"), names, "left").withColumn("end", F.coalesce("end", F.lit("~")))
     sure = placed.where("range <> end").withColumn("last", F.expr("range < end and rest >= 0"))
-    edge = placed.where("range = end").withColumn("last", (F.col("base") + F.sum("n_tokens").over(within)) <= F.col("rest"))
-    out = sure.unionByName(edge)
-    return out.select("doc_id", *names, "n_tokens", (F.col("epochs") + F.col("last").cast("long")).alias("copies"))
+    edge = placed.where("range = end")
+    near = edge.drop("end", "base").join(ends(edge, "at", F.col("base"), "mix-edges"), names)
+    within = Window.partitionBy(*names).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    cut = near.where("at = end").withColumn("last", (F.col("base") + F.sum("n_tokens").over(within)) <= F.col("rest"))
+    columns = ["row", "doc_id", *names, "n_tokens", (F.col("epochs") + F.col("last").cast("long")).alias("copies")]
+    before = near.where("at <> end").withColumn("last", F.expr("at < end"))
+    return sure.select(columns).unionByName(before.select(columns)).unionByName(cut.select(columns))
+
+
+def mix_counts(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, *names, n_tokens, copies): how often each row of ``docs`` is in the mix.
+
+    A leaf with budget b and t tokens gives b div t whole epochs, and of the next epoch the documents before
+    the first that would exceed the rest; an epoch's order is that of md5(seed:epoch:id). The order falls into 4,096 ranges by
+    its first three digits; token sums by range find the one where the budget ends, sums by place in the order
+    then the place, and only rows of one place, 65,536 at most, are numbered one by one. So neither a hot leaf nor an id that many rows
+    share is ever gathered.
+
+    A row without words costs nothing and comes with its place in the order; a leaf without any words gives
+    none. Rows that share an id (or a null id, taken as empty) stand next to each other in the order and each
+    count; extra columns play no part; texts count whole; an empty table gives no rows.
+    """
+    rows = docs.select(_mix_columns(mix, id_col, text_col)).toDF("row", "doc_id", *mix.names, "n_tokens")
+    return _row_counts(written(rows, "mix-rows"), mix).drop("row")
 
 
 def mixed(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix has it; equal ids are one document here and take the largest number."""
-    counts = mix_counts(docs, mix, id_col, text_col).groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("_mix_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    ident = F.coalesce(own[f"c{docs.columns.index(id_col)}"].cast("long"), F.lit(-(2**63)))
-    rows = own.join(counts, ident == F.col("_mix_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return rows.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+    """The rows of ``docs``, each as often as ``mix_counts`` has it, within the leaves' budgets whatever ids they share. Rows are
+    numbered in a table first, and meet their counts by that number."""
+    own, levels = [f"c{i}" for i in range(len(docs.columns))], [f"m{i}" for i in range(len(mix.names))]
+    numbered = written(docs.select("*", *_mix_columns(mix, id_col, text_col)).toDF(*own, "row", "id", *levels, "tokens"), "mix-documents")
+    counts = _row_counts(numbered.select("row", "id", *levels, "tokens").toDF("row", "doc_id", *mix.names, "n_tokens"), mix)
+    rows = numbered.select("row", *own).join(counts.where("copies > 0").select("row", "copies"), "row")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*own).toDF(*docs.columns)
 
 
 #: The mix of the query and the pipeline: the source's number tells its domain.

@@ -20,8 +20,8 @@ from spanforge.llm.common import written
 #: Fixed values of the format.
 VERSION, END = b"WARC/1.1", b"\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: A record's header, and the HTTP header in it, are within this.
-HEADER_LIMIT = 1 << 20
+#: Bytes of a header's line that the reader keeps; it needs no longer ones, and passes over the rest of a line.
+LINE_KEPT = 1 << 16
 READ_BYTES = 1 << 16
 
 CHUNKS = "archive string, record long, page_id long, record_type string, refers_to long, chunk int, payload_bytes long, payload_digest string, last boolean, intact boolean, data binary"
@@ -95,8 +95,8 @@ def write_archives(pages: DataFrame, uri: str, chunk_bytes: int = 1 << 20, archi
     The payload is the html in UTF-8 (null: empty). Of pages with equal payloads, the empty one too, that with
     the largest id is a response and the others revisit it. Rows that repeat with the largest id are all
     responses; a null id is the smallest. ``uri`` is anything that ``pyarrow.fs`` opens and all executors share.
-    Payloads beyond ``chunk_bytes`` pass as several rows, so the writer holds one chunk at a time. Extra columns
-    play no part; an empty table gives no archive.
+    Payloads beyond ``chunk_bytes`` pass as several rows, so the writer holds one chunk at a time; a url of any length
+    stands whole in its header. Extra columns play no part; an empty table gives no archive.
     """
     fs, root = pyarrow.fs.FileSystem.from_uri(uri)
     fs.create_dir(root, recursive=True)
@@ -137,18 +137,38 @@ class _Reader:
         self.buffer += part
         return True
 
-    def upto(self, mark: bytes) -> bytes | None:
-        """Up to and without the mark; None at the end."""
-        while (at := self.buffer.find(mark)) < 0:
-            if len(self.buffer) > HEADER_LIMIT:
-                raise ValueError("a header is too long")
+    def line(self) -> tuple[bytes, int] | None:
+        """The next line, at most ``LINE_KEPT`` bytes of it, and its length with its end; None at the end of the archive."""
+        kept, gone = b"", 0
+        while (at := self.buffer.find(b"\r\n")) < 0:
+            if len(self.buffer) > LINE_KEPT:
+                kept = kept or bytes(self.buffer[:LINE_KEPT])
+                gone += len(self.buffer) - 1
+                del self.buffer[:-1]  # the last byte may be half of the line's end
             if not self.fill():
-                if self.buffer.strip():
+                if self.buffer or gone:
                     raise ValueError("the archive ends within a header")
                 return None
-        found = bytes(self.buffer[:at])
-        del self.buffer[: at + len(mark)]
-        return found
+        line, size = kept or bytes(self.buffer[: min(at, LINE_KEPT)]), gone + at + 2
+        del self.buffer[: at + 2]
+        return line, size
+
+    def header(self) -> tuple[dict[str, str], int] | None:
+        """A header's fields by their lower-case names, and its length with the empty line; None at the end of the archive."""
+        fields: dict[str, str] = {}
+        size = lines = 0
+        while (found := self.line()) is not None:
+            line, n = found
+            size += n
+            if line and lines:
+                name, _, value = line.decode(errors="replace").partition(":")
+                fields[name.strip().lower()] = value.strip()
+            elif not line and lines:
+                return fields, size
+            lines += bool(line)
+        if lines:
+            raise ValueError("the archive ends within a header")
+        return None
 
     def take(self, most: int) -> bytes:
         """At least a byte, at most so many."""
@@ -160,10 +180,6 @@ class _Reader:
         return found
 
 
-def _fields(header: bytes) -> dict[str, str]:
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in header.decode(errors="replace").split("\r\n")[1:])}
-
-
 def _page(name: str | None) -> int | None:
     found = re.fullmatch(r"<urn:page:(-?\d+)>", name or "")
     return int(found[1]) if found else None
@@ -173,10 +189,11 @@ def read_records(f: BinaryIO, archive: str, chunk_bytes: int, with_data: bool) -
     """Rows of CHUNKS for each record of an open archive. The digest and number of bytes are those so far; on a
     revisit's only row, those that the record states."""
     r, n = _Reader(_inflated(f)), 0
-    while (header := r.upto(END)) is not None:
-        warc = _fields(header.lstrip(b"\r\n"))
-        left, http_header = int(warc["content-length"]), r.upto(END)
-        http, left = _fields(http_header), left - len(http_header) - len(END)
+    while (header := r.header()) is not None:
+        warc, inner = header[0], r.header()
+        if inner is None:
+            raise ValueError("the archive ends within a header")
+        http, left = inner[0], int(warc["content-length"]) - inner[1]
         kind, stated = warc["warc-type"], warc["warc-payload-digest"].removeprefix("sha1:")
         row = (archive, n, _page(warc["warc-record-id"]), kind, _page(warc.get("warc-refers-to")))
         if kind == "revisit":
@@ -195,7 +212,10 @@ def read_records(f: BinaryIO, archive: str, chunk_bytes: int, with_data: bool) -
                 chunk += 1
                 if not left:
                     break
-        if r.upto(END):
+        end = b""
+        while len(end) < len(END):
+            end += r.take(len(END) - len(end))
+        if end != END:
             raise ValueError(f"record {n} doesn't end where it should")
         n += 1
 

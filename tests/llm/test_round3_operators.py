@@ -248,3 +248,50 @@ def test_pieces_cut_no_run(spark, most):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOC)
     runs = df.select("doc_id", F.flatten(F.transform(spelling.pieces(F.col("text"), most), lambda p: F.regexp_extract_all(p, F.lit(f"({spelling.LETTERS}+)")))).alias("runs"))
     assert [r.runs for r in runs.orderBy("doc_id").collect()] == [re.findall(LETTERS, t) for t in texts]
+
+
+# mends of earlier operators
+
+
+def test_mix_keeps_its_budget_whatever_ids_are_shared(spark):
+    from spanforge.llm.mixing import Mix, mix_counts, mixed
+
+    rows = [(None, "ten words " * 5, "en", "s") for _ in range(20)] + [(7, "a b c " + "d " * (i % 5), "de", "s") for i in range(60)] + [(i, "x " * (i % 9), "fr", "t") for i in range(100, 160)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, lang string, source string, row int, c0 int, m0 int").repartition(6)
+    mix = Mix((F.lit("d"), F.col("lang"), F.col("source")), max_epochs=3, total_tokens=330, seed=2)
+    counts = mix_counts(docs, mix).groupBy("lang").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("t"), F.sum("copies").alias("n")).collect()
+    out = mixed(docs, mix)
+    assert out.columns == docs.columns
+    words = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
+    got = {r.lang: r for r in out.groupBy("lang").agg(F.sum(words).alias("t"), F.count("*").alias("n")).collect()}
+    assert {r.lang: (r.t, r.n) for r in counts if r.lang != "de"} == {k: (r.t, r.n) for k, r in got.items() if k != "de"}
+    totals = [{r.lang: r.t for r in counts}, {k: r.t for k, r in got.items()}]  # which of the rows of one id come first is open
+    assert all(t["en"] == 110 and 103 <= t["de"] <= 110 and 102 <= t["fr"] <= 110 for t in totals)
+    assert mixed(docs.where("false"), mix).count() == 0
+
+
+def test_mix_of_very_long_texts(spark):
+    from spanforge.llm.mixing import Mix, mix_counts
+
+    rows = [(1, "w " * 300_000, "en", "s"), (2, "w", "en", "s"), (3, None, "en", "s")]
+    got = {r.doc_id: r.n_tokens for r in mix_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), Mix((F.lit("d"), F.col("lang"), F.col("source")))).collect()}
+    assert got == {1: 300_000, 2: 1, 3: 0}
+
+
+def test_warc_with_a_very_long_url(spark, tmp_path):
+    from spanforge.llm import warc
+
+    rows = [(1, "http://x/" + "u" * 2_000_000, "body"), (2, "http://y/", "body"), (3, "http://z/" + "é" * 70_000, "other"), (4, "\r\n" * 40_000, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.archive_round_trip(spark, df, f"file://{tmp_path}/a").collect()}
+    assert {i: (r.record_type, r.refers_to, r.payload_bytes, r.intact) for i, r in got.items()} == {1: ("revisit", 2, 4, True), 2: ("response", None, 4, True), 3: ("response", None, 5, True), 4: ("response", None, 0, True)}
+    # lines that end anywhere in the parts that the reader gets, and archives that break off
+    for size in (1, 7, warc.LINE_KEPT - 1, warc.LINE_KEPT, warc.LINE_KEPT + 1, 3 * warc.LINE_KEPT):
+        data = b"WARC/1.1\r\nA: " + b"v" * size + b"\r\nContent-Length: 5\r\n\r\nrest"
+        for step in (1 if size < 100 else 997, warc.READ_BYTES, len(data)):
+            r = warc._Reader(data[i : i + step] for i in range(0, len(data), step))
+            fields, n = r.header()
+            assert fields["content-length"] == "5" and n == len(data) - 4 and r.take(9)[:1] == b"r"
+        with pytest.raises(ValueError):
+            warc._Reader(iter([data[: 20 + size // 2]])).header()
+    assert warc._Reader(iter([])).header() is None
