@@ -1,12 +1,13 @@
-"""String similarity: indel ratio, token ratios, Jaccard; partial alignment through an Arrow UDF."""
+"""String similarity: indel ratio, token ratios, Jaccard, and alignment of a text within another."""
 
 from __future__ import annotations
 
-import pyarrow as pa
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from spanforge.functions.text import bind
 
 #: Characters of the shorter text that the bit-parallel form takes; the sum of two numbers of so many bits is a long.
 BITS = 62
@@ -66,34 +67,52 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(both / either)
 
 
-def best_window(needle: str, text: str) -> tuple[float, int, int]:
-    """(score, start, end): the window of ``text``, at most as long as ``needle``, with the largest indel ratio; the
-    leftmost at a tie, and of equal starts the longest."""
-    n, m = len(needle), len(text)
-    if not n or not m:
-        return (100.0 if n == m else 0.0), 0, 0
-    # bit-parallel LCS: a bit of ``row`` turns to 0 with each character of the needle that the window matches
-    best, full = (-1.0, 0, 0), (1 << n) - 1
-    places: dict[str, int] = {}
-    for i, ch in enumerate(needle):
-        places[ch] = places.get(ch, 0) | 1 << i
-    for start in range(m):
-        row = full
-        for length, ch in enumerate(text[start : start + n], start=1):
-            hit = row & places.get(ch, 0)
-            row = (row + hit | row - hit) & full
-            score = 200.0 * (n - row.bit_count()) / (n + length)
-            if score > best[0] or score == best[0] and start == best[1]:
-                best = (score, start, start + length)
-    return best
-
-
-ALIGNMENT = StructType([StructField("score", DoubleType()), StructField("dest_start", IntegerType()), StructField("dest_end", IntegerType())])
-
-
-@F.arrow_udf(ALIGNMENT)
-def partial_alignment(needle: pa.Array, text: pa.Array) -> pa.Array:
-    """Alignment of the shorter caption within the text; null strings align as empty ones."""
-    found = [best_window(a or "", b or "") for a, b in zip(needle.to_pylist(), text.to_pylist(), strict=True)]
-    kinds = (pa.float64(), pa.int32(), pa.int32())
-    return pa.StructArray.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names=ALIGNMENT.names)
+def _chars(c: Column) -> Column:
+    return F.split(c, r"(?s)(?<=.)(?=.)")
+
+
+def aligned(needle: Column, text: Column, at_least: Column | float | None = None, within: int = 2) -> Column:
+    """struct(score, dest_start, dest_end): the window of ``text``, at most as long as ``needle``, with the largest indel ratio; the
+    leftmost at a tie, and of equal starts the longest. With ``at_least``, null unless a window that starts within
+    the first ``within`` + 1 characters reaches that score, and the others are looked at only then.
+
+    Two empty texts score 100, one empty text 0. The LCS of every prefix of a window is a fold over its characters: a bit of
+    a long turns to 0 with each character of the needle that is matched; needles beyond ``BITS`` characters
+    keep a row of the table instead.
+    """
+    full, n = F.lit((1 << BITS) - 1), F.length(needle)
+
+    def by_bits(s: Column, hit: Column) -> Column:
+        used = s["row"].bitwiseAND(hit)
+        return (s["row"] + used).bitwiseAND(full).bitwiseOR(s["row"] - used)
+
+    def by_table(s: Column, same: Column) -> Column:
+        new = lambda row, j: F.concat(row, F.array(F.when(F.get(same, j), F.get(s["row"], j) + 1).otherwise(F.greatest(F.get(s["row"], j + 1), F.element_at(row, -1)))))
+        return F.aggregate(F.sequence(F.lit(0), n - 1), F.array(F.lit(0)), new)
+
+    def search(marks: Column, row: Column, step: Callable[[Column, Column], Column], lcs: Callable[[Column], Column]) -> Column:
+        def grow(s: Column, x: Column) -> Column:
+            return bind(step(s, x), lambda row: bind(200.0 * lcs(row) / (n + s["len"] + 1), lambda score: F.struct(row.alias("row"), (s["len"] + 1).alias("len"), F.greatest(score, s["score"]).alias("score"), F.when(score >= s["score"], s["len"] + 1).otherwise(s["size"]).alias("size"))))
+
+        begin = F.struct(row.alias("row"), F.lit(0).alias("len"), F.lit(-1.0).alias("score"), F.lit(0).alias("size"))
+        at = lambda i: F.aggregate(F.slice(marks, i + 1, n), begin, grow, lambda s: F.struct(s["score"].alias("score"), (-i).alias("back"), s["size"].alias("size")))
+        best = lambda last: F.array_max(F.transform(F.sequence(F.lit(0), last), at))
+        found = lambda b: F.struct(b["score"].alias("score"), (-b["back"]).alias("dest_start"), (b["size"] - b["back"]).alias("dest_end"))
+        whole = bind(best(F.size(marks) - 1), found)
+        if at_least is None:
+            return whole
+        return F.when(best(F.least(F.size(marks) - 1, F.lit(within)))["score"] >= at_least, whole)
+
+    own = F.reverse(_chars(needle))
+    bits = F.transform(_chars(text), lambda x: F.aggregate(own, F.lit(0).cast("long"), lambda b, y: b * 2 + F.when(y == x, 1).otherwise(0)))
+    same = F.transform(_chars(text), lambda x: F.transform(_chars(needle), lambda y: y == x))
+    short = bind(bits, lambda m: search(m, full, by_bits, lambda row: F.lit(BITS) - F.bit_count(row)))
+    long = bind(same, lambda m: search(m, F.transform(F.sequence(F.lit(0), n), lambda _: F.lit(0)), by_table, lambda row: F.element_at(row, -1)))
+    empty = F.struct(F.when((n == 0) & (F.length(text) == 0), 100.0).otherwise(0.0).alias("score"), F.lit(0).alias("dest_start"), F.lit(0).alias("dest_end"))
+    return F.when((n == 0) | (F.length(text) == 0), empty).when(n <= BITS, short).otherwise(long)
+
+
+def partial_ratio(a: Column, b: Column) -> Column:
+    """The largest indel ratio of the shorter text with a window of the other, of 100."""
+    first = F.length(a) <= F.length(b)
+    return aligned(F.when(first, a).otherwise(b), F.when(first, b).otherwise(a))["score"]

@@ -56,20 +56,21 @@ def label_table(spark, specs: Sequence[FieldSpec]) -> DataFrame:
     return dim.withColumn("threshold", (min_similarity(F.col("label"), F.col("base")) * 1_000_000).cast("long"))
 
 
-def caption_hits(spans: DataFrame, labels: DataFrame, on: list[str]) -> DataFrame:
-    """Whole-span captions: for each (*on, field) the best label by similarity, the first in order at a tie.
+def of_near_length(labels: DataFrame, least: Column) -> DataFrame:
+    """``labels`` once for each ``length`` of a text that can reach the indel ratio ``least`` (of 1) with them."""
+    n = F.length("label")
+    low, high = F.ceil(n * least / (2 - least) - 1e-9), F.floor(n * (2 - least) / least + 1e-9)
+    return labels.withColumn("length", F.explode(F.sequence(F.greatest(low, F.lit(1)).cast("int"), high.cast("int"))))
 
-    spans: (*on, text). Distinct texts meet the dictionary once, pre-filtered by what their lengths allow; the
-    dictionary is configuration and goes to every task.
-    """
-    texts = spans.select(tx.clean_label(F.col("text")).alias("key"), F.length(F.trim("text")).alias("n")).where("key <> ''").distinct()
-    a, b = F.length("key"), F.length("label")
-    enough = lambda n: F.lit(2_000_000).cast("long") * n >= F.col("threshold") * (a + b)
-    possible = (F.col("n") <= 3 * F.col("max_chars")) & enough(F.least(a, b)) & enough(sim.shared_letters(F.col("key"), F.col("label")))
-    scored = texts.join(F.broadcast(labels), possible).withColumn("similarity", sim.ratio_micro(F.col("key"), F.col("label")).cast("long") / 100)
-    scored = scored.withColumn("similarity", F.floor("similarity").cast("long")).where("similarity >= threshold")
-    best = scored.groupBy("key", "field").agg(F.min_by(F.struct("label", "similarity"), F.struct(-F.col("similarity"), F.col("label_ord"))).alias("b")).select("key", "field", "b.*").distinct()
-    return spans.withColumn("key", tx.clean_label(F.col("text"))).join(best, "key").select(*on, "field", "label", "similarity")
+
+def whole_captions(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``texts(t, key)`` that are a caption as a whole: (t, field, label_ord, label, similarity). An equi-join by length, as
+    the ratio of texts bounds their lengths; letters in common rule more pairs out before the ratio is worked out."""
+    near = of_near_length(labels, F.col("threshold") / 1_000_000)
+    pairs = texts.withColumn("length", F.length("key")).join(near, "length").where(F.length("t") <= 3 * F.col("max_chars"))
+    pairs = pairs.where(F.lit(2_000_000).cast("long") * sim.shared_letters(F.col("key"), F.col("label")) >= F.col("threshold") * (F.length("key") + F.length("label")))
+    scored = pairs.withColumn("similarity", F.floor(sim.ratio_micro(F.col("key"), F.col("label")) / 100).cast("long"))
+    return scored.where("similarity >= threshold").select("t", "field", "label_ord", "label", "similarity")
 
 
 def is_inline_split(tail: Column, remainder: Column, patterns: Sequence[str]) -> Column:
@@ -92,13 +93,11 @@ def wrap_separator(prev: Column, row: Column) -> Column:
 
 def label_like(texts: DataFrame, specs: Sequence[FieldSpec], at_least: int = 88) -> DataFrame:
     """(key): those of ``texts(key)``, cleaned, that are within ``at_least`` of any field's caption. Distinct texts
-    meet the dictionary, which is configuration; lengths rule most pairs out."""
+    meet captions of near lengths in an equi-join."""
     known = sorted({x.lower().strip() for s in specs for x in s.labels} - {""})
     labels = texts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in known]).cast("array<string>")).alias("label"))
-    a, b = F.length("key"), F.length("label")
-    enough = lambda n: 200 * n >= at_least * (a + b)
-    possible = enough(F.least(a, b)) & enough(sim.shared_letters(F.col("key"), F.col("label")))
-    pairs = texts.where("key <> ''").select("key").distinct().join(F.broadcast(labels), possible)
+    pairs = texts.where("key <> ''").select("key").distinct().withColumn("length", F.length("key")).join(of_near_length(labels, F.lit(at_least / 100)), "length")
+    pairs = pairs.where(200 * sim.shared_letters(F.col("key"), F.col("label")) >= at_least * (F.length("key") + F.length("label")))
     return pairs.where(sim.ratio_micro(F.col("key"), F.col("label")) >= at_least * 1_000_000).select("key").distinct()
 
 
@@ -131,6 +130,8 @@ def pattern_hits(spans: DataFrame, specs: Sequence[FieldSpec], on: list[str]) ->
     """(*on, field, value): bounded matches of every field's patterns, glued ones where there are none; excluded values
     are left out."""
     each = [F.struct(F.lit(s.key).alias("field"), F.array_distinct(tx.bounded_or_glued_matches(F.col("text"), "|".join(s.patterns))).alias("values")) for s in specs if s.patterns]
+    if not each:
+        return spans.select(*on, F.lit("").alias("field"), F.lit("").alias("value")).where("false")
     found = spans.select(*on, F.explode(F.array(*each)).alias("f")).select(*on, "f.field", F.explode("f.values").alias("value"))
     return without_excluded(found, specs)
 
@@ -166,27 +167,56 @@ def classify(documents: DataFrame, keywords: Sequence[tuple[str, str, str]], min
     return documents.select(*keys, best.alias("b")).select(*keys, F.when(F.col("b.score") >= min_score, F.col("b.profile")).otherwise("other").alias("doc_type"), F.coalesce("b.score", F.lit(0)).alias("score"))
 
 
+#: Lengths of the pieces of captions that are looked up; captions in shorter pieces meet every text.
+GRAMS = (2, 3)
+
+
+def caption_grams(labels: DataFrame) -> DataFrame:
+    """``labels`` once for each (gram, at) of which a text that begins with the caption has one at least.
+
+    A window that reaches the threshold differs from the caption by d insertions and deletions at most, so of d + 1 pieces
+    of the caption one is in it whole, moved by d at most; the window begins within the first three characters.
+    """
+    n = F.length("label")
+    d = F.floor((1 - F.col("threshold") / 1_000_000) * 2 * n + 1e-9).cast("int")
+    piece = labels.withColumns({"_d": d, "_i": F.explode(F.sequence(F.lit(0), d))}).withColumns({"_a": F.expr("_i * length(label) div (_d + 1)").cast("int"), "_b": F.expr("(_i + 1) * length(label) div (_d + 1)").cast("int")})
+    size = F.least(F.col("_b") - F.col("_a"), F.lit(max(GRAMS)))
+    sought = size >= min(GRAMS)
+    gram = F.when(sought, F.substring("label", F.col("_a") + 1, size)).otherwise("")
+    spots = F.when(sought, F.sequence(F.greatest(F.col("_a") - F.col("_d"), F.lit(0)), F.col("_a") + F.col("_d") + 2)).otherwise(F.array(F.lit(0)))
+    return piece.select(*labels.columns, gram.alias("gram"), F.explode(spots).alias("at")).distinct()
+
+
+def text_grams(texts: DataFrame, reach: int) -> DataFrame:
+    """``texts`` with each gram of the first ``reach`` characters of ``low`` and its place; and once with none, at 0."""
+    spots = F.sequence(F.lit(0), F.least(F.length("low"), F.lit(reach)))
+    of = lambda g: lambda i: F.struct(F.substring(F.col("low"), i + 1, F.lit(g)).alias("gram"), i.alias("at"))
+    every = [F.transform(spots, of(g)) for g in GRAMS]
+    none = F.array(F.struct(F.lit("").alias("gram"), F.lit(0).alias("at")))
+    return texts.select(*texts.columns, F.inline(F.array_distinct(F.concat(none, *every))))
+
+
 def prefixed(texts: DataFrame, specs: Sequence[FieldSpec], max_chars: bool = True) -> DataFrame:
     """Texts ``t`` that begin with a caption and go on with a value: (*texts, field, label_ord, label, similarity, raw).
 
-    If ``texts`` has a ``field``, only that field's captions count. A caption that aligns at the start lies within
-    the text's first characters, so a pair goes to the alignment, which needs a sequential search in an Arrow
-    function, only if enough of those are letters of the caption.
+    If ``texts`` has a ``field``, only that field's captions count. Captions are looked up by pieces of theirs and where
+    these stand in the text, so texts and captions meet in an equi-join; pairs with enough letters in common are aligned.
     """
+    own = "field" in texts.columns
     labels = label_table(texts.sparkSession, specs)
-    head = F.lower(F.expr("substring(t, 1, length(label) + 2)"))
-    shared = sim.shared_letters(head, F.col("label"))
-    possible = (F.length("t") > F.length("label")) & (2_000_000 * shared >= F.col("threshold") * (F.length("label") + shared))
+    reach = 2 * max((len(x) for s in specs for x in s.labels), default=0) + 4
+    low = texts.withColumn("low", F.lower("t")).where(F.length("t") > 1)
+    pairs = text_grams(low, reach).join(caption_grams(labels), ["gram", "at", *(["field"] if own else [])]).where(F.length("t") > F.length("label"))
     if max_chars:
-        possible = possible & (F.length("t") <= 3 * F.col("max_chars"))
-    if "field" in texts.columns:
-        labels = labels.withColumnRenamed("field", "_field")
-        possible = possible & (F.col("field") == F.col("_field"))
-    pairs = texts.join(F.broadcast(labels), possible).drop("_field").withColumn("a", sim.partial_alignment("label", F.lower("t")))
-    hits = pairs.withColumn("similarity", F.floor(F.col("a.score") * 10_000 + 0.001).cast("long")).where("similarity >= threshold and a.dest_start <= 2")
+        pairs = pairs.where(F.length("t") <= 3 * F.col("max_chars"))
+    shared = sim.shared_letters(F.expr("substring(low, 1, length(label) + 2)"), F.col("label"))
+    pairs = pairs.where(2_000_000 * shared >= F.col("threshold") * (F.length("label") + shared))
+    pairs = pairs.drop("gram", "at").dropDuplicates([*texts.columns, "field", "label_ord"])
+    hits = pairs.withColumn("a", tx.bind(sim.aligned(F.col("label"), F.col("low"), (F.col("threshold") - 0.001) / 10_000), lambda a: a)).where("a.dest_start <= 2")
+    hits = hits.withColumn("similarity", F.floor(F.col("a.score") * 10_000 + 0.001).cast("long")).where("similarity >= threshold")
     hits = hits.withColumn("tail", F.expr("substring(t, a.dest_end + 1)")).withColumn("raw", tx.strip_value_prefix(F.col("tail"))).where("raw <> ''")
     split = F.coalesce(*[F.when(F.col("field") == s.key, is_inline_split(F.col("tail"), F.col("raw"), s.patterns)) for s in specs])
-    return hits.where(split).select(*texts.columns, *[c for c in ("field",) if c not in texts.columns], "label_ord", "label", "similarity", "raw")
+    return hits.where(split).select(*texts.columns, *([] if own else ["field"]), "label_ord", "label", "similarity", "raw")
 
 
 def label_hits(spans: DataFrame, specs: Sequence[FieldSpec], on: list[str]) -> DataFrame:
@@ -196,13 +226,9 @@ def label_hits(spans: DataFrame, specs: Sequence[FieldSpec], on: list[str]) -> D
     far if it fits better; one with a value behind it also if it is longer and fits within two points.
     """
     texts = spans.select(tx.strip(F.col("text")).alias("t")).where("t <> ''").distinct()
-    whole = texts.withColumn("key", tx.clean_label(F.col("t")))
-    labels = label_table(spans.sparkSession, specs)
-    a, b = F.length("key"), F.length("label")
-    enough = lambda n: F.lit(2_000_000).cast("long") * n >= F.col("threshold") * (a + b)
-    possible = (F.length("t") <= 3 * F.col("max_chars")) & enough(F.least(a, b)) & enough(sim.shared_letters(F.col("key"), F.col("label")))
-    whole = whole.join(F.broadcast(labels), possible).withColumn("similarity", F.floor(sim.ratio_micro(F.col("key"), F.col("label")) / 100).cast("long")).where("similarity >= threshold")
-    every = whole.select("t", "field", "label_ord", F.lit("").alias("raw"), "label", "similarity").unionByName(prefixed(texts, specs))
+    whole = whole_captions(texts.withColumn("key", tx.clean_label(F.col("t"))), label_table(spans.sparkSession, specs))
+    columns = ["t", "field", "label_ord", "raw", "label", "similarity"]
+    every = whole.withColumn("raw", F.lit("")).select(columns).unionByName(prefixed(texts, specs).select(columns))
     each = every.groupBy("t", "field").agg(F.sort_array(F.collect_list(F.struct("label_ord", "raw", "label", "similarity"))).alias("all"))
     longer = lambda b, x: (x["raw"] != "") & (x["similarity"] >= b["similarity"] - 20_000) & (F.length(x["label"]) > F.length(b["label"]))
     best = F.aggregate(F.col("all"), F.get("all", F.lit(0)), lambda b, x: F.when((x["similarity"] > b["similarity"]) | longer(b, x), x).otherwise(b))

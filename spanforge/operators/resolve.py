@@ -5,13 +5,14 @@ Candidates: (set_id, field, doc, doc_type, seq, value, score, kind, ...), scores
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanforge.functions import similarity as sim
+from spanforge.functions import text as tx
 
 NEAR_TIE = 50_000
 KINDS = ("inline", "adjacent", "pattern_only")
@@ -96,19 +97,6 @@ def canonical(results: DataFrame, fields: Sequence[str]) -> DataFrame:
     return results.groupBy("set_id").pivot("field", list(fields)).agg(F.first("value"))
 
 
-def fill_missing(results: DataFrame, derived: dict[str, Column], defaults: dict[str, str]) -> DataFrame:
-    """Wide rows: blank fields take a derived value, else a default; ``filled_by`` tells which fields did what."""
-    out, notes = results, []
-    for name in dict.fromkeys([*derived, *defaults]):
-        blank = F.coalesce(F.trim(name), F.lit("")) == ""
-        d, v = derived.get(name, F.lit(None).cast("string")), F.lit(defaults.get(name)).cast("string")
-        notes.append(F.when(blank & d.isNotNull(), f"{name}:derived").when(blank & v.isNotNull(), f"{name}:default"))
-        out = out.withColumn(f"_{name}", F.when(blank, F.coalesce(d, v, F.col(name))).otherwise(F.col(name)))
-    names = list(dict.fromkeys([*derived, *defaults]))
-    out = out.withColumn("filled_by", F.array_compact(F.array(*notes)))
-    return out.drop(*names).withColumnsRenamed({f"_{n}": n for n in names})
-
-
 def drop_junk(candidates: DataFrame, junk: Column) -> DataFrame:
     """Without junk values, unless a field has nothing else."""
     w = Window.partitionBy(*FIELD)
@@ -116,33 +104,44 @@ def drop_junk(candidates: DataFrame, junk: Column) -> DataFrame:
     return rows.where("NOT _junk OR _every").drop("_junk", "_every")
 
 
-def caption_leak(value: Column, labels: Sequence[str], class_words: Sequence[str], lead_words: Sequence[str]) -> Column:
-    """A caption taken for a value: ends in "if any"; is a class word; begins with a lead word and has eight words at most;
-    or is within 88 of a dictionary caption of eight letters and more."""
-    low = F.lower(F.trim(value))
-    words = F.split(low, r"\s+")
-    near = [sim.ratio_micro(low, F.lit(x.lower())) >= 88_000_000 for x in labels if len(x) >= 8]
-    out = low.rlike(r"\bif any\)?$") | low.isin(*class_words) | (F.element_at(words, 1).isin(*lead_words) & (F.size(words) <= 8))
-    for n in near:
-        out = out | n
-    return F.coalesce(out, F.lit(False))
+# Words that begin captions of certificates, classes of enterprises that stand below a name's caption; the length from
+# which a text is compared with captions, the words of a caption at most, and the ratios of a caption and of a part of it.
+LEAD_WORDS = ("date", "period", "type", "nature", "particulars", "category", "constitution", "jurisdictional", "registration", "validity", "address")
+CLASS_WORDS = ("micro", "small", "medium", "micro enterprise", "small enterprise", "medium enterprise", "micro enterprises", "small enterprises", "medium enterprises")
+LEAK_CHARS, LEAD_MOST, LEAK_RATIO, LEAK_PART = 8, 8, 88_000_000, 90.0
+
+
+def caption_leak(value: Column, labels: Sequence[str], class_words: Sequence[str] = CLASS_WORDS, lead_words: Sequence[str] = LEAD_WORDS) -> Column:
+    """A caption taken for a value: it ends in "if any"; cleaned, it is a class word; begins with a lead word and has eight words
+    at most; or, with eight characters and more, is within 88 of a dictionary caption of that length, or within 90 of a
+    part of one or has one as such a part."""
+    known = sorted({x.lower().strip() for x in labels if len(x.strip()) >= LEAK_CHARS})
 
+    def leaks(low: Column) -> Column:
+        words = F.split(low, " ")
+        out = tx.strip(value).rlike(r"(?i),?\s*if\s+any\s*$") | low.isin(*class_words) | (F.get(words, F.lit(0)).isin(*lead_words) & (F.size(words) <= LEAD_MOST))
+        if not known:
+            return out
+        # a part that fits shares nearly all its letters, which is cheap to see
+        able = lambda x: sim.shared_letters(low, x) * 100 >= 85 * F.least(F.length(low), F.length(x))
+        near = F.exists(F.array(*[F.lit(x) for x in known]), lambda x: F.when(able(x), (sim.ratio_micro(low, x) >= LEAK_RATIO) | (sim.partial_ratio(low, x) >= LEAK_PART)).otherwise(F.lit(False)))
+        return out | ((F.length(low) >= LEAK_CHARS) & near)
 
-def best_text(value: Column, alternatives: Column, leak) -> tuple[Column, Column]:
-    """(the first of value and alternatives that is no leak, whether it's an alternative). leak: column -> boolean column."""
+    return F.coalesce((tx.strip(value) != "") & tx.bind(tx.clean_label(value), leaks), F.lit(False))
+
+
+def best_text(value: Column, alternatives: Column, leak: Callable[[Column], Column]) -> tuple[Column, Column]:
+    """(the first of value and alternatives that is no leak, else blank, whether it's an alternative)."""
     every = F.filter(F.concat(F.array(value), alternatives), lambda v: v.isNotNull() & (F.trim(v) != ""))
     good = F.get(F.filter(every, lambda v: ~leak(v)), F.lit(0))
     return F.coalesce(good, F.lit("")), good.isNotNull() & ~good.eqNullSafe(value)
 
 
-def backfill_location(wide: DataFrame, resolved: DataFrame, key: str = "set_id") -> DataFrame:
-    """City, state and PIN from the combined address where they are blank; ``backfilled`` names them.
-
-    resolved: (key, city, state, pin).
-    """
-    r = resolved.select(key, *[F.col(c).alias(f"_{c}") for c in ("city", "state", "pin")])
-    rows = wide.join(r, key, "left")
-    blank = {c: F.coalesce(F.trim(c), F.lit("")) == "" for c in ("city", "state", "pin")}
-    can = {c: b & (F.coalesce(F.col(f"_{c}"), F.lit("")) != "") for c, b in blank.items()}
-    rows = rows.withColumn("backfilled", F.array_compact(F.array(*[F.when(t, F.lit(c)) for c, t in can.items()])))
-    return rows.withColumns({c: F.when(t, F.col(f"_{c}")).otherwise(F.col(c)) for c, t in can.items()}).drop("_city", "_state", "_pin")
+def without_leaks(results: DataFrame, fields: Sequence[str], labels: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(results, flags): text fields whose value is a caption take their best alternative that is none, else become blank; a
+    value from an alternative is flagged. results: (set_id, field, value, alternatives, ..)."""
+    best, other = best_text(F.col("value"), F.coalesce(F.transform("alternatives", lambda a: a["value"]), F.array().cast("array<string>")), lambda v: caption_leak(v, labels))
+    told = F.col("field").isin(*fields) & F.col("value").isNotNull()
+    rows = results.withColumn("_b", F.when(told, tx.bind(F.struct(best.alias("value"), other.alias("other")), lambda b: b)))
+    flags = rows.where("_b.other").select(*FIELD, F.lit("caption_instead_of_value").alias("reason"), F.lit("warning").alias("severity"))
+    return rows.withColumn("value", F.when(told, F.col("_b.value")).otherwise(F.col("value"))).drop("_b"), flags

@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from spanforge.functions.places import is_in
+from spanforge.functions.text import bind
 
 # Fixed values, in hundredths: confidences of fragments, gap strengths, levels of confidence and the lines they allow.
 WORD, PHRASE, MERGED, ORDINAL, NUMBERED, DESIGNATOR, DESIGNATED, CONFLICT, UNKNOWN = 100, 90, 75, 85, 80, 70, 80, 50, 55
@@ -83,11 +84,6 @@ BUILT_IN = Taxonomy(
 )
 
 
-def bind(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is worked out once, however often ``f`` names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def bare_word(c: Column) -> Column:
     """A lookup key: lower case, letters and digits only."""
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")

@@ -110,6 +110,9 @@ def findings(wide: DataFrame, keys: Sequence[str], rules: Sequence[Rule]) -> Dat
         c = F.col(r.field)
         judged = r.check(c) if r.on_blank else F.when(F.coalesce(F.trim(c), F.lit("")) != "", r.check(c))
         out.append(F.struct(F.lit(r.field).alias("field"), F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), judged.alias("ok")))
+    if not out:
+        none = {"field": "string", "rule": "string", "severity": "string", "ok": "boolean"}
+        return wide.select(*keys, *[F.lit(None).cast(t).alias(c) for c, t in none.items()]).where("false")
     return wide.select(*keys, F.explode(F.array(*out)).alias("f")).select(*keys, "f.*").where("ok is not null")
 
 

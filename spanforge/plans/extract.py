@@ -101,10 +101,10 @@ def candidates(spans: DataFrame, specs: Sequence[ma.FieldSpec]) -> DataFrame:
 
 
 def _findings(results: DataFrame, specs: Sequence[ma.FieldSpec], rules: Sequence[va.Rule], pins: DataFrame | None) -> DataFrame:
-    """(set_id, field, status) over the sets' wide records, so that rules see the other fields."""
+    """(set_id, field, rule, severity, ok) over the sets' wide records, so that rules see the other fields."""
     wide = rs.canonical(results, [s.key for s in specs])
     wide = va.with_pin_state(wide, pins) if pins is not None and "pin_code" in wide.columns else wide.withColumn("pin_state", F.lit(None).cast("string"))
-    return va.status_by(va.findings(wide, ["set_id"], rules), ["set_id", "field"])
+    return va.findings(wide, ["set_id"], rules)
 
 
 def combined_address(results: DataFrame, pins: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -155,6 +155,13 @@ def derived_values(results: DataFrame, specs: Sequence[ma.FieldSpec]) -> tuple[D
     return rows.drop("new", "from", "_use"), flags
 
 
+def pin_mismatches(results: DataFrame, found: DataFrame) -> DataFrame:
+    """(set_id, field, reason, severity): a state that isn't the PIN's puts the PIN in doubt too."""
+    sets = found.where("field = 'state' and rule = 'pin_matches_state' and not ok").select("set_id").distinct()
+    pins = results.where((F.col("field") == "pin_code") & (F.coalesce(F.trim("value"), F.lit("")) != ""))
+    return pins.join(sets, "set_id", "left_semi").select("set_id", "field", F.lit("pin_state_mismatch").alias("reason"), F.lit("warning").alias("severity"))
+
+
 def extract(
     spans: DataFrame, specs: Sequence[ma.FieldSpec], rules: Sequence[va.Rule], precedence: Sequence[str] = (),
     profiles: Sequence[tuple[str, str, str]] = (), pins: DataFrame | None = None, required: Sequence[str] = (),
@@ -191,12 +198,18 @@ def extract(
         flags.append(more)
     results, more = derived_values(results, specs)
     results = settled(results)
-    results = results.join(_findings(results, specs, rules, pins), ["set_id", "field"], "left")
+    found = settled(_findings(results, specs, rules, pins))
+    results = results.join(va.status_by(found, ["set_id", "field"]), ["set_id", "field"], "left")
     swap = (F.col("status") == "invalid") & default.isNotNull()
     present = F.coalesce(F.trim("value"), F.lit("")) != ""
-    results = results.withColumns({"value": F.when(swap, default).otherwise(F.col("value")), "source": F.when(swap, "config_default").otherwise(F.col("source")), "status": F.when(~present, "missing").when(swap, "valid").otherwise(F.coalesce("status", F.lit("not_validated")))})
+    # a refused value's score stays, but not where it was found, and it isn't judged by it
+    results = results.withColumns({
+        "value": F.when(swap, default).otherwise(F.col("value")), "source": F.when(swap, "config_default").otherwise(F.col("source")), "page": F.when(~swap, F.col("page")), "doc": F.when(~swap, F.col("doc")), "kind": F.when(~swap, F.col("kind")),
+        "status": F.when(~present, "missing").when(swap, "valid").otherwise(F.coalesce("status", F.lit("not_validated"))), "swapped": F.coalesce(swap, F.lit(False)),
+    })
     results = settled(results.join(agreed, ["set_id", "field"], "left").withColumn("consistency", F.coalesce("consistency", F.lit("not_checked"))))
-    flagged = rs.review(results, [*required, *[s.key for s in specs if s.required]], least)
-    for more in (*flags, more):
+    flagged = rs.review(results, [*required, *[s.key for s in specs if s.required]], F.when(F.col("swapped"), 0).otherwise(least))
+    results = results.drop("swapped")
+    for more in (*flags, more, pin_mismatches(results, found)):
         flagged = flagged.unionByName(more)
     return results, flagged, rs.summary(results, flagged)

@@ -1,8 +1,11 @@
-"""Session factory with the settings the engine expects."""
+"""Session factory with the settings the engine expects, and tables that cut a plan in two."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,11 +16,23 @@ def session(name: str = "spanforge", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=base | conf).getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (``spark.checkpoint.dir``). A temporary one, removed at the end, only where none is set and
+    all executors are on this machine, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tables-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = f"file://{folder}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` worked out once, in files that survive lost executors. They go to ``spark.checkpoint.dir``; where that is
-    unset, as in tests, to a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    """``df`` as a Parquet table in the shared folder: worked out once, read by column, with statistics, and there after executors
+    are lost. The folder's owner removes it."""
+    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

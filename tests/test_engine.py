@@ -1,6 +1,7 @@
 """Functions and operators against hand-made cases."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -62,12 +63,33 @@ def test_ratio_and_alignment(spark):
     pairs = [("gstin", "gst in"), ("", ""), ("", "a"), ("abc", "xyz"), ("mobile no", "mobi1e no.")]
     got = spark.createDataFrame(pairs, "a string, b string").select(sim.ratio_micro(F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in got] == [int(200_000_000 * lcs(a, b) / (len(a) + len(b))) if a or b else 100_000_000 for a, b in pairs]
-    for needle, text in [("state", "state: west"), ("abcd", "xxabxd"), ("zz", "a"), ("a", "")]:
-        score, start, end = sim.best_window(needle, text)
-        brute = max((200 * lcs(needle, text[i : i + k]) / (len(needle) + k) for i in range(len(text)) for k in range(1, min(len(needle), len(text) - i) + 1)), default=0.0)
-        assert score == pytest.approx(brute)
-        if text:
-            assert 200 * lcs(needle, text[start:end]) / (len(needle) + end - start) == pytest.approx(score)
+
+
+def best_window(needle, text):
+    """(score, start, end) by every window."""
+    best = (-1.0, 0, 0)
+    for i in range(len(text)):
+        for k in range(1, min(len(needle), len(text) - i) + 1):
+            score = 200 * lcs(needle, text[i : i + k]) / (len(needle) + k)
+            if score > best[0] or score == best[0] and i == best[1]:
+                best = (score, i, i + k)
+    return best if needle and text else (100.0 if needle == text else 0.0, 0, 0)
+
+
+def test_alignment_by_every_window(spark):
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choice("abc d") for _ in range(n))
+    pairs = [("state", "state: west"), ("abcd", "xxabxd"), ("zz", "a"), ("a", ""), ("", "a"), ("", ""), ("é漢", "x漢é漢"), (word(70), word(90)), (word(62), word(65)), (word(63), word(64))]
+    pairs += [(word(rng.randrange(1, 9)), word(rng.randrange(1, 20))) for _ in range(150)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    got = df.select("i", sim.aligned(F.col("a"), F.col("b")).alias("w"), sim.aligned(F.col("a"), F.col("b"), 80.0).alias("h"), sim.partial_ratio(F.col("a"), F.col("b")).alias("p")).collect()
+    for r in got:
+        a, b = pairs[r.i]
+        score, start, end = best_window(a, b)
+        assert r.w.score == pytest.approx(score) and (r.w.dest_start, r.w.dest_end) == (start, end)
+        assert r.p == pytest.approx(best_window(*((a, b) if len(a) <= len(b) else (b, a)))[0])
+        head = max((200 * lcs(a, b[i : i + k]) / (len(a) + k) for i in range(min(3, len(b))) for k in range(1, min(len(a), len(b) - i) + 1)), default=0.0)
+        assert (r.h is None) == (head < 80.0) or not a or not b
 
 
 def test_running_mean_lines(spark):
