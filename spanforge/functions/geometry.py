@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.functions.text import strip
+
 
 def box(prefix: str = "") -> dict[str, Column]:
     return {k: F.col(f"{prefix}{k}") for k in ("x1", "y1", "x2", "y2")}
@@ -30,6 +34,13 @@ def polygon_box(points: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
 
 
+def recognised_spans(found: DataFrame, on: Sequence[str], least: float = 0.3) -> DataFrame:
+    """What a recogniser gives, (*on, ord, text, points array of (x, y), score), as spans (*on, ord, text, x1, y1, x2, y2, confidence).
+    Texts are stripped; empty ones and those below the score ``least`` are left out."""
+    rows = found.withColumn("text", strip(F.col("text"))).where((F.col("text") != "") & (F.col("score") >= least))
+    return rows.withColumn("_b", polygon_box(F.col("points"))).select(*on, "ord", "text", "_b.x1", "_b.y1", "_b.x2", "_b.y2", F.col("score").alias("confidence"))
+
+
 def flip(page_height: Column, bottom: Column, top: Column, scale: Column) -> tuple[Column, Column]:
     """Bottom-left coordinates -> (y1, y2) from the top, scaled."""
     return (page_height - top) * scale, (page_height - bottom) * scale

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanforge.functions import similarity as sim
 from spanforge.functions import text as tx
 from spanforge.operators import address as ad
+from spanforge.session import settled
 
 VERDICTS = ("wrong", "hallucinated", "missed", "correct", "correctly_absent")
 
@@ -44,12 +46,14 @@ def address_block(verdicts: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def by_severity(verdicts: DataFrame) -> DataFrame:
-    return verdicts.orderBy(F.coalesce(*[F.when(F.col("verdict") == v, F.lit(i)) for i, v in enumerate(VERDICTS)]), "set_id", "field")
+    """The worst first: wrong, hallucinated, missed, then what is right. ``severity`` is the place of the verdict in that order."""
+    return verdicts.withColumn("severity", F.coalesce(*[F.when(F.col("verdict") == v, F.lit(i)) for i, v in enumerate(VERDICTS)])).orderBy("severity", "set_id", "field")
 
 
-def partition_scores(truth: DataFrame, predicted: DataFrame, key: str = "address_id") -> DataFrame:
+def partition_scores(truth: DataFrame, predicted: DataFrame, key: str | None = None) -> DataFrame:
     """truth, predicted: (key, address_1, address_2, split_index). split_match, token-sort ratio and Jaccard of both parts
-    joined by a bar; a missing prediction counts as empty."""
+    joined by a bar; a missing prediction counts as empty. The key is ``address_id`` unless predictions lack it, then ``address``."""
+    key = key or ("address_id" if "address_id" in predicted.columns else "address")
     p = predicted.select(key, *[F.col(c).alias(f"p_{c}") for c in ("address_1", "address_2", "split_index")])
     rows = truth.join(p, key, "left")
     a, b = F.concat_ws(" | ", "address_1", "address_2"), F.concat_ws(" | ", F.coalesce("p_address_1", F.lit("")), F.coalesce("p_address_2", F.lit("")))
@@ -94,8 +98,22 @@ def usable_truth(truth: DataFrame, allow_unverified: bool = False) -> tuple[Data
     return rows.where("reason is null").select("set_id", "field", F.when(has, F.col("value")).otherwise("").alias("expected")), rows.where("reason is not null")
 
 
+def with_row_number(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``name``: 0, 1, 2, .. in their order, without gaps.
+
+    Rows are written once with the number of their partition and place; the partitions' sizes, one row each, give where each begins. No
+    window sees more than those.
+    """
+    at = settled(rows.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = at.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    begins = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_begin"))
+    out = at.withColumn("_part", part).join(begins, "_part").withColumn(name, F.col("_begin") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    return out.drop("_at", "_part", "_begin")
+
+
 def with_address_id(rows: DataFrame, required: Sequence[str], key: str = "address_id") -> DataFrame:
-    """``rows`` with the key: their own, else a number in their order; a missing required column raises ValueError."""
+    """``rows`` with the key: their own, else their number from 0; a missing required column raises ValueError."""
     if missing := [c for c in required if c not in rows.columns]:
         raise ValueError(f"missing columns {missing}")
-    return rows if key in rows.columns else rows.withColumn(key, F.monotonically_increasing_id())
+    return rows if key in rows.columns else with_row_number(rows, key)

@@ -10,19 +10,25 @@ from spanforge.functions import geometry as geo
 
 # Lines a page, first line, line height, left edge, width of a character, widest line.
 LINES_PER_PAGE, TOP, LINE_HEIGHT, LEFT, CHAR_WIDTH, MAX_WIDTH = 47, 150, 44, 150, 15, 1354
+#: Bands that a page is cut into, at most, where boxes look for neighbours.
+MOST_BANDS = 1024
 
 
-def synthetic_layout(lines: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
-    """Places text lines on pages of 47: ord, page and box follow from the line's rank."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
-    rows = lines.withColumn("ord", n)
-    y1 = (TOP + LINE_HEIGHT * (F.col("ord") % LINES_PER_PAGE)).cast("double")
+def placed(rows: DataFrame, line: Column) -> DataFrame:
+    """``rows`` (.., text) with page and box, by the number of their line in the document; 47 lines a page."""
+    y1 = (TOP + LINE_HEIGHT * (line % LINES_PER_PAGE)).cast("double")
     return rows.withColumns({
-        "page": (F.floor(F.col("ord") / LINES_PER_PAGE) + 1).cast("int"), "x1": F.lit(float(LEFT)), "y1": y1,
+        "page": (F.floor(line / LINES_PER_PAGE) + 1).cast("int"), "x1": F.lit(float(LEFT)), "y1": y1,
         "x2": (LEFT + F.least(CHAR_WIDTH * F.length("text"), F.lit(MAX_WIDTH))).cast("double"), "y2": y1 + LINE_HEIGHT,
     })
 
 
+def synthetic_layout(lines: DataFrame, key: str = "doc_id", order: str = "line_no") -> DataFrame:
+    """Places text lines on pages: ord, page and box follow from the line's rank."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    return placed(lines.withColumn("ord", n), F.col("ord"))
+
+
 def page_lines(spans: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
     """``spans`` with ``line``: a span, in the order (y1, x1, ord), joins the first line whose running mean centre is
     within max(0.6 * median height, 1), else opens one. Lines are numbered by their upper edge.
@@ -85,12 +91,15 @@ def neighbours(refs: DataFrame, others: DataFrame, on: list[str], max_distance:
     tall = F.lit(float(band)) if band else F.greatest(F.coalesce("median_height", F.lit(1.0)), F.lit(1.0)) * (max_distance + 1)
     a = refs.select(*on, F.col("ord").alias("ref"), *[F.col(c).alias(f"a_{c}") for c in columns], height.alias("u"), tall.alias("tall"))
     b = others.select(*on, F.col("ord").alias("other"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    tall = F.lit(float(band)) if band else F.col("tall")
+    reach = F.col("u") * (max_distance + 1)
     if not band:
-        b = b.join(a.groupBy(*on).agg(F.min("tall").alias("tall")), on)
-        a = a.drop("tall").join(a.groupBy(*on).agg(F.min("tall").alias("tall")), on)
+        # no box touches more than MOST_BANDS bands, as a corrupt one would
+        pages = a.groupBy(*on).agg(F.min("tall").alias("tall"), F.min(F.col("a_y1") - reach).alias("_low"), F.max(F.greatest("a_y1", "a_y2") + reach).alias("_high"))
+        more = b.groupBy(*on).agg(F.min("b_y1").alias("_top"), F.max(F.greatest("b_y1", "b_y2")).alias("_end"))
+        pages = pages.join(more, on).select(*on, F.greatest("tall", (F.greatest("_high", "_end") - F.least("_low", "_top")) / MOST_BANDS).alias("tall"))
+        a, b = a.drop("tall").join(pages, on), b.join(pages, on)
+    tall = F.lit(float(band)) if band else F.col("tall")
     touched = lambda low, high: F.sequence(F.floor(low / tall), F.floor(F.greatest(low, high) / tall))
-    reach = F.col("u") * (max_distance + 1)
     a = a.withColumn("_low", F.floor((F.col("a_y1") - reach) / tall)).withColumn("band", F.explode(touched(F.col("a_y1") - reach, F.col("a_y2") + reach)))
     b = b.withColumn("_top", F.floor(F.col("b_y1") / tall)).withColumn("band", F.explode(touched(F.col("b_y1"), F.col("b_y2"))))
     rows = a.drop("tall").join(b.drop("tall"), [*on, "band"]).where((F.col("ref") != F.col("other")) & (F.col("band") == F.greatest("_low", "_top")))

@@ -161,6 +161,8 @@ def classify(documents: DataFrame, keywords: Sequence[tuple[str, str, str]], min
     """
     order = list(dict.fromkeys(p for p, _, _ in keywords))
     text, name = F.lower("text"), F.lower("name")
+    if not order:
+        return documents.select(*([key] if isinstance(key, str) else key), F.lit("other").alias("doc_type"), F.lit(0).alias("score"))
     scores = [F.struct(sum((F.when((text if where == "content" else name).contains(word.lower()), 20 if where == "content" else 10).otherwise(0) for q, where, word in keywords if q == p), F.lit(0)).alias("score"), F.lit(-i).alias("seq"), F.lit(p).alias("profile")) for i, p in enumerate(order)]
     best = F.array_max(F.array(*scores))
     keys = [key] if isinstance(key, str) else list(key)

@@ -101,22 +101,38 @@ def cut_table(addresses: DataFrame) -> DataFrame:
     return rows.select("k", "cut", n.alias("total"), (F.col("cut") / n).alias("ratio"), (n - F.col("cut")).alias("remaining"), *[v.cast("double").alias(k) for k, v in features.items()], (F.col("cut") == F.col("split_index")).cast("int").alias("label"))
 
 
-def held_out(table: DataFrame, seed: int = 42) -> DataFrame:
-    """The tenth of the addresses that ``train`` leaves out."""
-    return table.where(F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(10)) == 0)
+def split_rows(table: DataFrame, seed: int = 42, share: int = 10) -> DataFrame:
+    """``table`` with ``held``: of each label's rows exactly one in ``share`` (rounded), those with the smallest hashes of address and cut.
+
+    Counts of 4,096 ranges of the hash tell in which range a label's share ends; only that range's rows are ranked.
+    """
+    rows = table.withColumn("_h", F.xxhash64("k", "cut", F.lit(seed))).withColumn("_r", F.shiftrightunsigned("_h", 52))
+    counts = rows.groupBy("label", "_r").agg(F.count("*").alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy("label").orderBy("_r"))).withColumn("_due", F.floor(F.sum("_n").over(Window.partitionBy("label")) / share + 0.5))
+    ends = upto.where(F.col("_upto") >= F.col("_due")).groupBy("label").agg(F.min_by(F.struct(F.col("_r").alias("end"), (F.col("_due") - F.col("_upto") + F.col("_n")).alias("take")), "_r").alias("_e"))
+    rows = rows.join(ends, "label")
+    within = Window.partitionBy("label").orderBy("_h", "k", "cut")
+    edge = rows.where(F.col("_r") == F.col("_e.end")).withColumn("held", F.row_number().over(within) <= F.col("_e.take"))
+    sure = rows.where(F.col("_r") != F.col("_e.end")).withColumn("held", F.col("_r") < F.col("_e.end"))
+    return sure.unionByName(edge).select(*table.columns, "held")
 
 
 def train(table: DataFrame, trees: int = 200, depth: int = 30, seed: int = 42) -> PipelineModel:
-    """A forest with balanced classes, on nine tenths of the addresses; all numeric columns but key and label are features.
-    ``model.write().save`` keeps it, ``PipelineModel.load`` brings it back."""
-    part = table.where(F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(10)) != 0)
-    inputs = [c for c, kind in table.dtypes if c not in ("k", "label") and kind in ("int", "bigint", "double")]
+    """A forest with balanced classes, on the rows that ``held``, if there is such a column, leaves; all numeric columns but key and
+    label are features. ``model.write().save`` keeps it, ``PipelineModel.load`` brings it back."""
+    part = table.where("not held").drop("held") if "held" in table.columns else table
+    inputs = [c for c, kind in part.dtypes if c not in ("k", "label") and kind in ("int", "bigint", "double")]
     n, ones = part.agg(F.count("*"), F.sum("label")).first()
     weight = F.when(F.col("label") == 1, n / (2 * max(1, ones or 0))).otherwise(n / (2 * max(1, n - (ones or 0))))
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="w", numTrees=trees, maxDepth=depth, seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), forest]).fit(part.withColumn("w", weight))
 
 
+def row_accuracy(model: PipelineModel, table: DataFrame) -> DataFrame:
+    """(held, rows, right): how many cuts the model labels rightly, of those it was trained on and of those held out."""
+    return model.transform(table).groupBy("held").agg(F.count("*").alias("rows"), F.count_if(F.col("prediction") == F.col("label")).alias("right"))
+
+
 def predict(model: PipelineModel, table: DataFrame) -> DataFrame:
     """(k, cut, confidence): the most probable cut, the first at a tie; its share of the address's probabilities."""
     p = model.transform(table).select("k", "cut", vector_to_array("probability")[1].alias("p"))

@@ -131,18 +131,29 @@ def mark_pushed(rows: DataFrame, pushed: DataFrame, key: str, enabled: bool = Tr
     return out.withColumn("status", F.when(F.col("outcome") == "pushed", "pushed").otherwise(F.col("status"))).drop("_asked")
 
 
+def push_outcomes(pushes: DataFrame, key: str) -> DataFrame:
+    """(key, seq, push, outcome): pushes (key, seq, push, ok) in the order ``seq``. Up to the first that is ok a push has failed; that one
+    has pushed the record, and so has a repeat of the same push; any other is a conflict. ``streaming.sync`` gives the same over a stream."""
+    w = Window.partitionBy(key)
+    at, won = F.min(F.when(F.col("ok"), F.col("seq"))).over(w), F.min(F.when(F.col("ok"), F.struct("seq", "push"))).over(w)["push"]
+    outcome = F.when(at.isNull() | (F.col("seq") < at), "failed").when(F.col("push") == won, "pushed").otherwise("conflict")
+    return pushes.select(key, "seq", "push", outcome.alias("outcome"))
+
+
 def fill_cells(record: DataFrame, cells: DataFrame, sheets: Sequence[str] = ()) -> DataFrame:
     """record: (set_id, field, value) -> (set_id, sheet, cell, field, value, written); unmapped fields go, blanks stay empty.
     sheets: fill each of these in place of the map's own."""
-    rows = record.join(F.broadcast(cells), "field")  # the cell map is configuration
+    rows = record.join(cells, "field")
     if sheets:
         rows = rows.withColumn("sheet", F.explode(F.array(*[F.lit(x) for x in sheets])))
     value = F.coalesce(F.trim("value"), F.lit(""))
     return rows.select("set_id", "sheet", "cell", "field", value.alias("value"), (value != "").alias("written"))
 
 
-def duplicate_cells(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("sheet", "cell").agg(F.count("*").alias("n")).where("n > 1")
+def read_cells(filled: DataFrame, cells: DataFrame) -> DataFrame:
+    """(set_id, field, value): filled sheets (set_id, sheet, cell, value) by the cell map; blank cells and unmapped ones are left out."""
+    rows = filled.join(cells, ["sheet", "cell"]).select("set_id", "field", tx.strip(F.col("value")).alias("value"))
+    return rows.where("value <> ''")
 
 
 def verify_cells(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as tx
 from spanforge.operators import address as ad
 from spanforge.operators import layout as lo
 from spanforge.operators import match as ma
+from spanforge.operators import onboarding as ob
+from spanforge.operators import records as rc
 from spanforge.operators import resolve as rs
 from spanforge.operators import validate as va
+from spanforge.operators.evaluate import with_row_number
 from spanforge.session import settled
+from spanforge.sources import files as fl
 
 PAGE = ["set_id", "doc", "page"]
 SPAN = [*PAGE, "ord"]
@@ -102,7 +106,7 @@ def candidates(spans: DataFrame, specs: Sequence[ma.FieldSpec]) -> DataFrame:
 
 def _findings(results: DataFrame, specs: Sequence[ma.FieldSpec], rules: Sequence[va.Rule], pins: DataFrame | None) -> DataFrame:
     """(set_id, field, rule, severity, ok) over the sets' wide records, so that rules see the other fields."""
-    wide = rs.canonical(results, [s.key for s in specs])
+    wide = rs.canonical(results, [s.key for s in ma.by_priority(specs)])
     wide = va.with_pin_state(wide, pins) if pins is not None and "pin_code" in wide.columns else wide.withColumn("pin_state", F.lit(None).cast("string"))
     return va.findings(wide, ["set_id"], rules)
 
@@ -111,7 +115,7 @@ def combined_address(results: DataFrame, pins: DataFrame | None = None) -> tuple
     """(results, flags): an address printed on one line gives city, state and PIN where they are blank, and its lines.
 
     It counts as combined while one of the three is missing and it has a comma or a digit; a PIN found by its
-    shape alone, or below half the score, is not trusted: it is replaced, or cleared if the address has none.
+    shape alone, or below half the score, is not trusted: it counts as missing, and is cleared if the address has none.
     """
     names = [F.col("field") == n for n in ADDRESS]
     pick = lambda c: [F.max(F.when(t, F.col(c))).alias(f"{n}.{c}".replace(".", "_")) for n, t in zip(ADDRESS, names, strict=True)]
@@ -213,3 +217,31 @@ def extract(
     for more in (*flags, more, pin_mismatches(results, found)):
         flagged = flagged.unionByName(more)
     return results, flagged, rs.summary(results, flagged)
+
+
+def registration(results: DataFrame, flagged: DataFrame, specs: Sequence[ma.FieldSpec]) -> tuple[DataFrame, DataFrame]:
+    """(records, flags): the registration form's record of each set, from ``extract``'s results.
+
+    A name that is a leaked caption takes its best alternative that is none, which is flagged; invalid identifiers are blank. Flags: (set_id, fields_needing_review), the
+    form's names of all flagged fields.
+    """
+    clean, leaked = rs.without_leaks(results, ["vendor_name"], [x for s in specs for x in s.labels])
+    wide = rs.canonical(ob.valid_results(clean), [s.key for s in ma.by_priority(specs)])
+    every = flagged.unionByName(leaked).withColumn("seq", F.struct(F.col("severity") != "error", "field", "reason"))
+    return rc.onboarding(wide), ob.review_names(every)
+
+
+def extract_files(
+    spark: SparkSession, path: str, specs: Sequence[ma.FieldSpec], rules: Sequence[va.Rule], recognise: Callable[[DataFrame], DataFrame] | None = None, set_id: int = 0, **options,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(results, review, summary, unread): the files of a folder as one set, its documents by the order of their names. ValueError
+    without a supported file; files that can't be read are in ``unread`` (path, reason), unsupported ones too. options: those of ``extract``."""
+    good, other = fl.list_inputs(spark, path)
+    if good.isEmpty():
+        raise ValueError(f"no supported file in {path}")
+    loaded = fl.load(good, recognise)
+    documents = with_row_number(good.select("path").repartitionByRange("path").sortWithinPartitions("path"), "doc")
+    named = documents.select(F.col("path").alias("doc_id"), F.col("doc").cast("int").alias("doc"), F.element_at(F.split("path", "/"), -1).alias("name"))
+    spans = loaded.spans.join(named, "doc_id").select(F.lit(set_id).alias("set_id"), "doc", "name", "page", "ord", "text", *BOX, F.lit(1.0).alias("confidence"))
+    unread = loaded.unread.unionByName(other.select("path", F.lit("unsupported").alias("reason")))
+    return *extract(settled(spans), specs, rules, **options), unread

@@ -123,7 +123,7 @@ def caption_hits(spark: SparkSession, sf: str) -> DataFrame:
     caps, _ = _spans(spark, sf)
     slip = (C("set_id") + C("doc")) % 3
     text = F.when(slip == 1, F.regexp_replace("text", "^(..)(.)", "$1~")).when(slip == 2, F.regexp_replace("text", "^(..)", "$1~")).otherwise(C("text"))
-    return ma.caption_hits(caps.withColumn("text", text), ma.label_table(spark, SPECS), ["set_id", "doc", "ord"])
+    return ma.label_hits(caps.withColumn("text", text), SPECS, ["set_id", "doc", "ord"]).drop("raw")
 
 
 @query("adaptive_threshold_match", """
@@ -170,7 +170,7 @@ s AS (SELECT set_id, doc, seq, other, field, clean AS value, direction, matched,
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Captions, all values right of or below them within four heights, and the scores of those with their field's shape."""
     caps, vals = _spans(spark, sf)
-    hits = ma.caption_hits(caps, ma.label_table(spark, SPECS), ["set_id", "doc", "ord"])
+    hits = ma.label_hits(caps, SPECS, ["set_id", "doc", "ord"]).drop("raw")
     near = lo.neighbours(caps, vals, ["set_id", "doc"], 4.0, ("right", "below"))
     rows = hits.withColumnRenamed("ord", "ref").join(near, ["set_id", "doc", "ref"]).join(vals.select("set_id", "doc", C("ord").alias("other"), C("text").alias("raw"), "conf"), ["set_id", "doc", "other"])
     derived = {s.key: ma.derive_value(C("raw"), s) for s in SPECS}

@@ -15,8 +15,10 @@ from spanforge.operators import onboarding as ob
 from spanforge.operators import records as rc
 from spanforge.operators import resolve as rs
 from spanforge.operators import segment as sg
+from spanforge.plans.extract import combined_address
 from spanforge.plans.layout_queries import SPECS
 from spanforge.plans.registry import query, view
+from spanforge.sources import config
 
 C = F.col
 
@@ -67,10 +69,13 @@ def tail_split(spark: SparkSession, sf: str) -> DataFrame:
     return sg.tail_split(sg.gap_groups(f)).select("k", "i", "grp")
 
 
-@query("segment_lines", """WITH p AS (SELECT *, road = 'Park Street' AS named, CASE locality WHEN 'East Sector' THEN concat('East, Sector ', city) WHEN 'Haripur Colony' THEN concat(locality, ', ', city) ELSE concat(locality, ' ', city) END AS area FROM v_addresses)
-SELECT k, CASE WHEN k % 9 <> 0 THEN [premises, building, road, locality] WHEN named THEN [premises, concat(building, ' ', road), area] ELSE [concat(premises, ', ', building), road, area] END AS lines,
+_LINES = """p AS (SELECT *, road = 'Park Street' AS named, CASE locality WHEN 'East Sector' THEN concat('East, Sector ', city) WHEN 'Haripur Colony' THEN concat(locality, ', ', city) ELSE concat(locality, ' ', city) END AS area FROM v_addresses),
+l AS (SELECT k, CASE WHEN k % 9 <> 0 THEN [premises, building, road, locality] WHEN named THEN [premises, concat(building, ' ', road), area] ELSE [concat(premises, ', ', building), road, area] END AS lines,
   CASE WHEN k % 9 = 0 AND named THEN 3 ELSE 4 END AS n_groups, CASE WHEN k % 9 = 0 THEN 'medium' ELSE 'high' END AS confidence, CASE WHEN k % 9 = 0 THEN '' ELSE city END AS city,
-  CASE WHEN k % 9 = 0 THEN '' WHEN state = 'KARNATAKA' THEN 'Karnataka' WHEN state = 'Maharastra' THEN 'Maharashtra' ELSE state END AS state, CASE WHEN k % 9 <> 0 AND k % 3 <> 0 THEN pin ELSE '' END AS pin FROM p""")
+  CASE WHEN k % 9 = 0 THEN '' WHEN state = 'KARNATAKA' THEN 'Karnataka' WHEN state = 'Maharastra' THEN 'Maharashtra' ELSE state END AS state, CASE WHEN k % 9 <> 0 AND k % 3 <> 0 THEN pin ELSE '' END AS pin FROM p)"""
+
+
+@query("segment_lines", f"WITH {_LINES} SELECT * FROM l")
 def segment_lines(spark: SparkSession, sf: str) -> DataFrame:
     return ad.segment_lines(view(spark, sf, "SELECT k, address FROM v_addresses"), "address")
 
@@ -248,10 +253,11 @@ def label_eval(spark: SparkSession, sf: str) -> DataFrame:
     return ev.binary_scores(rows, C("toxic") == 1, C("quality") == 1)
 
 
-@query("dim_lookup_build", "SELECT c_nationkey % 100 AS pin, min_by(n_name, c_custkey) AS state, count(*) FILTER (WHERE n_name <> (SELECT min(n_name) FROM nation)) AS others, regexp_replace(lower(min_by(n_name, c_custkey)), '[^a-z0-9]+', '', 'g') AS key FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+@query("dim_lookup_build", """WITH r AS (SELECT lpad(cast(c_nationkey * 10 + c_custkey % 3 AS varchar), 6, '1') AS pin, n_name AS state, concat('D', cast(c_custkey % 2 AS varchar)) AS district, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
+f AS (SELECT pin, arg_min(state, c_custkey) AS state, arg_min(district, c_custkey) AS district FROM r GROUP BY pin) SELECT f.*, (SELECT count(*) FROM r WHERE r.pin = f.pin AND (r.state <> f.state OR r.district <> f.district)) AS collisions FROM f""")
 def dim_lookup_build(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "SELECT c_nationkey % 100 AS pin, n_name, c_custkey, n_name <> (SELECT min(n_name) FROM nation) AS other FROM customer JOIN nation ON c_nationkey = n_nationkey")
-    return rows.groupBy("pin").agg(F.min_by("n_name", "c_custkey").alias("state"), F.count_if("other").alias("others")).withColumn("key", tx.squash_key(C("state")))
+    rows = view(spark, sf, "SELECT lpad(cast(c_nationkey * 10 + c_custkey % 3 AS string), 6, '1') AS pin, n_name AS state, concat('D', cast(c_custkey % 2 AS string)) AS district, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+    return config.build_pin_directory(rows, "c_custkey")
 
 
 _TAGS = "['PREMISES', 'BUILDING', 'ROAD', 'LOCALITY', 'CITY']"
@@ -310,17 +316,23 @@ def forest_split_predict(spark: SparkSession, sf: str) -> DataFrame:
     return ml.predict(ml.train(t, trees=20, depth=8), t)
 
 
-@query("caption_leak", """SELECT k, CASE WHEN k % 4 = 0 THEN 'Trade Name, if any' WHEN k % 4 = 1 THEN 'Micro' WHEN k % 4 = 2 THEN 'Name of the firm' ELSE name END AS value, k % 4 <> 3 AS leak FROM v_ids""")
+#: Captions as they leak: whole, misread, cut by a wrapped line, by their words, and values that are none.
+_LEAKS = "CASE k % 8 WHEN 0 THEN 'Trade Name, if any' WHEN 1 THEN 'Micro Enterprise :' WHEN 2 THEN 'Address of the Firm' WHEN 3 THEN 'Principal Place of' WHEN 4 THEN 'Legal Narne of Business' WHEN 5 THEN 'Legal' ELSE name END"
+_LABELS = ("Legal Name of Business", "Address of Principal Place of Business", "PAN")
+
+
+@query("caption_leak", f"SELECT k, {_LEAKS} AS value, k % 8 < 5 AS leak FROM v_ids")
 def caption_leak(spark: SparkSession, sf: str) -> DataFrame:
-    v = view(spark, sf, "SELECT k, CASE WHEN k % 4 = 0 THEN 'Trade Name, if any' WHEN k % 4 = 1 THEN 'Micro' WHEN k % 4 = 2 THEN 'Name of the firm' ELSE name END AS value FROM v_ids")
-    return v.withColumn("leak", rs.caption_leak(C("value"), ["Legal Name of Business"], ["micro", "small", "medium"], ["name"]))
+    return view(spark, sf, f"SELECT k, {_LEAKS} AS value FROM v_ids").withColumn("leak", rs.caption_leak(C("value"), _LABELS))
 
 
-@query("best_text_value", "SELECT k, name AS best, k % 2 = 0 AS from_alternative FROM v_ids")
+@query("best_text_value", f"SELECT k AS set_id, CASE WHEN k % 8 < 5 THEN CASE WHEN k % 3 = 0 THEN '' ELSE name END ELSE {_LEAKS} END AS value, k % 8 < 5 AND k % 3 <> 0 AS flagged FROM v_ids")
 def best_text_value(spark: SparkSession, sf: str) -> DataFrame:
-    v = view(spark, sf, "SELECT k, CASE WHEN k % 2 = 0 THEN 'Micro' ELSE name END AS value, array('small', name) AS alternatives FROM v_ids")
-    best, other = rs.best_text(C("value"), C("alternatives"), lambda c: F.lower(c).isin("micro", "small"))
-    return v.select("k", best.alias("best"), other.alias("from_alternative"))
+    """A leaked caption gives way to the first alternative that is none; some have no other."""
+    rows = view(spark, sf, f"SELECT k AS set_id, 'vendor_name' AS field, {_LEAKS} AS value, array(named_struct('value', 'Legal Name of', 'score', 3L), named_struct('value', CASE WHEN k % 3 = 0 THEN 'Small' ELSE name END, 'score', 2L)) AS alternatives FROM v_ids")
+    out, flags = rs.without_leaks(rows, ["vendor_name"], _LABELS)
+    marked = out.join(flags.select("set_id", F.lit(True).alias("flagged")), "set_id", "left")
+    return marked.select("set_id", "value", F.coalesce("flagged", F.lit(False)).alias("flagged"))
 
 
 @query("junk_filter", "SELECT set_id, field, seq FROM (SELECT *, value IN ('val1', 'val2') AS junk, bool_and(value IN ('val1', 'val2')) OVER (PARTITION BY set_id, field) AS every FROM v_candidates) WHERE NOT junk OR every")
@@ -328,12 +340,18 @@ def junk_filter(spark: SparkSession, sf: str) -> DataFrame:
     return rs.drop_junk(view(spark, sf, "v_candidates"), C("value").isin("val1", "val2")).select("set_id", "field", "seq")
 
 
-@query("combined_address_backfill", f"""WITH {_RESOLVED} SELECT k AS set_id, CASE WHEN k % 2 = 0 THEN 'Typed' ELSE city END AS city, state, pin,
-  list_filter([CASE WHEN k % 2 = 1 AND city <> '' THEN 'city' END, CASE WHEN state <> '' THEN 'state' END, CASE WHEN pin <> '' THEN 'pin' END], lambda x: x IS NOT NULL) AS backfilled FROM r""")
+@query("combined_address_backfill", f"""WITH {_LINES}
+SELECT k AS set_id, lines[1] AS address_1, lines[2] AS address_2, lines[3] AS address_3, lines[4] AS address_4, CASE WHEN k % 2 = 0 THEN 'Typed' ELSE nullif(city, '') END AS city, nullif(state, '') AS state,
+  CASE WHEN k % 5 = 0 AND pin = '' THEN '' WHEN k % 5 = 0 THEN '999999' ELSE nullif(pin, '') END AS pin_code, len(lines) - 1 + CASE WHEN k % 2 = 1 AND city <> '' THEN 1 ELSE 0 END + CASE WHEN state <> '' THEN 1 ELSE 0 END + CASE WHEN k % 5 <> 0 AND pin <> '' THEN 1 ELSE 0 END AS flags FROM l""")
 def combined_address_backfill(spark: SparkSession, sf: str) -> DataFrame:
-    a = view(spark, sf, "SELECT k AS set_id, address FROM v_addresses")
-    wide = view(spark, sf, "SELECT k AS set_id, CASE WHEN k % 2 = 0 THEN 'Typed' ELSE '' END AS city, '' AS state, '' AS pin FROM v_addresses")
-    return rs.backfill_location(wide, ad.resolve_address(a, "address"))
+    """An address on one line, as the whole dataflow takes it apart: a typed city stays, a PIN told by its shape alone goes if the address has none."""
+    rows = view(spark, sf, """SELECT k AS set_id, inline(array(named_struct('field', 'address_1', 'value', address, 'score', 800000L, 'kind', 'adjacent', 'source', '0'),
+      named_struct('field', 'city', 'value', CASE WHEN k % 2 = 0 THEN 'Typed' END, 'score', 800000L, 'kind', 'inline', 'source', '0'), named_struct('field', 'state', 'value', cast(null AS string), 'score', cast(null AS bigint), 'kind', '', 'source', ''),
+      named_struct('field', 'pin_code', 'value', CASE WHEN k % 5 = 0 THEN '999999' END, 'score', 800000L, 'kind', 'pattern_only', 'source', '0'), named_struct('field', 'address_2', 'value', cast(null AS string), 'score', cast(null AS bigint), 'kind', '', 'source', ''),
+      named_struct('field', 'address_3', 'value', cast(null AS string), 'score', cast(null AS bigint), 'kind', '', 'source', ''), named_struct('field', 'address_4', 'value', cast(null AS string), 'score', cast(null AS bigint), 'kind', '', 'source', ''))) FROM v_addresses""")
+    results, flags = combined_address(rows)
+    wide = rs.canonical(results, ["address_1", "address_2", "address_3", "address_4", "city", "state", "pin_code"])
+    return wide.join(flags.groupBy("set_id").agg(F.count("*").alias("flags")), "set_id", "left").withColumn("flags", F.coalesce("flags", F.lit(0)))
 
 
 @query("wrapped_value_join", r"""

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from spanforge.functions import text as tx
 from spanforge.operators import resolve as re_
 from spanforge.operators import validate as va
+from spanforge.operators.match import FieldSpec
+from spanforge.plans.extract import derived_values
 from spanforge.plans.registry import query, view
 
 C = F.col
@@ -85,8 +87,13 @@ def canonical_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return re_.canonical(_winners(_cand(spark, sf)), ["click", "view", "purchase"])
 
 
-@query("derive_and_default", """SELECT k, email, CASE WHEN email LIKE '%@%' AND email NOT LIKE '%gmail.com' THEN concat('www.', split_part(lower(email), '@', 2)) ELSE '' END AS website, CASE WHEN k % 4 = 3 THEN '' ELSE 'India' END AS printed,
-  'India' AS country, CASE WHEN email LIKE '%@%' AND email NOT LIKE '%gmail.com' THEN CASE WHEN k % 4 = 3 THEN ['website:derived', 'country:default'] ELSE ['website:derived'] END ELSE CASE WHEN k % 4 = 3 THEN ['country:default'] ELSE [] END END AS filled_by FROM v_ids""")
+@query("derive_and_default", """WITH w AS (SELECT k, CASE WHEN email LIKE '%@%' AND email NOT LIKE '%gmail.com' THEN concat('www.', split_part(lower(email), '@', 2)) END AS made, k % 4 = 3 AS printed, email FROM v_ids)
+SELECT k AS set_id, CASE WHEN printed THEN 'www.printed.example' ELSE made END AS website, CASE WHEN printed THEN 700000 WHEN made IS NOT NULL THEN 400000 END AS score, NOT printed AND made IS NOT NULL AS flagged FROM w""")
 def derive_and_default(spark: SparkSession, sf: str) -> DataFrame:
-    wide = view(spark, sf, "SELECT k, email, '' AS website, CASE WHEN k % 4 = 3 THEN '' ELSE 'India' END AS country, CASE WHEN k % 4 = 3 THEN '' ELSE 'India' END AS printed FROM v_ids")
-    return re_.fill_missing(wide, {"website": tx.email_domain(C("email"))}, {"country": "India"})
+    """The website from the e-mail address where none is printed, as in the whole dataflow."""
+    specs = [FieldSpec("email"), FieldSpec("website", derive_from="email")]
+    rows = view(spark, sf, """SELECT k AS set_id, inline(array(named_struct('field', 'email', 'value', email, 'score', 900000L, 'source', '0'),
+      named_struct('field', 'website', 'value', CASE WHEN k % 4 = 3 THEN 'www.printed.example' END, 'score', CASE WHEN k % 4 = 3 THEN 700000L END, 'source', '0'))) FROM v_ids""")
+    results, flags = derived_values(rows, specs)
+    marked = results.where("field = 'website'").join(flags.select("set_id", F.lit(True).alias("flagged")), "set_id", "left")
+    return marked.select("set_id", C("value").alias("website"), "score", F.coalesce("flagged", F.lit(False)).alias("flagged"))

@@ -166,8 +166,21 @@ def token_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "part").select("p_partkey", sim.token_sort_ratio_micro(C("p_name"), C("p_type")).alias("token_sort"), sim.token_jaccard(C("p_name"), C("p_type")).alias("jaccard"))
 
 
-@query("partial_alignment")
+@query("partial_alignment", """
+WITH s AS (SELECT set_id, doc, seq, lower(label) AS label, CASE WHEN (set_id + seq) % 3 = 0 THEN 3 ELSE 0 END AS start, set_id % 4 = 0 AND contains(label, 'N') AS slip FROM v_form_spans),
+w AS (SELECT *, length(label) AS n, CASE WHEN slip AND label = 'gstin' THEN 4 WHEN slip THEN length(label) - 1 ELSE length(label) END AS lcs, CASE WHEN slip AND label = 'gstin' THEN 4 ELSE length(label) END AS size FROM s)
+SELECT set_id, doc, seq, round(200.0 * lcs / (n + size), 4) AS score, start AS dest_start, start + size AS dest_end FROM w""")
 def partial_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    """Captions within spans that hold a caption, sometimes misread or behind other letters, and its value."""
-    s = view(spark, sf, "SELECT set_id, doc, seq, lower(label) AS label, lower(concat(CASE WHEN (set_id + seq) % 3 = 0 THEN 'x. ' ELSE '' END, CASE WHEN set_id % 4 = 0 THEN replace(caption, 'N', 'M') ELSE caption END, ' ', value)) AS text FROM v_form_spans")
-    return s.select("set_id", "doc", "seq", sim.partial_alignment("label", "text").alias("a")).select("set_id", "doc", "seq", F.bround("a.score", 4).alias("score"), "a.dest_start", "a.dest_end")
+    """Captions within spans that hold a caption, sometimes misread or behind other letters, and its value. A misread last letter is left out."""
+    s = view(spark, sf, "SELECT set_id, doc, seq, lower(label) AS label, lower(concat(CASE WHEN (set_id + seq) % 3 = 0 THEN 'x. ' ELSE '' END, CASE WHEN set_id % 4 = 0 THEN replace(label, 'N', 'M') ELSE label END, ' ', value)) AS text FROM v_form_spans")
+    a = tx.bind(sim.aligned(C("label"), C("text")), lambda a: a)
+    return s.select("set_id", "doc", "seq", a.alias("a")).select("set_id", "doc", "seq", F.bround("a.score", 4).alias("score"), "a.dest_start", "a.dest_end")
+
+
+@query("partial_ratio_windows", """
+WITH p AS (SELECT p_partkey, lower(split_part(p_type, ' ', 1)) AS a, lower(p_name) AS b FROM part), w AS (SELECT p_partkey, a, b, unnest(range(length(b))) AS i FROM p), v AS (SELECT *, unnest(range(1, 1 + least(length(a), length(b) - i))) AS k FROM w),
+m AS (SELECT *, substr(b, i + 1, k) AS win FROM v), l AS (SELECT p_partkey, length(a) AS n, k, list_reduce(list_transform(string_split(win, ''), lambda x: list_reduce(list_transform(range(length(a)), lambda j: CASE WHEN substr(a, j + 1, 1) = x THEN (1::BIGINT << j) ELSE 0::BIGINT END), lambda g, h: g + h)), lambda s, hit: (((s + (s & hit)) & 4611686018427387903) | (s - (s & hit)))::BIGINT, 4611686018427387903::BIGINT) AS bits FROM m)
+SELECT p_partkey, round(max(200.0 * (62 - bit_count(bits)) / (n + k)), 6) AS ratio FROM l GROUP BY p_partkey""")
+def partial_ratio_windows(spark: SparkSession, sf: str) -> DataFrame:
+    p = view(spark, sf, "SELECT p_partkey, lower(split_part(p_type, ' ', 1)) AS a, lower(p_name) AS b FROM part")
+    return p.select("p_partkey", F.round(sim.aligned(C("a"), C("b"))["score"], 6).alias("ratio"))

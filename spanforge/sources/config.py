@@ -174,12 +174,17 @@ def pin_directory(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy(F.col("pincode").alias("pin")).agg(F.max_by(F.struct("state", "district"), "n").alias("s")).select("pin", "s.*")
 
 
-def build_pin_directory(rows: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
-    """(pin, state, district) that come first, and (pin, collisions): how many later rows differ from it."""
-    first = F.first(F.struct("state", "district")).over(Window.partitionBy("pin").orderBy(order))
-    marked = rows.withColumn("f", first)
-    other = marked.where(F.struct("state", "district") != F.col("f")).groupBy("pin").agg(F.count("*").alias("collisions"))
-    return marked.select("pin", "f.*").distinct(), other
+def build_pin_directory(rows: DataFrame, order: str) -> DataFrame:
+    """(pin, state, district, collisions): for each PIN the row that comes first, and how many others differ from it. Counts by distinct rows
+    combine before the shuffle, so a PIN that fills the table is no hot key."""
+    each = rows.groupBy("pin", "state", "district").agg(F.count("*").alias("n"), F.min(order).alias("o"))
+    found = each.groupBy("pin").agg(F.min_by(F.struct("state", "district", "n"), "o").alias("f"), F.sum("n").alias("n"))
+    return found.select("pin", "f.state", "f.district", (F.col("n") - F.col("f.n")).alias("collisions"))
+
+
+def write_lookup(table: DataFrame, path: str, order: str) -> None:
+    """A lookup table as sorted, distinct CSV lines with a header."""
+    table.distinct().repartitionByRange(order).sortWithinPartitions(order).write.mode("overwrite").option("header", "true").csv(path)
 
 
 def state_table(spark: SparkSession, path: str) -> DataFrame:

@@ -1,8 +1,6 @@
 """Functions and operators against hand-made cases."""
 
-import io
 import random
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +14,7 @@ from spanforge.operators import records as rc
 from spanforge.operators import resolve as rs
 from spanforge.operators import validate as va
 from spanforge.plans.extract import extract
-from spanforge.sources import config, document_sets, files
+from spanforge.sources import config, document_sets
 from spanforge.streaming import intake
 
 
@@ -160,18 +158,6 @@ def test_sets_round_trip(spark, tmp_path):
     assert sorted((r.page, r.text, r.x2, r.confidence) for r in back.collect()) == [(1, "x", 2.0, 0.5), (2, "y", 2.0, 1.0)]
 
 
-def test_docx_and_listing(spark, tmp_path):
-    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        z.writestr("word/document.xml", f"<w:document {ns}><w:body><w:p><w:r><w:t>Name</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>Cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>")
-    (tmp_path / "a.docx").write_bytes(buffer.getvalue())
-    (tmp_path / "b.exe").write_bytes(b"x")
-    good, bad = files.list_inputs(spark, str(tmp_path))
-    assert [r.text for r in files.load(good).orderBy("ord").collect()] == ["Name", "Cell"]
-    assert bad.count() == 1
-
-
 def test_config(spark, tmp_path):
     p = tmp_path / "fields.yaml"
     p.write_text("fields:\n  pan:\n    labels: [PAN]\n    patterns: ['[A-Z]+']\n")
