@@ -185,4 +185,59 @@ SELECT page_id, payload_bytes, list_aggregate(list_transform(fives, lambda f: su
     1 + 16 * substr(f, 1, 1)::INT + 8 * substr(f, 2, 1)::INT + 4 * substr(f, 3, 1)::INT + 2 * substr(f, 4, 1)::INT + substr(f, 5, 1)::INT, 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, nullif(first_id, page_id) AS refers_to, true AS intact
 FROM d""",
+    "op11_secrets": r"""
+WITH crc AS (
+  SELECT list(list_reduce(range(8), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS tbl FROM range(256) t(i)
+), d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), kind AS (
+  SELECT * FROM (VALUES (1, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+    (2, 'access', 'AKIA[A-Z0-9]+'), (3, 'hex', '[0-9a-f]+'), (4, 'github', 'gh[pousr]_[A-Za-z0-9]+'), (5, 'npm', 'npm_[A-Za-z0-9]+')) k(place, kind, pattern)
+), parts AS (
+  SELECT row, place, kind, pattern, regexp_extract_all(text, pattern) AS found, string_split_regex(text, pattern) AS between FROM d, kind WHERE kind <> 'hex' AND regexp_matches(text, pattern)
+  UNION ALL SELECT row, place, kind, pattern, regexp_extract_all(text, '[0-9a-f]{32,}'), string_split_regex(text, '[0-9a-f]{32,}') FROM d, kind WHERE kind = 'hex' AND regexp_matches(text, '[0-9a-f]{32}')
+), spot AS (
+  SELECT *, found[i] AS m, (list_sum(list_transform(between[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM parts)
+), token AS (
+  SELECT *, substr(m, strpos(m, '_') + 1) AS body FROM spot
+), summed AS (
+  SELECT *, CASE WHEN place > 3 AND length(body) = 36 THEN xor(list_reduce(list_transform(string_split(substr(body, 1, 30), ''), lambda x: unicode(x)::BIGINT), lambda c, b: xor(c >> 8, tbl[xor(c, b) % 256 + 1]), 4294967295::BIGINT), 4294967295::BIGINT) END AS sum FROM token, crc
+), valid AS (
+  SELECT row, place, kind || ':' || start || ':' || (start + length(m)) AS span, start FROM summed WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(m, pattern, 2)) >= 8 WHEN 'access' THEN length(m) >= 16 WHEN 'hex' THEN length(m) >= 32
+    ELSE substr(body, 31) = list_aggregate(list_transform(range(5, -1, -1), lambda j: substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', ((sum // (62 ** j)::BIGINT) % 62)::INT + 1, 1)), 'string_agg', '') END
+), own AS (
+  SELECT row, count(*) FILTER (WHERE place = 1) AS n_assign, count(*) FILTER (WHERE place = 2) AS n_access, count(*) FILTER (WHERE place = 3) AS n_hex,
+    string_agg(span, ',' ORDER BY start, place) FILTER (WHERE place < 4) AS base, string_agg(span, ',' ORDER BY start, place) AS spans FROM valid GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN own USING (row)""",
+    "op13_spelling": r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(range(8), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS tbl FROM range(256) t(i)
+), run AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), each AS (
+  SELECT doc, run, count(*) AS times FROM run WHERE length(run) >= 6 GROUP BY doc, run
+), hashed AS (
+  SELECT run, times, xor(list_reduce(flatten(list_transform(string_split(doc || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END)),
+    lambda c, b: xor(c >> 8, tbl[xor(c, b) % 256 + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM each, crc
+), word AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM hashed
+), w AS (
+  SELECT word, sum(times)::BIGINT AS n FROM word WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word)))::INT AS i FROM w)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT cut.word, w.word, w.n FROM cut JOIN w ON cut.rest = w.word
+  UNION SELECT w.word, cut.word, cut.n FROM cut JOIN w ON cut.rest = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(struct_pack(other, m), struct_pack(a := -m, b := other)) AS b FROM near GROUP BY word
+), f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.m >= 5 * w.n THEN b.other END AS form, CASE WHEN b.m >= 5 * w.n THEN b.m END AS form_n FROM w LEFT JOIN best USING (word)
+), way AS (
+  SELECT word, word AS root FROM w UNION ALL SELECT way.word, f.form FROM way JOIN f ON way.root = f.word WHERE f.form IS NOT NULL
+), last AS (
+  SELECT way.word, way.root FROM way JOIN f ON way.root = f.word WHERE f.form IS NULL
+)
+SELECT f.word, f.form, last.root, f.n, f.n_near, f.form_n FROM f JOIN last USING (word)""",
 }
