@@ -161,7 +161,7 @@ def bounded_or_glued_matches(c: Column, pattern: str, least: int = 5) -> Column:
     found = bounded_matches(c, pattern)
     bare = lambda m: F.replace(m, F.lit(" "), F.lit(""))
     glued = F.filter(F.regexp_extract_all(c, F.lit(f"(?:{pattern})"), F.lit(0)), lambda m: bare(m).rlike(r"\A\p{L}+\z") & (F.length(bare(m)) >= least))
-    return F.when(F.size(found) > 0, found).otherwise(glued)
+    return bind(found, lambda f: F.when(F.size(f) > 0, f).otherwise(glued))
 
 
 def full_match(c: Column, *patterns: str) -> Column:

@@ -107,16 +107,24 @@ def without_excluded(rows: DataFrame, specs: Sequence[FieldSpec], value: str = "
     return rows.where(~F.coalesce(reduce(Column.__or__, tests, F.lit(False)), F.lit(False)))
 
 
-def derive_value(raw: Column, spec: FieldSpec) -> tuple[Column, Column]:
-    """(value, pattern matched): the first bounded match in the raw text, then in the normalised one, then as a whole."""
+def derive_value(raw: Column, spec: FieldSpec) -> Column:
+    """struct(value, matched): the first bounded match in the raw text, then in the normalised one, then as a whole."""
+    named = lambda value: tx.canonicalize(value, spec.aliases) if spec.aliases else value
     clean = tx.normalize(raw, spec.normalization)
     if not spec.patterns:
-        return tx.canonicalize(clean, spec.aliases) if spec.aliases else clean, F.lit(False)
+        return F.struct(named(clean).alias("value"), F.lit(False).alias("matched"))
     alternatives = "|".join(spec.patterns)
     first = lambda c: F.get(tx.bounded_or_glued_matches(c, alternatives), 0)
-    found = F.coalesce(first(raw), first(clean), F.when(tx.full_match(clean, *spec.patterns), clean))
-    value = F.when(found.isNotNull(), tx.normalize(found, spec.normalization)).otherwise(clean)
-    return (tx.canonicalize(value, spec.aliases) if spec.aliases else value), found.isNotNull()
+    whole = lambda c: F.coalesce(first(c), F.when(tx.full_match(c, *spec.patterns), c))
+    found = F.coalesce(first(raw), tx.bind(clean, whole))
+    return tx.bind(found, lambda f: F.struct(named(F.when(f.isNotNull(), tx.normalize(f, spec.normalization)).otherwise(clean)).alias("value"), f.isNotNull().alias("matched")))
+
+
+def derived_values(rows: DataFrame, specs: Sequence[FieldSpec]) -> DataFrame:
+    """``rows(field, raw, ..)`` with value and matched, worked out once a row: a generator gives them, as the optimizer repeats plain
+    expressions wherever a filter names them."""
+    each = [F.when(F.col("field") == s.key, derive_value(F.col("raw"), s)) for s in specs]
+    return rows.select("*", F.inline(F.array(F.coalesce(*each, F.struct(F.lit("").alias("value"), F.lit(False).alias("matched"))))))
 
 
 def foreign_field(value: Column, field_name: Column, specs: Sequence[FieldSpec]) -> Column:

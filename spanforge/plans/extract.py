@@ -87,8 +87,7 @@ def candidates(spans: DataFrame, specs: Sequence[ma.FieldSpec]) -> DataFrame:
     bare = bare.select(*SPAN, "field", "raw", none.alias("similarity"), none.alias("proximity"), F.lit("pattern_only").alias("kind"), F.lit("").alias("direction"), F.lit(False).alias("same_line"))
     rows = inline.unionByName(beside).unionByName(bare).join(meta, SPAN)
 
-    derived = {s.key: ma.derive_value(F.col("raw"), s) for s in specs}
-    rows = rows.withColumns({"value": _by_field(specs, lambda s: derived[s.key][0], F.lit("")), "matched": _by_field(specs, lambda s: derived[s.key][1], F.lit(False))})
+    rows = ma.derived_values(rows, specs)
     patterned = F.col("field").isin(*[s.key for s in specs if s.patterns])
     rows = settled(ma.without_excluded(rows.where((F.col("value") != "") & (F.col("matched") | ~patterned)), specs))
     doubtful = F.when((F.col("kind") != "inline") & ~F.col("matched"), tx.clean_label(F.col("raw")))

@@ -173,9 +173,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     hits = ma.label_hits(caps, SPECS, ["set_id", "doc", "ord"]).drop("raw")
     near = lo.neighbours(caps, vals, ["set_id", "doc"], 4.0, ("right", "below"))
     rows = hits.withColumnRenamed("ord", "ref").join(near, ["set_id", "doc", "ref"]).join(vals.select("set_id", "doc", C("ord").alias("other"), C("text").alias("raw"), "conf"), ["set_id", "doc", "other"])
-    derived = {s.key: ma.derive_value(C("raw"), s) for s in SPECS}
-    pick = lambda i: F.coalesce(*[F.when(C("field") == k, v[i]) for k, v in derived.items()])
-    rows = rows.withColumns({"value": pick(0), "matched": pick(1)})
+    rows = ma.derived_values(rows, SPECS)
     patterned = C("field").isin(*[s.key for s in SPECS if s.patterns])
     expected = C("field").isin("pan", "gst_number") == (C("doc") == 0)
     prox = F.floor(C("proximity") * 1_000_000 + 0.0001).cast("long")
