@@ -206,6 +206,20 @@ def text_grams(texts: DataFrame, reach: int) -> DataFrame:
     return texts.select(*texts.columns, F.inline(F.array_distinct(F.concat(none, *every))))
 
 
+def can_split(t: Column, specs: Sequence[FieldSpec]) -> Column:
+    """Whether a text has what ``is_inline_split`` wants: a separator, or a value of some field's shape behind something else."""
+    shapes = [p for s in specs for p in s.patterns]
+    found = t.rlike(r"[:\-–—=|>.]")
+    return found | t.rlike(f"(?s).(?:{'|'.join(shapes)})\\s*\\z") if shapes else found
+
+
+def has_letters(low: Column, spec: FieldSpec) -> Column:
+    """Whether a text's beginning has enough letters of one of the field's captions."""
+    every = [F.struct(tx.clean_label(F.lit(x)).alias("label"), (min_similarity(tx.clean_label(F.lit(x)), spec.min_similarity) * 1_000_000).cast("long").alias("threshold")) for x in spec.labels]
+    enough = lambda x: tx.bind(sim.shared_letters(F.substring(low, F.lit(1), F.length(x["label"]) + 2), x["label"]), lambda n: 2_000_000 * n >= x["threshold"] * (F.length(x["label"]) + n))
+    return F.exists(F.array(*every), enough) if every else F.lit(False)
+
+
 def prefixed(texts: DataFrame, specs: Sequence[FieldSpec], max_chars: bool = True) -> DataFrame:
     """Texts ``t`` that begin with a caption and go on with a value: (*texts, field, label_ord, label, similarity, raw).
 
@@ -215,7 +229,9 @@ def prefixed(texts: DataFrame, specs: Sequence[FieldSpec], max_chars: bool = Tru
     own = "field" in texts.columns
     labels = label_table(texts.sparkSession, specs)
     reach = 2 * max((len(x) for s in specs for x in s.labels), default=0) + 4
-    low = texts.withColumn("low", F.lower("t")).where(F.length("t") > 1)
+    low = texts.withColumn("low", F.lower("t")).where((F.length("t") > 1) & can_split(F.col("t"), specs))
+    if own:
+        low = low.where(F.coalesce(*[F.when(F.col("field") == s.key, has_letters(F.col("low"), s)) for s in specs], F.lit(False)))
     pairs = text_grams(low, reach).join(caption_grams(labels), ["gram", "at", *(["field"] if own else [])]).where(F.length("t") > F.length("label"))
     if max_chars:
         pairs = pairs.where(F.length("t") <= 3 * F.col("max_chars"))

@@ -47,7 +47,7 @@ def typed_spans(spans: DataFrame, profiles: Sequence[tuple[str, str, str]]) -> D
 
 
 def adjacent(base: DataFrame, hits: DataFrame, specs: Sequence[ma.FieldSpec]) -> DataFrame:
-    """(*SPAN, field, raw, similarity, proximity, direction, same_line): what lies beside a caption.
+    """(*SPAN, field, raw, similarity, proximity, direction, same_line, doc_type, conf): what lies beside a caption.
 
     Spans that look like captions are no values. A value of a text field goes on over its row and wrapped rows;
     a repeated caption at its start goes.
@@ -63,10 +63,10 @@ def adjacent(base: DataFrame, hits: DataFrame, specs: Sequence[ma.FieldSpec]) ->
     rows = rows.where(within).withColumn("proximity", F.floor(closeness * 1_000_000 + 0.0001).cast("long"))
     free = [s.key for s in specs if not s.patterns and s.value_type == "text"]
     joined = ma.wrapped_values(base, rows.where(F.col("field").isin(*free)), PAGE)
-    rows = rows.join(base.select(*SPAN, F.col("text").alias("own")), SPAN).join(joined, SPAN, "left")
+    rows = rows.join(base.select(*SPAN, F.col("text").alias("own"), "doc_type", "conf"), SPAN).join(joined, SPAN, "left")
     rows = settled(rows.withColumn("text", F.when(F.col("field").isin(*free), F.coalesce("value", "own")).otherwise(F.col("own"))))
     bare = ma.strip_own_labels(rows.select("field", "text").distinct(), specs)
-    return rows.join(bare, ["field", "text"]).select(*SPAN, "field", F.col("bare").alias("raw"), "similarity", "proximity", "direction", "same_line")
+    return rows.join(bare, ["field", "text"]).select(*SPAN, "field", F.col("bare").alias("raw"), "similarity", "proximity", "direction", "same_line", "doc_type", "conf")
 
 
 def candidates(spans: DataFrame, specs: Sequence[ma.FieldSpec]) -> DataFrame:
@@ -74,18 +74,18 @@ def candidates(spans: DataFrame, specs: Sequence[ma.FieldSpec]) -> DataFrame:
 
     spans: (*SPAN, doc_type, text, x1, y1, x2, y2, confidence).
     """
-    rows = spans.select(*SPAN, "doc_type", "text", *BOX, F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+    rows = spans.select(*SPAN, "doc_type", "text", *BOX, F.floor(F.coalesce("confidence", F.lit(1.0)) * 1_000_000 + 0.0001).cast("long").alias("conf"))
     rows = lo.page_lines(rows, tuple(PAGE)).withColumn("key", tx.clean_label(F.col("text")))
     like = ma.label_like(spans.select(tx.clean_label(F.col("text")).alias("key")), specs)
     base = settled(rows.join(like.withColumn("_like", F.lit(True)), "key", "left").withColumn("caption", _no(F.col("_like"))).drop("_like", "key"))
     hits = settled(ma.label_hits(base, specs, SPAN))
-    meta = base.select(*SPAN, "doc_type", F.floor(F.col("confidence") * 1_000_000 + 0.0001).cast("long").alias("conf"))
+    meta = base.select(*SPAN, "doc_type", "conf")
     none = F.lit(0).cast("long")
     inline = hits.where("raw <> ''").select(*SPAN, "field", "raw", "similarity", F.lit(1_000_000).cast("long").alias("proximity"), F.lit("inline").alias("kind"), F.lit("inline").alias("direction"), F.lit(True).alias("same_line"))
     beside = adjacent(base, hits, specs).withColumn("kind", F.lit("adjacent"))
     bare = ma.pattern_hits(base, specs, SPAN).withColumnRenamed("value", "raw").join(hits.select(*SPAN, "field").distinct(), [*SPAN, "field"], "left_anti")
     bare = bare.select(*SPAN, "field", "raw", none.alias("similarity"), none.alias("proximity"), F.lit("pattern_only").alias("kind"), F.lit("").alias("direction"), F.lit(False).alias("same_line"))
-    rows = inline.unionByName(beside).unionByName(bare).join(meta, SPAN)
+    rows = inline.unionByName(bare).join(meta, SPAN).unionByName(beside)
 
     rows = ma.derived_values(rows, specs)
     patterned = F.col("field").isin(*[s.key for s in specs if s.patterns])
