@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import similarity as sim
 from spanforge.functions import text as tx
+from spanforge.session import settled
 
 # Fixed values, in millionths: weights, bonuses of a candidate's kind, penalties in percent.
 WEIGHTS = {"label": 350_000, "proximity": 250_000, "pattern": 300_000, "confidence": 100_000}
@@ -269,7 +270,8 @@ def strip_own_labels(values: DataFrame, specs: Sequence[FieldSpec], passes: int
     for _ in range(passes):
         found = prefixed(rows.select("field", F.col("bare").alias("t")).distinct(), specs, max_chars=False)
         least = found.groupBy("field", "t").agg(F.min_by("raw", F.struct(F.length("raw"), "label_ord")).alias("raw")).where(F.length("raw") < F.length("t"))
-        rows = rows.join(least.withColumnRenamed("t", "bare"), ["field", "bare"], "left").select("field", "text", F.coalesce("raw", "bare").alias("bare"))
+        # a table, as the plan of each pass would hold that of the pass before twice
+        rows = settled(rows.join(least.withColumnRenamed("t", "bare"), ["field", "bare"], "left").select("field", "text", F.coalesce("raw", "bare").alias("bare")))
     return rows
 
 
