@@ -266,13 +266,16 @@ def label_hits(spans: DataFrame, specs: Sequence[FieldSpec], on: list[str]) -> D
 def strip_own_labels(values: DataFrame, specs: Sequence[FieldSpec], passes: int = 2) -> DataFrame:
     """``values(field, text)``, distinct -> (field, text, bare): without a caption of its own field at the start, twice at
     most; of several that fit, the one goes that leaves least."""
-    rows = values.select("field", "text", tx.strip(F.col("text")).alias("bare"))
+    rows = values.select("field", "text", tx.strip(F.col("text")).alias("bare"), F.lit(True).alias("_open"))
     for _ in range(passes):
-        found = prefixed(rows.select("field", F.col("bare").alias("t")).distinct(), specs, max_chars=False)
+        found = prefixed(rows.where("_open").select("field", F.col("bare").alias("t")).distinct(), specs, max_chars=False)
         least = found.groupBy("field", "t").agg(F.min_by("raw", F.struct(F.length("raw"), "label_ord")).alias("raw")).where(F.length("raw") < F.length("t"))
-        # a table, as the plan of each pass would hold that of the pass before twice
-        rows = settled(rows.join(least.withColumnRenamed("t", "bare"), ["field", "bare"], "left").select("field", "text", F.coalesce("raw", "bare").alias("bare")))
-    return rows
+        # a table, as the plan of each pass would hold that of the pass before twice; what a pass leaves alone the next one would too
+        kept = rows.join(least.withColumnRenamed("t", "bare"), ["field", "bare"], "left")
+        rows = settled(kept.select("field", "text", F.coalesce("raw", "bare").alias("bare"), F.col("raw").isNotNull().alias("_open")))
+        if rows.where("_open").isEmpty():
+            break
+    return rows.drop("_open")
 
 
 def _onward(row: list[tuple], first: tuple, unit: float) -> str:

@@ -134,11 +134,14 @@ def adaptive_threshold_match(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("key", ma.min_similarity(C("key"), 0.86).alias("threshold"))
 
 
-@query("pattern_candidates", r"""
+_BY_SHAPE = r"""
 SELECT set_id, doc, seq AS ord, 'pan' AS field, value FROM v_form_spans WHERE regexp_full_match(value, '[A-Z]{5}[0-9]{4}[A-Z]')
 UNION ALL SELECT set_id, doc, seq, 'gst_number', value FROM v_form_spans WHERE regexp_full_match(value, '[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]')
 UNION ALL SELECT set_id, doc, seq, 'ifsc', value FROM v_form_spans WHERE regexp_full_match(value, '[A-Z]{4}0[A-Z0-9]{6}')
-UNION ALL SELECT set_id, doc, seq, 'telephone', regexp_extract(value, '(?:^|[^A-Za-z0-9])([6-9][0-9]{9})$', 1) FROM v_form_spans WHERE regexp_matches(value, '(^|[^A-Za-z0-9])[6-9][0-9]{9}$')""")
+UNION ALL SELECT set_id, doc, seq, 'telephone', regexp_extract(value, '(?:^|[^A-Za-z0-9])([6-9][0-9]{9})$', 1) FROM v_form_spans WHERE regexp_matches(value, '(^|[^A-Za-z0-9])[6-9][0-9]{9}$')"""
+
+
+@query("pattern_candidates", _BY_SHAPE)
 def pattern_candidates(spark: SparkSession, sf: str) -> DataFrame:
     f = view(spark, sf, "SELECT set_id, doc, seq AS ord, value AS text FROM v_form_spans")
     return ma.pattern_hits(f, SPECS, ["set_id", "doc", "ord"])
@@ -155,8 +158,9 @@ def foreign_shapes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SCORE = """CAST(greatest(0, least(1000000, 350000 + CAST(floor(250000 * prox / 1000000) AS BIGINT) + CASE WHEN matched THEN 300000 WHEN field = 'email' THEN 150000 ELSE 0 END + CAST(floor(100000 * conf_m / 1000000) AS BIGINT) + CASE WHEN same_line THEN 180000 ELSE 0 END + CASE WHEN expected THEN 50000 ELSE -50000 END)) AS BIGINT)"""
-_CAND = """
-g AS (SELECT c.set_id, c.doc, c.seq, c.field, v.seq AS other, v.field AS of, v.value, CAST(round(v.conf * 100) AS BIGINT) * 10000 AS conf_m, (c.field IN ('pan', 'gst_number')) = (c.doc = 0) AS expected,
+#: EXPECTED: whether a field is sought in the document.
+_CANDIDATES = """
+g AS (SELECT c.set_id, c.doc, c.seq, c.field, v.seq AS other, v.field AS of, v.value, CAST(round(v.conf * 100) AS BIGINT) * 10000 AS conf_m, EXPECTED AS expected,
   greatest(0, least(c.cy2, v.vy1 + 26) - greatest(c.cy1, v.vy1)) / least(c.cy2 - c.cy1, 26) AS vo, greatest(0, least(c.cx2, v.vx1 + 200) - greatest(c.cx1, v.vx1)) / least(c.cx2 - c.cx1, 200) AS ho,
   c.cx1, c.cx2, c.cy2, v.vx1, v.vy1 FROM v_form_spans c JOIN v_form_spans v ON c.set_id = v.set_id AND c.doc = v.doc),
 n AS (SELECT *, vo >= 0.3 AND vx1 >= cx2 - 9 AND greatest(0, vx1 - cx2) / 30 <= 4 AS is_right, vy1 >= cy2 - 9 AND (ho >= 0.15 OR abs(vx1 - cx1) <= 60) AND greatest(0, vy1 - cy2) / 30 <= 4 AS is_below FROM g),
@@ -165,6 +169,7 @@ d AS (SELECT *, CASE WHEN is_right THEN 'right' ELSE 'below' END AS direction, i
     CAST(floor(greatest(0, 1 - CASE WHEN is_right THEN greatest(0, vx1 - cx2) ELSE greatest(0, vy1 - cy2) END / 30 / 4) * 1000000 + 0.0001) AS BIGINT) AS prox,
     CASE field WHEN 'ifsc' THEN concat(translate(substr(upper(value), 1, 4), '015826', 'OISBZG'), '0', substr(upper(value), 6)) WHEN 'telephone' THEN right(value, 10) WHEN 'email' THEN lower(value) ELSE value END AS clean FROM n WHERE is_right OR is_below),
 s AS (SELECT set_id, doc, seq, other, field, clean AS value, direction, matched, """ + _SCORE + """ AS score FROM d WHERE matched OR field = 'email')"""
+_CAND = _CANDIDATES.replace("EXPECTED", "(c.field IN ('pan', 'gst_number')) = (c.doc = 0)")
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,7 +204,25 @@ def first_pages(spark: SparkSession, sf: str) -> DataFrame:
     return lo.first_pages_text(view(spark, sf, "v_spans"), ("doc_id",))
 
 
-@query("resolve_fields")
+#: All candidates of a set, the rules' bias, expected documents before others, the winner within five points, and its status.
+_RESOLVE = "WITH " + _CANDIDATES.replace("EXPECTED", "c.doc = CASE WHEN c.field IN ('pan', 'gst_number') THEN 0 ELSE 1 END") + r""",
+shape AS (""" + _BY_SHAPE + r"""),
+every AS (SELECT set_id, doc, other AS seq, field, value, 'adjacent' AS kind, CASE WHEN field = 'email' AND regexp_full_match(value, '[6-9][0-9]{9}') THEN CAST(floor(score * 40 / 100) AS BIGINT) ELSE score END AS score FROM s WHERE value <> ''
+  UNION ALL SELECT p.set_id, p.doc, p.ord, p.field, p.value, 'pattern_only', 200000 + CAST(round(f.conf * 100) AS BIGINT) * 1000 + CASE WHEN p.doc = CASE WHEN p.field IN ('pan', 'gst_number') THEN 0 ELSE 1 END THEN 50000 ELSE -50000 END
+    FROM shape p JOIN v_form_spans f ON p.set_id = f.set_id AND p.doc = f.doc AND p.ord = f.seq),
+judged AS (SELECT * REPLACE (CASE WHEN CASE field WHEN 'email' THEN regexp_full_match(value, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}') WHEN 'pan' THEN regexp_full_match(value, '[A-Z]{5}[0-9]{4}[A-Z]') WHEN 'ifsc' THEN regexp_full_match(value, '[A-Z]{4}0[A-Z0-9]{6}')
+    WHEN 'telephone' THEN regexp_full_match(value, '[6-9][0-9]{9}') ELSE regexp_full_match(value, '[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]') END THEN least(score + 100000, 1000000) ELSE CAST(floor(score * 35 / 100) AS BIGINT) END AS score),
+    doc = CASE WHEN field IN ('pan', 'gst_number') THEN 0 ELSE 1 END AS wanted FROM every),
+near AS (SELECT * FROM (SELECT * FROM judged QUALIFY wanted = bool_or(wanted) OVER (PARTITION BY set_id, field)) QUALIFY max(score) OVER (PARTITION BY set_id, field) - score <= 50000),
+won AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY set_id, field ORDER BY least(doc, 2), kind, score DESC, doc, seq, value) = 1),
+r AS (SELECT k.set_id, k.field, w.value, w.doc, w.score, w.kind FROM (SELECT DISTINCT set_id, unnest(['pan', 'gst_number', 'ifsc', 'telephone', 'email']) AS field FROM v_form_spans) k LEFT JOIN won w ON k.set_id = w.set_id AND k.field = w.field)
+SELECT r.set_id, r.field, r.value, r.doc, r.score, r.kind, CASE WHEN r.value IS NULL THEN 'missing'
+    WHEN r.field = 'gst_number' AND p.value IS NOT NULL AND substr(r.value, 3, 10) <> p.value THEN 'invalid' WHEN r.field = 'gst_number' AND NOT CAST(substr(r.value, 1, 2) AS INT) BETWEEN 1 AND 38 THEN 'warning'
+    WHEN r.field = 'email' AND NOT regexp_full_match(r.value, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}') THEN 'invalid' ELSE 'valid' END AS status, 'not_checked' AS consistency
+FROM r LEFT JOIN r p ON p.set_id = r.set_id AND p.field = 'pan'"""
+
+
+@query("resolve_fields", _RESOLVE)
 def resolve_fields(spark: SparkSession, sf: str) -> DataFrame:
     """The whole dataflow over forms of three documents a set: classification, candidates, winners, validation, agreement."""
     results, _, _ = extract(view(spark, sf, FORM_SPANS), SPECS, va.ID_RULES, ["tax_card", "bank_form"], FORM_PROFILES)
