@@ -72,6 +72,36 @@ def nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return lo.nearest_first(lo.neighbours(s, s, ["doc_id", "page"], 2.0), ["doc_id", "page"]).select("doc_id", "page", "ref", "other", "place")
 
 
+#: The documents' lines in two columns, the first of them on either side, at uneven heights: two a row.
+BOXES = """SELECT doc_id, page, ord, text, row, x1, y1, x1 + least(15 * length(text), 640) AS x2, y1 + high AS y2 FROM (
+  SELECT doc_id, page, ord, text, row, cast(150 + 700 * ((ord % 47 + row) % 2) AS double) AS x1, cast(144 + 66 * row + 3 * ((7 * ord) % 5) AS double) AS y1, 44 - 4 * ((3 * ord) % 4) AS high
+  FROM (SELECT doc_id, page, ord, text, cast(floor((ord % 47) / 2.0) AS int) AS row FROM v_spans) a) b"""
+
+
+@query("two_column_lines", "SELECT doc_id, page, row AS line, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, string_agg(text, ' ' ORDER BY x1) AS text FROM (" + BOXES + ") GROUP BY doc_id, page, row")
+def two_column_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return lo.line_boxes(lo.page_lines(view(spark, sf, BOXES).drop("row")))
+
+
+@query("two_column_order", "SELECT doc_id, page, ord, row AS line, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY row, x1) - 1 AS INT) AS read FROM (" + BOXES + ")")
+def two_column_order(spark: SparkSession, sf: str) -> DataFrame:
+    return lo.reading_order(view(spark, sf, BOXES).drop("row")).select("doc_id", "page", "ord", "line", "read")
+
+
+@query("mixed_neighbours", "WITH b AS (" + BOXES + """),
+p AS (SELECT a.doc_id, a.page, a.ord AS ref, b.ord AS other, a.y2 - a.y1 AS u, greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / least(a.y2 - a.y1, b.y2 - b.y1) AS v, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) / least(a.x2 - a.x1, b.x2 - b.x1) AS h,
+  b.x1 - a.x2 AS to_right, b.y1 - a.y2 AS under, a.x1 - b.x2 AS to_left, a.y1 - b.y2 AS above, abs(b.x1 - a.x1) AS dx FROM b a JOIN b ON a.doc_id = b.doc_id AND a.page = b.page AND a.ord <> b.ord),
+d AS (SELECT *, CASE WHEN v >= 0.3 AND to_right >= -0.3 * u AND to_right <= 4 * u THEN 'right' WHEN under >= -0.3 * u AND (h >= 0.15 OR dx <= 2 * u) AND under <= 4 * u THEN 'below'
+  WHEN v >= 0.3 AND to_left >= -0.3 * u AND to_left <= 4 * u THEN 'left' WHEN above >= -0.3 * u AND (h >= 0.15 OR dx <= 2 * u) AND above <= 4 * u THEN 'above' END AS direction FROM p),
+f AS (SELECT *, direction IN ('right', 'left') AND v >= 0.5 AS same_line, greatest(0, CASE direction WHEN 'right' THEN to_right WHEN 'below' THEN under WHEN 'left' THEN to_left ELSE above END) / u / 4 AS ratio FROM d WHERE direction IS NOT NULL)
+SELECT doc_id, page, ref, other, direction, same_line, round(ratio, 6) AS ratio, CAST(row_number() OVER (PARTITION BY doc_id, page, ref ORDER BY ratio, same_line DESC, other) - 1 AS INT) AS place FROM f""")
+def mixed_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """All four directions, and each reference's neighbours by nearness."""
+    s = view(spark, sf, BOXES).withColumn("median_height", F.lit(38.0))
+    near = lo.nearest_first(lo.neighbours(s, s, ["doc_id", "page"], 4.0), ["doc_id", "page"])
+    return near.select("doc_id", "page", "ref", "other", "direction", "same_line", F.round("distance_ratio", 6).alias("ratio"), "place")
+
+
 @query("glyph_islands", """
 WITH g AS (SELECT item_id, generate_subscripts(string_split(text, ' '), 1) AS w, unnest(string_split(text, ' ')) AS word FROM benchmark), l AS (SELECT item_id, w, unnest(string_split(word, chr(10))) AS part FROM g)
 SELECT item_id, w AS island, part AS text FROM l WHERE part <> ''""")
