@@ -15,7 +15,8 @@ from spanforge.operators import onboarding as ob
 from spanforge.operators import records as rc
 from spanforge.operators import resolve as rs
 from spanforge.operators import segment as sg
-from spanforge.plans.extract import combined_address
+from spanforge.operators import validate as va
+from spanforge.plans.extract import combined_address, extract
 from spanforge.plans.layout_queries import SPECS
 from spanforge.plans.registry import query, view
 from spanforge.sources import config
@@ -453,3 +454,33 @@ def partition_means(spark: SparkSession, sf: str) -> DataFrame:
 @query("baseline_split", f"WITH {_RESOLVED} SELECT k, array_to_string(rest, ', ') AS address_1, '' AS address_2, len(rest) AS split_index FROM r")
 def baseline_split(spark: SparkSession, sf: str) -> DataFrame:
     return ev.baseline_split(view(spark, sf, "SELECT k, address FROM v_addresses"), "address", "k")
+
+
+#: A slip for each address: it stands on two rows beside its caption, some have a PIN or a country of their own, and each an e-mail address.
+SLIPS = """WITH s AS (SELECT k, concat(premises, CASE WHEN k % 9 = 0 THEN '' ELSE ', ' END) AS head, address, pin, concat('Desk.', translate(cast(k AS string), '0123456789', 'abcdefghij'), CASE WHEN k % 2 = 0 THEN '@gmail.com' ELSE concat('@shop', cast(k % 50 AS string), '.example.com') END) AS mail FROM v_addresses),
+t AS (SELECT k, 0 AS ord, 'Registered Address' AS text, 100 AS x, 100 AS y FROM s
+  UNION ALL SELECT k, 1, trim(head), 300, 100 FROM s UNION ALL SELECT k, 2, trim(substr(address, length(head) + 1)), 300, 134 FROM s
+  UNION ALL SELECT k, 3, 'PIN Code', 100, 500 FROM s WHERE k % 6 = 0 UNION ALL SELECT k, 4, pin, 220, 500 FROM s WHERE k % 6 = 0
+  UNION ALL SELECT k, 5, 'Email', 100, 900 FROM s UNION ALL SELECT k, 6, mail, 220, 900 FROM s
+  UNION ALL SELECT k, 7, 'Country', 100, 1300 FROM s WHERE k % 4 = 0 UNION ALL SELECT k, 8, 'Wonderland', 220, 1300 FROM s WHERE k % 4 = 0)
+SELECT k AS set_id, 0 AS doc, 'slip' AS doc_type, 1 AS page, ord, text, cast(x AS double) AS x1, cast(y AS double) AS y1, cast(x + 8 * length(text) AS double) AS x2, cast(y + 30 AS double) AS y2, cast(1 AS double) AS confidence FROM t"""
+SLIP_SPECS = [
+    ma.FieldSpec("address_1", ["Registered Address"]), *[ma.FieldSpec(n) for n in ("address_2", "address_3", "address_4", "city", "state")],
+    ma.FieldSpec("pin_code", ["PIN Code"], ["[1-9][0-9]{5}"]), ma.FieldSpec("country", ["Country"], default="India"), ma.FieldSpec("email", ["Email"]), ma.FieldSpec("website", derive_from="email"),
+]
+
+
+@query("resolve_addresses", f"""WITH {_LINES},
+r AS (SELECT l.*, a.pin AS printed, concat('Desk.', translate(CAST(l.k AS VARCHAR), '0123456789', 'abcdefghij'), CASE WHEN l.k % 2 = 0 THEN '@gmail.com' ELSE concat('@shop', CAST(l.k % 50 AS VARCHAR), '.example.com') END) AS mail FROM l JOIN v_addresses a ON l.k = a.k),
+f AS (SELECT k, unnest([{{'f': 'address_1', 'v': lines[1], 's': '0', 'kind': 'adjacent'}}, {{'f': 'address_2', 'v': lines[2], 's': 'address_resolver', 'kind': NULL}}, {{'f': 'address_3', 'v': lines[3], 's': 'address_resolver', 'kind': NULL}},
+  {{'f': 'address_4', 'v': lines[4], 's': 'address_resolver', 'kind': NULL}}, {{'f': 'city', 'v': city, 's': 'address_resolver', 'kind': NULL}}, {{'f': 'state', 'v': state, 's': 'address_resolver', 'kind': NULL}},
+  {{'f': 'pin_code', 'v': CASE WHEN k % 6 = 0 THEN printed ELSE pin END, 's': '0', 'kind': CASE WHEN k % 6 = 0 THEN 'adjacent' ELSE 'pattern_only' END}}, {{'f': 'country', 'v': 'India', 's': 'config_default', 'kind': NULL}}, {{'f': 'email', 'v': mail, 's': '0', 'kind': 'adjacent'}},
+  {{'f': 'website', 'v': CASE WHEN k % 2 = 1 THEN concat('www.shop', CAST(k % 50 AS VARCHAR), '.example.com') END, 's': 'derived_from_email', 'kind': NULL}}]) AS c FROM r),
+g AS (SELECT k, c.f AS field, nullif(c.v, '') AS value, c.s AS source, c.kind AS kind FROM f)
+SELECT k AS set_id, field, value, CASE WHEN value IS NOT NULL THEN source END AS source, CASE WHEN value IS NOT NULL THEN kind END AS kind,
+  CASE WHEN value IS NULL THEN 'missing' WHEN field IN ('state', 'pin_code', 'country', 'email') THEN 'valid' ELSE 'not_validated' END AS status FROM g""")
+def resolve_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole dataflow over addresses in one value: wrapped rows, what the address gives, PINs found by shape or printed, defaults
+    for what is blank or refused, and the e-mail address's site."""
+    results, _, _ = extract(view(spark, sf, SLIPS), SLIP_SPECS, va.ID_RULES)
+    return results.select("set_id", "field", "value", "source", "kind", "status")
