@@ -90,6 +90,21 @@ def test_top_k_of_clusters(spark):
     assert sorted(tuple(r) for r in got.collect()) == brute_top(big, lambda i: i % 5 == 0)
 
 
+@pytest.mark.parametrize("dims", [64, 256, 768])
+def test_embedding_recall(spark, dims):
+    """Of 300 random pairs at the threshold itself nearly all are linked, and nothing else is."""
+    rng = np.random.default_rng(dims)
+    a, noise = rng.standard_normal((2, 300, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    noise -= (noise * a).sum(axis=1, keepdims=True) * a
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    b = 0.98001 * a + np.sqrt(1 - 0.98001**2) * noise
+    rows = [(2 * i + j, [float(v) for v in x[i]], 0) for i in range(300) for j, x in enumerate((a, b))]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(got) == 600 and all(r.n_links <= 1 and r.component_id in (r.vec_id, r.vec_id - r.vec_id % 2) for r in got)
+    assert sum(r.n_links for r in got) / 600 >= 0.99
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(6, 32))
