@@ -173,7 +173,7 @@ SELECT set_id, doc, seq, round(200.0 * lcs / (n + size), 4) AS score, start AS d
 def partial_alignment(spark: SparkSession, sf: str) -> DataFrame:
     """Captions within spans that hold a caption, sometimes misread or behind other letters, and its value. A misread last letter is left out."""
     s = view(spark, sf, "SELECT set_id, doc, seq, lower(label) AS label, lower(concat(CASE WHEN (set_id + seq) % 3 = 0 THEN 'x. ' ELSE '' END, CASE WHEN set_id % 4 = 0 THEN replace(label, 'N', 'M') ELSE label END, ' ', value)) AS text FROM v_form_spans")
-    a = tx.bind(sim.aligned(C("label"), C("text")), lambda a: a)
+    a = sim.aligned(C("label"), C("text"))
     return s.select("set_id", "doc", "seq", a.alias("a")).select("set_id", "doc", "seq", F.bround("a.score", 4).alias("score"), "a.dest_start", "a.dest_end")
 
 
