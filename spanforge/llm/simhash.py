@@ -1,4 +1,4 @@
-"""Near-dedup: SimHash fingerprints linked by multi-index hashing; in the pipeline, shingle sets by their similarity."""
+"""Near-dedup: SimHash fingerprints linked by multi-index hashing; in the pipeline, verified by shingle sets, whose prefixes complete it."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import connected_components, scratch, written
+from spanforge.llm.common import by_merge, connected_components, scratch, written
 
 BITS, HALF = 64, 32
 MAX_DISTANCE = 3
@@ -121,11 +121,11 @@ def near_links(fps: DataFrame, busy: int = 64) -> DataFrame:
     hot = own.groupBy("seg", "half").count().where(F.col("count") > busy).select("seg", "half")
     hot = written(hot, "busy-halves")
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("to"))) <= MAX_DISTANCE) & ((F.col("half") != F.col("exact")) | (F.col("fp") < F.col("to")))
-    quiet = own.join(hot, ["seg", "half"], "left_anti").withColumnsRenamed({"fp": "to", "seg": "seg_to", "half": "half_to"})
-    pairs = ball.join(quiet, (F.col("seg") == F.col("seg_to")) & (F.col("half") == F.col("half_to")) & near).select(F.col("fp").alias("a"), F.col("to").alias("b"))
+    quiet = own.join(by_merge(hot), ["seg", "half"], "left_anti").withColumnsRenamed({"fp": "to", "seg": "seg_to", "half": "half_to"})
+    pairs = ball.join(by_merge(quiet), (F.col("seg") == F.col("seg_to")) & (F.col("half") == F.col("half_to")) & near).select(F.col("fp").alias("a"), F.col("to").alias("b"))
     if hot.isEmpty():
         return pairs
-    in_hot = ball.join(hot, ["seg", "half"], "left_semi")
+    in_hot = ball.join(by_merge(hot), ["seg", "half"], "left_semi")
     other = F.when(F.col("seg") == 0, _halves(F.col("fp"))[1]).otherwise(_halves(F.col("fp"))[0])
     parts = F.array(*[F.struct(F.lit(p).alias("part"), _ball(v, HALF // 2).alias("values")) for p, v in enumerate([F.shiftrightunsigned(other, 16), other.bitwiseAND(F.lit(0xFFFF))])])
     cells = in_hot.select("fp", "seg", "half", F.explode(parts).alias("x")).select("fp", "seg", "half", "x.part", F.explode("x.values").alias("value"))
@@ -144,9 +144,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     root = connected_components(near_links(fps.select("fp").distinct(), busy))
-    rooted = fps.join(root.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = fps.join(by_merge(root.select(F.col("node").alias("fp"), F.col("component").alias("root"))), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root").select("doc_id", "fp", "component_id")
+    return rooted.join(by_merge(least), "root").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:
@@ -172,6 +172,14 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b]) for a, b in zip(first, last, strict=True)), "u8", n).view("i8"))
 
 
+def set_fingerprint(own: np.ndarray) -> int:
+    """The SimHash of a shingle set, as ``fingerprint`` counts it, held as a signed long."""
+    counts = np.zeros(BITS, "i8")
+    for at in range(0, len(own), _BLOCK):
+        counts += np.unpackbits(own[at : at + _BLOCK].astype(">i8").view("u1").reshape(-1, 8), axis=1).sum(axis=0, dtype="i8")
+    return int(np.packbits(2 * counts > len(own)).view(">i8")[0])
+
+
 def _prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """So many shingles, in one order for all documents, that two sets with Jaccard >= 4/5 share one of them.
 
@@ -205,24 +213,24 @@ def _long_lists(lists: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "i8"), *lists])))
 
 
-_SETS = "id long, digest binary, size long, list array<long>, bits array<long>"
+_SETS = "id long, digest binary, size long, list array<long>, bits array<long>, fp long"
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], shingle: int, common: np.ndarray | None, rank: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, digest of the set, its size, list, parity bits): the prefixes, or whole sets where ``common`` is
+    """(id, text) -> (id, digest of the set, its size, list, parity bits, SimHash): the prefixes, or whole sets where ``common`` is
     None. A batch goes out in pieces of bounded size."""
-    names = ["id", "digest", "size", "list", "bits"]
+    names = ["id", "digest", "size", "list", "bits", "fp"]
 
     def out(held: list[tuple]) -> pa.RecordBatch:
-        ids, digests, sizes, lists, bits = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _long_lists(lists), _long_lists(bits)], names)
+        ids, digests, sizes, lists, bits, fps = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _long_lists(lists), _long_lists(bits), pa.array(fps, pa.int64())], names)
 
     for batch in batches:
         held, n = [], 0
         for i, text in zip(batch.column(0), batch.column(1), strict=True):
             own = shingle_set(text.as_py(), shingle)
             found = own if common is None else _prefix(own, common, rank)
-            held.append((i.as_py(), xxhash.xxh3_128_digest(own.tobytes()), len(own), found, parity_bits(own)))
+            held.append((i.as_py(), xxhash.xxh3_128_digest(own.tobytes()), len(own), found, parity_bits(own), set_fingerprint(own)))
             if (n := n + len(found)) > 1 << 18:
                 yield out(held)
                 held, n = [], 0
@@ -296,15 +304,27 @@ def _common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndar
     return h[order], rank[order]
 
 
+def fingerprint_pairs(first: DataFrame, busy: int = 64) -> DataFrame:
+    """``first(id, fp)`` -> ``(a, b)``: sets to compare as their SimHashes are linked (``near_links``). Those of one fingerprint all meet
+    the one with the smallest id, which stands for them in links between fingerprints, so a large group never makes all its pairs."""
+    lead = written(first.groupBy("fp").agg(F.min("id").alias("lead")), "fingerprints")
+    of = lambda n: lead.select(F.col("fp").alias(n), F.col("lead").alias(f"lead_{n}"))
+    near = near_links(lead.select("fp"), busy).join(by_merge(of("a")), "a").join(by_merge(of("b")), "b")
+    same = first.select("id", "fp").join(by_merge(lead), "fp").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    pairs = near.select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b")).unionByName(same)
+    return pairs.where("a <> b").distinct()
+
+
 def similar_links(rows: DataFrame, first: DataFrame, shingle: int = 5, busy: int = 64, block: int = 1024) -> DataFrame:
-    """``rows(id, text)`` and ``first(id, digest, size, list, bits)``, its distinct sets with prefixes -> ``(a, b)``.
+    """``rows(id, text)`` and ``first(id, digest, size, list, bits, fp)``, its distinct sets with prefixes -> ``(a, b)``.
 
-    The links connect just what all pairs with Jaccard >= 4/5 would: two such sets share a shingle of their
-    prefixes (see ``_prefix``), so a join on those finds every pair. Of what they share, all that comes no later
+    The links connect just what all pairs with Jaccard >= 4/5 would. SimHash finds sets to compare first, within three bits
+    (``fingerprint_pairs``), and each pair is verified by the whole sets. At 4/5 a tenth of the bits and more differ, so what
+    three bits miss is searched for between the components that these links make: two such sets share a shingle of their prefixes (see ``_prefix``), so a join on those finds every pair. Of what they share, all that comes no later
     than the end of both prefixes is in both, so a pair is passed over only if what the prefixes share and the
     rest of a set can't be enough, or if their parity bits differ in more places than they may have shingles apart.
-    Others are verified by the whole sets, but for pairs that verified ones connect already: first each set's
-    likeliest pair, then what still leads from one component to another.
+    Others are verified by the whole sets, but for pairs that verified ones connect already: of those between components
+    each set's likeliest pair, then what still leads from one component to another.
 
     Shingles in the prefixes of more than ``busy`` sets would give pairs as the square of their number: there
     all are compared with one of them first, and only where this doesn't connect them all they are dealt
@@ -327,8 +347,10 @@ def similar_links(rows: DataFrame, first: DataFrame, shingle: int = 5, busy: int
     side = lambda n: first.select(F.col("id").alias(n), F.col("size").alias(f"size_{n}"), F.col("bits").alias(f"bits_{n}"))
     apart, total = parity_distance(F.col("bits_a"), F.col("bits_b")), F.col("size_a") + F.col("size_b")
     # |a & b| >= 4/9 (|a| + |b|), so at most a ninth of both sizes' sum is in one of the two only
+    by_bits = written(fingerprint_pairs(first, busy), "fingerprint-pairs").withColumn("found", F.lit(True))
+    pairs = pairs.unionByName(by_bits.select("a", "b")).distinct().join(by_merge(by_bits), ["a", "b"], "left")
     likely = pairs.join(side("a"), "a").join(side("b"), "b").where(sized).withColumn("apart", apart).where(F.col("apart") * (PARTS + WHOLE) <= total * (WHOLE - PARTS))
-    likely = written(likely.select("a", "b", (F.col("apart") / F.greatest(total, F.lit(1))).alias("apart")), "pairs")
+    likely = written(likely.select("a", "b", (F.col("apart") / F.greatest(total, F.lit(1))).alias("apart"), F.coalesce("found", F.lit(False)).alias("found")), "pairs")
     wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
     sets = rows.join(_small(wanted), "id", "left_semi").mapInArrow(lambda it: _shingled(it, shingle, None, None), _SETS)
     sets = written(sets.join(_small(first.select("id", "digest").join(wanted, "id", "left_semi"), 128), ["id", "digest"], "left_semi").select("id", "list"), "sets")
@@ -338,12 +360,17 @@ def similar_links(rows: DataFrame, first: DataFrame, shingle: int = 5, busy: int
         both, each = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
         return written(some.select("a", "b").join(of("a"), "a").join(of("b"), "b").where(both * (PARTS + WHOLE) >= each * PARTS).select("a", "b").distinct(), "links")
 
-    likeliest = likely.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
-    links = verified(likeliest)
-    joined = connected_components(links)
-    for n in "ab":
-        likely = likely.join(joined.select(F.col("node").alias(n), F.col("component").alias(f"of_{n}")), n, "left").withColumn(f"of_{n}", F.coalesce(f"of_{n}", n))
-    links = links.unionByName(verified(likely.where("of_a <> of_b").join(likeliest, ["a", "b"], "left_anti")))
+    def between(links: DataFrame) -> DataFrame:
+        """The pairs that ``links`` don't connect yet."""
+        joined, left = connected_components(links), likely.where("NOT found")
+        for n in "ab":
+            left = left.join(by_merge(joined.select(F.col("node").alias(n), F.col("component").alias(f"of_{n}"))), n, "left").withColumn(f"of_{n}", F.coalesce(f"of_{n}", n))
+        return left.where("of_a <> of_b").select("a", "b", "apart")
+
+    links = verified(likely.where("found"))
+    likeliest = written(between(links).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")), "likeliest")
+    links = links.unionByName(verified(likeliest))
+    links = links.unionByName(verified(between(links).join(by_merge(likeliest), ["a", "b"], "left_anti")))
     if hot.isEmpty():
         return links
     known = connected_components(links).select(F.col("node").alias("id"), "component")
