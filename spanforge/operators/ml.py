@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanforge.functions import text as tx
+from spanforge.session import settled
 
 
 def tagged_words(addresses: DataFrame) -> DataFrame:
@@ -58,15 +59,19 @@ def vocabulary_features(segments: DataFrame, probabilities: DataFrame, tags: Seq
 
 
 def with_vocabulary(table: DataFrame, addresses: DataFrame, probabilities: DataFrame, tags: Sequence[str]) -> DataFrame:
-    """The cut table with both sides' vocabulary features."""
+    """The cut table with both sides' vocabulary features, as a table of its own, which training reads several times.
+
+    What grows with the addresses meets in merge joins: Spark's estimate doesn't count what an explode multiplies, so it would send a
+    table of many times its bound through the driver. The distinct segments' features are settled first, so their size is known.
+    """
     sides = addresses.select("k", F.posexplode("segments").alias("_i", "segment"))
-    features = vocabulary_features(sides, probabilities, tags)
+    features = settled(vocabulary_features(sides, probabilities, tags))
     sides = sides.join(features, "segment").drop("segment")
     out = table
     for side, shift in (("left", 1), ("right", 0)):
         own = sides.select(F.col("k").alias("_k"), F.col("_i").alias("_at"), *[F.col(c).alias(f"{side}_{c}") for c in features.columns if c != "segment"])
-        out = out.join(own, (F.col("k") == F.col("_k")) & (F.col("cut") - shift == F.col("_at"))).drop("_k", "_at")
-    return out
+        out = out.join(own.hint("merge"), (F.col("k") == F.col("_k")) & (F.col("cut") - shift == F.col("_at"))).drop("_k", "_at")
+    return settled(out)
 
 
 def likely_tags(addresses: DataFrame, probabilities: DataFrame) -> DataFrame:
