@@ -320,11 +320,11 @@ def similar_links(rows: DataFrame, first: DataFrame, shingle: int = 5, busy: int
 
     The links connect just what all pairs with Jaccard >= 4/5 would. SimHash finds sets to compare first, within three bits
     (``fingerprint_pairs``), and each pair is verified by the whole sets. At 4/5 a tenth of the bits and more differ, so what
-    three bits miss is searched for between the components that these links make: two such sets share a shingle of their prefixes (see ``_prefix``), so a join on those finds every pair. Of what they share, all that comes no later
+    three bits miss is searched for too: two such sets share a shingle of their prefixes (see ``_prefix``), so a join on those finds every pair. Of what they share, all that comes no later
     than the end of both prefixes is in both, so a pair is passed over only if what the prefixes share and the
     rest of a set can't be enough, or if their parity bits differ in more places than they may have shingles apart.
-    Others are verified by the whole sets, but for pairs that verified ones connect already: of those between components
-    each set's likeliest pair, then what still leads from one component to another.
+    Others are verified by the whole sets, but for pairs that verified ones connect already: each set's likeliest pair along with
+    those that SimHash finds, then what still leads from one component to another.
 
     Shingles in the prefixes of more than ``busy`` sets would give pairs as the square of their number: there
     all are compared with one of them first, and only where this doesn't connect them all they are dealt
@@ -360,17 +360,15 @@ def similar_links(rows: DataFrame, first: DataFrame, shingle: int = 5, busy: int
         both, each = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
         return written(some.select("a", "b").join(of("a"), "a").join(of("b"), "b").where(both * (PARTS + WHOLE) >= each * PARTS).select("a", "b").distinct(), "links")
 
-    def between(links: DataFrame) -> DataFrame:
-        """The pairs that ``links`` don't connect yet."""
-        joined, left = connected_components(links), likely.where("NOT found")
-        for n in "ab":
-            left = left.join(by_merge(joined.select(F.col("node").alias(n), F.col("component").alias(f"of_{n}"))), n, "left").withColumn(f"of_{n}", F.coalesce(f"of_{n}", n))
-        return left.where("of_a <> of_b").select("a", "b", "apart")
-
-    links = verified(likely.where("found"))
-    likeliest = written(between(links).groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")), "likeliest")
-    links = links.unionByName(verified(likeliest))
-    links = links.unionByName(verified(between(links).join(by_merge(likeliest), ["a", "b"], "left_anti")))
+    found, rest = likely.where("found"), likely.where("NOT found")
+    likeliest = rest.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
+    first_ones = written(found.select("a", "b").unionByName(likeliest.select("a", "b")), "first-pairs")
+    # components as stars: what is verified later is added to these, so they are not worked out anew from all links
+    joined = connected_components(verified(first_ones))
+    left = rest.join(by_merge(first_ones), ["a", "b"], "left_anti")
+    for n in "ab":
+        left = left.join(by_merge(joined.select(F.col("node").alias(n), F.col("component").alias(f"of_{n}"))), n, "left").withColumn(f"of_{n}", F.coalesce(f"of_{n}", n))
+    links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(verified(left.where("of_a <> of_b")))
     if hot.isEmpty():
         return links
     known = connected_components(links).select(F.col("node").alias("id"), "component")
